@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing
-from .common import table
+from . import chat, exact_dedup, language_id, mixing, packing, warc
+from .common import table, written
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,23 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of the pages' records in which each 89th page has changed and each 211th is lost."""
+    ours = written(warc.addressed(table(spark, sf_dir, "pages")), "records")
+    lost, changed = F.col("page_id") % 211 == 5, F.col("page_id") % 89 == 3
+    theirs = ours.where(~F.coalesce(lost, F.lit(False))).withColumn("digest", F.when(changed, F.sha2(F.concat("digest", F.lit("damaged")), 256)).otherwise(F.col("digest")))
+    found = warc.audit(ours, theirs)
+    return found.join(ours.select("segment", "offset", "page_id", "length"), ["segment", "offset"]).select("page_id", "segment", "offset", "length", "status")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = mixing.copy_counts(table(spark, sf_dir, "documents"))
     each = counts.select("*", F.explode(F.expr("sequence(1L, rows)")))
@@ -32,6 +49,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_packing": op7_packing,
+    "op8_warc_audit": op8_warc_audit,
+    "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
 }
 
@@ -41,4 +61,21 @@ SQL: dict[str, str] = {
              g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op8_warc_audit": r"""
+        WITH r AS (SELECT page_id, page_id // 4096 AS segment, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
+             l AS (SELECT page_id, segment,
+                          strlen('WARC/1.0WARC-Type: resourceWARC-Record-ID: <urn:md5:>WARC-Date: 2024-01-01T00:00:00ZWARC-Target-URI: Content-Type: text/htmlContent-Length: ')
+                          + 16 + 32 + strlen(u) + strlen(cast(strlen(h) AS VARCHAR)) + strlen(h) AS length FROM r),
+             a AS (SELECT *, coalesce(sum(length + 4) OVER (PARTITION BY segment ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM l)
+        SELECT page_id, segment, cast("offset" AS BIGINT) AS "offset", length, CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'changed' END AS status
+        FROM a WHERE page_id % 211 = 5 OR page_id % 89 = 3""",
+    "op9_chat": r"""
+        WITH r AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+                          string_agg(coalesce(role, '') || chr(31) || coalesce(text, '') || chr(30), '') OVER w AS s
+                   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+             k AS (SELECT s, min(conv_id) AS conv_id, count(*) AS copies FROM r WHERE pos = n GROUP BY s),
+             m AS (SELECT * FROM k WHERE s NOT IN (SELECT s FROM r WHERE pos < n))
+        SELECT m.conv_id, CAST((pos - 1) // 1024 AS BIGINT) AS part, count(*) AS turns, any_value(m.copies) AS copies,
+               string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+        FROM m JOIN r ON r.conv_id = m.conv_id GROUP BY 1, 2""",
 }
