@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, language_id, mixing, near_dedup, packing, warc
+from . import ann, chat, debruijn_dedup, exact_dedup, language_id, mixing, near_dedup, packing, suffix_dedup, warc
 from .common import table, written
 
 
@@ -25,6 +25,14 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn_dedup.dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.trained(docs)
@@ -58,6 +66,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_near_dedup": op2_near_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_debruijn_dedup": op4_debruijn_dedup,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,

@@ -1,0 +1,344 @@
+"""Windows of a fixed length that occur more than once in a corpus, found without shuffling every position.
+
+Both substring operators use this. Every window (50 bytes, or 35 words) is filed under the smallest hash of the
+short anchors within it. Neighbouring windows mostly share that smallest anchor, so they travel as one *segment*
+(a super-k-mer): one row for about fourteen positions. Equal windows have equal anchors, therefore:
+
+1. anchors that occur once anywhere need no further look (their hashes travel in packed, sorted blocks);
+2. of the other anchors, segments of equal content are one path: it is judged as a whole;
+3. where one anchor has segments of different content, one occurrence of each is opened into its windows, and
+   the windows are judged.
+
+Judgements go back to all occurrences by joins on (anchor, content), and to documents as spans of windows.
+
+A row of the corpus is known by doc_id and a hash of its text; rows alike in both are judged alike.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import words
+from .common import written
+
+PART_BYTES = 64 << 20
+FLUSH = 1_000_000
+OPEN_ROWS = 50_000
+CELL_WINDOWS = 1_000_000
+ANCHOR_SHIFT = np.uint64(16)
+#: Windows of a batch of texts: text, first unit within the text, anchor, hash; sorted by text and place.
+Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What a window is: its length in units, the longest segment (in windows), and how texts are cut into windows.
+
+    ``earlier``: a window counts if it also occurs in a document of smaller doc_id; else, if it occurs anywhere else.
+    """
+
+    length: int
+    longest: int
+    cut: Callable[[list[str]], Iterator[tuple[int, int, Windows]]]
+    earlier: bool
+
+
+@dataclass
+class Segments:
+    text: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    anchor: np.ndarray
+    content: np.ndarray
+    twice: np.ndarray  # a window may occur twice within the segment
+
+    def __getitem__(self, i) -> Segments:
+        return Segments(*(getattr(self, f)[i] for f in ("text", "start", "n", "anchor", "content", "twice")))
+
+
+def window_min(v: np.ndarray, width: int) -> np.ndarray:
+    """Smallest of ``width`` consecutive values, from each place on."""
+    span, out = 1, v
+    while span * 2 <= width:
+        out = np.minimum(out[:-span], out[span:])
+        span *= 2
+    return np.minimum(out[: len(out) - (width - span)], out[width - span :]) if width > span else out
+
+
+def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return words.mix(a * words.BASE + words.mix(b))
+
+
+def segments(w: Windows, longest: int, within: bool) -> Segments:
+    """Runs of windows of one anchor, cut after ``longest``; ``within``: find windows that occur twice in a segment."""
+    text, start, anchor, h = w
+    if not len(text):
+        e = np.zeros(0, np.int64)
+        return Segments(e, e, e, e.astype(np.uint64), e.astype(np.uint64), e.astype(bool))
+    new = np.ones(len(text), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    offset = np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
+    at = np.flatnonzero(offset % longest == 0)
+    n = np.diff(np.append(at, len(text)))
+    content = pairs(h[at], h[at + n - 1] + n.astype(np.uint64))
+    twice = np.zeros(len(text), bool)
+    if within:
+        last = np.repeat(at + n, n)
+        for p in range(1, min(longest, len(h))):
+            same = np.flatnonzero(h[p:] == h[:-p])
+            twice[same[same + p < last[same]]] = True
+    return Segments(text[at], start[at], n, anchor[at], content, np.logical_or.reduceat(twice, at))
+
+
+def _rid(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text", F.lit(34)))
+
+
+def _blob(values: np.ndarray) -> bytes:
+    return values.tobytes()
+
+
+def _binary(blobs: list[bytes]) -> pa.Array:
+    return pa.array(blobs, pa.binary())
+
+
+def _anchors(kind: Kind, parts: int):
+    """Packed anchors by part, and what one flush of documents already knows to be repeated, by document (part -1)."""
+
+    def flush(rids, ids, seg: list[Segments], base: list[int]):
+        anchor = np.concatenate([s.anchor for s in seg]) >> ANCHOR_SHIFT
+        doc = np.concatenate([s.text + b for s, b in zip(seg, base)])
+        twice = np.concatenate([s.twice for s in seg])
+        rid, did = np.concatenate(rids), np.concatenate(ids)
+        order = np.lexsort((doc, anchor))
+        anchor, doc, twice = anchor[order], doc[order], twice[order]
+        at = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, int)
+        n = np.diff(np.append(at, len(anchor)))
+        if kind.earlier:
+            low, high = (f.reduceat(did[doc], at) if len(at) else at for f in (np.minimum, np.maximum))
+            known = low != high
+        else:
+            known = (n > 1) | (np.logical_or.reduceat(twice, at) if len(at) else np.zeros(0, bool))
+        mine = np.repeat(known, n)
+        out = {"part": [], "rid": [], "anchors": [], "rids": [], "docs": []}
+
+        def put(part, rid_, anchors, rids_=b"", docs_=b""):
+            for k, v in zip(out, (part, rid_, anchors, rids_, docs_)):
+                out[k].append(v)
+
+        own = np.argsort(doc[mine], kind="stable")
+        d, a = doc[mine][own], anchor[mine][own]
+        cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, int)
+        for x, y in zip(cuts, np.append(cuts[1:], len(d))):
+            put(-1, rid[d[x]], _blob(np.unique(a[x:y])))
+        # each anchor goes to the others once: with its document, or marked as known to be repeated
+        one = anchor[at]
+        part = (one % np.uint64(parts)).astype(np.int64)
+        flag = np.where(known, np.int64(1), np.int64(0))
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in range(parts):
+            i = order[edges[p] : edges[p + 1]]
+            if len(i):
+                put(p, 0, _blob(one[i] << np.uint64(1) | flag[i].astype(np.uint64)), _blob(rid[doc[at[i]]]), _blob(did[doc[at[i]]]))
+        return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int64()), pa.array(out["rid"], pa.int64()), *(_binary(out[k]) for k in ("anchors", "rids", "docs"))], list(out))
+
+    def run(batches):
+        rids, ids, seg, base, size, docs = [], [], [], [], 0, 0
+        for batch in batches:
+            rid, did = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "doc_id"))
+            for first, n, w in kind.cut(batch.column("text").to_pylist()):
+                s = segments(w, kind.longest, not kind.earlier)
+                rids.append(rid[first : first + n])
+                ids.append(did[first : first + n])
+                seg.append(s)
+                base.append(docs)
+                docs, size = docs + n, size + len(s.n)
+                if size >= FLUSH:
+                    yield flush(rids, ids, seg, base)
+                    rids, ids, seg, base, size, docs = [], [], [], [], 0, 0
+        if seg:
+            yield flush(rids, ids, seg, base)
+
+    return run
+
+
+def _meet(kind: Kind):
+    """The anchors of a part that occur more than once, by document."""
+
+    def run(t: pa.Table) -> pa.Table:
+        read = lambda c, kind_: np.concatenate([np.frombuffer(b, kind_) for b in t[c].to_pylist()])
+        code, rid, did = read("anchors", np.uint64), read("rids", np.int64), read("docs", np.int64)
+        anchor, known = code >> np.uint64(1), (code & np.uint64(1)).astype(bool)
+        order = np.argsort(anchor, kind="stable")
+        anchor, known, rid, did = anchor[order], known[order], rid[order], did[order]
+        at = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        n = np.diff(np.append(at, len(anchor)))
+        again = np.minimum.reduceat(did, at) != np.maximum.reduceat(did, at) if kind.earlier else n > 1
+        use = np.repeat(again | np.logical_or.reduceat(known, at), n) & ~known
+        rid, anchor = rid[use], anchor[use]
+        order = np.lexsort((anchor, rid))
+        rid, anchor = rid[order], anchor[order]
+        cuts = np.flatnonzero(np.append(True, rid[1:] != rid[:-1])) if len(rid) else np.zeros(0, int)
+        return pa.table({"rid": pa.array(rid[cuts], pa.int64()), "anchors": _binary([_blob(anchor[x:y]) for x, y in zip(cuts, np.append(cuts[1:], len(rid)))])})
+
+    return run
+
+
+def _occurrences(kind: Kind):
+    """The segments of documents whose anchors are repeated."""
+
+    def run(batches):
+        for batch in batches:
+            rid, did = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "doc_id"))
+            wanted = batch.column("anchors").to_pylist()
+            for first, n, w in kind.cut(batch.column("text").to_pylist()):
+                s = segments(w, kind.longest, not kind.earlier)
+                take = np.zeros(len(s.n), bool)
+                ends = np.searchsorted(s.text, np.arange(n + 1))
+                for i in range(n):
+                    a, b = ends[i], ends[i + 1]
+                    if b > a:
+                        take[a:b] = np.isin(s.anchor[a:b] >> ANCHOR_SHIFT, np.frombuffer(b"".join(wanted[first + i]), np.uint64))
+                s = s[take]
+                yield pa.RecordBatch.from_pydict({
+                    "anchor": s.anchor.view(np.int64), "content": s.content.view(np.int64), "n": s.n.astype(np.int32), "start": s.start.astype(np.int64),
+                    "rid": rid[first + s.text], "doc_id": did[first + s.text], "twice": pa.array(s.twice),
+                })
+
+    return run
+
+
+def _listed(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Edges of the lists of structs of long integers, null as empty, and their fields end to end."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    fields = {f.name: flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, f in enumerate(flat.type)}
+    return np.concatenate([[0], np.cumsum(lengths)]), fields
+
+
+def _opened(kind: Kind):
+    """The window hashes of the segments asked for."""
+
+    def run(batches):
+        for batch in batches:
+            edges, fields = _listed(batch.column("asked"))
+            for first, n, w in kind.cut(batch.column("text").to_pylist()):
+                text, start, _, h = w
+                ends = np.searchsorted(text, np.arange(n + 1))
+                out = {k: [] for k in ("anchor", "content", "n", "low", "times", "windows")}
+                for i in range(n):
+                    own, base = start[ends[i] : ends[i + 1]], ends[i]
+                    q = {k: v[edges[first + i] : edges[first + i + 1]] for k, v in fields.items()}
+                    at = np.searchsorted(own, q["start"])
+                    here = np.flatnonzero(at < len(own))
+                    here = here[own[at[here]] == q["start"][here]]
+                    for k in ("anchor", "content", "n", "low", "times"):
+                        out[k].append(q[k][here])
+                    out["windows"] += [_blob(h[base + x : base + x + y]) for x, y in zip(at[here].tolist(), q["n"][here].tolist())]
+                numbers = [pa.array(np.concatenate(out[k]) if out[k] else np.zeros(0, np.int64), pa.int64()) for k in ("anchor", "content", "n", "low", "times")]
+                yield pa.RecordBatch.from_arrays([*numbers, _binary(out["windows"])], list(out))
+
+    return run
+
+
+def _judged(kind: Kind):
+    """For each segment of a cell, window by window: the smallest doc_id that has it, or how often it occurs."""
+
+    def run(t: pa.Table) -> pa.Table:
+        anchor, content, n, low, times = (t[c].to_numpy() for c in ("anchor", "content", "n", "low", "times"))
+        h = np.frombuffer(b"".join(t["windows"].to_pylist()), np.uint64)
+        key = pairs(h, np.repeat(anchor, n).astype(np.uint64))
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        value = np.repeat(low if kind.earlier else times, n)[order]
+        total = (np.minimum if kind.earlier else np.add).reduceat(value, at)
+        out = np.empty(len(h), np.int64)
+        out[order] = np.repeat(total, np.diff(np.append(at, len(h))))
+        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return pa.table({"anchor": pa.array(anchor), "content": pa.array(content), "found": pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))})
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
+    """rid, spans (array of (start, mask)): bit i of mask says that the window at start + i is repeated."""
+    rows = _rid(docs)
+    parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    packed = written(rows.mapInArrow(_anchors(kind, parts), "part long, rid long, anchors binary, rids binary, docs binary"), "anchors")
+    met = packed.where("part >= 0").groupBy("part").applyInArrow(_meet(kind), "rid long, anchors binary")
+    wanted = packed.where("part = -1").select("rid", "anchors").unionByName(met).groupBy("rid").agg(F.collect_list("anchors").alias("anchors"))
+    found = rows.join(wanted, "rid").mapInArrow(_occurrences(kind), "anchor long, content long, n int, start long, rid long, doc_id long, twice boolean")
+    found = written(found, "segments")
+
+    own = F.min(F.struct("doc_id", "rid", "start")).alias("own")
+    paths = written(found.groupBy("anchor", "content", "n").agg(own, F.min("doc_id").alias("low"), F.count("*").alias("times"), F.max("twice").alias("twice")), "paths")
+    kinds = paths.groupBy("anchor").agg(F.count("*").alias("paths"), F.max("twice").alias("any_twice"), F.min("low").alias("least"), F.max("low").alias("most"))
+    several = (F.col("paths") > 1) & (F.col("least") != F.col("most")) if kind.earlier else (F.col("paths") > 1) | F.col("any_twice")
+    open_ = written(paths.join(kinds.where(several).select("anchor", "paths"), "anchor"), "open")
+    asked = F.collect_list(F.struct("own.start", "anchor", "content", "n", "low", "times")).alias("asked")
+    opened = rows.join(open_.groupBy(F.col("own.rid").alias("rid")).agg(asked), "rid")
+    opened = opened.mapInArrow(_opened(kind), "anchor long, content long, n long, low long, times long, windows binary").dropDuplicates(["anchor", "content", "n"])
+    opened = written(opened.join(open_.select("anchor", "paths").distinct(), "anchor"), "windows")
+
+    few = opened.where(F.col("paths") <= OPEN_ROWS)
+    cells = max(1, -(-(few.agg(F.sum("n")).first()[0] or 0) // CELL_WINDOWS))
+    judged = few.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(cells)).alias("cell")).applyInArrow(_judged(kind), "anchor long, content long, found array<long>")
+    judged = judged.unionByName(_judged_apart(opened.where(F.col("paths") > OPEN_ROWS), kind))
+    judged = written(judged, "judged")
+
+    verdicts = paths.select("anchor", "content", "low", "times").join(judged, ["anchor", "content"], "left")
+    hit = "{} < doc_id" if kind.earlier else "{} > 1"
+    bits = F.expr(f"aggregate(transform(found, (x, i) -> if({hit.format('x')}, shiftleft(1L, i), 0L)), 0L, (t, x) -> t | x)")
+    whole = F.expr(f"if({hit.format('low' if kind.earlier else 'times')}, shiftleft(1L, n) - 1L, 0L)")
+    masks = found.join(verdicts, ["anchor", "content"]).select("rid", "start", F.when(F.col("found").isNull(), whole).otherwise(bits).alias("mask")).where("mask <> 0")
+    return masks.groupBy("rid").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+
+
+def _judged_apart(many: DataFrame, kind: Kind) -> DataFrame:
+    """As _judged, for anchors of very many segments: window by window through the shuffle, whatever their number."""
+
+    def unpacked(batches):
+        for batch in batches:
+            lists = [np.frombuffer(b, np.int64) for b in batch.column("windows").to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+            h = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("anchor", "content", "low", "times")), h], ["anchor", "content", "low", "times", "h"])
+
+    each = many.mapInArrow(unpacked, "anchor long, content long, low long, times long, h array<long>").select("anchor", "content", "low", "times", F.posexplode("h").alias("i", "h"))
+    value = each.groupBy("anchor", "h").agg((F.min("low") if kind.earlier else F.sum("times")).alias("value"))
+    at = each.join(value, ["anchor", "h"]).groupBy("anchor", "content").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("all"))
+    return at.select("anchor", "content", F.transform("all", lambda x: x["value"]).alias("found"))
+
+
+def finished(docs: DataFrame, spans: DataFrame, kind: Kind, finish: Callable, schema: str) -> DataFrame:
+    """``finish(text, covered)`` of every row of ``docs``: covered(n) marks which of its n units repeated windows cover."""
+    fields = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            edges, at = _listed(batch.column("spans"))
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                start, mask = (at[k][edges[i] : edges[i + 1]] for k in ("start", "mask"))
+
+                def covered(n: int, start=start, mask=mask) -> np.ndarray:
+                    step = np.zeros(n + kind.length + 1, np.int32)
+                    for i in range(kind.longest if len(start) else 0):
+                        at = start[(mask >> i) & 1 == 1] + i
+                        np.add.at(step, at, 1)
+                        np.add.at(step, at + kind.length, -1)
+                    return np.cumsum(step)[:n] > 0
+
+                out.append(finish(text, covered))
+            columns = list(zip(*out)) or [[] for _ in fields[1:]]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **{f: list(c) for f, c in zip(fields[1:], columns)}})
+
+    return _rid(docs).join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
