@@ -1,4 +1,6 @@
 """Every registered query of the engine and the SQL that says what it must return."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import search_queries, view_queries  # noqa: F401  they register their queries
+from .plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
