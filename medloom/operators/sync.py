@@ -34,7 +34,8 @@ def judged(pushed: DataFrame, hub: DataFrame, seen: DataFrame) -> DataFrame:
         .when((F.col("action") != "create") & ~F.col("base_version").eqNullSafe(F.col("current_version")), "conflicted")
         .otherwise("accepted")
     )
-    return rows.drop("seen").withColumn("ack", ack).withColumn("retry_after_s", F.when(ack == "needs_retry", RETRY_AFTER_S))
+    rows = rows.withColumn("ack", ack).drop("seen")
+    return rows.withColumn("retry_after_s", F.when(F.col("ack") == "needs_retry", RETRY_AFTER_S))
 
 
 def cursor(acks: DataFrame, by: str = "node") -> DataFrame:
