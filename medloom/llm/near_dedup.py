@@ -11,8 +11,10 @@ joined to components, every document outside that one's component is compared wi
 bucket. So every pair that shares a bucket is compared, or is already in one component.
 
 Verification. Pairs whose samples agree in MIN_AGREE places or more are verified by the exact weighted Jaccard
-similarity of their whole texts. A pair of similarity 0.8 shares no bucket, or agrees less, with a probability
-under 0.0003.
+similarity of their whole texts. Where a bucket still has several components, its documents get FINE further
+samples, and only pairs that agree in FINE_AGREE of them are verified: a large family of loose copies has very
+many pairs a little under the limit. A pair of similarity 0.8 is lost (no shared bucket, or too few places agree)
+with a probability under 0.0004.
 """
 
 from __future__ import annotations
@@ -31,11 +33,13 @@ SIMILARITY = 0.8
 SAMPLES = 64
 BAND = 4
 MIN_AGREE = 36
+FINE = 256
+FINE_AGREE = 179
 DF_BITS = 16
 IDF_BASE = 8.0
 SEED = 2
 BLOCK_ROWS = 2048
-CELL_ROWS = 50_000
+CELL_ROWS = 20_000
 ELEMENTS = 1 << 15
 
 
@@ -161,6 +165,21 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x long, y long, n_words long, sig array<int>")
 
 
+def finer(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """rep, fine: FINE further samples of each text (doc_id, text), 16 bits each."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for first, n, data, begin in words.batches(batch.column("text").to_pylist()):
+                own, key, weight, _, _ = shingles(data, begin, shared.value)
+                fine = samples(own, key, weight, n, FINE, SEED + 1).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array([row.tobytes() for row in fine], pa.binary())], ["rep", "fine"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, fine binary")
+
+
 def weighted_jaccard(pairs: DataFrame, idf: np.ndarray) -> DataFrame:
     """(a, b, text_a, text_b) -> (a, b, similarity)."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
@@ -188,17 +207,19 @@ def _weights(text: str, idf: np.ndarray):
 
 
 def _strangers(rows: pa.Table, strays: pa.Table) -> pa.Table:
-    """Pairs of a stray and a row of its block in another component whose samples agree in MIN_AGREE places or more."""
+    """Pairs of a stray and a row of its block in another component whose samples agree as those of similar texts do."""
     found: list[np.ndarray] = []
     if rows.num_rows and strays.num_rows:
         rows, strays = rows.sort_by("block"), strays.sort_by("block")
         rb, sb = rows["block"].to_numpy(), strays["block"].to_numpy()
-        columns = lambda t: (t["rep"].to_numpy(), t["comp"].to_numpy(), t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES))
-        (rid, rc, rs), (sid, sc, ss) = columns(rows), columns(strays)
+        fine = lambda t: np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint16).reshape(-1, FINE)
+        columns = lambda t: (t["rep"].to_numpy(), t["comp"].to_numpy(), t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES), fine(t))
+        (rid, rc, rs, rf), (sid, sc, ss, sf) = columns(rows), columns(strays)
         shared, start = np.unique(rb, return_index=True)
         for block, a, b in zip(shared, start, np.append(start[1:], len(rb))):
             for i in range(np.searchsorted(sb, block, "left"), np.searchsorted(sb, block, "right")):
                 near = np.flatnonzero(((rs[a:b] == ss[i]).sum(1) >= MIN_AGREE) & (rc[a:b] != sc[i])) + a
+                near = near[(rf[near] == sf[i]).sum(1) >= FINE_AGREE]
                 found.append(np.stack([np.minimum(rid[near], sid[i]), np.maximum(rid[near], sid[i])]))
     pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
     return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
@@ -239,13 +260,15 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     heads = root.select(F.col("node").alias("leader"), F.col("root").alias("head"))
     placed = placed.join(heads, "leader", "left").select("bucket", "rep", "n", "comp", F.coalesce("head", "leader").alias("main"))
     mixed = placed.groupBy("bucket").agg(F.count_if(F.col("comp") != F.col("main")).alias("strays")).where("strays > 0").select("bucket")
-    placed = written(placed.join(mixed, "bucket", "left_semi").join(sigs, "rep"), "mixed")
-    splits = F.ceil(F.col("n") / BLOCK_ROWS)
+    placed = written(placed.join(mixed, "bucket", "left_semi"), "mixed")
     cells = max(1, -(-placed.count() // CELL_ROWS))
+    fine = written(finer(texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), idf), "finer")
+    placed = written(placed.join(sigs, "rep").join(fine, "rep"), "compared")
+    splits = F.ceil(F.col("n") / BLOCK_ROWS)
     cell = F.pmod(F.xxhash64("block"), F.lit(cells)).alias("cell")
-    members = placed.select(F.xxhash64("bucket", F.pmod(F.xxhash64("rep"), splits)).alias("block"), "rep", "comp", "sig").select(cell, "*")
-    strays = placed.where("comp <> main").select("bucket", "rep", "comp", "sig", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)).alias("split"))
-    strays = strays.select(F.xxhash64("bucket", "split").alias("block"), "rep", "comp", "sig").select(cell, "*")
+    members = placed.select(F.xxhash64("bucket", F.pmod(F.xxhash64("rep"), splits)).alias("block"), "rep", "comp", "sig", "fine").select(cell, "*")
+    strays = placed.where("comp <> main").select("bucket", "rep", "comp", "sig", "fine", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)).alias("split"))
+    strays = strays.select(F.xxhash64("bucket", "split").alias("block"), "rep", "comp", "sig", "fine").select(cell, "*")
     more = members.groupBy("cell").cogroup(strays.groupBy("cell")).applyInArrow(_strangers, "a long, b long").distinct()
     links = links.unionByName(linked(written(more, "strangers")))
     root = written(components(links), "roots")
