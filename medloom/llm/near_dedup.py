@@ -33,8 +33,9 @@ SIMILARITY = 0.8
 SAMPLES = 64
 BAND = 4
 MIN_AGREE = 36
-FINE = 256
-FINE_AGREE = 179
+FINE = 512
+FINE_AGREE = 379
+CACHED = 2_000_000
 DF_BITS = 16
 IDF_BASE = 8.0
 SEED = 2
@@ -185,25 +186,33 @@ def weighted_jaccard(pairs: DataFrame, idf: np.ndarray) -> DataFrame:
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
+        known: dict[int, tuple] = {}  # weights of documents met before, CACHED shingles of them at most
+        size = 0
         for batch in batches:
-            a, b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            out = np.zeros(len(a))
-            last, left = None, None
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, left = a[i], _weights(a[i], shared.value)
-                right = _weights(b[i], shared.value)
-                _, p, q = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
-                least = np.minimum(left[1][p], right[1][q]).sum()
-                out[i] = least / max(left[1].sum() + right[1].sum() - least, 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "similarity"])
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]
+            for a, b, text_a, text_b in zip(*columns):
+                for i, text in ((a, text_a), (b, text_b)):
+                    if i not in known:
+                        if size > CACHED:
+                            known, size = {k: known[k] for k in (a, b) if k in known}, 0
+                        known[i] = _weights(text, shared.value)
+                        size += len(known[i][0])
+                (k, v, total), (m, w, other) = known[a], known[b]
+                at = np.searchsorted(m, k)
+                at[at == len(m)] = 0
+                both = np.flatnonzero(m[at] == k) if len(m) else at[:0]
+                least = np.minimum(v[both], w[at[both]]).sum()
+                out.append(least / max(total + other - least, 1e-12))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
 def _weights(text: str, idf: np.ndarray):
     _, key, weight, _, _ = shingles((text or "").encode("utf-8", "replace"), np.zeros(1, int), idf)
-    return key, np.exp(weight.astype(np.float64))
+    weight = np.exp(weight.astype(np.float64))
+    return key, weight, weight.sum()
 
 
 def _strangers(rows: pa.Table, strays: pa.Table) -> pa.Table:
