@@ -7,6 +7,7 @@ import json as _json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEPTH = 6
 #: Paths whose change always needs a review, and the risk that they carry (fixed values).
@@ -73,7 +74,7 @@ def classified(base: DataFrame, local: DataFrame, remote: DataFrame, key: str =
     return rows.select(key, decision.alias("decision"), "risk", F.array_join(F.coalesce("paths", F.array().cast("array<string>")), ",").alias("overlaps"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def merged(base: pd.Series, local: pd.Series, current: pd.Series) -> pd.Series:
     """The current resource with the local changes since base; of arrays appended on both sides remote items come first."""
 
