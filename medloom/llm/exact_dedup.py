@@ -1,7 +1,7 @@
 """Exact dedup by deterministic block naming (Karp, Miller, Rosenberg 1972), DataFrame operations only.
 
-Normalised texts are cut into blocks of a fixed number of bytes. The distinct blocks are sorted across the
-cluster and numbered: a block's number is its name. Then adjacent names are paired, the distinct pairs sorted
+Normalised texts are cut into blocks of a fixed number of bytes. The distinct blocks are shuffled by content, sorted
+and numbered: a block's number is its name. Then adjacent names are paired, the distinct pairs sorted
 and numbered, and so on, until each document has one name. Two documents of as many blocks are equal exactly
 if their last names are: no hash decides, so nothing can collide.
 
@@ -24,7 +24,7 @@ def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     pieces = f"transform(sequence(0, blocks - 1), i -> substring(body, i * {block_bytes} + 1, {block_bytes}))"
     cut = texts.select("uid", "body", F.expr(f"greatest(cast(ceil(octet_length(body) / {block_bytes}D) as int), 1)").alias("blocks"))
     cut = written(cut.select("uid", "blocks", F.posexplode(F.expr(pieces)).alias("pos", "block")), "blocks")
-    names = named(cut.select("block").distinct(), ["block"], "name")
+    names = named(cut, ["block"], "name")
     level = cut.join(names, "block").select("uid", "blocks", F.col("blocks").alias("open"), "pos", "name")
     most = cut.agg(F.max("blocks")).first()[0] or 1
     done: list[DataFrame] = []
@@ -38,7 +38,7 @@ def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             .groupBy("uid", "blocks", F.expr("cast(ceil(open / 2D) as int)").alias("open"), F.expr("pos div 2").cast("int").alias("pos"))
             .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         )
-        names = named(pairs.select("a", "b").distinct(), ["a", "b"], "name")
+        names = named(pairs, ["a", "b"], "name")
         level = pairs.join(names, ["a", "b"]).select("uid", "blocks", "open", "pos", "name")
         most = -(-most // 2)
     out = done[0]
