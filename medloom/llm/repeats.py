@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import words
 from .common import written
 
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 FLUSH = 1_000_000
 OPEN_ROWS = 50_000
 CELL_WINDOWS = 1_000_000
@@ -72,7 +72,12 @@ def window_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return words.mix(a * words.BASE + words.mix(b))
+    """A hash of two hashes, in order."""
+    h = a * words.BASE
+    h += b * words.MIX_A
+    h ^= h >> np.uint64(32)
+    h *= words.MIX_B
+    return h
 
 
 def segments(w: Windows, longest: int, within: bool) -> Segments:
@@ -110,7 +115,7 @@ def _binary(blobs: list[bytes]) -> pa.Array:
 
 
 def _anchors(kind: Kind, parts: int):
-    """Packed anchors by part, and what one flush of documents already knows to be repeated, by document (part -1)."""
+    """Packed anchors by part; and, with empty ``rids``, what one flush of documents already knows to be repeated, by document."""
 
     def flush(rids, ids, seg: list[Segments], base: list[int]):
         anchor = np.concatenate([s.anchor for s in seg]) >> ANCHOR_SHIFT
@@ -137,7 +142,7 @@ def _anchors(kind: Kind, parts: int):
         d, a = doc[mine][own], anchor[mine][own]
         cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, int)
         for x, y in zip(cuts, np.append(cuts[1:], len(d))):
-            put(-1, rid[d[x]], _blob(np.unique(a[x:y])))
+            put(int(rid[d[x]]) % parts, rid[d[x]], _blob(np.unique(a[x:y])))
         # each anchor goes to the others once: with its document, or marked as known to be repeated
         one = anchor[at]
         part = (one % np.uint64(parts)).astype(np.int64)
@@ -147,7 +152,9 @@ def _anchors(kind: Kind, parts: int):
         for p in range(parts):
             i = order[edges[p] : edges[p + 1]]
             if len(i):
-                put(p, 0, _blob(one[i] << np.uint64(1) | flag[i].astype(np.uint64)), _blob(rid[doc[at[i]]]), _blob(did[doc[at[i]]]))
+                mine, which = np.unique(doc[at[i]], return_inverse=True)
+                code = one[i] << np.uint64(1) | flag[i].astype(np.uint64)
+                put(p, 0, _blob(np.diff(code, prepend=np.uint64(0))), _blob(np.stack([rid[mine], did[mine]])), _blob(which.astype(np.uint32)))
         return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int64()), pa.array(out["rid"], pa.int64()), *(_binary(out[k]) for k in ("anchors", "rids", "docs"))], list(out))
 
     def run(batches):
@@ -174,11 +181,22 @@ def _meet(kind: Kind):
     """The anchors of a part that occur more than once, by document."""
 
     def run(t: pa.Table) -> pa.Table:
-        read = lambda c, kind_: np.concatenate([np.frombuffer(b, kind_) for b in t[c].to_pylist()])
-        code, rid, did = read("anchors", np.uint64), read("rids", np.int64), read("docs", np.int64)
+        codes, ids = [np.zeros(0, np.uint64)], [np.zeros((2, 0), np.int64)]
+        local = {"rid": [], "anchors": []}
+        for r, a, of, which in zip(t["rid"].to_pylist(), t["anchors"].to_pylist(), t["rids"].to_pylist(), t["docs"].to_pylist()):
+            if of:
+                codes.append(np.cumsum(np.frombuffer(a, np.uint64), dtype=np.uint64))
+                ids.append(np.frombuffer(of, np.int64).reshape(2, -1)[:, np.frombuffer(which, np.uint32)])
+            else:
+                local["rid"].append(r)
+                local["anchors"].append(a)
+        code, (rid, did) = np.concatenate(codes), np.concatenate(ids, 1)
+        del codes, ids
         anchor, known = code >> np.uint64(1), (code & np.uint64(1)).astype(bool)
         order = np.argsort(anchor, kind="stable")
         anchor, known, rid, did = anchor[order], known[order], rid[order], did[order]
+        if not len(anchor):
+            return pa.table({"rid": pa.array(local["rid"], pa.int64()), "anchors": _binary(local["anchors"])})
         at = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         n = np.diff(np.append(at, len(anchor)))
         again = np.minimum.reduceat(did, at) != np.maximum.reduceat(did, at) if kind.earlier else n > 1
@@ -187,7 +205,8 @@ def _meet(kind: Kind):
         order = np.lexsort((anchor, rid))
         rid, anchor = rid[order], anchor[order]
         cuts = np.flatnonzero(np.append(True, rid[1:] != rid[:-1])) if len(rid) else np.zeros(0, int)
-        return pa.table({"rid": pa.array(rid[cuts], pa.int64()), "anchors": _binary([_blob(anchor[x:y]) for x, y in zip(cuts, np.append(cuts[1:], len(rid)))])})
+        own = [_blob(anchor[x:y]) for x, y in zip(cuts, np.append(cuts[1:], len(rid)))]
+        return pa.table({"rid": pa.array([*local["rid"], *rid[cuts].tolist()], pa.int64()), "anchors": _binary(local["anchors"] + own)})
 
     return run
 
@@ -272,9 +291,9 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     """rid, spans (array of (start, mask)): bit i of mask says that the window at start + i is repeated."""
     rows = _rid(docs)
     parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
-    packed = written(rows.mapInArrow(_anchors(kind, parts), "part long, rid long, anchors binary, rids binary, docs binary"), "anchors")
-    met = packed.where("part >= 0").groupBy("part").applyInArrow(_meet(kind), "rid long, anchors binary")
-    wanted = packed.where("part = -1").select("rid", "anchors").unionByName(met).groupBy("rid").agg(F.collect_list("anchors").alias("anchors"))
+    packed = rows.mapInArrow(_anchors(kind, parts), "part long, rid long, anchors binary, rids binary, docs binary")
+    met = written(packed.groupBy("part").applyInArrow(_meet(kind), "rid long, anchors binary"), "anchors")
+    wanted = met.groupBy("rid").agg(F.collect_list("anchors").alias("anchors"))
     found = rows.join(wanted, "rid").mapInArrow(_occurrences(kind), "anchor long, content long, n int, start long, rid long, doc_id long, twice boolean")
     found = written(found, "segments")
 
