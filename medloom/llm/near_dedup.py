@@ -216,19 +216,24 @@ def _weights(text: str, idf: np.ndarray):
 
 
 def _strangers(rows: pa.Table, strays: pa.Table) -> pa.Table:
-    """Pairs of a stray and a row of its block in another component whose samples agree as those of similar texts do."""
+    """Pairs of a stray and a row of its block in another component whose samples agree as those of similar texts do.
+
+    A pair comes from the first band that it shares only. Its components differ, so one of the two is a stray there.
+    """
     found: list[np.ndarray] = []
     if rows.num_rows and strays.num_rows:
         rows, strays = rows.sort_by("block"), strays.sort_by("block")
         rb, sb = rows["block"].to_numpy(), strays["block"].to_numpy()
         fine = lambda t: np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint16).reshape(-1, FINE)
         columns = lambda t: (t["rep"].to_numpy(), t["comp"].to_numpy(), t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES), fine(t))
-        (rid, rc, rs, rf), (sid, sc, ss, sf) = columns(rows), columns(strays)
-        shared, start = np.unique(rb, return_index=True)
-        for block, a, b in zip(shared, start, np.append(start[1:], len(rb))):
+        (rid, rc, rs, rf), (sid, sc, ss, sf), band = columns(rows), columns(strays), rows["band"].to_numpy()
+        blocks, start = np.unique(rb, return_index=True)
+        for block, a, b in zip(blocks, start, np.append(start[1:], len(rb))):
             for i in range(np.searchsorted(sb, block, "left"), np.searchsorted(sb, block, "right")):
                 near = np.flatnonzero(((rs[a:b] == ss[i]).sum(1) >= MIN_AGREE) & (rc[a:b] != sc[i])) + a
                 near = near[(rf[near] == sf[i]).sum(1) >= FINE_AGREE]
+                shared = (rs[near] == ss[i]).reshape(-1, SAMPLES // BAND, BAND).all(2)
+                near = near[shared.argmax(1) == band[a]]
                 found.append(np.stack([np.minimum(rid[near], sid[i]), np.maximum(rid[near], sid[i])]))
     pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
     return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
@@ -246,7 +251,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     real = signed.where("doc_id is not null and n_words > 0")
     reps = written(real.groupBy("x", "y").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "reps")
     bands = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES // BAND - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * BAND + 1, BAND)))
-    rows = written(reps.select("rep", F.explode(bands).alias("bucket")), "bands")
+    rows = written(reps.select("rep", F.posexplode(bands).alias("band", "bucket")), "bands")
     leaders = rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     rows = written(rows.join(leaders, "bucket"), "buckets")
 
@@ -267,7 +272,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     placed = rows.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
     heads = root.select(F.col("node").alias("leader"), F.col("root").alias("head"))
-    placed = placed.join(heads, "leader", "left").select("bucket", "rep", "n", "comp", F.coalesce("head", "leader").alias("main"))
+    placed = placed.join(heads, "leader", "left").select("band", "bucket", "rep", "n", "comp", F.coalesce("head", "leader").alias("main"))
     mixed = placed.groupBy("bucket").agg(F.count_if(F.col("comp") != F.col("main")).alias("strays")).where("strays > 0").select("bucket")
     placed = written(placed.join(mixed, "bucket", "left_semi"), "mixed")
     cells = max(1, -(-placed.count() // CELL_ROWS))
@@ -275,7 +280,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     placed = written(placed.join(sigs, "rep").join(fine, "rep"), "compared")
     splits = F.ceil(F.col("n") / BLOCK_ROWS)
     cell = F.pmod(F.xxhash64("block"), F.lit(cells)).alias("cell")
-    members = placed.select(F.xxhash64("bucket", F.pmod(F.xxhash64("rep"), splits)).alias("block"), "rep", "comp", "sig", "fine").select(cell, "*")
+    members = placed.select(F.xxhash64("bucket", F.pmod(F.xxhash64("rep"), splits)).alias("block"), "band", "rep", "comp", "sig", "fine").select(cell, "*")
     strays = placed.where("comp <> main").select("bucket", "rep", "comp", "sig", "fine", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)).alias("split"))
     strays = strays.select(F.xxhash64("bucket", "split").alias("block"), "rep", "comp", "sig", "fine").select(cell, "*")
     more = members.groupBy("cell").cogroup(strays.groupBy("cell")).applyInArrow(_strangers, "a long, b long").distinct()
