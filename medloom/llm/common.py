@@ -24,6 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Files of written steps, by the step.
+_paths: dict[int, tuple] = {}
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
 
@@ -40,7 +44,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, hadoop)
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Deletes the files of written steps that nothing needs any more: what came of them is written itself."""
+    for df in steps:
+        _, hadoop = _paths.pop(id(df))
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

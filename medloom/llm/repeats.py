@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import written
+from .common import discard, written
 
 PART_BYTES = 16 << 20
 FLUSH = 1_000_000
@@ -272,6 +272,9 @@ def _judged(kind: Kind):
     """For each segment of a cell, window by window: the smallest doc_id that has it, or how often it occurs."""
 
     def run(t: pa.Table) -> pa.Table:
+        keys = np.stack([t[c].to_numpy() for c in ("anchor", "content", "n")])
+        _, once = np.unique(keys, axis=1, return_index=True)  # repeated rows open the same segment
+        t = t.take(pa.array(once))
         anchor, content, n, low, times = (t[c].to_numpy() for c in ("anchor", "content", "n", "low", "times"))
         h = np.frombuffer(b"".join(t["windows"].to_pylist()), np.uint64)
         key = pairs(h, np.repeat(anchor, n).astype(np.uint64))
@@ -296,29 +299,35 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     wanted = met.groupBy("rid").agg(F.collect_list("anchors").alias("anchors"))
     found = rows.join(wanted, "rid").mapInArrow(_occurrences(kind), "anchor long, content long, n int, start long, rid long, doc_id long, twice boolean")
     found = written(found, "segments")
+    discard(met)
 
     own = F.min(F.struct("doc_id", "rid", "start")).alias("own")
     paths = written(found.groupBy("anchor", "content", "n").agg(own, F.min("doc_id").alias("low"), F.count("*").alias("times"), F.max("twice").alias("twice")), "paths")
     kinds = paths.groupBy("anchor").agg(F.count("*").alias("paths"), F.max("twice").alias("any_twice"), F.min("low").alias("least"), F.max("low").alias("most"))
     several = (F.col("paths") > 1) & (F.col("least") != F.col("most")) if kind.earlier else (F.col("paths") > 1) | F.col("any_twice")
     open_ = written(paths.join(kinds.where(several).select("anchor", "paths"), "anchor"), "open")
-    asked = F.collect_list(F.struct("own.start", "anchor", "content", "n", "low", "times")).alias("asked")
-    opened = rows.join(open_.groupBy(F.col("own.rid").alias("rid")).agg(asked), "rid")
-    opened = opened.mapInArrow(_opened(kind), "anchor long, content long, n long, low long, times long, windows binary").dropDuplicates(["anchor", "content", "n"])
-    opened = written(opened.join(open_.select("anchor", "paths").distinct(), "anchor"), "windows")
 
-    few = opened.where(F.col("paths") <= OPEN_ROWS)
+    def opened(part: DataFrame) -> DataFrame:
+        asked = F.collect_list(F.struct("own.start", "anchor", "content", "n", "low", "times")).alias("asked")
+        texts = rows.join(part.groupBy(F.col("own.rid").alias("rid")).agg(asked), "rid")
+        return texts.mapInArrow(_opened(kind), "anchor long, content long, n long, low long, times long, windows binary")
+
+    few, many = open_.where(F.col("paths") <= OPEN_ROWS), open_.where(F.col("paths") > OPEN_ROWS)
     cells = max(1, -(-(few.agg(F.sum("n")).first()[0] or 0) // CELL_WINDOWS))
-    judged = few.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(cells)).alias("cell")).applyInArrow(_judged(kind), "anchor long, content long, found array<long>")
-    judged = judged.unionByName(_judged_apart(opened.where(F.col("paths") > OPEN_ROWS), kind))
-    judged = written(judged, "judged")
+    cell = F.pmod(F.xxhash64("anchor"), F.lit(cells)).alias("cell")
+    judged = [written(opened(few).groupBy(cell).applyInArrow(_judged(kind), "anchor long, content long, found array<long>"), "judged")]
+    if not many.isEmpty():
+        judged.append(written(_judged_apart(opened(many), kind), "judged"))
+    discard(open_)
 
-    verdicts = paths.select("anchor", "content", "low", "times").join(judged, ["anchor", "content"], "left")
+    verdicts = paths.select("anchor", "content", "low", "times").join(judged[0] if len(judged) == 1 else judged[0].unionByName(judged[1]), ["anchor", "content"], "left")
     hit = "{} < doc_id" if kind.earlier else "{} > 1"
     bits = F.expr(f"aggregate(transform(found, (x, i) -> if({hit.format('x')}, shiftleft(1L, i), 0L)), 0L, (t, x) -> t | x)")
     whole = F.expr(f"if({hit.format('low' if kind.earlier else 'times')}, shiftleft(1L, n) - 1L, 0L)")
     masks = found.join(verdicts, ["anchor", "content"]).select("rid", "start", F.when(F.col("found").isNull(), whole).otherwise(bits).alias("mask")).where("mask <> 0")
-    return masks.groupBy("rid").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+    spans = written(masks.groupBy("rid").agg(F.collect_list(F.struct("start", "mask")).alias("spans")), "spans")
+    discard(found, paths, *judged)
+    return spans
 
 
 def _judged_apart(many: DataFrame, kind: Kind) -> DataFrame:
@@ -331,6 +340,7 @@ def _judged_apart(many: DataFrame, kind: Kind) -> DataFrame:
             h = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("anchor", "content", "low", "times")), h], ["anchor", "content", "low", "times", "h"])
 
+    many = many.dropDuplicates(["anchor", "content", "n"])
     each = many.mapInArrow(unpacked, "anchor long, content long, low long, times long, h array<long>").select("anchor", "content", "low", "times", F.posexplode("h").alias("i", "h"))
     value = each.groupBy("anchor", "h").agg((F.min("low") if kind.earlier else F.sum("times")).alias("value"))
     at = each.join(value, ["anchor", "h"]).groupBy("anchor", "content").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("all"))
