@@ -72,15 +72,18 @@ def read_warc(spark, path: str) -> DataFrame:
 
 
 def depth(leaves: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_OUT) -> tuple[int, int]:
-    """Levels of ranges within a segment, and levels of segments, that ``leaves`` needs."""
+    """Levels of ranges within a segment, and levels of segments, that ``leaves`` needs.
+
+    Segments below 0 come to node -1 and the others to node 0; the last level joins the two.
+    """
     end, low, high = leaves.agg(F.max("offset"), F.min("segment"), F.max("segment")).first()
     ranges, inner = (end or 0) // range_bytes, 1
     while ranges:
         ranges, inner = ranges // fan_out, inner + 1
     low, high, outer = low or 0, high or 0, 0
-    while low != high:
+    while low != high and (low, high) != (-1, 0):
         low, high, outer = low // fan_out, high // fan_out, outer + 1
-    return inner, outer
+    return inner, outer + (low != high)
 
 
 def tree(leaves: DataFrame, levels: tuple[int, int], range_bytes: int = RANGE_BYTES, fan_out: int = FAN_OUT) -> list[DataFrame]:
@@ -96,7 +99,7 @@ def tree(leaves: DataFrame, levels: tuple[int, int], range_bytes: int = RANGE_BY
         if level < inner:
             up = [F.col("segment"), floor("node", range_bytes if level == 0 else fan_out)]
         else:
-            up = [floor("segment", fan_out), F.lit(0).cast("long")]
+            up = [floor("segment", fan_out) if level < inner + outer - 1 else F.lit(0).cast("long"), F.lit(0).cast("long")]
         at = written(at.select("segment", "node", "digest", up[0].alias("up_segment"), up[1].alias("up_node")), f"level{level}")
         out.append(at)
         children = F.sort_array(F.collect_list(F.struct("segment", "node", "digest")))
