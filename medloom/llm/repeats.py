@@ -292,7 +292,7 @@ def _judged(kind: Kind):
 
 def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     """rid, spans (array of (start, mask)): bit i of mask says that the window at start + i is repeated."""
-    rows = _rid(docs)
+    rows = _rid(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))  # no nulls, which numpy would turn into floats; ``earlier`` comes without them
     parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     packed = rows.mapInArrow(_anchors(kind, parts), "part long, rid long, anchors binary, rids binary, docs binary")
     met = written(packed.groupBy("part").applyInArrow(_meet(kind), "rid long, anchors binary"), "anchors")

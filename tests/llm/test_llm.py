@@ -212,6 +212,14 @@ def test_debruijn_dedup(request, part):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in out)
 
 
+def test_row_without_id_beside_repeats_of_other_partitions(spark):
+    run = [" ".join(f"{k}{i}" for i in range(60)) for k in "abc"]
+    rows = [(1, run[0] + " one"), (None, "x " + run[1]), (2, run[2] + " two"), (3, "y " + run[0]), (4, run[1] + " z"), (5, run[2])]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    out = debruijn_dedup.dedup(df, texts=False).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == brute_words(rows)
+
+
 def test_anchors_of_very_many_segments_are_judged_alike(monkeypatch, docs):
     monkeypatch.setattr(repeats, "OPEN_ROWS", 1)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
