@@ -122,6 +122,8 @@ def _anchors(kind: Kind, parts: int):
         doc = np.concatenate([s.text + b for s, b in zip(seg, base)])
         twice = np.concatenate([s.twice for s in seg])
         rid, did = np.concatenate(rids), np.concatenate(ids)
+        _, row, alike = np.unique(rid, return_index=True, return_inverse=True)
+        doc = row[alike][doc]
         order = np.lexsort((doc, anchor))
         anchor, doc, twice = anchor[order], doc[order], twice[order]
         at = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, int)
@@ -143,18 +145,19 @@ def _anchors(kind: Kind, parts: int):
         cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, int)
         for x, y in zip(cuts, np.append(cuts[1:], len(d))):
             put(int(rid[d[x]]) % parts, rid[d[x]], _blob(np.unique(a[x:y])))
-        # each anchor goes to the others once: with its document, or marked as known to be repeated
-        one = anchor[at]
+        # to the others goes each anchor: once with each of its documents, or once marked as known to be repeated
+        fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))[: len(anchor)] & ~mine
+        fresh[at] = True
+        one, flag, of = anchor[fresh], mine[fresh], doc[fresh]
         part = (one % np.uint64(parts)).astype(np.int64)
-        flag = np.where(known, np.int64(1), np.int64(0))
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
             i = order[edges[p] : edges[p + 1]]
             if len(i):
-                mine, which = np.unique(doc[at[i]], return_inverse=True)
+                docs, which = np.unique(of[i], return_inverse=True)
                 code = one[i] << np.uint64(1) | flag[i].astype(np.uint64)
-                put(p, 0, _blob(np.diff(code, prepend=np.uint64(0))), _blob(np.stack([rid[mine], did[mine]])), _blob(which.astype(np.uint32)))
+                put(p, 0, _blob(np.diff(code, prepend=np.uint64(0))), _blob(np.stack([rid[docs], did[docs]])), _blob(which.astype(np.uint32)))
         return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int64()), pa.array(out["rid"], pa.int64()), *(_binary(out[k]) for k in ("anchors", "rids", "docs"))], list(out))
 
     def run(batches):

@@ -220,6 +220,14 @@ def test_row_without_id_beside_repeats_of_other_partitions(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == brute_words(rows)
 
 
+def test_rows_of_one_doc_id_beside_an_earlier_document_of_another_partition(spark):
+    run = " ".join(f"{i}shared{i * i}" for i in range(20))
+    rows = [(5, "first " + run), (5, run + " second"), (1, "zero " + run), (7, "other")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    out = suffix_dedup.dedup(df, texts=False).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == brute_bytes(rows)
+
+
 def test_anchors_of_very_many_segments_are_judged_alike(monkeypatch, docs):
     monkeypatch.setattr(repeats, "OPEN_ROWS", 1)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
