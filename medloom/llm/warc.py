@@ -108,11 +108,15 @@ def tree(leaves: DataFrame, levels: tuple[int, int], range_bytes: int = RANGE_BY
     return out
 
 
-def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
-    """segment, offset, status of each record place whose content differs: changed, missing or extra in ``theirs``.
+def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_OUT, key: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """segment, offset, the columns ``carry`` and status of each record that ``theirs`` lost (missing), changed or added (extra).
 
-    Both have segment, offset, digest. Two empty replicas agree. Equal subtrees are never opened.
+    Both have segment, offset, digest, and ``carry``; an extra record's place and columns are those in ``theirs``.
+    Two empty replicas agree. Equal subtrees are never opened. A lost or longer record moves those behind it: where
+    places differ, records of a segment are the same if their digests are, wherever they lie; of the others, those of
+    one ``key`` (a column that names a record whatever its content; without, the offset) are one changed record.
     """
+    carry = carry or []
     levels = tuple(map(max, depth(ours, range_bytes, fan_out), depth(theirs, range_bytes, fan_out)))
     a, b = tree(ours, levels, range_bytes, fan_out), tree(theirs, levels, range_bytes, fan_out)
     wrong = None
@@ -123,5 +127,18 @@ def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = RANGE_BYTES, fa
             x, y = x.join(parents, ["up_segment", "up_node"], "left_semi"), y.join(parents, ["up_segment", "up_node"], "left_semi")
         both = x.select("segment", "node", F.col("digest").alias("d")).join(y.select("segment", "node", F.col("digest").alias("e")), ["segment", "node"], "full_outer")
         wrong = written(both.where(~F.col("d").eqNullSafe(F.col("e"))), f"wrong{level}")
-    status = F.when(F.col("e").isNull(), "missing").when(F.col("d").isNull(), "extra").otherwise("changed")
-    return wrong.select("segment", F.col("node").alias("offset"), status.alias("status"))
+    places = wrong.select("segment", F.col("node").alias("offset"))
+
+    def side(rows: DataFrame, own: bool) -> DataFrame:
+        fields = F.struct("offset", *carry).alias("record")
+        return rows.join(places, ["segment", "offset"], "left_semi").select("segment", "offset", "digest", F.col(key or "offset").alias("key"), fields, F.lit(own).alias("own"))
+
+    # the i-th copy of a digest in ours is the i-th in theirs; so for keys among what is left
+    for by in ("digest", "key"):
+        rows = side(ours, True).unionByName(side(theirs, False)) if by == "digest" else alone
+        numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("segment", by, "own").orderBy("offset", "digest")))
+        met = numbered.withColumn("sides", F.count("*").over(Window.partitionBy("segment", by, "copy")))
+        alone = met.where("sides = 1").drop("copy", "sides") if by == "digest" else met
+    paired = (F.col("sides") == 2) & F.col("key").isNotNull()
+    status = F.when(paired, "changed").when(F.col("own"), "missing").otherwise("extra")
+    return alone.where(F.col("own") | ~paired).select("segment", "record.offset", *[F.col("record")[c].alias(c) for c in carry], status.alias("status"))

@@ -350,6 +350,18 @@ def test_fixity_audit(spark):
     assert warc.audit(none, none).count() == 0 and warc.audit(ours, none).count() == 900
 
 
+def test_audit_of_a_replica_whose_records_moved(spark):
+    pages = spark.range(900).selectExpr("id * 17 AS page_id", "concat('u', id) AS url", "repeat('x', cast(id % 400 as int)) AS html")
+    lost, changed = F.col("page_id") % 101 == 3, F.col("page_id") % 89 == 0
+    html = F.when(changed, F.concat("html", F.lit("more"))).otherwise(F.col("html"))
+    new = spark.createDataFrame([(5, "new", "y" * 70)], "page_id long, url string, html string")
+    ours, theirs = warc.addressed(pages), warc.addressed(pages.where(~lost).withColumn("html", html).unionByName(new))
+    want = {(r.segment, r.offset, r.page_id, "missing" if r.page_id % 101 == 3 else "changed") for r in ours.where(lost | changed).collect()}
+    want |= {(r.segment, r.offset, 5, "extra") for r in theirs.where("page_id = 5").collect()}
+    got = [tuple(r) for r in warc.audit(ours, theirs, 1000, 4, key="page_id", carry=["page_id"]).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_records_of_odd_pages(spark):
     pages = spark.createDataFrame([(None, None, None), (None, "u", "x"), (1, "u", "x"), (1, "u", "x")], "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     rows = warc.addressed(pages)
