@@ -50,9 +50,17 @@ def summary(acks: DataFrame) -> DataFrame:
 
 
 def batches(events: DataFrame, size: int = 100, by: str = "node") -> DataFrame:
-    """Push batches of each node in order of sequence, deletes last within a batch."""
-    w = Window.partitionBy(by).orderBy("sequence")
-    rows = events.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """Push batches of each node in order of sequence, deletes last within a batch.
+
+    A node's events are numbered in sorted ranges, whose counts are added up: no task holds all events of a node.
+    """
+    cut = events.repartitionByRange(by, "sequence").withColumn("_part", F.spark_partition_id()).localCheckpoint()
+    per = cut.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), before.alias("_before"))
+    w = Window.partitionBy(by, "_part").orderBy("sequence")
+    rows = cut.withColumn("_row", F.row_number().over(w)).join(F.broadcast(per), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    rows = rows.withColumn("batch", F.floor((F.col("_row") + F.col("_before") - 1) / size)).select(*events.columns, "batch")
     inner = Window.partitionBy(by, "batch").orderBy(F.col("action") == "delete", "sequence")
     return rows.withColumn("position", F.row_number().over(inner))
 

@@ -49,7 +49,7 @@ def expanded(concepts: DataFrame, include: DataFrame, exclude: DataFrame | None
     return out if exclude is None else out.join(exclude.select("system", "code"), ["system", "code"], "left_anti")
 
 
-def members(value_sets: DataFrame, start: str, max_steps: int = 32) -> DataFrame:
+def members(value_sets: DataFrame, start: str) -> DataFrame:
     """Rows of a value set and of those that it includes, however nested; a cycle ends where it closes.
 
     value_sets: url, system, code, includes (url or null). Each step joins the new urls only.
@@ -57,12 +57,10 @@ def members(value_sets: DataFrame, start: str, max_steps: int = 32) -> DataFrame
     spark = value_sets.sparkSession
     seen = spark.createDataFrame([(start,)], "url string")
     fresh = seen
-    for _ in range(max_steps):
+    while not fresh.isEmpty():
         step = value_sets.join(fresh, "url", "left_semi").where("includes is not null").select(F.col("includes").alias("url")).distinct()
-        fresh = step.join(seen, "url", "left_anti")
-        if fresh.isEmpty():
-            break
-        seen = seen.unionByName(fresh)
+        fresh = step.join(seen, "url", "left_anti").localCheckpoint()
+        seen = seen.unionByName(fresh).localCheckpoint()
     return value_sets.where("system is not null").join(seen, "url", "left_semi").select("system", "code").distinct()
 
 

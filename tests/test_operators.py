@@ -79,3 +79,9 @@ def test_policy_default_and_wildcard(spark):
     df = spark.createDataFrame([("a", None), ("b", "x")], "role string, action string")
     rules = [{"name": "r", "effect": "allow", "match": {"role": "b", "action": "*"}}]
     assert [tuple(r)[2:] for r in policy.decided(df, rules).collect()] == [("deny", None), ("allow", "r")]
+
+
+def test_value_sets_nested_deeper_than_any_limit(spark):
+    rows = [(f"v{i}", None, None, f"v{i + 1}") for i in range(35)] + [("v35", "s", "deep", None)]
+    sets = spark.createDataFrame(rows, "url string, system string, code string, includes string")
+    assert [r.code for r in terminology.members(sets, "v0").collect()] == ["deep"]
