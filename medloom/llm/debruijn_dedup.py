@@ -24,15 +24,23 @@ BLOCK = 1 << 20
 
 
 def cut(texts: list[str]):
-    """Batches of windows; a text of more than BLOCK words comes in blocks, each with the windows that start in it."""
+    """Batches of windows; a text of more than BLOCK words comes in blocks, each with the windows that start in it.
+
+    Blocks count from the text's own first word, so that every pass over it cuts it alike, whatever texts precede it.
+    """
     for first, n, data, begin in words.batches(texts):
         h, starts, _ = words.word_hashes(data)
         doc = np.searchsorted(begin, starts, "right") - 1
         count = np.bincount(doc, minlength=n)
-        place = np.arange(len(h)) - np.concatenate([[0], np.cumsum(count)[:-1]])[doc]
-        for s in range(0, max(1, len(h)), BLOCK):
-            e = s + BLOCK + LENGTH - 1
-            yield first, n, _windows(h[s:e], doc[s:e], place[s:e])
+        edge = np.concatenate([[0], np.cumsum(count)])
+        place = np.arange(len(h)) - edge[doc]
+        at = 0
+        for i in [*np.flatnonzero(count > BLOCK), n]:
+            yield first, n, _windows(h[at : edge[i]], doc[at : edge[i]], place[at : edge[i]])
+            for s in range(edge[i], edge[i + 1], BLOCK) if i < n else ():
+                e = min(s + BLOCK + LENGTH - 1, edge[i + 1])
+                yield first, n, _windows(h[s:e], doc[s:e], place[s:e])
+            at = edge[min(i + 1, n)]
 
 
 def _windows(h: np.ndarray, doc: np.ndarray, place: np.ndarray):

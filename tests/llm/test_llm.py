@@ -249,6 +249,13 @@ def test_long_texts_in_chunks(monkeypatch, spark):
         assert pick(chunks) == pick(whole)
 
 
+def test_blocks_of_a_long_text_do_not_depend_on_texts_before_it(monkeypatch):
+    monkeypatch.setattr(debruijn_dedup, "BLOCK", 50)
+    text = " ".join(f"u{i}" for i in range(200))
+    blocks = lambda before: [b for _, _, w in debruijn_dedup.cut([*before, text]) if (b := w[1][w[0] == len(before)].tolist())]
+    assert blocks(["a b c", "d e"]) == blocks([]) and [b[0] for b in blocks([])] == [0, 50, 100, 150]
+
+
 # 5
 
 
