@@ -69,14 +69,14 @@ def scores(texts: list[str], logp: np.ndarray) -> np.ndarray:
     for chars, starts, ends in _batches(texts):
         n = len(chars) - 2
         idx = [_buckets(chars, k)[:n] for k in ORDERS]
-        edges = np.stack([starts, np.minimum(ends, n - 1)], 1).ravel()
+        edges = np.stack([starts, ends], 1).ravel()
         rows = np.empty((len(starts), logp.shape[1]))
         for lang in range(logp.shape[1]):
             col = np.ascontiguousarray(logp[:, lang])
             at = col[idx[0]]
             for i in idx[1:]:
                 at += col[i]
-            rows[:, lang] = np.add.reduceat(at, edges, dtype=np.float64)[::2]
+            rows[:, lang] = np.add.reduceat(np.append(at, np.float32(0)), edges, dtype=np.float64)[::2]
         rows[starts == ends] = 0
         out.append(rows)
     return np.concatenate(out) if out else np.zeros((0, logp.shape[1]))

@@ -265,6 +265,11 @@ def test_language_held_out_accuracy(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
 
 
+def test_language_scores_do_not_depend_on_the_place_in_a_batch():
+    logp = np.random.default_rng(1).normal(size=(1 << language_id.BITS, 2)).astype(np.float32)
+    assert np.allclose(language_id.scores(["ab"], logp)[0], language_id.scores(["ab", "next"], logp)[0])
+
+
 def test_language_edges(odd, none):
     out = language_id.predict(odd.withColumn("score", F.lit("clash")), language_id.trained(odd)).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
