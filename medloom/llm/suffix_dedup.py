@@ -1,11 +1,19 @@
-"""Substring dedup over bytes: what a string of 50 bytes of an earlier document also covers is removed.
-
-The order of suffixes by their first 50 bytes is what decides. As in external induced sorting (Bingmann, Fischer,
-Osipov 2013) only sampled suffixes are sorted: here those at window minima, a fourteenth of all, with the same
-role as the S* suffixes. Their tuples go through Spark's external sort and shuffle, which spill to disk,
-in place of priority queues; equal tuples get their names and smallest document; the suffixes
-between are induced from the sampled ones, and opened one by one only where sampled suffixes of equal prefix
-continue differently. See README for what differs from the named method and why.
+"""Substring dedup over bytes by external induced sorting of suffixes (in the way of Bingmann, Fischer, Osipov 2013).
+
+Only sampled suffixes are sorted directly: as S* suffixes are minima among their neighbours, a sampled suffix is, by a
+hash of its first ANCHOR bytes, the smallest of those that start in some window of LENGTH bytes and still have ANCHOR bytes
+of it (about one of fourteen). A sampled suffix travels as a tuple: the bytes to its right that its windows need, those to its
+left, document and place. Tuples are dealt by their first ANCHOR bytes and sorted by their right bytes with Spark's
+external sort, whose spilled runs and merge are the disk-backed priority queue; no task holds its shard.
+
+A task reads the sorted tuples as a stream, run by run of equal first bytes. It takes the common-prefix values of
+neighbours, and induces from the order of the suffixes at p that of the suffixes at p - 1, from that the one at p - 2 and
+so on: by the byte before, ties by the order there is; the common prefix of two such neighbours is one more than the
+least value between them before. Suffixes with a common prefix of LENGTH bytes are equal windows: bytes are compared
+throughout, and hashes only choose samples and tasks.
+
+Tuples of anchors that no second document holds are not sent at all (see anchors.py). Of anchors of very many rows the windows
+are grouped one by one, with partial aggregation.
 """
 
 from __future__ import annotations
@@ -13,59 +21,227 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import words
-from .repeats import Kind, finished, pairs, repeated_spans, window_min
+from . import anchors, words
+from .common import discard
 
 LENGTH = 50
 ANCHOR = 24
+#: Windows that one sampled suffix can stand for.
+LONGEST = LENGTH - ANCHOR + 1
 CHUNK = 1 << 20
+RUN_TUPLES = 50_000
+PLACE_BITS = np.uint64(21)
+TUPLE = "anchor long, right binary, left binary, doc_id long, k1 long, k2 long, start long"
+HIT = "k1 long, k2 long, start long, mask long"
+
 
+def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in order."""
+    h = a * words.BASE
+    h += b * words.MIX_A
+    h ^= h >> np.uint64(32)
+    h *= words.MIX_B
+    return h
 
-def _cut_bytes(data: bytes):
-    """(place, anchor, hash) of each 50-byte window."""
+
+def sampled(blocks: list[bytes]):
+    """Of texts: their bytes end to end, and for each sampled suffix its text, first window, number of windows, place and anchor.
+
+    First window and place count from the first byte of all texts. Windows across two texts have no suffix.
+    """
+    data = b"".join(blocks)
     a = np.frombuffer(data, np.uint8)
     n = len(a) - LENGTH + 1
+    if n < 1:
+        e = np.zeros(0, np.int64)
+        return a, e, e, e, e, e.astype(np.uint64)
     eight = words.mix(np.ndarray((len(a) - 7,), "<u8", data, 0, (1,)) + np.uint64(1))
-    sixteen = pairs(eight[:-8], eight[8:])
-    anchors = pairs(sixteen[:-8], eight[16:])
-    half = pairs(sixteen[:-16], sixteen[16:])
-    return window_min(anchors, LENGTH - ANCHOR + 1)[:n], pairs(half[:n], half[LENGTH - 32 : LENGTH - 32 + n])
+    anchor = pairs(pairs(eight[:-16], eight[8:-8]), eight[16:])
+    low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
+    place = (anchors.window_min((anchor & ~low) | np.arange(len(anchor), dtype=np.uint64), LONGEST)[:n] & low).astype(np.int64)
+    ends = np.cumsum([len(b) for b in blocks])
+    text = np.searchsorted(ends, np.arange(n), "right")
+    inside = np.arange(n) + LENGTH <= ends[text]
+    new = np.flatnonzero(inside & np.append(True, (place[1:] != place[:-1]) | ~inside[:-1]))
+    stop = np.flatnonzero(inside & np.append((place[1:] != place[:-1]) | ~inside[1:], True))
+    return a, text[new], new, stop - new + 1, place[new], anchor[place[new]]
 
 
-def cut(texts: list[str]):
-    """Batches of windows; a text of more than CHUNK bytes comes in chunks, each with the windows that start in it."""
+def batches(texts: list[str | None]):
+    """(first text, texts, bytes of each, place of the first in its text): a text of more than CHUNK bytes comes in chunks."""
     run: list[bytes] = []
+    size = 0
     for i, t in enumerate(texts):
         data = (t or "").encode("utf-8", "replace")
+        if run and size + len(data) > CHUNK:
+            yield i - len(run), len(run), run, 0
+            run, size = [], 0
         if len(data) <= CHUNK:
             run.append(data)
-        if run and (len(data) > CHUNK or sum(map(len, run)) >= CHUNK or i == len(texts) - 1):
-            first = i + 1 - len(run) - (len(data) > CHUNK)
-            yield first, len(run), _windows(run, 0)
-            run = []
-        if len(data) > CHUNK:
+            size += len(data)
+        else:
             for s in range(0, len(data) - LENGTH + 1, CHUNK):
-                yield i, 1, _windows([data[s : s + CHUNK + LENGTH - 1]], s)
+                yield i, 1, [data[s : s + CHUNK + LENGTH - 1]], s
+    if run:
+        yield len(texts) - len(run), len(run), run, 0
 
 
-def _windows(blocks: list[bytes], start: int):
-    """Windows of whole blocks, hashed together; those across two blocks are left out."""
-    joined = b"".join(blocks)
-    if len(joined) < LENGTH:
-        e = np.zeros(0, np.int64)
-        return e, e, e.astype(np.uint64), e.astype(np.uint64)
-    anchor, h = _cut_bytes(joined)
-    lengths = np.array([len(b) for b in blocks])
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    which = np.repeat(np.arange(len(blocks)), lengths)[: len(h)]
-    place = np.arange(len(h)) - begin[which]
-    inside = np.flatnonzero(place <= lengths[which] - LENGTH)
-    return which[inside], start + place[inside], anchor[inside], h[inside]
+def cut(texts: list[str | None]):
+    for first, n, blocks, _ in batches(texts):
+        _, text, start, _, _, anchor = sampled(blocks)
+        yield first, n, text, anchor, np.zeros(len(start), bool)
+
+
+def _slices(a: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Bytes of ``a`` from each start on, as a column."""
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    flat = a[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _tuples(which: str):
+    """The tuples of sampled suffixes whose anchors are in the list ``which`` of their text."""
+
+    def run(batches_):
+        for batch in batches_:
+            k1, k2, did = anchors.longs(batch, "k1", "k2", "doc_id")
+            edges, known = anchors.wanted(batch, which)
+            for first, n, blocks, base in batches(batch.column("text").to_pylist()):
+                a, text, start, size, place, anchor = sampled(blocks)
+                at = anchors.chosen(edges, known, first, n, text, anchor)
+                text, start, size, place, anchor = text[at], start[at], size[at], place[at], anchor[at]
+                begin = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])[text]
+                of = first + text
+                columns = [anchor.view(np.int64), _slices(a, place, start + size - 1 + LENGTH - place), _slices(a, start, place - start), did[of], k1[of], k2[of], base + start - begin]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [f.split()[0] for f in TUPLE.split(", ")])
+
+    return run
+
+
+def _matrix(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each value in rows of ``width``, padded with zeros (``backwards``: from the last byte on), and their lengths."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    size = np.diff(offsets)
+    at = offsets[1:, None] - 1 - np.arange(width) if backwards else offsets[:-1, None] + np.arange(width)
+    inside = np.arange(width) < size[:, None]
+    return np.where(inside, np.append(data, np.uint8(0))[np.where(inside, at, 0)], np.uint8(0)), size
+
+
+def least_between(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Smallest of v[low : high] for each pair of places, low < high."""
+    table, span = [v], 1
+    widest = int((high - low).max()) if len(low) else 0
+    while span * 2 <= widest:
+        table.append(np.minimum(table[-1][:-span], table[-1][span:]))
+        span *= 2
+    out = np.empty(len(low), v.dtype)
+    level = np.log2(np.maximum(high - low, 1)).astype(int)
+    for k in range(len(table)):
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[k][low[at]], table[k][high[at] - (1 << k)])
+    return out
+
+
+def common_prefixes(right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Common prefix of each row with the row before; 0 for the first."""
+    differ = right[1:] != right[:-1]
+    same = np.where(differ.any(1), differ.argmax(1), right.shape[1])
+    return np.concatenate([[0], np.minimum(same, np.minimum(size[1:], size[:-1]))]) if len(right) else np.zeros(0, np.int64)
+
+
+def induced(right: np.ndarray, n_right: np.ndarray, left: np.ndarray, n_left: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For tuples sorted by their right bytes: bit i of mask says that window i also starts in a smaller document.
+
+    ``left`` has the bytes to the left, nearest first. Window i starts n_left - i bytes to the left of the sampled suffix.
+    """
+    mask = np.zeros(len(doc), np.int64)
+    order, lcp = np.arange(len(doc)), common_prefixes(right, n_right)
+    for back in range(LONGEST):
+        if back:  # the suffixes one byte further to the left, from the order and common prefixes of the last ones
+            have = np.flatnonzero(n_left[order] >= back)
+            by = left[order[have], back - 1]
+            sort = np.argsort(by, kind="stable")
+            at = have[sort]
+            same = np.append(False, by[sort][1:] == by[sort][:-1])
+            common = np.zeros(len(at), np.int64)
+            again = np.flatnonzero(same)
+            common[again] = 1 + least_between(lcp, at[again - 1] + 1, at[again] + 1)
+            order, lcp = order[at], common
+        if not len(order):
+            break
+        first = np.flatnonzero(lcp < LENGTH)
+        least = np.minimum.reduceat(doc[order], first)
+        hit = np.repeat(least, np.diff(np.append(first, len(order)))) < doc[order]
+        own = order[hit]
+        mask[own] |= np.int64(1) << (n_left[own] - back)
+    return mask
+
+
+def _judged(batches_):
+    """Reads tuples sorted by right bytes, in runs that end where the first ANCHOR bytes change, and gives what is repeated."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        column = lambda c: t[c].chunk(0) if t[c].num_chunks else pa.array([], t[c].type)
+        (right, n_right), (left, n_left) = _matrix(column("right"), LENGTH, False), _matrix(column("left"), LONGEST, True)
+        mask = induced(right, n_right, left, n_left, t["doc_id"].to_numpy())
+        at = np.flatnonzero(mask)
+        t = t.select(["k1", "k2", "start"]).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*(t[c].combine_chunks() if t.num_rows else pa.array([], pa.int64()) for c in ("k1", "k2", "start")), pa.array(mask[at])], ["k1", "k2", "start", "mask"])
+
+    for batch in batches_:
+        held.append(batch)
+        size += batch.num_rows
+        if size < RUN_TUPLES:
+            continue
+        t = pa.Table.from_batches(held)
+        head, _ = _matrix(t["right"].combine_chunks() if t["right"].num_chunks == 1 else pa.concat_arrays(t["right"].chunks), ANCHOR, False)
+        last = np.flatnonzero((head != head[-1]).any(1))
+        if len(last):
+            done = int(last[-1]) + 1
+            yield out(t.slice(0, done))
+            held, size = t.slice(done).to_batches(), t.num_rows - done
+        else:
+            held = t.to_batches()
+    if held:
+        yield out(pa.Table.from_batches(held))
+
+
+def _windows(batches_):
+    """The windows of tuples, one by one."""
+    for batch in batches_:
+        right, left, start = batch.column("right").to_pylist(), batch.column("left").to_pylist(), anchors.longs(batch, "start")[0]
+        own, at, window = [], [], []
+        for i, (r, x) in enumerate(zip(right, left)):
+            whole = x + r
+            n = len(whole) - LENGTH + 1
+            own += [i] * n
+            at += range(n)
+            window += [whole[k : k + LENGTH] for k in range(n)]
+        take = pa.array(np.array(own, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(window, pa.binary()), *(batch.column(c).take(take) for c in ("doc_id", "k1", "k2")), pa.array(start[np.array(own, int)] if own else start[:0]), pa.array(1 << np.array(at, np.int64))], ["window", "doc_id", "k1", "k2", "start", "bit"])
 
 
-KIND = Kind(LENGTH, LENGTH - ANCHOR + 1, cut, earlier=True)
+def repeated_windows(rows: DataFrame) -> DataFrame:
+    """k1, k2, spans of the texts that hold a string of LENGTH bytes of an earlier document. Written."""
+    met = anchors.repeated_anchors(rows, cut, earlier=True)
+    found = rows.join(met.drop("hot"), ["k1", "k2"]).mapInArrow(_tuples("anchors"), TUPLE)
+    hits = found.repartition("anchor").sortWithinPartitions("right").mapInArrow(_judged, HIT)
+    hot = met.where(F.size("hot") > 0)
+    if not hot.isEmpty():
+        each = rows.join(hot.drop("anchors"), ["k1", "k2"]).mapInArrow(_tuples("hot"), TUPLE).mapInArrow(_windows, "window binary, doc_id long, k1 long, k2 long, start long, bit long")
+        least = each.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+        hits = hits.unionByName(each.join(least, "window").where("least < doc_id").groupBy("k1", "k2", "start").agg(F.bit_or("bit").alias("mask")))
+    spans = anchors.spans_of(hits)
+    discard(met)
+    return spans
 
 
 def _finish(texts: bool):
@@ -86,4 +262,5 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     A row without doc_id removes nothing and keeps all; rows that share a doc_id remove nothing from each other.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return finished(docs, repeated_spans(docs.where("doc_id is not null"), KIND), KIND, _finish(texts), schema)
+    rows = anchors.rows_of(docs)
+    return anchors.finished(rows, repeated_windows(rows.where("doc_id is not null")), LENGTH, LONGEST, _finish(texts), schema)
