@@ -89,35 +89,28 @@ def chosen(edges: np.ndarray, anchors: np.ndarray, first: int, n: int, text: np.
     return np.concatenate(take) if take else np.zeros(0, np.int64)
 
 
-def spans_of(hits: DataFrame) -> DataFrame:
-    """(k1, k2, start, mask) -> k1, k2, spans: bit i of mask says that the window at start + i is repeated. Written."""
-    return written(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("spans")), "spans")
+def covered(n: int, length: int, bits: int, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which of n units windows cover: bit i of a mask (``bits`` bits) is the window at start + i."""
+    if not len(start):
+        return np.zeros(n, bool)
+    which, bit = np.nonzero((mask[:, None] >> np.arange(bits)) & 1)
+    at = start[which] + bit
+    step = np.bincount(at, minlength=n + length + 1) - np.bincount(at + length, minlength=n + length + 1)
+    return np.cumsum(step)[:n] > 0
 
 
-def finished(rows: DataFrame, spans: DataFrame, length: int, bits: int, finish: Callable, schema: str) -> DataFrame:
-    """``finish(text, covered)`` of every row: covered(n) marks which of its n units repeated windows cover."""
-    fields = [f.split()[0] for f in schema.split(", ")]
+def finished(rows: DataFrame, spans: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """``finish(text, fields)`` of every row; fields are the numbers of its ``spans`` (an array of structs), by name."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
             column = batch.column("spans")
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             edges, flat = np.concatenate([[0], np.cumsum(sizes)]), column.flatten()
-            start, mask = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "mask"))
-            out = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                s, m = start[edges[i] : edges[i + 1]], mask[edges[i] : edges[i + 1]]
-
-                def covered(n: int, s=s, m=m) -> np.ndarray:
-                    if not len(s):
-                        return np.zeros(n, bool)
-                    which, bit = np.nonzero((m[:, None] >> np.arange(bits)) & 1)
-                    at = s[which] + bit
-                    step = np.bincount(at, minlength=n + length + 1) - np.bincount(at + length, minlength=n + length + 1)
-                    return np.cumsum(step)[:n] > 0
-
-                out.append(finish(text, covered))
-            columns = list(zip(*out)) or [[] for _ in fields[1:]]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **{f: list(c) for f, c in zip(fields[1:], columns)}})
+            fields = {f.name: flat.field(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i, f in enumerate(flat.type)}
+            out = [finish(text, {k: v[edges[i] : edges[i + 1]] for k, v in fields.items()}) for i, text in enumerate(batch.column("text").to_pylist())]
+            columns = list(zip(*out)) or [[] for _ in names[1:]]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **{f: list(c) for f, c in zip(names[1:], columns)}})
 
     return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)

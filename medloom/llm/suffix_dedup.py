@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors, words
-from .common import discard
+from .common import discard, written
 
 LENGTH = 50
 ANCHOR = 24
@@ -239,18 +239,18 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         each = rows.join(hot.drop("anchors"), ["k1", "k2"]).mapInArrow(_tuples("hot"), TUPLE).mapInArrow(_windows, "window binary, doc_id long, k1 long, k2 long, start long, bit long")
         least = each.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
         hits = hits.unionByName(each.join(least, "window").where("least < doc_id").groupBy("k1", "k2", "start").agg(F.bit_or("bit").alias("mask")))
-    spans = anchors.spans_of(hits)
+    spans = written(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("spans")), "spans")
     discard(met)
     return spans
 
 
 def _finish(texts: bool):
-    def one(text: str, covered):
+    def one(text: str, spans: dict):
         data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        gone = covered(len(data))
-        spans = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
+        gone = anchors.covered(len(data), LENGTH, LONGEST, spans["start"], spans["mask"])
+        runs = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
         kept = data[~gone].tobytes()
-        return (len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *([kept] if texts else []))
+        return (len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), *([kept] if texts else []))
 
     return one
 
@@ -263,4 +263,4 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     rows = anchors.rows_of(docs)
-    return anchors.finished(rows, repeated_windows(rows.where("doc_id is not null")), LENGTH, LONGEST, _finish(texts), schema)
+    return anchors.finished(rows, repeated_windows(rows.where("doc_id is not null")), _finish(texts), schema)
