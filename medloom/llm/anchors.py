@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +38,25 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(34), "text", "doc_id"))
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """doc_id, k1, k2 and body: the text's UTF-8 bytes, compressed, for a join that moves all texts."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            body = [pack(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(body, pa.binary())], ["doc_id", "k1", "k2", "body"])
+
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, body binary")
+
+
 def longs(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     """Columns as 64-bit integers; a null is 0 (numpy would turn a column with nulls into floats)."""
     return [batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in names]
 
 
 def repeated_anchors(rows: DataFrame, cut: Cut, earlier: bool) -> DataFrame:
-    """k1, k2, anchors, hot: the anchors of each text that occur again, those of over HOT_ROWS rows apart.
+    """uid, k1, k2, anchors, hot: the anchors of each text that occur again, those of over HOT_ROWS rows apart; uid numbers the texts.
 
     ``earlier``: only anchors of texts of two doc_ids count; else those that occur twice anywhere. Written.
     """
@@ -70,7 +83,8 @@ def repeated_anchors(rows: DataFrame, cut: Cut, earlier: bool) -> DataFrame:
     again = written(counts.select("anchor", (F.col("n") > HOT_ROWS).alias("hot")), "repeated")
     met = each.select("anchor", "k1", "k2").join(again, "anchor")
     listed = lambda hot: F.collect_set(F.when(F.col("hot") == hot, F.col("anchor")))
-    met = written(met.groupBy("k1", "k2").agg(listed(False).alias("anchors"), listed(True).alias("hot")), "anchors")
+    met = met.groupBy("k1", "k2").agg(listed(False).alias("anchors"), listed(True).alias("hot"))
+    met = written(met.select(F.monotonically_increasing_id().alias("uid"), "*"), "anchors")
     discard(again)
     return met
 

@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ LONGEST = LENGTH - ANCHOR + 1
 CHUNK = 1 << 20
 RUN_TUPLES = 50_000
 PLACE_BITS = np.uint64(21)
-TUPLE = "anchor long, right binary, left binary, doc_id long, k1 long, k2 long, start long"
-HIT = "k1 long, k2 long, start long, mask long"
+TUPLE = "right binary, left binary, doc_id long, uid long, start long"
+HIT = "uid long, start long, mask long"
 
 
 def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,12 +72,12 @@ def sampled(blocks: list[bytes]):
     return a, text[new], new, stop - new + 1, place[new], anchor[place[new]]
 
 
-def batches(texts: list[str | None]):
+def batches(texts: list[str | bytes | None]):
     """(first text, texts, bytes of each, place of the first in its text): a text of more than CHUNK bytes comes in chunks."""
     run: list[bytes] = []
     size = 0
     for i, t in enumerate(texts):
-        data = (t or "").encode("utf-8", "replace")
+        data = t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace")
         if run and size + len(data) > CHUNK:
             yield i - len(run), len(run), run, 0
             run, size = [], 0
@@ -107,16 +108,17 @@ def _tuples(which: str):
     """The tuples of sampled suffixes whose anchors are in the list ``which`` of their text."""
 
     def run(batches_):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches_:
-            k1, k2, did = anchors.longs(batch, "k1", "k2", "doc_id")
+            uid, did = anchors.longs(batch, "uid", "doc_id")
             edges, known = anchors.wanted(batch, which)
-            for first, n, blocks, base in batches(batch.column("text").to_pylist()):
+            for first, n, blocks, base in batches([unpack(b) for b in batch.column("body").to_pylist()]):
                 a, text, start, size, place, anchor = sampled(blocks)
                 at = anchors.chosen(edges, known, first, n, text, anchor)
                 text, start, size, place, anchor = text[at], start[at], size[at], place[at], anchor[at]
                 begin = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])[text]
                 of = first + text
-                columns = [anchor.view(np.int64), _slices(a, place, start + size - 1 + LENGTH - place), _slices(a, start, place - start), did[of], k1[of], k2[of], base + start - begin]
+                columns = [_slices(a, place, start + size - 1 + LENGTH - place), _slices(a, start, place - start), did[of], uid[of], base + start - begin]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [f.split()[0] for f in TUPLE.split(", ")])
 
     return run
@@ -193,8 +195,8 @@ def _judged(batches_):
         (right, n_right), (left, n_left) = _matrix(column("right"), LENGTH, False), _matrix(column("left"), LONGEST, True)
         mask = induced(right, n_right, left, n_left, t["doc_id"].to_numpy())
         at = np.flatnonzero(mask)
-        t = t.select(["k1", "k2", "start"]).take(pa.array(at))
-        return pa.RecordBatch.from_arrays([*(t[c].combine_chunks() if t.num_rows else pa.array([], pa.int64()) for c in ("k1", "k2", "start")), pa.array(mask[at])], ["k1", "k2", "start", "mask"])
+        columns = [pa.array(t[c].to_numpy()[at]) for c in ("uid", "start")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(mask[at])], ["uid", "start", "mask"])
 
     for batch in batches_:
         held.append(batch)
@@ -226,20 +228,22 @@ def _windows(batches_):
             at += range(n)
             window += [whole[k : k + LENGTH] for k in range(n)]
         take = pa.array(np.array(own, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(window, pa.binary()), *(batch.column(c).take(take) for c in ("doc_id", "k1", "k2")), pa.array(start[np.array(own, int)] if own else start[:0]), pa.array(1 << np.array(at, np.int64))], ["window", "doc_id", "k1", "k2", "start", "bit"])
+        yield pa.RecordBatch.from_arrays([pa.array(window, pa.binary()), *(batch.column(c).take(take) for c in ("doc_id", "uid")), pa.array(start[np.array(own, int)] if own else start[:0]), pa.array(1 << np.array(at, np.int64))], ["window", "doc_id", "uid", "start", "bit"])
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """k1, k2, spans of the texts that hold a string of LENGTH bytes of an earlier document. Written."""
     met = anchors.repeated_anchors(rows, cut, earlier=True)
-    found = rows.join(met.drop("hot"), ["k1", "k2"]).mapInArrow(_tuples("anchors"), TUPLE)
-    hits = found.repartition("anchor").sortWithinPartitions("right").mapInArrow(_judged, HIT)
+    bodies = anchors.compressed(rows)
+    found = bodies.join(met.drop("hot"), ["k1", "k2"]).mapInArrow(_tuples("anchors"), TUPLE)
+    hits = found.repartition(F.xxhash64(F.substring("right", 1, ANCHOR))).sortWithinPartitions("right").mapInArrow(_judged, HIT)
     hot = met.where(F.size("hot") > 0)
     if not hot.isEmpty():
-        each = rows.join(hot.drop("anchors"), ["k1", "k2"]).mapInArrow(_tuples("hot"), TUPLE).mapInArrow(_windows, "window binary, doc_id long, k1 long, k2 long, start long, bit long")
+        each = bodies.join(hot.drop("anchors"), ["k1", "k2"]).mapInArrow(_tuples("hot"), TUPLE).mapInArrow(_windows, "window binary, doc_id long, uid long, start long, bit long")
         least = each.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-        hits = hits.unionByName(each.join(least, "window").where("least < doc_id").groupBy("k1", "k2", "start").agg(F.bit_or("bit").alias("mask")))
-    spans = written(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("spans")), "spans")
+        hits = hits.unionByName(each.join(least, "window").where("least < doc_id").groupBy("uid", "start").agg(F.bit_or("bit").alias("mask")))
+    spans = hits.groupBy("uid").agg(F.collect_set(F.struct("start", "mask")).alias("spans")).join(met.select("uid", "k1", "k2"), "uid").select("k1", "k2", "spans")
+    spans = written(spans, "spans")
     discard(met)
     return spans
 
