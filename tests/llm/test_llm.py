@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from medloom.llm import ann, chat, components, debruijn_dedup, exact_dedup, language_id, mixing, near_dedup, packing, queries, repeats, suffix_dedup, warc, words
+from medloom.llm import anchors, ann, chat, components, debruijn_dedup, exact_dedup, language_id, mixing, near_dedup, packing, queries, suffix_dedup, warc, words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -228,32 +228,93 @@ def test_rows_of_one_doc_id_beside_an_earlier_document_of_another_partition(spar
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == brute_bytes(rows)
 
 
-def test_anchors_of_very_many_segments_are_judged_alike(monkeypatch, docs):
-    monkeypatch.setattr(repeats, "OPEN_ROWS", 1)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    out = debruijn_dedup.dedup(docs, texts=False).collect()
+def test_hot_anchors_are_judged_alike(monkeypatch, docs, odd):
+    monkeypatch.setattr(debruijn_dedup, "OPEN_PATHS", 1)
+    monkeypatch.setattr(anchors, "HOT_ROWS", 3)
+    for df in (docs, odd):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        out = debruijn_dedup.dedup(df, texts=False).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == brute_words(rows)
+        out = suffix_dedup.dedup(df, texts=False).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == brute_bytes(rows)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_repeats_of_many_lengths_with_null_ids_and_repeated_rows(spark, partitions):
+    rng = np.random.default_rng(4)
+    word = lambda: f"{'abcdefgh'[rng.integers(8)]}{rng.integers(10**6)}"
+    runs = [" ".join(word() for _ in range(n)) for n in (34, 35, 36, 60, 64, 100, 200)]
+    rows = [(None if i % 5 == 0 else i // 2, " ".join([word(), runs[i % 7], word(), runs[(i * 3) % 7] if i % 3 else "", word()])) for i in range(40)]
+    rows += rows[:6] * 2
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, partitions), "doc_id long, text string")
+    out = debruijn_dedup.dedup(df, texts=False).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == brute_words(rows)
+    out = suffix_dedup.dedup(df, texts=False).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == brute_bytes(rows)
+
+
+def test_paths_compact_and_rings_stay(spark):
+    ring = " ".join(f"r{i}" for i in range(60))
+    rows = [(1, " ".join([ring] * 5)), (2, " ".join([ring] * 9)), (None, "x " + " ".join([ring] * 3)), (4, "q " + RUN + " " + LONG[:900]), (5, RUN + " " + LONG[:900] + " z")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = debruijn_dedup.dedup(df, texts=False).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == brute_words(rows)
+    repeats = debruijn_dedup.repeated_edges(anchors.rows_of(spark.createDataFrame(rows[3:5], "doc_id long, text string")))
+    heads, members = debruijn_dedup.compacted(repeats)
+    shared = len(RUN.split()) + len(LONG[:900].split()) - 1  # the last word differs
+    assert max(r.edges for r in heads.collect()) <= shared - 34 + 1 and members.count() > 0
 
 
-def test_long_texts_in_chunks(monkeypatch, spark):
+def test_suffixes_of_long_texts_come_in_chunks_and_runs(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 200)
-    monkeypatch.setattr(debruijn_dedup, "BLOCK", 50)
-    rows = [(1, LONG[:2000]), (2, "zz" + LONG[300:1800] + "yy"), (3, "abc " * 60), (4, "abc " * 30)]
-    for cut in (suffix_dedup.cut, debruijn_dedup.cut):  # what the chunks hold is what whole texts hold
-        chunks = [w for _, _, w in cut([t for _, t in rows])]
-        monkeypatch.undo()
-        whole = [w for _, _, w in cut([t for _, t in rows])]
-        monkeypatch.setattr(suffix_dedup, "CHUNK", 200)
-        monkeypatch.setattr(debruijn_dedup, "BLOCK", 50)
-        pick = lambda parts: sorted((int(s), int(h)) for w in parts for s, h in zip(w[1], w[3]))
-        assert pick(chunks) == pick(whole)
+    texts = [LONG[:2000], "zz" + LONG[300:1800] + "yy", "abc " * 60, "é" * 300, ""]
+    found = set()
+    for first, _, blocks, base in suffix_dedup.batches(texts):
+        a, text, start, size, place, _ = suffix_dedup.sampled(blocks)
+        begin = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
+        assert (place >= start + size - 1).all() and (place - start < suffix_dedup.LONGEST).all()
+        found |= {(first + t, base + s + k - begin[t]) for t, s, n in zip(text.tolist(), start.tolist(), size.tolist()) for k in range(n)}
+    assert found == {(i, p) for i, t in enumerate(texts) for p in range(len(t.encode()) - 49)}
+
+
+def test_induced_order_equals_brute_force():
+    rng = np.random.default_rng(7)
+    for round_ in range(20):
+        alphabet = 2 if round_ % 2 else 4
+        mid = [bytes(rng.integers(97, 97 + alphabet, 24).astype(np.uint8)) for _ in range(3)]
+        whole, at, doc = [], [], []
+        for _ in range(120):
+            n_left, n_right = int(rng.integers(0, 27)), int(rng.integers(24, 51))
+            n_right = max(n_right, 50 - n_left)
+            fill = lambda n: bytes([97]) * n if rng.random() < 0.5 else bytes(rng.integers(97, 99, n).astype(np.uint8))
+            whole.append(fill(n_left) + mid[rng.integers(3)] + fill(n_right - 24))
+            at.append(n_left)
+            doc.append(int(rng.integers(0, 9)))
+        order = sorted(range(120), key=lambda i: whole[i][at[i] :])
+        rows = [(whole[i], at[i], doc[i]) for i in order]
+        import pyarrow as pa
+
+        right, n_right = suffix_dedup._matrix(pa.array([w[p:] for w, p, _ in rows], pa.binary()), 50, False)
+        left, n_left = suffix_dedup._matrix(pa.array([w[:p] for w, p, _ in rows], pa.binary()), 27, True)
+        got = suffix_dedup.induced(right, n_right, left, n_left, np.array([d for _, _, d in rows]))
+        first: dict = {}
+        for w, p, d in rows:
+            for i in range(p + 1):
+                if len(w) - i >= 50:
+                    key = (p - i, w[i : i + 50])
+                    first[key] = min(d, first.get(key, d))
+        want = [sum(1 << i for i in range(p + 1) if len(w) - i >= 50 and first[p - i, w[i : i + 50]] < d) for w, p, d in rows]
+        assert got.tolist() == want
 
 
 def test_blocks_of_a_long_text_do_not_depend_on_texts_before_it(monkeypatch):
     monkeypatch.setattr(debruijn_dedup, "BLOCK", 50)
     text = " ".join(f"u{i}" for i in range(200))
-    blocks = lambda before: [b for _, _, w in debruijn_dedup.cut([*before, text]) if (b := w[1][w[0] == len(before)].tolist())]
-    assert blocks(["a b c", "d e"]) == blocks([]) and [b[0] for b in blocks([])] == [0, 50, 100, 150]
+    def blocks(before):
+        return [b for _, _, s in debruijn_dedup.stretches([*before, text]) if (b := list(zip(s.start[s.text == len(before)].tolist(), s.pick(np.flatnonzero(s.text == len(before))).spelled())))]
+
+    assert blocks(["a b c", "d e"]) == blocks([]) and [b[0][0] for b in blocks([])] == [0, 50, 100, 150]
+    assert all(words_.split()[0] == f"u{start}".encode() for b in blocks([]) for start, words_ in b)
 
 
 # 5
