@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .paths import Path
 
@@ -51,25 +52,57 @@ def references(p: Path) -> Column:
     return _each(p, one)
 
 
+def dates(p: Path) -> Column:
+    """Dates as written: of a Period its start, of a choice (DateTime, Date, Instant, Period) whichever there is."""
+    if isinstance(p.dtype, T.NullType) and p.parent is not None and isinstance(p.parent.item, T.StructType):
+        kinds = [k for k in ("DateTime", "Date", "Instant", "Period") if p.name + k in p.parent.item.names]
+        return F.array_distinct(F.concat(*[dates(p.parent[p.name + k]) for k in kinds])) if kinds else F.array().cast("array<string>")
+    return strings(p["start"]) if isinstance(p.item, T.StructType) else strings(p)
+
+
+def utc(value: Column) -> Column:
+    """A time with an offset as the same instant in UTC; anything else as it is."""
+    moved = F.date_format(low(value).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.when(value.rlike(r"T.*[+-]\d\d:\d\d$"), F.coalesce(moved, value)).otherwise(value)
+
+
 def date_variants(p: Path) -> Column:
-    """The value as written and its date."""
-    return _each(p, lambda v: _clean(v, F.substring_index(v, "T", 1)))
+    """The value in UTC and its date."""
+    return F.array_distinct(F.flatten(F.transform(dates(p), lambda v: _clean(utc(v), F.substring_index(utc(v), "T", 1)))))
 
 
 def numbers(p: Path) -> Column:
     return F.transform(p.array(), lambda x: x.cast("double").cast("string"))
 
 
-def low(value: Column) -> Column:
-    """First instant of a date of any precision (year, month, day, time)."""
-    v = F.regexp_replace(value, r"(Z|[+-]\d\d:\d\d)$", "")
+ZONE = r"(Z|[+-]\d\d:\d\d)$"
+
+
+def _offset(value: Column) -> Column:
+    """How far a value's zone is ahead of UTC."""
+    zone = F.when(value.contains("T"), F.regexp_extract(value, r"([+-]\d\d:\d\d)$", 1)).otherwise("")
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.when(zone == "", 0).when(zone.startswith("-"), -minutes).otherwise(minutes))
+
+
+def _written(value: Column) -> Column:
+    return F.when(value.contains("T"), F.regexp_replace(value, ZONE, "")).otherwise(value)
+
+
+def _start(v: Column) -> Column:
     return F.try_to_timestamp(F.when(F.length(v) == 4, F.concat(v, F.lit("-01-01"))).when(F.length(v) == 7, F.concat(v, F.lit("-01"))).otherwise(v)).cast("timestamp_ntz")
 
 
+def low(value: Column) -> Column:
+    """First instant of a date of any precision (year, month, day, time), in UTC."""
+    return _start(_written(value)) - _offset(value)
+
+
 def high(value: Column) -> Column:
-    """First instant after a date of any precision."""
-    v, start = F.regexp_replace(value, r"(Z|[+-]\d\d:\d\d)$", ""), low(value)
+    """First instant after a date of any precision, in UTC."""
+    v = _written(value)
+    start = _start(v)
     return (
         F.when(F.length(v) == 4, start + F.expr("INTERVAL '1' YEAR")).when(F.length(v) == 7, start + F.expr("INTERVAL '1' MONTH"))
         .when(F.length(v) <= 10, start + F.expr("INTERVAL '1' DAY")).when(F.length(v) <= 16, start + F.expr("INTERVAL '1' MINUTE")).otherwise(start + F.expr("INTERVAL '1' SECOND"))
-    )
+    ) - _offset(value)

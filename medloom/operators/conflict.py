@@ -5,7 +5,7 @@ from __future__ import annotations
 import json as _json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,69 +14,165 @@ DEPTH = 6
 RISKS = {"birthDate": "identity", "identifier": "identity", "name": "identity", "deceasedBoolean": "clinical", "valueQuantity": "clinical", "status": "clinical"}
 
 
+#: The default rules of a merge: resource type, path, and how changes at or below it are treated (fixed values).
+RULES = [
+    ("Patient", "telecom", "auto_merge"), ("Patient", "address", "auto_merge"), ("Appointment", "note", "append_only"), ("Encounter", "statusHistory", "append_only"),
+    ("MedicationRequest", "dosageInstruction", "review_only"), ("AllergyIntolerance", "clinicalStatus", "review_only"), ("Observation", "value", "review_only"),
+    ("Consent", "provision", "review_only"), ("Appointment", "start", "review_only"), ("Patient", "birthDate", "review_only"),
+]
+
+
+def opened(json: str | Column, depth: int = DEPTH) -> Column:
+    """The leaves of a JSON object as an array of (path, value as canonical JSON, kind); arrays are leaves, ``depth`` levels of objects are opened."""
+    out = F.array(F.struct(F.lit("").alias("path"), F.try_parse_json(json).alias("v")))
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    for _ in range(depth):
+        inner = lambda x: F.transform(F.map_entries(x["v"].cast("map<string,variant>")), lambda e: F.struct(F.concat_ws(".", F.nullif(x["path"], F.lit("")), e["key"]).alias("path"), e["value"].alias("v")))
+        out = F.flatten(F.transform(out, lambda x: F.when(kind(x["v"]).startswith("OBJECT"), inner(x)).otherwise(F.array(x))))
+    named = lambda v: F.when(kind(v).startswith("ARRAY"), "array").when(kind(v).startswith("OBJECT"), "object").otherwise("scalar")
+    return F.transform(F.filter(out, lambda x: x["path"] != ""), lambda x: F.struct(x["path"].alias("path"), F.to_json(x["v"]).alias("value"), named(x["v"]).alias("kind")))
+
+
 def leaves(docs: DataFrame, key: str = "id", json: str = "json", depth: int = DEPTH) -> DataFrame:
-    """key, path, value (canonical JSON), kind of each leaf; arrays are leaves, objects are opened level by level."""
-    level = docs.select(key, F.lit("").alias("path"), F.try_parse_json(json).alias("v"))
-    out = None
-    for i in range(depth + 1):
-        kinds = level.select("*", F.schema_of_variant("v").alias("kind"))
-        open_ = F.col("kind").startswith("OBJECT") & F.lit(i < depth)
-        flat = kinds.where(~open_ & (F.col("path") != "")).select(key, "path", F.to_json("v").alias("value"), F.when(F.col("kind").startswith("ARRAY"), "array").when(F.col("kind").startswith("OBJECT"), "object").otherwise("scalar").alias("kind"))
-        out = flat if out is None else out.unionByName(flat)
-        if i < depth:
-            items = F.map_entries(kinds["v"].cast("map<string,variant>"))
-            level = kinds.where(open_).select(key, "path", F.explode(items).alias("e"))
-            level = level.select(key, F.concat_ws(".", F.nullif("path", F.lit("")), F.col("e.key")).alias("path"), F.col("e.value").alias("v"))
-    return out
+    """key, path, value (canonical JSON), kind of each leaf, in one scan."""
+    return docs.select(key, F.explode(opened(json, depth)).alias("leaf")).select(key, "leaf.*")
+
+
+def _change(old: Column, old_kind: Column, new: Column, new_kind: Column) -> Column:
+    """How a leaf changed, null if it did not: scalar_replace, array_append, array_remove, structural (other edits of arrays, other kinds), unsupported (a key that is gone)."""
+    items = lambda c: F.transform(F.try_parse_json(c).try_cast("array<variant>"), lambda v: F.to_json(v))
+    a, b = items(old), items(new)
+    both = (old_kind == "array") & (new_kind == "array")
+    append = both & (F.size(b) > F.size(a)) & (F.slice(b, F.lit(1), F.size(a)) == a)
+    remove = both & (F.size(b) < F.size(a)) & (F.size(F.array_except(b, a)) == 0)
+    return (
+        F.when(old.eqNullSafe(new), None).when(new.isNull(), "unsupported").when(append, "array_append").when(remove, "array_remove")
+        .when(both | (F.coalesce(old_kind, new_kind) != new_kind), "structural").otherwise("scalar_replace")
+    )
 
 
 def changes(base: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
-    """key, path, change, old, new of every leaf that differs.
+    """key, path, change, old, new of every leaf that differs."""
+    rows = compared(base, other, base, key).where("mine is not null")
+    return rows.select(key, "path", F.col("mine").alias("change"), F.col("base_value").alias("old"), F.col("local_value").alias("new"))
+
 
-    scalar_replace, array_append, array_remove, structural (other edits of arrays, other kinds), unsupported (a key
-    that is gone).
+def compared(base: DataFrame, local: DataFrame, remote: DataFrame, key: str = "id") -> DataFrame:
+    """key, path, mine, theirs (changes since base, null for none), the three values and kinds of every leaf that one side changed.
+
+    The three versions are joined by key once and their leaves grouped within it; a version that is not there has no leaves.
     """
-    a = leaves(base, key).select(key, "path", F.col("value").alias("old"), F.col("kind").alias("old_kind"))
-    b = leaves(other, key).select(key, "path", F.col("value").alias("new"), F.col("kind").alias("new_kind"))
-    rows = a.join(b, [key, "path"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
-    items = lambda c: F.transform(F.try_parse_json(c).try_cast("array<variant>"), lambda v: F.to_json(v))
-    old, new = items("old"), items("new")
-    both = (F.col("old_kind") == "array") & (F.col("new_kind") == "array")
-    append = both & (F.size(new) > F.size(old)) & (F.slice(new, F.lit(1), F.size(old)) == old)
-    remove = both & (F.size(new) < F.size(old)) & (F.size(F.array_except(new, old)) == 0)
-    change = (
-        F.when(F.col("new").isNull(), "unsupported").when(append, "array_append").when(remove, "array_remove")
-        .when(both | (F.coalesce("old_kind", "new_kind") != F.col("new_kind")), "structural").otherwise("scalar_replace")
-    )
-    return rows.select(key, "path", change.alias("change"), "old", "new")
+    side = lambda df, name: df.select(key, F.col("json").alias(name))
+    rows = side(base, "base").join(side(local, "local"), key, "full_outer").join(side(remote, "remote"), key, "full_outer")
+
+    def tag(n: str) -> Column:
+        return F.transform(F.coalesce(opened(n), F.array()), lambda x: F.struct(F.lit(n).alias("side"), x.alias("leaf")))
 
+    tagged = F.concat(*map(tag, ("base", "local", "remote")))
+    each = rows.select(key, F.explode(tagged).alias("at")).select(key, F.col("at.leaf.path").alias("path"), "at.side", "at.leaf.value", "at.leaf.kind")
+    pick = [F.max(F.when(F.col("side") == n, F.col(c))).alias(f"{n}_{c}") for n in ("base", "local", "remote") for c in ("value", "kind")]
+    each = each.groupBy(key, "path").agg(*pick)
+    change = lambda n: _change(F.col("base_value"), F.col("base_kind"), F.col(f"{n}_value"), F.col(f"{n}_kind"))
+    return each.withColumn("mine", change("local")).withColumn("theirs", change("remote")).where("mine is not null or theirs is not null")
 
-def overlaps(local: DataFrame, remote: DataFrame, key: str = "id") -> DataFrame:
-    """Pairs of local and remote changes whose paths are equal or one within the other: an equi-join on the top field."""
-    top = lambda df, n: df.select(key, F.substring_index("path", ".", 1).alias("top"), F.col("path").alias(f"{n}_path"), F.col("change").alias(f"{n}_change"))
-    pairs = top(local, "local").join(top(remote, "remote"), [key, "top"])
-    a, b = F.col("local_path"), F.col("remote_path")
-    return pairs.where((a == b) | a.startswith(F.concat(b, F.lit("."))) | b.startswith(F.concat(a, F.lit("."))))
+
+def _met(rows: DataFrame, key: str) -> DataFrame:
+    """key, changed (array of path, mine, theirs), overlaps (local paths equal to a remote one, or one within the other), appends (all those are appends on both sides)."""
+    of = F.struct("path", "mine", "theirs")
+    tops = rows.groupBy(key, F.substring_index("path", ".", 1).alias("top")).agg(F.collect_list(of).alias("changed"))
+    near = lambda a, b: (a == b) | a.startswith(F.concat(b, F.lit("."))) | b.startswith(F.concat(a, F.lit(".")))
+    mine, theirs = F.filter("changed", lambda x: x["mine"].isNotNull()), F.filter("changed", lambda x: x["theirs"].isNotNull())
+    hit = F.filter(mine, lambda x: F.exists(theirs, lambda y: near(x["path"], y["path"])))
+    plain = lambda x: (x["mine"] == "array_append") & F.forall(theirs, lambda y: ~near(x["path"], y["path"]) | (y["theirs"] == "array_append"))
+    tops = tops.select(key, "changed", F.transform(hit, lambda x: x["path"]).alias("hit"), F.forall(hit, plain).alias("appends"))
+    return tops.groupBy(key).agg(F.flatten(F.collect_list("changed")).alias("changed"), F.array_sort(F.flatten(F.collect_list("hit"))).alias("overlaps"), F.min("appends").alias("appends"))
 
 
 def classified(base: DataFrame, local: DataFrame, remote: DataFrame, key: str = "id") -> DataFrame:
     """key, decision, risk, overlaps: auto_merge, append_compatible or review."""
-    mine, theirs = changes(base, local, key), changes(base, remote, key)
-    risk = F.lit(None).cast("string")
-    for path, name in reversed(RISKS.items()):
-        risk = F.when((F.col("path") == path) | F.col("path").startswith(path + "."), name).otherwise(risk)
-    every = mine.unionByName(theirs)
-    each = every.groupBy(key).agg(F.max(F.col("change").isin("structural", "unsupported")).alias("hard"), F.max(risk).alias("risk"))
-    pairs = overlaps(mine, theirs, key)
-    met = pairs.groupBy(key).agg(F.array_sort(F.collect_set("local_path")).alias("paths"), F.min((F.col("local_change") == "array_append") & (F.col("remote_change") == "array_append")).alias("appends"))
-    rows = each.join(met, key, "left")
-    decision = F.when(F.col("hard") | F.col("risk").isNotNull(), "review").when(F.col("paths").isNull(), "auto_merge").when(F.col("appends"), "append_compatible").otherwise("review")
-    return rows.select(key, decision.alias("decision"), "risk", F.array_join(F.coalesce("paths", F.array().cast("array<string>")), ",").alias("overlaps"))
+    rows = _met(compared(base, local, remote, key), key)
+
+    def risk(path: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, kind in reversed(RISKS.items()):
+            out = F.when((path == name) | path.startswith(name + "."), kind).otherwise(out)
+        return out
+
+    hard = F.exists("changed", lambda x: F.coalesce(x["mine"].isin("structural", "unsupported"), F.lit(False)) | F.coalesce(x["theirs"].isin("structural", "unsupported"), F.lit(False)))
+    rows = rows.withColumn("risk", F.array_max(F.transform("changed", lambda x: risk(x["path"]))))
+    decision = F.when(hard | F.col("risk").isNotNull(), "review").when(F.size("overlaps") == 0, "auto_merge").when(F.col("appends"), "append_compatible").otherwise("review")
+    return rows.select(key, decision.alias("decision"), "risk", F.array_join("overlaps", ",").alias("overlaps"))
+
+
+def _rule(path: Column, kind: str, rules: list[tuple[str, str, str]]) -> Column:
+    """How the first rule of the type that is at or above a path treats it; null without one."""
+    out = F.lit(None).cast("string")
+    for of, at, semantics in reversed(rules):
+        if of == kind:
+            out = F.when((path == at) | path.startswith(at + "."), semantics).otherwise(out)
+    return out
+
+
+def ruled(base: DataFrame, local: DataFrame, remote: DataFrame, kind: str, rules: list[tuple[str, str, str]] = RULES, key: str = "id") -> DataFrame:
+    """key, classification, risk, can_merge, overlaps of resources of one type under a pack of rules.
+
+    Risk is blocked (a change that no patch expresses, or a path under ``block``), review (a path under ``review_only``, or no rule at any change) or safe. A merge needs
+    a rule at every local change, and of overlapping ones only appends on both sides under ``append_only``.
+    """
+    rows = _met(compared(base, local, remote, key), key)
+    mine, theirs = F.filter("changed", lambda x: x["mine"].isNotNull()), F.filter("changed", lambda x: x["theirs"].isNotNull())
+    rule = lambda x: F.coalesce(_rule(x, kind, rules), F.lit("none"))
+    lost = lambda c: F.coalesce(c.isin("structural", "unsupported", "array_remove"), F.lit(False))
+    blocked = F.exists("changed", lambda x: lost(x["mine"]) | lost(x["theirs"]) | (rule(x["path"]) == "block"))
+    review = F.exists("changed", lambda x: rule(x["path"]) == "review_only")
+    ruled_ = F.exists("changed", lambda x: rule(x["path"]).isin("auto_merge", "append_only"))
+    risk = F.when(blocked, "blocked").when(review | ~ruled_, "review").otherwise("safe")
+    append = F.forall("overlaps", lambda p: rule(p) == "append_only") & F.col("appends")
+    name = (
+        F.when((F.size(mine) == 0) | (F.size(theirs) == 0), "stale_base_only").when(F.size("overlaps") == 0, "non_overlap")
+        .when(append, "append_compatible").otherwise("overlap")
+    )
+    fit = F.forall(mine, lambda x: rule(x["path"]).isin("auto_merge", "append_only") & ((rule(x["path"]) != "append_only") | (x["mine"] == "array_append")))
+    can = (risk == "safe") & fit & ((F.size("overlaps") == 0) | append)
+    return rows.select(key, name.alias("classification"), risk.alias("risk"), can.alias("can_merge"), F.array_join("overlaps", ",").alias("overlaps"))
+
+
+def patches(base: DataFrame, local: DataFrame, remote: DataFrame, key: str = "id") -> DataFrame:
+    """key, patch: JSON Patch of the local changes on the current resource, by path; null where a change can't be patched.
+
+    Appended items that the current array holds already are not added again.
+    """
+    rows = compared(base, local, remote, key).where("mine is not null")
+    items = lambda c: F.transform(F.try_parse_json(c).try_cast("array<variant>"), lambda v: F.to_json(v))
+    pointer = F.concat(F.lit("/"), F.replace("path", F.lit("."), F.lit("/")))
+    op = lambda name, at, value: F.concat(F.lit(f'{{"op":"{name}","path":"'), at, F.lit('","value":'), value, F.lit("}"))
+    old, new = items("base_value"), items("local_value")
+    added = F.array_except(F.slice(new, F.size(old) + 1, F.greatest(F.size(new) - F.size(old), F.lit(0))), F.coalesce(items("remote_value"), F.array()))
+    ops = F.when(F.col("mine") == "scalar_replace", F.array(op("replace", pointer, F.col("local_value")))).when(F.col("mine") == "array_append", F.transform(added, lambda v: op("add", F.concat(pointer, F.lit("/-")), v)))
+    each = rows.select(key, "path", ops.alias("ops")).groupBy(key).agg(F.max(F.col("ops").isNull()).alias("bad"), F.array_sort(F.collect_list(F.struct("path", "ops"))).alias("all"))
+    text = F.concat(F.lit("["), F.array_join(F.flatten(F.transform("all", lambda x: x["ops"])), ","), F.lit("]"))
+    return each.select(key, F.when(~F.col("bad"), text).alias("patch"))
+
+
+def jobs(found: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
+    """job_key of each conflict that needs a review and has no job yet, whatever state that job is in."""
+    wanted = found.where("decision = 'review'").select(F.concat(F.lit("conflict:"), F.col(key).cast("string")).alias("job_key")).distinct()
+    return wanted.join(existing.select("job_key"), "job_key", "left_anti")
+
+
+def listed(conflicts: DataFrame, resolutions: DataFrame, key: str = "id") -> DataFrame:
+    """The conflicts with status (open, resolved) and resolution: the last one (by at, then resolution) of each."""
+    last = resolutions.groupBy(key).agg(F.max(F.struct("at", "resolution")).alias("last"))
+    rows = conflicts.join(last, key, "left")
+    return rows.select(*conflicts.columns, F.when(F.col("last").isNull(), "open").otherwise("resolved").alias("status"), F.col("last.resolution").alias("resolution"))
 
 
 @F.pandas_udf(T.StringType())
 def merged(base: pd.Series, local: pd.Series, current: pd.Series) -> pd.Series:
-    """The current resource with the local changes since base; of arrays appended on both sides remote items come first."""
+    """The current resource with the local changes since base; of arrays appended on both sides remote items come first.
+
+    JSON of any shape is walked here, in Python: Catalyst has no way to rebuild an object of unknown fields.
+    """
 
     def one(b, x, y):
         if isinstance(b, dict) and isinstance(x, dict) and isinstance(y, dict):

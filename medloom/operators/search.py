@@ -1,8 +1,8 @@
 """Search over resources: an index of typed values, predicates fused into one pass, chains, includes, sorting, paging.
 
-A search is given as its query string (``name=Doe&birthdate=gt1980&_sort=-birthdate``) or as pairs. All parameters of one search
-are judged in a single scan and aggregation of the index (index mode), or as filters on the typed
-resources (direct mode), which reach the Parquet scan.
+A search is given as its query string (``name=Doe&birthdate=gt1980&_sort=-birthdate``) or as pairs. ``run`` answers all of it: filters
+on the typed resources' own columns (direct mode), which reach the Parquet scan, chains as semi-joins, full text, order, page, total,
+includes, projection and links. Over an index of values (index mode) all parameters are judged in one scan and aggregation.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import parse_qsl
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -35,6 +35,7 @@ class Param:
     kind: str  # string, token, reference, date, number, composite
     values: Callable[[Path], Column]  # array<string>
     targets: tuple[str, ...] = ()
+    components: int = 0  # of a composite
 
 
 @dataclass
@@ -43,6 +44,7 @@ class Term:
     modifier: str = ""
     values: list[str] = field(default_factory=list)
     chain: str = ""
+    type: str = ""  # of a chain: the only type that it follows
 
 
 @dataclass
@@ -58,6 +60,32 @@ class Search:
     elements: list[str] = field(default_factory=list)
 
 
+def split_at(value: str, mark: str) -> list[str]:
+    """Parts between marks; one after a backslash is no mark. Backslashes before other characters stay."""
+    parts, at = [""], 0
+    while at < len(value):
+        c = value[at]
+        if c == "\\" and at + 1 < len(value):
+            parts[-1] += value[at + 1] if value[at + 1] == mark else value[at : at + 2]
+            at += 1
+        elif c == mark:
+            parts.append("")
+        else:
+            parts[-1] += c
+        at += 1
+    return parts
+
+
+def plain(value: str) -> str:
+    """A value without the backslashes that escape other characters."""
+    out, at = "", 0
+    while at < len(value):
+        at += value[at] == "\\" and at + 1 < len(value)
+        out += value[at]
+        at += 1
+    return out
+
+
 def search(query: str | list[tuple[str, str]]) -> Search:
     """The parts of a query string. Values separated by commas are alternatives; repeated parameters must all hold."""
     out = Search()
@@ -70,7 +98,7 @@ def search(query: str | list[tuple[str, str]]) -> Search:
         elif name in ("_count", "_offset"):
             if not value.isdigit():
                 raise SearchError(f"{name} must be a number")
-            setattr(out, name[1:], min(int(value), MAX_COUNT) if name == "_count" else int(value))
+            setattr(out, name[1:], min(int(value) or DEFAULT_COUNT, MAX_COUNT) if name == "_count" else int(value))
         elif name in ("_include", "_revinclude"):
             if "*" in value or value.count(":") < 1:
                 raise SearchError(f"{name}={value} is not supported")
@@ -83,9 +111,15 @@ def search(query: str | list[tuple[str, str]]) -> Search:
             out.elements += value.split(",")
         else:
             param, _, chain = name.partition(".")
+            kind = ""
+            if "." in modifier:  # subject:Patient.name, maybe with a modifier of its own
+                kind, _, chain = modifier.partition(".")
+                chain, _, modifier = chain.partition(":")
             if "." in chain:
                 raise SearchError(f"{name}: chains of one step only")
-            out.terms.append(Term(param, modifier, value.split(","), chain))
+            out.terms.append(Term(param, modifier, split_at(value, ","), chain, kind))
+    if out.summary == "count" and out.elements:
+        raise SearchError("_summary=count with _elements")
     return out
 
 
@@ -109,15 +143,21 @@ def matches(param: Param, term: Term, value: Column) -> Column:
     """Whether an index value meets one of the term's values."""
     if term.modifier and term.modifier not in MODIFIERS.get(param.kind, ()):
         raise SearchError(f"{param.name}:{term.modifier} is not supported")
+    if param.components:
+        parts = [[plain(x.strip()) for x in split_at(v, "$")] for v in term.values]
+        if any(len(x) != param.components for x in parts):
+            raise SearchError(f"{param.name} has {param.components} components")
+        return value.isin(*["$".join(x) for x in parts])
+    values = [plain(v) for v in term.values]
     if term.modifier == "contains" or term.modifier == "text":
-        return _any([F.contains(F.lower(value), F.lit(v.lower())) for v in term.values])
+        return _any([F.contains(F.lower(value), F.lit(v.lower())) for v in values])
     if term.modifier == "type":
-        return _any([value.startswith(v + "/") for v in term.values])
+        return _any([value.startswith(v + "/") | value.startswith(v + "|") for v in values])
     if term.modifier == "identifier":
-        return _any([(value == v) | value.endswith("/" + v) | value.endswith("|" + v) for v in term.values])
+        return _any([(value == v) | value.endswith("/" + v) | value.endswith("|" + v) for v in values])
     if param.kind in ("date", "number"):
-        return _any([_ordered(param.kind, *prefix(param.kind, v), value) for v in term.values])
-    return value.isin(*term.values)
+        return _any([_ordered(param.kind, *prefix(param.kind, v), value) for v in values])
+    return value.isin(*values)
 
 
 def _any(tests: list[Column]) -> Column:
@@ -140,26 +180,35 @@ def _ordered(kind: str, op: str, v: str, value: Column) -> Column:
     return {"eq": same, "ne": ~same, "gt": x >= b, "ge": x >= a, "lt": x < a, "le": x < b, "sa": x >= b, "eb": x < a, "ap": same}[op]
 
 
+#: Parameters that every resource type has; the time of the last update is looked for in the resource's meta.
+SPECIAL = [Param("_id", "token", lambda p: N.strings(p["id"])), Param("_lastUpdated", "date", lambda p: N.strings(p["meta"]["lastUpdated"]))]
+
+
 def _lookup(params: list[Param], name: str) -> Param:
-    found = next((p for p in params if p.name == name), None)
+    found = next((p for p in [*params, *SPECIAL] if p.name == name), None)
     if found is None:
         raise SearchError(f"no parameter {name}")
     return found
 
 
 def ids(rows: DataFrame, params: list[Param], terms: list[Term]) -> DataFrame:
-    """Index mode: distinct ids of the resources that meet all terms (without chains), in one pass of the index."""
+    """Index mode: distinct ids of the resources that meet all terms (without chains), in one pass of the index.
+
+    Only index rows that meet some term go to the aggregation; of a term with ``:not`` all rows of its field do.
+    """
+    if any(t.chain for t in terms):
+        raise SearchError("an index of one type can't follow chains; use run")
     tests = [(t, _lookup(params, t.param)) for t in terms]
     if not tests:
         return rows.select("id").distinct()
-    used = rows.where(F.col("field").isin(*{t.param for t, _ in tests}))
-    verdicts = []
+    verdicts, some = [], F.lit(False)
     for i, (t, p) in enumerate(tests):
         here = (F.col("field") == t.param) & F.coalesce(matches(p, t, F.col("value")), F.lit(False))
         verdicts.append(F.max(here).alias(f"t{i}"))
+        some = some | (F.col("field") == t.param if t.modifier == "not" else here)
         if t.modifier == "not":
             verdicts.append(F.max(F.col("field") == t.param).alias(f"f{i}"))
-    judged = used.groupBy("id").agg(*verdicts)
+    judged = rows.where(some).groupBy("id").agg(*verdicts)
     for i, (t, _) in enumerate(tests):
         judged = judged.where(F.col(f"f{i}") & ~F.col(f"t{i}") if t.modifier == "not" else F.col(f"t{i}"))
     return judged.select("id")
@@ -170,6 +219,8 @@ def direct(df: DataFrame, params: list[Param], terms: list[Term]) -> DataFrame:
     root = Path.of(df)
 
     def test(t: Term) -> Column:
+        if t.chain:
+            raise SearchError("chains need other types; use run")
         p = _lookup(params, t.param)
         values = p.values(root)
         met = F.exists(values, lambda v: F.coalesce(matches(p, t, v), F.lit(False)))
@@ -268,3 +319,97 @@ def links(base: str, s: Search, total: int) -> dict[str, str]:
 def orphans(rows: DataFrame, live: DataFrame) -> DataFrame:
     """Index rows of resources that are no more."""
     return rows.join(live.select("id"), "id", "left_anti")
+
+
+@dataclass
+class Found:
+    """What a search gives: ``page`` (id, position, and rank of full text), ``total``, ``resources`` (projected), ``included`` (resourceType, id)."""
+
+    search: Search
+    kind: str
+    page: DataFrame
+    total: DataFrame
+    resources: DataFrame
+    included: DataFrame
+
+    def bundle(self) -> DataFrame:
+        return bundle(self.page.select(F.lit(self.kind).alias("resourceType"), "id"), self.included)
+
+    def links(self, base: str = "") -> dict[str, str]:
+        return links(base or self.kind, self.search, self.total.first()[0])
+
+
+def _links(df: DataFrame, p: Param) -> DataFrame:
+    """id, target_type, target of the typed references of a parameter."""
+    values = df.select("id", F.explode(F.array_distinct(p.values(Path.of(df)))).alias("value")).where(F.contains("value", F.lit("/")))
+    return values.select("id", F.substring_index("value", "/", 1).alias("target_type"), F.substring_index("value", "/", -1).alias("target"))
+
+
+def _sorted_by(df: DataFrame, params: list[Param], keys: list[str]) -> list[Column]:
+    """Orders of a resource's own columns: of several values the least; a missing one comes first, or last if descending."""
+    order, root = [], Path.of(df)
+    for key in keys:
+        p = _lookup(params, key.lstrip("-"))
+        if p.kind == "composite":
+            raise SearchError(f"_sort={key} is not supported")
+        typed = {"date": N.low, "number": lambda v: v.try_cast("double")}.get(p.kind, lambda v: v)
+        value = F.array_min(F.transform(p.values(root), typed))
+        order.append(value.desc_nulls_last() if key[0] == "-" else value.asc_nulls_first())
+    return order
+
+
+def run(query: str | list[tuple[str, str]], kind: str, params: dict[str, list[Param]], load: Callable[[str], DataFrame]) -> Found:
+    """The whole answer to a search of one resource type; ``load`` gives the resources of a type, ``params`` its parameters.
+
+    Without ``_sort`` a full-text search comes by rank, any other by id; ties always go by id. Includes belong to the page. What a
+    search does not support raises SearchError.
+    """
+    s, own, df = search(query), params[kind], load(kind)
+    for name, values in (("_sort", s.sort), ("_include", s.include), ("_revinclude", s.revinclude)):
+        if any(not v.strip("-") for v in values):
+            raise SearchError(f"{name} is empty")
+    df = direct(df, own, [t for t in s.terms if not t.chain])
+    for t in s.terms:
+        if t.chain:
+            ref = _lookup(own, t.param)
+            targets = [k for k in ref.targets if t.type in ("", k)]
+            if ref.kind != "reference" or not targets:
+                raise SearchError(f"{t.param}:{t.type} is no reference that can be followed")
+            met = None
+            for k in targets:
+                ids_ = direct(load(k), params[k], [Term(t.chain, t.modifier, t.values)]).select(F.lit(k).alias("target_type"), F.col("id").alias("target"))
+                met = ids_ if met is None else met.unionByName(ids_)
+            df = df.join(_links(df, ref).join(met, ["target_type", "target"], "left_semi").select("id").distinct(), "id", "left_semi")
+    rank = []
+    if s.text:
+        strings_ = [p for p in own if p.kind == "string"]
+        if not strings_:
+            raise SearchError(f"{kind} has no text")
+        df = df.join(full_text(text_documents(index(df, strings_)), "text", s.text), "id")
+        rank = ["rank"]
+    total = df.agg(F.count("*").alias("total"))
+    order = _sorted_by(df, own, s.sort) if s.sort else [F.desc("rank")] if rank else []
+    limited = df.orderBy(*order, "id").offset(s.offset).limit(0 if s.summary == "count" else s.count)
+    numbered = limited.withColumn("position", F.row_number().over(Window.orderBy(*order, "id")) + s.offset)  # a page of MAX_COUNT rows at most
+    page_ = numbered.select("id", "position", *rank)
+    more = []
+    for value in s.include:
+        source, name, *only = value.split(":")
+        ref = _lookup(own, name)
+        if source != kind or ref.kind != "reference":
+            raise SearchError(f"_include={value} is not supported")
+        wanted = _links(limited, ref).select(F.col("target_type").alias("resourceType"), F.col("target").alias("id")).distinct()
+        more += [load(k).select("resourceType", "id").join(wanted, ["resourceType", "id"], "left_semi") for k in ref.targets if not only or k in only]
+    for value in s.revinclude:
+        source, name, *only = value.split(":")
+        if source not in params or only and only != [kind]:
+            raise SearchError(f"_revinclude={value} is not supported")
+        others, ref = load(source), _lookup(params[source], name)
+        back = _links(others, ref).where(F.col("target_type") == kind).join(limited.select(F.col("id").alias("target")), "target", "left_semi")
+        more.append(others.select("resourceType", "id").join(back.select("id").distinct(), "id", "left_semi"))
+    included_ = df.sparkSession.createDataFrame([], "resourceType string, id string")
+    for part in more:
+        included_ = included_.unionByName(part.select("resourceType", "id"))
+    included_ = included_.distinct().join(limited.select("resourceType", "id"), ["resourceType", "id"], "left_anti")
+    resources_ = projected(numbered.drop(*rank, "position") if rank else numbered.drop("position"), s)
+    return Found(s, kind, page_, total, resources_, included_)

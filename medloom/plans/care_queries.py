@@ -119,6 +119,38 @@ def conflict_auto_merge(spark, sf_dir):
     return base.join(local, "id").join(remote, "id").select("id", conflict.merged("base", "local", "remote").alias("merged"))
 
 
+#: A pack of rules for the versions above: notes are appended to, addresses merge, names need a review.
+_PACK = [("Patient", "note", "append_only"), ("Patient", "address", "auto_merge"), ("Patient", "balance", "auto_merge"), ("Patient", "name", "review_only")]
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 6 IN (1, 5) THEN 'stale_base_only' WHEN c_custkey % 6 = 3 THEN 'append_compatible' WHEN c_custkey % 12 = 8 THEN 'overlap' ELSE 'non_overlap' END AS classification,
+    CASE c_custkey % 6 WHEN 1 THEN 'review' WHEN 5 THEN 'blocked' ELSE 'safe' END AS risk, c_custkey % 6 = 3 OR c_custkey % 12 = 2 AS can_merge,
+    CASE WHEN c_custkey % 12 = 8 THEN 'address.city' WHEN c_custkey % 6 = 3 THEN 'note' ELSE '' END AS overlaps FROM customer WHERE c_custkey % 6 IN (1, 2, 3, 5)""")
+def conflict_rules(spark, sf_dir):
+    return conflict.ruled(*_versions(spark, sf_dir), "Patient", _PACK)
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 1 THEN '[{"op":"replace","path":"/name","value":"renamed"}]' WHEN 2 THEN '[{"op":"replace","path":"/address/city","value":"b"}]'
+    WHEN 3 THEN '[{"op":"add","path":"/note/-","value":"local"}]' END AS patch FROM customer WHERE c_custkey % 6 IN (1, 2, 3, 5)""")
+def conflict_patch(spark, sf_dir):
+    return conflict.patches(*_versions(spark, sf_dir))
+
+
+@query("""SELECT c_custkey AS id, 'review' AS decision, CASE WHEN c_custkey % 4 = 1 THEN 'resolved' ELSE 'open' END AS status, CASE WHEN c_custkey % 4 = 1 THEN 'theirs' END AS resolution FROM customer WHERE c_custkey % 6 IN (1, 5) OR c_custkey % 12 = 8""")
+def conflict_list(spark, sf_dir):
+    """Conflicts under review with what was decided last: first ours, then theirs."""
+    found = conflict.classified(*_versions(spark, sf_dir)).where("decision = 'review'").select("id", "decision")
+    keys = table(spark, sf_dir, "customer").where("c_custkey % 4 = 1").select(F.col("c_custkey").alias("id"))
+    decided = keys.select("id", F.lit(1).alias("at"), F.lit("ours").alias("resolution")).unionByName(keys.select("id", F.lit(2).alias("at"), F.lit("theirs").alias("resolution")))
+    return conflict.listed(found, decided)
+
+
+@query("SELECT 'conflict:' || c_custkey AS job_key FROM customer WHERE (c_custkey % 6 IN (1, 5) OR c_custkey % 12 = 8) AND c_custkey % 5 <> 0")
+def conflict_jobs(spark, sf_dir):
+    existing = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("conflict:"), F.col("c_custkey").cast("string")).alias("job_key"))
+    return conflict.jobs(conflict.classified(*_versions(spark, sf_dir)), existing)
+
+
 # validation
 
 

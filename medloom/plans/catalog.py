@@ -10,10 +10,6 @@ from ..operators.search import Param
 from ..sources import tables
 
 
-def _dated(get):
-    return lambda p: N.strings(get(p))
-
-
 PARAMS: dict[str, list[Param]] = {
     "Patient": [
         Param("_id", "token", lambda p: N.strings(p["id"])),
@@ -30,10 +26,10 @@ PARAMS: dict[str, list[Param]] = {
         Param("_id", "token", lambda p: N.strings(p["id"])),
         Param("status", "token", lambda p: N.strings(p["status"])),
         Param("subject", "reference", lambda p: N.references(p["subject"]), ("Patient",)),
-        Param("date", "date", lambda p: N.strings(p["period"]["start"])),
+        Param("date", "date", lambda p: N.dates(p["period"])),
         Param("priority", "token", lambda p: N.concept_tokens(p["priority"])),
         Param("total", "number", lambda p: N.numbers(p["totalPrice"])),
-        Param("status-priority", "composite", lambda p: F.array(F.concat_ws("$", p["status"].col, p.at("priority.coding.code.first()").col))),
+        Param("status-priority", "composite", lambda p: F.array(F.concat_ws("$", p["status"].col, p.at("priority.coding.code.first()").col)), components=2),
     ],
     "Organization": [
         Param("_id", "token", lambda p: N.strings(p["id"])),
@@ -50,7 +46,7 @@ PARAMS: dict[str, list[Param]] = {
         Param("code", "token", lambda p: N.concept_tokens(p["code"])),
         Param("encounter", "reference", lambda p: N.references(p["encounter"]), ("Encounter",)),
         Param("value-quantity", "number", lambda p: N.numbers(p["value"].ofType("Quantity")["value"])),
-        Param("date", "date", lambda p: N.strings(p["effectiveDateTime"])),
+        Param("date", "date", lambda p: N.dates(p["effective"])),
     ],
 }
 

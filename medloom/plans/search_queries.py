@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..sources.resources import with_meta
 from ..sources.tables import table
 from .catalog import PARAMS, resources
 from .registry import query
@@ -16,8 +17,16 @@ def rows(spark: SparkSession, sf_dir: str, kind: str, *names: str) -> DataFrame:
     return S.index(resources(spark, sf_dir, kind), [p for p in PARAMS[kind] if not names or p.name in names])
 
 
+def search(spark: SparkSession, sf_dir: str, kind: str, text: str) -> S.Found:
+    """The whole answer to a search: its page, total, resources, included resources and links."""
+    return S.run(text, kind, PARAMS, lambda k: resources(spark, sf_dir, k))
+
+
 def found(spark: SparkSession, sf_dir: str, kind: str, text: str) -> DataFrame:
+    """Ids of the resources that meet the terms of a search, by the index of their values; other parts of a search are an error here."""
     s = S.search(text)
+    if s.sort or s.include or s.revinclude or s.text or s.elements or s.offset or s.count != S.DEFAULT_COUNT:
+        raise S.SearchError("only terms here; use search")
     return S.ids(rows(spark, sf_dir, kind, *{t.param for t in s.terms}), PARAMS[kind], s.terms)
 
 
@@ -193,3 +202,52 @@ def index_date_variants(spark, sf_dir):
 def capability_statement(spark, sf_dir):
     known = spark.createDataFrame([(t, p.name) for t, ps in PARAMS.items() for p in ps], "resource_type string, param string")
     return known.groupBy("resource_type").agg(F.array_join(F.sort_array(F.collect_list("param")), ",").alias("params"))
+
+
+# whole searches: page, included resources and total in one table
+
+
+def _listed(out: S.Found) -> DataFrame:
+    page = out.page.select(F.lit(out.kind).alias("resource_type"), "id", F.lit("match").alias("mode"), F.col("position").cast("long").alias("position"))
+    more = out.included.select(F.col("resourceType").alias("resource_type"), "id", F.lit("include").alias("mode"), F.lit(None).cast("long").alias("position"))
+    return page.unionByName(more).crossJoin(F.broadcast(out.total))  # the total is one row
+
+
+@query("""WITH m AS (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey IN (SELECT c_custkey FROM customer WHERE contains(c_name, '7'))),
+         p AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS n FROM m QUALIFY n BETWEEN 11 AND 40)
+    SELECT 'Encounter' AS resource_type, CAST(o_orderkey AS VARCHAR) AS id, 'match' AS mode, CAST(n AS BIGINT) AS position, (SELECT count(*) FROM m) AS total FROM p
+    UNION ALL SELECT DISTINCT 'Patient', CAST(o_custkey AS VARCHAR), 'include', NULL::BIGINT, (SELECT count(*) FROM m) FROM p""")
+def search_full_chain_sort_page_include(spark, sf_dir):
+    return _listed(search(spark, sf_dir, "Encounter", "status=finished,in-progress&subject:Patient.name:contains=7&_sort=-date&_count=30&_offset=10&_include=Encounter:subject"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND w NOT IN ({_STOPS}))) AS w FROM part),
+         r AS (SELECT CAST(id AS VARCHAR) AS id, round(count(*) FILTER (w = (SELECT string_split(lower(min(p_name)), ' ')[1] FROM part)) / count(*), 6) AS rank FROM t GROUP BY 1)
+    SELECT id, rank, CAST(row_number() OVER (ORDER BY rank DESC, id) AS BIGINT) AS position, (SELECT count(*) FROM r WHERE rank > 0) AS total FROM r WHERE rank > 0 ORDER BY position LIMIT 20""")
+def search_full_text_by_rank(spark, sf_dir):
+    """Parts by a word of their names, best first, the default page of 20 (a count of 0 asks for it too)."""
+    from ..functions import normalize as N
+
+    part = table(spark, sf_dir, "part")
+    word = part.agg(F.min("p_name")).first()[0].lower().split(" ")[0]
+    product = part.select(F.lit("Product").alias("resourceType"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
+    out = S.run(f"_text={word}&_count=0", "Product", {"Product": [S.Param("name", "string", lambda p: N.strings(p["name"]))]}, lambda k: product)
+    return out.page.withColumn("position", F.col("position").cast("long")).crossJoin(F.broadcast(out.total))
+
+
+@query("""WITH p AS (SELECT c_custkey FROM customer WHERE contains(c_name, '00') AND c_acctbal > 100 ORDER BY CAST(c_custkey AS VARCHAR) DESC LIMIT 25)
+    SELECT 'Patient' AS resource_type, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'female' ELSE 'male' END AS gender FROM p
+    UNION ALL SELECT 'Encounter', CAST(o_orderkey AS VARCHAR), NULL FROM orders WHERE o_custkey IN (SELECT c_custkey FROM p)""")
+def search_full_elements_revinclude(spark, sf_dir):
+    out = search(spark, sf_dir, "Patient", "name:contains=00&balance=gt100&_sort=-_id&_count=25&_elements=gender&_revinclude=Encounter:subject:Patient")
+    return out.resources.select(F.col("resourceType").alias("resource_type"), "id", "gender").unionByName(out.included.select(F.col("resourceType").alias("resource_type"), "id", F.lit(None).cast("string").alias("gender")))
+
+
+@query("""WITH e AS (SELECT o_orderkey, o_orderdate + INTERVAL 90 MINUTE AS u FROM orders), m AS (SELECT * FROM e WHERE u >= TIMESTAMP '1995-03-01' AND u < TIMESTAMP '1995-05-01')
+    SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY u DESC, CAST(o_orderkey AS VARCHAR)) AS BIGINT) AS position, (SELECT count(*) FROM m) AS total FROM m ORDER BY position LIMIT 50""")
+def search_full_last_updated(spark, sf_dir):
+    """A range and an order of _lastUpdated, written with an offset from UTC, in meta."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.date_format(F.col("o_orderdate") + F.expr("INTERVAL '210' MINUTE"), "yyyy-MM-dd'T'HH:mm:ss'+02:00'").alias("u"))
+    encounters = with_meta(orders.withColumn("resourceType", F.lit("Encounter")), F.lit("1"), F.col("u")).drop("u")
+    out = S.run("_lastUpdated=ge1995-03&_lastUpdated=lt1995-05-01&_sort=-_lastUpdated&_count=50", "Encounter", {"Encounter": []}, lambda k: encounters)
+    return out.page.withColumn("position", F.col("position").cast("long")).crossJoin(F.broadcast(out.total))
