@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -34,7 +34,7 @@ SAMPLES = 64
 BAND = 4
 MIN_AGREE = 36
 FINE = 512
-FINE_AGREE = 379
+FINE_AGREE = 376
 CACHED = 2_000_000
 DF_BITS = 16
 IDF_BASE = 8.0
@@ -148,37 +148,42 @@ def samples(own: np.ndarray, key: np.ndarray, log_weight: np.ndarray, n: int, m:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, x, y (the hash of the words), n_words, sig (array of samples) of every row."""
+    """doc_id, k1, k2, x, y (the hash of the words), n_words, sig (array of samples) of every row of ``keyed``."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
             for first, n, data, begin in words.batches(batch.column("text").to_pylist()):
                 own, key, weight, exact, count = shingles(data, begin, shared.value)
                 sig = samples(own, key, weight, n)
                 offsets = pa.array(np.arange(0, sig.size + 1, SAMPLES, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array(exact[0].view(np.int64)), pa.array(exact[1].view(np.int64)), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel()))],
-                    ["doc_id", "x", "y", "n_words", "sig"],
+                    [*(batch.column(c).slice(first, n) for c in ("doc_id", "k1", "k2")), pa.array(exact[0].view(np.int64)), pa.array(exact[1].view(np.int64)), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel()))],
+                    ["doc_id", "k1", "k2", "x", "y", "n_words", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x long, y long, n_words long, sig array<int>")
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, x long, y long, n_words long, sig array<int>")
+
+
+def _names() -> list[Column]:
+    """k1, k2: 128 bits of doc_id and text that name a row of a table; rows alike in both are alike."""
+    id_ = F.col("doc_id").cast("long")
+    return [F.xxhash64(id_, "text").alias("k1"), F.xxhash64(F.lit(2), "text", id_).alias("k2")]
 
 
 def finer(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """rep, fine: FINE further samples of each text (doc_id, text), 16 bits each."""
+    """rep, fine: FINE further samples of each text (rep, text), 16 bits each."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids = batch.column("rep")
             for first, n, data, begin in words.batches(batch.column("text").to_pylist()):
                 own, key, weight, _, _ = shingles(data, begin, shared.value)
                 fine = samples(own, key, weight, n, FINE, SEED + 1).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array([row.tobytes() for row in fine], pa.binary())], ["rep", "fine"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, fine binary")
+    return texts.select("rep", "text").mapInArrow(run, "rep long, fine binary")
 
 
 def weighted_jaccard(pairs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -239,29 +244,25 @@ def _strangers(rows: pa.Table, strays: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, class_size, kept of every row: class_id is the smallest doc_id of its class.
-
-    A class holds documents joined by links of the given similarity or more; texts of the same words are one.
-    Rows without doc_id and texts without words (null, empty) are classes of their own, and stay; a null doc_id has
-    a null class_id. Rows that share a doc_id count as rows of their own. An empty table gives an empty result.
-    """
+def _groups(docs: DataFrame, similarity: float) -> DataFrame:
+    """As near_groups, with k1 and k2 of each row. A text (that is, its words) is known by a number, ``rep``, whatever its doc_ids."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_names())
     idf = idf_table(*document_frequencies(docs))
-    signed = written(signatures(docs, idf), "signatures")
+    signed = written(signatures(keyed, idf), "signatures")
     real = signed.where("doc_id is not null and n_words > 0")
-    reps = written(real.groupBy("x", "y").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "reps")
+    reps = real.groupBy("x", "y").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("own"), F.min_by("sig", "doc_id").alias("sig"))
+    reps = written(reps.select("x", "y", "own.k1", "own.k2", "sig", F.monotonically_increasing_id().alias("rep")), "reps")
     bands = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES // BAND - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * BAND + 1, BAND)))
     rows = written(reps.select("rep", F.posexplode(bands).alias("band", "bucket")), "bands")
-    leaders = rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    leaders = written(rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
     rows = written(rows.join(leaders, "bucket"), "buckets")
 
-    ids = written(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    texts = written(one, "texts").groupBy("doc_id").agg(F.min("text").alias("text"))
+    ids = rows.select("rep").distinct().join(reps.select("rep", "k1", "k2"), "rep")
+    texts = written(keyed.select("k1", "k2", "text").join(ids, ["k1", "k2"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
     sigs = reps.select("rep", "sig")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        both = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
         return written(weighted_jaccard(both, idf).where(F.col("similarity") >= similarity).select("a", "b"), "links")
 
     stars = rows.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
@@ -276,7 +277,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     mixed = placed.groupBy("bucket").agg(F.count_if(F.col("comp") != F.col("main")).alias("strays")).where("strays > 0").select("bucket")
     placed = written(placed.join(mixed, "bucket", "left_semi"), "mixed")
     cells = max(1, -(-placed.count() // CELL_ROWS))
-    fine = written(finer(texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), idf), "finer")
+    fine = written(finer(texts.join(placed.select("rep").distinct(), "rep", "left_semi"), idf), "finer")
     placed = written(placed.join(sigs, "rep").join(fine, "rep"), "compared")
     splits = F.ceil(F.col("n") / BLOCK_ROWS)
     cell = F.pmod(F.xxhash64("block"), F.lit(cells)).alias("cell")
@@ -287,15 +288,26 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = links.unionByName(linked(written(more, "strangers")))
     root = written(components(links), "roots")
 
-    found = real.select("doc_id", "x", "y").join(reps.select("x", "y", "rep"), ["x", "y"])
-    found = found.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
-    sizes = found.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    found = found.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    alone = signed.where("doc_id is null or n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    found = real.select("doc_id", "k1", "k2", "x", "y").join(reps.select("x", "y", "rep"), ["x", "y"])
+    found = found.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "k1", "k2", F.coalesce("root", "rep").alias("class"))
+    sizes = written(found.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    found = found.join(sizes, "class").select("doc_id", "k1", "k2", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    alone = signed.where("doc_id is null or n_words = 0").select("doc_id", "k1", "k2", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return found.unionByName(alone)
 
 
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, class_size, kept of every row: class_id is the smallest doc_id of its class.
+
+    A class holds documents joined by links of the given similarity or more; texts of the same words are one.
+    Rows without doc_id and texts without words (null, empty) are classes of their own, and stay; a null doc_id has
+    a null class_id. Rows that share a doc_id and differ in text are compared as other rows are: each is in the class of its
+    own text. An empty table gives an empty result.
+    """
+    return _groups(docs, similarity).select("doc_id", "class_id", "class_size", "kept")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The input's columns of the documents that stay; a doc_id goes if all its rows go."""
-    gone = near_groups(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The input's columns of the rows that stay."""
+    gone = _groups(docs, SIMILARITY).where("not kept").select("k1", "k2").distinct()
+    return docs.select(F.struct("*").alias("_row"), *_names()).join(gone, ["k1", "k2"], "left_anti").select("_row.*")
