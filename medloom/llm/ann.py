@@ -3,7 +3,7 @@
 Each table projects unit vectors on a few Gaussian directions and cuts the lines into steps of ``width``; the steps
 name a bucket. A query visits its own bucket and those beside it in the order of their estimated success: the sum
 of squared distances to the borders crossed. Rows meet queries bucket by bucket in numpy blocks, so no pairs are
-shuffled: a block gives each query its k best only. Candidates of all tables are merged and ranked by the exact
+shuffled: a block gives each query its k best only, and a query's vector goes to each group of blocks once. Candidates of all tables are merged and ranked by the exact
 cosine of the original vectors in double precision.
 
 Large buckets are split by vec_id and queries visit all splits. A query that finds fewer than k candidates is
@@ -89,79 +89,117 @@ def probes(fraction: np.ndarray, n: int) -> np.ndarray:
     return np.array(out)
 
 
-def _hashed(p: dict, probing: bool):
+def _indexed(p: dict):
+    """bucket, vec_id, embedding: each vector in its bucket of each table."""
+
     def run(batches):
         for batch in batches:
-            buckets, rows = [], []
+            buckets, rows = [np.zeros(0, np.int64)], [np.zeros(0, int)]
             for dim, at, m in _by_length(batch.column("vec_id"), batch.column("embedding")):
+                unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+                for table in range(p["tables"]):
+                    buckets.append(_bucket(np.floor(_places(unit, table, p)), table, dim))
+                    rows.append(at)
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["bucket", "vec_id", "embedding"])
+
+    return run
+
+
+def _probed(p: dict):
+    """bucket, uid: the buckets that each query visits, without its vector."""
+
+    def run(batches):
+        for batch in batches:
+            buckets, rows = [np.zeros(0, np.int64)], [np.zeros(0, int)]
+            for dim, at, m in _by_length(batch.column("uid"), batch.column("embedding")):
                 unit = m / np.linalg.norm(m, axis=1, keepdims=True)
                 for table in range(p["tables"]):
                     where = _places(unit, table, p)
                     steps = np.floor(where)
-                    if probing:
-                        for i, row in enumerate(at):
-                            near = steps[i] + probes(where[i] - steps[i], p["probes"])
-                            buckets.append(_bucket(near, table, dim))
-                            rows.append(np.full(len(near), row))
-                    else:
-                        buckets.append(_bucket(steps, table, dim))
-                        rows.append(at)
-            take = pa.array(np.concatenate(rows) if rows else np.zeros(0, int))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets) if buckets else np.zeros(0, np.int64)), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["bucket", "vec_id", "embedding"])
+                    for i, row in enumerate(at):
+                        near = steps[i] + probes(where[i] - steps[i], p["probes"])
+                        buckets.append(_bucket(near, table, dim))
+                        rows.append(np.full(len(near), row))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), batch.column("uid").take(pa.array(np.concatenate(rows)))], ["bucket", "uid"])
 
     return run
 
 
-def _best(qid, q, vid, v, k: int):
-    """Each query's k best of a block, by exact cosine, then smaller vec_id; the query's own id is left out."""
+def _best(q: np.ndarray, vid: np.ndarray, v: np.ndarray, own: np.ndarray, k: int):
+    """(query, row, exact cosine) of each query's k best of a block and whatever ties with them; rows of the id ``own`` are left out."""
     rough = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-    rough[qid[:, None] == vid[None, :]] = -np.inf
-    norms = np.sqrt((v * v).sum(1))
-    distinct = len(np.unique(vid)) == len(vid)
-    for i in range(len(qid)):
-        r = rough[i]
-        least = np.partition(r, len(r) - k - 1)[len(r) - k - 1 :].min() if distinct and len(r) > k + 1 else -2.0
-        at = np.flatnonzero(r >= max(least, -2.0) - 1e-9)
-        exact = (v[at] * q[i]).sum(1) / (np.sqrt((q[i] * q[i]).sum()) * norms[at])
-        order = np.lexsort((vid[at], -exact))
-        ids, first = np.unique(vid[at][order], return_index=True)
-        for o in order[np.sort(first)[:k]]:
-            yield qid[i], vid[at[o]], exact[o]
+    rough[own[:, None] == vid[None, :]] = -np.inf
+    if len(vid) > k + 1 and len(np.unique(vid)) == len(vid):
+        least = np.maximum(np.partition(rough, len(vid) - k, axis=1)[:, len(vid) - k], -2.0)
+        at, row = np.nonzero(rough >= least[:, None] - 1e-9)
+    else:
+        at, row = np.nonzero(rough > -2.0)
+    exact = np.empty(len(at))
+    norms, mine = np.sqrt((v * v).sum(1)), np.sqrt((q * q).sum(1))
+    for s in range(0, len(at), 1 << 16):  # many ties come in parts
+        i, j = at[s : s + (1 << 16)], row[s : s + (1 << 16)]
+        exact[s : s + (1 << 16)] = (v[j] * q[i]).sum(1) / (mine[i] * norms[j])
+    return at, row, exact
+
+
+def _first(qid: np.ndarray, vid: np.ndarray, score: np.ndarray, k: int):
+    """The k best ids of each query, by score, then smaller id; an id counts once, by its best score."""
+    order = np.lexsort((-score, vid, qid))
+    qid, vid, score = qid[order], vid[order], score[order]
+    once = np.append(True, (qid[1:] != qid[:-1]) | (vid[1:] != vid[:-1]))[: len(qid)]
+    qid, vid, score = qid[once], vid[once], score[once]
+    order = np.lexsort((vid, -score, qid))
+    qid, vid, score = qid[order], vid[order], score[order]
+    start = np.flatnonzero(np.append(True, qid[1:] != qid[:-1])[: len(qid)])
+    rank = np.arange(len(qid)) - np.repeat(start, np.diff(np.append(start, len(qid))))
+    return qid[rank < k], vid[rank < k], score[rank < k]
 
 
 def _matched(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        found: dict[int, dict[int, float]] = {}
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if rows.num_rows and queries.num_rows:
-            rows, queries = rows.sort_by([("block", "ascending"), ("vec_id", "ascending")]), queries.sort_by([("block", "ascending"), ("vec_id", "ascending")])
-            rb, qb = rows["block"].to_numpy(), queries["block"].to_numpy()
+            rows, asked = rows.sort_by([("block", "ascending"), ("vec_id", "ascending")]), queries["blocks"].combine_chunks()
+            rb, vid, qid = rows["block"].to_numpy(), rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+            of = np.repeat(np.arange(len(qid)), asked.value_lengths().to_numpy(zero_copy_only=False))
+            qb = asked.flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(qb, kind="stable")
+            of, qb = of[order], qb[order]
             shared, start = np.unique(rb, return_index=True)
-            end = np.append(start[1:], len(rb))
-            for block, a, b in zip(shared, start, end):
-                c, d = np.searchsorted(qb, [block, block + 1]) if block < np.iinfo(np.int64).max else (np.searchsorted(qb, block), len(qb))
-                if c == d:
+            ends = np.append(start[1:], len(rb))
+            low, high = np.searchsorted(qb, shared, "left"), np.searchsorted(qb, shared, "right")
+            mine = {dim: (at, m) for dim, at, m in _by_length(queries["vec_id"], queries["embedding"])}
+            for dim, at, v in _by_length(rows["vec_id"], rows["embedding"]):
+                if dim not in mine:
                     continue
-                own, asked = rows.slice(a, b - a), queries.slice(c, d - c)
-                vectors = {dim: (at, m) for dim, at, m in _by_length(own["vec_id"], own["embedding"])}
-                vid, qid = own["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
-                for dim, at, m in _by_length(asked["vec_id"], asked["embedding"]):
-                    if dim in vectors:
-                        for s in range(0, len(at), 256):
-                            for x, y, score in _best(qid[at[s : s + 256]], m[s : s + 256], vid[vectors[dim][0]], vectors[dim][1], k):
-                                of = found.setdefault(int(x), {})
-                                of[int(y)] = max(of.get(int(y), -2.0), float(score))
-        best = [(x, y, s) for x, of in found.items() for y, s in sorted(of.items(), key=lambda i: (-i[1], i[0]))[:k]]
-        cols = list(zip(*best)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+                place = np.full(len(qid), -1)
+                place[mine[dim][0]] = np.arange(len(mine[dim][0]))
+                parts, size = [best], 0
+                for a, b, c, d in zip(np.searchsorted(at, start), np.searchsorted(at, ends), low, high):
+                    here = of[c:d][place[of[c:d]] >= 0]
+                    for s in range(0, len(here) if b > a else 0, 256):
+                        some = here[s : s + 256]
+                        i, j, exact = _best(mine[dim][1][place[some]], vid[at[a:b]], v[a:b], qid[some], k)
+                        parts.append([qid[some[i]], vid[at[a + j]], exact])
+                        size += len(i)
+                        if size > 1 << 20:
+                            parts, size = [list(_first(*map(np.concatenate, zip(*parts)), k))], 0
+                best = list(_first(*map(np.concatenate, zip(*parts)), k))
+        return pa.table({"query_id": pa.array(best[0], pa.int64()), "vec_id": pa.array(best[1], pa.int64()), "score": pa.array(best[2], pa.float64())})
 
     return run
 
 
-def _search(rows: DataFrame, queries: DataFrame, cells: int, k: int) -> DataFrame:
-    """Rows and queries of the same block meet; both have block, vec_id, embedding. ``cells`` groups hold the blocks."""
+def _search(rows: DataFrame, asked: DataFrame, queries: DataFrame, cells: int, k: int) -> DataFrame:
+    """Rows (block, vec_id, embedding) and queries (uid, vec_id, embedding) meet in the blocks that ``asked`` (block, uid) names.
+
+    ``cells`` groups hold the blocks, and a query's vector goes to each of them once at most.
+    """
     cell = F.pmod(F.xxhash64("block"), F.lit(cells)).alias("cell")
     a = rows.select(cell, "block", "vec_id", "embedding").groupBy("cell")
-    b = queries.select(cell, "block", "vec_id", "embedding").groupBy("cell")
+    visits = asked.select(cell, "uid", "block").groupBy("cell", "uid").agg(F.collect_set("block").alias("blocks"))
+    b = visits.join(queries, "uid").select("cell", "vec_id", "embedding", "blocks").groupBy("cell")
     return a.cogroup(b).applyInArrow(_matched(k), FOUND)
 
 
@@ -173,25 +211,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TA
     query gets fewer than k rows only if there are fewer candidates. Empty tables give no rows.
     """
     p = {"tables": tables, "functions": functions, "width": width, "probes": n_probes, "seed": seed}
-    vectors, queries = usable(vectors), usable(queries)
+    vectors = usable(vectors)
+    queries = written(usable(queries).select(F.monotonically_increasing_id().alias("uid"), "*"), "queries")
     n = vectors.count()
     cells = max(1, -(-n * tables // CELL_ROWS))
-    schema = "bucket long, vec_id long, embedding array<double>"
-    index, asked = vectors.mapInArrow(_hashed(p, False), schema), queries.mapInArrow(_hashed(p, True), schema)
+    index = vectors.mapInArrow(_indexed(p), "bucket long, vec_id long, embedding array<double>")
+    asked = queries.mapInArrow(_probed(p), "bucket long, uid long")
     large = written(index.groupBy("bucket").count().where(F.col("count") > BLOCK_ROWS).select("bucket", F.ceil(F.col("count") / BLOCK_ROWS).alias("splits")), "large")
     splits = F.coalesce("splits", F.lit(1))
     block = lambda split: F.xxhash64("bucket", split).alias("block")
     index = index.join(large, "bucket", "left").select(block(F.pmod(F.xxhash64("vec_id"), splits)), "vec_id", "embedding")
-    asked = asked.join(large, "bucket", "left").select("bucket", "vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)).alias("split"))
-    asked = asked.select(block(F.col("split")), "vec_id", "embedding")
-    found = written(_merged(_search(index, asked, cells, k), k), "found")
+    asked = asked.join(large, "bucket", "left").select("bucket", "uid", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)).alias("split")).select(block(F.col("split")), "uid")
+    found = written(_merged(_search(index, asked, queries, cells, k), k), "found")
     enough = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     short = written(queries.join(enough, "vec_id", "left_anti"), "short")
     if not short.isEmpty():
         blocks = max(1, -(-n // BLOCK_ROWS))
         by_id = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long").alias("block"), "vec_id", "embedding")
-        everywhere = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "vec_id", "embedding")
-        rest = _merged(_search(by_id, everywhere, max(1, -(-n // CELL_ROWS)), k), k)
+        everywhere = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "uid")
+        rest = _merged(_search(by_id, everywhere, short, max(1, -(-n // CELL_ROWS)), k), k)
         found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
     return found.select("query_id", "rank", "vec_id", "score")
 
