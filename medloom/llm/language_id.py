@@ -1,13 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams, scored in numpy batches.
 
-The log-probability matrix has a fixed number of rows and one column a language, so its size is bounded and it is
-broadcast. The classifier is fitted on a bounded sample of labelled rows (``per_lang`` documents a language,
+The log-probability matrix has a fixed number of rows and one column a language; it is broadcast in blocks of
+BLOCK_LANGS columns, whose size is fixed. The classifier is fitted on a bounded sample of labelled rows (``per_lang`` documents a language,
 picked by a hash of doc_id), with priors counted over all labelled rows; prediction reads whole texts.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,21 +17,25 @@ from pyspark.sql import functions as F
 BITS = 16
 ORDERS = (1, 2, 3)
 PER_LANG = 3000
-MAX_LANGS = 500
+BLOCK_LANGS = 200
 SMOOTHING = 0.1
 BATCH_CHARS = 500_000
 #: Multipliers of the n-gram hash, one for each place (fixed values).
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
 class Model:
     langs: list[str]
-    logp: np.ndarray  # (2 ** BITS, languages)
+    logp: list[np.ndarray]  # of each block of BLOCK_LANGS languages: (2 ** BITS, languages)
     prior: np.ndarray
 
 
+def has_letter(text) -> bool:
+    """Whether a text has a character of Unicode category L (digits, superscripts and fractions are none)."""
+    return isinstance(text, str) and any(map(str.isalpha, text))
+
+
 def _buckets(chars: np.ndarray, order: int) -> np.ndarray:
     """Bucket of the n-gram that starts at each place (the last order - 1 places have none)."""
     n = len(chars) - order + 1
@@ -85,19 +88,23 @@ def scores(texts: list[str], logp: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, eligible=None, per_lang: int = PER_LANG) -> Model:
     """Learn from text and non-null lang of the ``eligible`` rows (all, if None).
 
-    At most about ``per_lang`` documents of each language are read for the n-gram counts; at most MAX_LANGS
-    languages. Without any labelled row the model knows no language and predicts ``und``.
+    At most about ``per_lang`` documents of each language are read for the n-gram counts. Any number of languages is
+    learned, in blocks. Without any labelled row the model knows no language and predicts ``und``.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if eligible is None else rows.where(eligible)
-    counted = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(counted) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    n = {r["lang"]: r["count"] for r in counted}
+    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(n)
     if not langs:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
+        return Model([], [], np.zeros(0))
+    prior = np.log(np.array([n[k] for k in langs]) / sum(n.values()))
+    return Model(langs, [_fitted(rows, langs[i : i + BLOCK_LANGS], n, per_lang) for i in range(0, len(langs), BLOCK_LANGS)], prior)
+
+
+def _fitted(rows: DataFrame, langs: list[str], n: dict[str, int], per_lang: int) -> np.ndarray:
+    """Log-probabilities of the n-gram buckets in each of ``langs``."""
     rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / n[k]))])
+    rows = rows.where(F.col("lang").isin(*langs))
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30)).select("lang", "text")
     place = {k: i for i, k in enumerate(langs)}
 
@@ -120,9 +127,7 @@ def fit(docs: DataFrame, eligible=None, per_lang: int = PER_LANG) -> Model:
     table = np.zeros((1 << BITS, len(langs)))
     table[seen["bucket"].to_numpy(), seen["lang"].to_numpy()] = seen["n"].to_numpy()
     table += SMOOTHING
-    logp = np.log(table / table.sum(0)).astype(np.float32)
-    prior = np.log(np.array([n[k] for k in langs]) / sum(n.values()))
-    return Model(langs, logp, prior)
+    return np.log(table / table.sum(0)).astype(np.float32)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -131,18 +136,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ``und`` with score 0 if the text is null, empty or has no letters, or the model knows no language. Input
     columns of these names are replaced. Only the text is an input; of equal scores the first language wins.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    langs, prior, blocks = model.langs, model.prior, [docs.sparkSession.sparkContext.broadcast(b) for b in model.logp]
 
     @F.pandas_udf("lang_pred string, score double")
     def scored(text: pd.Series) -> pd.DataFrame:
-        m = shared.value
         lang = np.full(len(text), "und", object)
         score = np.zeros(len(text))
-        use = np.array([isinstance(t, str) and bool(m.langs) and LETTER.search(t) is not None for t in text], bool)
+        use = np.array([bool(langs) and has_letter(t) for t in text], bool)
         if use.any():
-            s = scores([t for t, u in zip(text, use) if u], m.logp) + m.prior
+            known = [t for t, u in zip(text, use) if u]
+            s = np.concatenate([scores(known, b.value) for b in blocks], 1) + prior
             best = s.argmax(1)
-            lang[use] = np.array(m.langs, object)[best]
+            lang[use] = np.array(langs, object)[best]
             score[use] = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
