@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,28 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own (local runs)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own, on a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="medloom-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    return where.rstrip("/")
+
+
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, whose files go at the latest when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/medloom/{tag}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a path of ``folder``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 #: Files of written steps, by the step.
@@ -31,29 +48,35 @@ _paths: dict[int, tuple] = {}
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
 
-    The files go when the driver's JVM ends.
+    The files go when they are discarded, or when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/medloom/{tag}-{uuid.uuid4().hex}"
+    path = folder(spark, tag)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # the step's shuffle files go when it is written
     try:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, hadoop)
+    _paths[id(out)] = (out, path)
     return out
 
 
 def discard(*steps: DataFrame) -> None:
     """Deletes the files of written steps that nothing needs any more: what came of them is written itself."""
     for df in steps:
-        _, hadoop = _paths.pop(id(df))
-        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        removed(df.sparkSession, _paths.pop(id(df))[1])
+
+
+@contextmanager
+def stage():
+    """Deletes at its end the files of all steps written within it, but for the steps given to what it yields."""
+    before = set(_paths)
+    held: list[DataFrame] = []
+    yield held.append
+    for key in [k for k in _paths if k not in before and all(_paths[k][0] is not h for h in held)]:
+        discard(_paths[key][0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

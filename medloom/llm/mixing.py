@@ -114,10 +114,13 @@ def _pool(frac: float, words: np.ndarray, rng: np.random.Generator) -> np.ndarra
 
 def _rounded(level: int, seed: int):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["words", "key", "size"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["words", "key"], ascending=[False, True], kind="stable")
         rng = np.random.default_rng([seed, level, int(pdf["group"].iloc[0]), int(pdf["source_key"].iloc[0]) & (2**63 - 1)])
         frac, words = pdf["frac"].to_numpy(float), pdf["words"].to_numpy(float)
-        frac = frac if level else _pool(float(frac[0]), words, rng)
+        single = np.flatnonzero(pdf["rows"].to_numpy() == 1) if level == 0 else []
+        if len(single):
+            frac = frac.copy()
+            frac[single] = _pool(float(frac[single[0]]), words[single], rng)
         pdf["frac"] = _pivot(frac, words, rng, bool(pdf["groups"].iloc[0] <= 1))
         return pdf
 
@@ -125,26 +128,31 @@ def _rounded(level: int, seed: int):
 
 
 def copy_counts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, rows, source_size, target, copies: the copies the mix takes of each document.
+    """doc_id, source, size, same, rows, source_size, target, whole, extra: the copies that the mix takes.
 
-    A null text has size 0. Rows alike in doc_id, source and size are one unit: each gets as many copies.
-    Draws depend on doc_id, source and ``seed`` alone, so reruns agree. An empty table gives an empty result.
+    ``same`` is a hash of all columns; rows alike in it, doc_id, source and size are one unit of ``rows`` rows. Each row gets
+    ``whole`` copies, and ``extra`` of the unit's rows one more: the whole part of what the fraction makes of them together,
+    and maybe one, rounded against the other units. A null text has size 0. Draws depend on the rows and ``seed`` alone,
+    so reruns agree. An empty table gives an empty result.
     """
-    units = docs.select("doc_id", "source", n_words("text").alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    same = F.xxhash64(*[F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    units = docs.select("doc_id", "source", n_words("text").alias("size"), same.alias("same")).groupBy("doc_id", "source", "size", "same").agg(F.count("*").alias("rows"))
     units = written(units.withColumn("words", F.col("size") * F.col("rows")), "sizes")
     targets = source_targets(units, weights, cap)
     most = targets.agg(F.max("units")).first()[0] or 0
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    groups = F.ceil(F.col("units") / GROUP_ROWS)
+    together = F.greatest(copies - F.col("whole"), F.lit(0.0)) * F.col("rows")
     rows = (
         units.withColumnRenamed("source", "own")
         .join(targets, F.col("own").eqNullSafe(F.col("source")))
         .drop("own")
+        .withColumn("words", F.col("size"))
         .withColumn("whole", F.floor(copies + TINY))
-        .withColumn("frac", F.greatest(copies - F.col("whole"), F.lit(0.0)))
-        .withColumn("key", F.xxhash64("doc_id"))
+        .withColumn("extra", F.when(F.col("rows") > 1, F.floor(together + TINY)).otherwise(F.lit(0).cast("long")))
+        .withColumn("frac", F.greatest(together - F.col("extra"), F.lit(0.0)))
+        .withColumn("key", F.xxhash64("doc_id", "same"))
         .withColumn("source_key", F.xxhash64("source"))
-        .withColumn("groups", groups)
+        .withColumn("groups", F.ceil(F.col("units") / GROUP_ROWS))
         .withColumn("group", F.pmod("key", "groups"))
         .drop("units")
     )
@@ -158,12 +166,27 @@ def copy_counts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int
             break
         n, level = math.ceil(n / FAN_IN), level + 1
         rows = rows.where(open_).withColumn("group", F.expr(f"group div {FAN_IN}")).withColumn("groups", F.ceil(F.col("groups") / FAN_IN))
-    return done.select("doc_id", "source", "size", "rows", "source_size", "target", (F.col("whole") + F.round("frac").cast("long")).alias("copies"))
+    return done.select("doc_id", "source", "size", "same", "rows", "source_size", "target", "whole", (F.col("extra") + F.round("frac").cast("long")).alias("extra"))
+
+
+def row_counts(counts: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies of every row, from copy_counts."""
+    each = counts.select("*", F.explode(F.expr("sequence(1L, rows)")).alias("ordinal"))
+    return each.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("ordinal") <= F.col("extra")).cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The input's columns, each row as often as the mix takes it (never more than three times, maybe not at all)."""
-    counts = copy_counts(docs).where("copies > 0").select(F.struct("doc_id", "source", "size").alias("_unit"), "copies")
-    sized = docs.select(F.struct("*").alias("_row"), F.struct(F.col("doc_id"), F.col("source"), n_words("text").alias("size")).alias("_unit"))
-    taken = sized.join(counts, sized["_unit"].eqNullSafe(counts["_unit"])).select("_row", F.explode(F.expr("sequence(1L, copies)")))
-    return taken.select("_row.*")
+    counts = copy_counts(docs).select(F.struct("doc_id", "source", "size", "same").alias("_unit"), "rows", (F.col("whole") * F.col("rows") + F.col("extra")).alias("copies")).where("copies > 0")
+    same = F.xxhash64(*[F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    sized = docs.select(F.struct("*").alias("_row"), F.struct(F.col("doc_id"), F.col("source"), n_words("text").alias("size"), same.alias("same")).alias("_unit"))
+
+    def taken(part: DataFrame, rows: DataFrame) -> DataFrame:
+        return rows.join(part.withColumnRenamed("_unit", "_of"), F.col("_unit").eqNullSafe(F.col("_of")))
+
+    out = taken(counts.where("rows = 1"), sized).select("_row", F.explode(F.expr("sequence(1L, copies)")))
+    many = counts.where("rows > 1")
+    if not many.isEmpty():  # one of each, as often as all together are taken
+        one = taken(many, sized).groupBy("_unit").agg(F.first("_row").alias("_row"), F.first("copies").alias("copies"))
+        out = out.unionByName(one.select("_row", F.explode(F.expr("sequence(1L, copies)"))))
+    return out.select("_row.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, debruijn_dedup, exact_dedup, language_id, mixing, near_dedup, packing, suffix_dedup, warc
-from .common import table, written
+from .common import folder, removed, table, written
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +45,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica written from the pages, of which each 89th has changed (and is longer) and each 211th is lost."""
-    pages = table(spark, sf_dir, "pages")
+    """Writes the pages as WARC files twice, the second time each 89th page changed (and longer) and each 211th lost; reads and hashes both, and audits."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     lost, changed = F.col("page_id") % 211 == 5, F.col("page_id") % 89 == 3
     replica = pages.where(~F.coalesce(lost, F.lit(False))).withColumn("html", F.when(changed, F.concat(F.coalesce("html", F.lit("")), F.lit("damaged"))).otherwise(F.col("html")))
-    ours, theirs = written(warc.addressed(pages), "records"), written(warc.addressed(replica), "replica")
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        path = folder(spark, name)
+        warc.write_warc(rows, path)
+        out = written(warc.addressed(spark, path), name)
+        removed(spark, path)
+        return out
+
+    ours, theirs = stored(pages, "ours"), stored(replica, "replica")
     return warc.audit(ours, theirs, key="page_id", carry=["page_id", "length"]).select("page_id", "segment", "offset", "length", "status")
 
 
@@ -58,8 +66,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = mixing.copy_counts(table(spark, sf_dir, "documents"))
-    each = counts.select("*", F.explode(F.expr("sequence(1L, rows)")))
+    each = mixing.row_counts(mixing.copy_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     return each.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -85,8 +92,8 @@ SQL: dict[str, str] = {
     "op8_warc_audit": r"""
         WITH r AS (SELECT page_id, page_id // 4096 AS segment, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
              l AS (SELECT page_id, segment,
-                          strlen('WARC/1.0WARC-Type: resourceWARC-Record-ID: <urn:md5:>WARC-Date: 2024-01-01T00:00:00ZWARC-Target-URI: Content-Type: text/htmlContent-Length: ')
-                          + 16 + 32 + strlen(u) + strlen(cast(strlen(h) AS VARCHAR)) + strlen(h) AS length FROM r),
+                          strlen('WARC/1.0WARC-Type: resourceWARC-Record-ID: <urn:md5:>WARC-Date: 2024-01-01T00:00:00ZWARC-Target-URI: X-Page-ID: Content-Type: text/htmlContent-Length: ')
+                          + 18 + 32 + strlen(CAST(page_id AS VARCHAR)) + strlen(u) + strlen(cast(strlen(h) AS VARCHAR)) + strlen(h) AS length FROM r),
              a AS (SELECT *, coalesce(sum(length + 4) OVER (PARTITION BY segment ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM l)
         SELECT page_id, segment, cast("offset" AS BIGINT) AS "offset", length, CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'changed' END AS status
         FROM a WHERE page_id % 211 = 5 OR page_id % 89 = 3""",

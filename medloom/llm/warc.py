@@ -7,68 +7,128 @@ are compared at the root; only the children of nodes that differ are looked at,
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import gzip
+import hashlib
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import written
 
 SEGMENT_PAGES = 4096
+FILE_RECORDS = 1024
 RANGE_BYTES = 64 * 1024
 FAN_OUT = 16
 CRAWL_DATE = "2024-01-01T00:00:00Z"
+NULL_SEGMENTS = 1024
+READ = "segment long, file string, offset long, length long, digest string, page_id long, uri string, body binary, error string"
 
 
-def record(url: str | Column, body: str | Column, date: str = CRAWL_DATE) -> Column:
-    """The text of a WARC/1.0 response record, without the two line ends that follow it; null counts as empty."""
-    url = F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit(""))
-    body = F.coalesce(F.col(body) if isinstance(body, str) else body, F.lit(""))
+def record(page_id: str | Column, url: str | Column, body: str | Column, date: str = CRAWL_DATE) -> Column:
+    """The text of a WARC/1.0 resource record, without the two line ends that follow it; null counts as empty."""
+    url, body = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (url, body))
+    page_id = F.coalesce((F.col(page_id) if isinstance(page_id, str) else page_id).cast("string"), F.lit(""))
     id_ = F.md5(F.concat(url, F.lit("\n"), body))
     return F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:md5:"), id_, F.lit(">\r\nWARC-Date: " + date + "\r\nWARC-Target-URI: "), F.regexp_replace(url, r"[\r\n]", ""),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body,
+        F.lit("\r\nX-Page-ID: "), page_id, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body,
     )
 
 
-def addressed(pages: DataFrame, segment_pages: int = SEGMENT_PAGES) -> DataFrame:
-    """page_id, segment, offset, length, digest: the place and hash of each page's record.
+def write_warc(pages: DataFrame, path: str, segment_pages: int = SEGMENT_PAGES, compression: str = "gzip") -> None:
+    """WARC files of FILE_RECORDS records at most for each segment under ``path``, by Spark's text writer, which ends records.
+
+    A segment holds the pages of a range of ids, in order; pages without an id go to NULL_SEGMENTS segments below 0 by content,
+    in the order of their text. Repeated rows are records of their own.
+    """
+    rows = pages.select("page_id", record("page_id", "url", "html").alias("value"))
+    segment = F.coalesce(F.floor(F.col("page_id") / segment_pages), -1 - F.pmod(F.xxhash64("value"), F.lit(NULL_SEGMENTS)))
+    rows = rows.select(segment.alias("segment"), "page_id", "value").repartition("segment").sortWithinPartitions("segment", "page_id", "value")
+    writer = rows.select("segment", "value").write.partitionBy("segment").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS)
+    writer.option("compression", compression).text(path)
+
+
+def _inflated(content: bytes) -> tuple[bytes, str | None]:
+    """A file's bytes; of a broken compressed file what comes before the break, and what is wrong."""
+    if content[:2] != b"\x1f\x8b":
+        return content, None
+    try:
+        return gzip.decompress(content), None
+    except (EOFError, OSError, zlib.error):
+        out, stream = b"", zlib.decompressobj(31)
+        try:
+            out = stream.decompress(content)
+        except zlib.error:
+            stream = zlib.decompressobj(31)
+            for i in range(len(content)):
+                try:
+                    out += stream.decompress(content[i : i + 1])
+                except zlib.error:
+                    break
+        return out, "broken compression"
+
+
+def parsed(data: bytes):
+    """(offset, length, headers, body, error) of each record of a file; what is no record up to the next one is one with an error."""
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        lines = data[at : max(end, at)].split(b"\r\n")
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
+        size = head.get(b"content-length", b"")
+        if not lines[0].startswith(b"WARC/") or not size.isdigit():
+            error = "no record" if not lines[0].startswith(b"WARC/") else "no length"
+        elif end + 4 + int(size) > len(data):
+            error = "cut off"
+        elif data[end + 4 + int(size) : end + 8 + int(size)] not in (b"\r\n\r\n", b""):
+            error = "wrong length"
+        else:
+            stop = end + 4 + int(size)
+            yield at, stop - at, head, data[end + 4 : stop], None
+            at = stop + 4
+            continue
+        after = data.find(b"\r\n\r\nWARC/", at + 1)
+        stop = after if after >= 0 else len(data)
+        yield at, stop - at, {}, data[at:stop], error
+        at = stop + 4 if after >= 0 else len(data)
+
+
+def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
+    """READ: every record of the files under ``path``, with its place in the file, the hash of its bytes and, if ``bodies``, its body.
+
+    What can't be read as a record is a row with ``error`` (no record, no length, cut off, wrong length, broken compression),
+    and reading goes on at the next record; nothing raises. A missing or foreign page id is null. A path without files
+    gives no rows. Each file is read as a whole.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    files = files.select(F.regexp_extract("path", r"segment=(-?\d+)", 1).cast("long").alias("segment"), "path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for segment, file, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                data, broken = _inflated(content)
+                rows = [(segment, file, at, n, hashlib.sha256(data[at : at + n]).hexdigest(), head.get(b"x-page-id", b""), head.get(b"warc-target-uri", b"").decode("utf-8", "replace"), body if bodies else None, error) for at, n, head, body, error in parsed(data)]
+                if broken:
+                    rows.append((segment, file, len(data), 0, hashlib.sha256(b"").hexdigest(), b"", "", None, broken))
+                columns = list(zip(*rows)) or [()] * 9
+                columns[5] = [int(x) if x.lstrip(b"-").isdigit() else None for x in columns[5]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()))], [f.split()[0] for f in READ.split(", ")])
+
+    return files.mapInArrow(run, READ)
+
+
+def addressed(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, segment, offset, length, digest, error of the records that are stored under ``path``, read and hashed.
 
-    A segment holds the pages of a range of ids, in order; pages without an id go to 1024 segments below 0 by
-    content. Repeated rows are records of their own.
+    An offset counts from the first byte of a segment's first file.
     """
-    rec = record("url", "html")
-    rows = pages.select("page_id", F.octet_length(rec).cast("long").alias("length"), F.sha2(rec, 256).alias("digest"))
-    segment = F.coalesce(F.floor(F.col("page_id") / segment_pages), -1 - F.pmod(F.xxhash64("digest"), F.lit(1024)))
-    rows = rows.withColumn("segment", segment)
-    before = Window.partitionBy("segment").orderBy("page_id", "digest", "length").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.col("length") + 4).over(before), F.lit(0)))
-
-
-def write_warc(pages: DataFrame, path: str, segment_pages: int = SEGMENT_PAGES) -> None:
-    """One or more WARC files for each segment under ``path``; Spark's text writer puts the line ends between records."""
-    rows = pages.select(F.coalesce(F.floor(F.col("page_id") / segment_pages), F.lit(-1)).alias("segment"), "page_id", record("url", "html").alias("value"))
-    rows.repartition("segment").sortWithinPartitions("segment", "page_id", "value").select("segment", "value").write.partitionBy("segment").option("lineSep", "\r\n\r\n").text(path)
-
-
-def read_warc(spark, path: str) -> DataFrame:
-    """segment, file, offset, uri, body of each record of the files that write_warc left under ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-
-    def parse(batches):
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                out, at = [], 0
-                while at < len(data):
-                    end = data.index(b"\r\n\r\n", at)
-                    head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-                    n = int(head["Content-Length"])
-                    out.append((path, at, head["WARC-Target-URI"], data[end + 4 : end + 4 + n].decode()))
-                    at = end + 8 + n
-                yield pd.DataFrame(out, columns=["file", "offset", "uri", "body"])
-
-    rows = files.mapInPandas(parse, "file string, offset long, uri string, body string")
-    return rows.select(F.regexp_extract("file", r"segment=(-?\d+)", 1).cast("long").alias("segment"), "file", "offset", "uri", "body")
+    rows = written(read_warc(spark, path, bodies=False).drop("body", "uri"), "records")
+    files = rows.groupBy("segment", "file").agg(F.max(F.col("offset") + F.col("length") + 4).alias("size"))
+    before = Window.partitionBy("segment").orderBy(F.regexp_extract("file", r"c(\d+)\.", 1), "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("segment", "file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    return rows.join(files, ["segment", "file"]).select("page_id", "segment", (F.col("offset") + F.col("before")).alias("offset"), "length", "digest", "error")
 
 
 def depth(leaves: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_OUT) -> tuple[int, int]:
