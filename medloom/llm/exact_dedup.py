@@ -24,7 +24,7 @@ def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     pieces = f"transform(sequence(0, blocks - 1), i -> substring(body, i * {block_bytes} + 1, {block_bytes}))"
     cut = texts.select("uid", "body", F.expr(f"greatest(cast(ceil(octet_length(body) / {block_bytes}D) as int), 1)").alias("blocks"))
     cut = written(cut.select("uid", "blocks", F.posexplode(F.expr(pieces)).alias("pos", "block")), "blocks")
-    names = named(cut, ["block"], "name")
+    names = written(named(cut, ["block"], "name"), "block-names")  # written, so that the join below can split a very common block
     level = cut.join(names, "block").select("uid", "blocks", F.col("blocks").alias("open"), "pos", "name")
     most = cut.agg(F.max("blocks")).first()[0] or 1
     done: list[DataFrame] = []
@@ -38,7 +38,8 @@ def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             .groupBy("uid", "blocks", F.expr("cast(ceil(open / 2D) as int)").alias("open"), F.expr("pos div 2").cast("int").alias("pos"))
             .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         )
-        names = named(pairs, ["a", "b"], "name")
+        pairs = written(pairs, "pairs")
+        names = written(named(pairs, ["a", "b"], "name"), "pair-names")
         level = pairs.join(names, ["a", "b"]).select("uid", "blocks", "open", "pos", "name")
         most = -(-most // 2)
     out = done[0]
@@ -60,13 +61,13 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, block_bytes: i
     rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col("doc_id").alias("id"), norm.alias("norm"))
     edge = F.xxhash64(F.octet_length("norm"), F.left("norm", F.lit(EDGE_CHARS)), F.right("norm", F.lit(EDGE_CHARS)))
     rows = rows.withColumn("edge", edge)
-    alike = rows.groupBy("edge").count().where("count > 1").select("edge", F.lit(True).alias("alike"))
+    alike = written(rows.groupBy("edge").count().where("count > 1").select("edge", F.lit(True).alias("alike")), "edges")  # as above
     base = written(
         rows.join(alike, "edge", "left").select("row", "id", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("alike"), F.encode("norm", "UTF-8")).alias("body"), F.monotonically_increasing_id().alias("uid")),
         "texts",
     )
     names = written(block_names(base.where("body is not null").select("uid", "body"), block_bytes).join(base.where("body is not null").select("uid", "id"), "uid"), "identities")
-    groups = names.groupBy("blocks", "name").agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "uid")).alias("first"))
+    groups = written(names.groupBy("blocks", "name").agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "uid")).alias("first")), "groups")
     of = names.select("uid", "blocks", "name").join(groups, ["blocks", "name"]).select("uid", "group_size", "first")
     alone = base.where("body is null").select(*[F.col("row")[c].alias(c) for c in keep], F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     grouped = base.where("body is not null").drop("body").join(of, "uid").select(
