@@ -2,7 +2,8 @@
 
 A chat log often holds a conversation after each of its turns. Every turn gets a hash of the whole conversation up
 to it: the running xor of hashes of (position, role, text), two of 64 bits. A conversation whose last hash
-appears inside a longer one is a prefix of it and goes by an anti-join; of equal ones the smallest conv_id stays.
+appears inside a longer one is a prefix of it and goes by an anti-join; of equal ones the smallest conv_id stays
+(one without an id only if no other has one).
 
 Positions and running hashes are found within buckets of turn numbers and then across buckets, so that a
 conversation of very many turns is dealt over many tasks.
@@ -26,7 +27,7 @@ def _placed(turns: DataFrame, bucket_turns: int) -> DataFrame:
     sizes = rows.groupBy("conv_id", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col("conv_id").alias("c"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return rows.join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("bucket") == F.col("b"))).withColumn("pos", F.col("before") + F.col("at")).drop("c", "b", "before", "at")
+    return rows.join(sizes, (F.col("conv_id") == F.col("c")) & (F.col("bucket") == F.col("b"))).withColumn("pos", F.col("before") + F.col("at")).drop("c", "b", "before", "at")
 
 
 def _leaves(turns: DataFrame, *more: str) -> DataFrame:
@@ -45,23 +46,32 @@ def prefix_hashes(turns: DataFrame, bucket_turns: int = BUCKET_TURNS) -> DataFra
     sums = sums.select(F.col("conv_id").alias("c"), F.col("bucket").alias("b"), before("s1").alias("p1"), before("s2").alias("p2"))
     running = Window.partitionBy("conv_id", "bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("conv_id", "bucket", "pos", F.bit_xor("z1").over(running).alias("x1"), F.bit_xor("z2").over(running).alias("x2"))
-    rows = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("bucket") == F.col("b")))
+    rows = rows.join(sums, (F.col("conv_id") == F.col("c")) & (F.col("bucket") == F.col("b")))
     return rows.select("conv_id", "pos", F.col("x1").bitwiseXOR(F.col("p1")).alias("h1"), F.col("x2").bitwiseXOR(F.col("p2")).alias("h2"))
 
 
 def maximal(turns: DataFrame, bucket_turns: int = BUCKET_TURNS) -> DataFrame:
-    """conv_id, turns, copies of the conversations that are no prefix of a longer one; copies counts equal ones.
+    """conv_id, turns, copies, h1, h2 of the conversations that are no prefix of a longer one; copies counts equal ones.
 
-    Turns are ordered by turn (null first; equal turns by content), null role or text counts as empty, and rows
-    without conv_id are one conversation. Repeated rows are turns of their own. No rows give no conversation.
+    Turns are ordered by turn (null first; equal turns by content), null role or text counts as empty. A row without
+    conv_id is a conversation of its own, of one turn. Repeated rows are turns of their own. No rows give no
+    conversation. h1 and h2 are the hash of the whole conversation.
     """
-    rows = written(prefix_hashes(turns, bucket_turns), "prefixes")
+    rows = written(prefix_hashes(turns.where("conv_id is not null"), bucket_turns), "prefixes")
     whole = rows.groupBy("conv_id").agg(F.max(F.struct("pos", "h1", "h2")).alias("last"))
-    classes = whole.groupBy("last").agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id")).alias("first"), F.count("*").alias("copies"))
-    longest = whole.select(F.col("conv_id").alias("c"), F.col("last.pos").alias("turns"))
-    inner = rows.join(longest, F.col("conv_id").eqNullSafe(F.col("c"))).where("pos < turns").select("pos", "h1", "h2").distinct()
-    kept = classes.select(F.col("first.conv_id").alias("conv_id"), "last.*", "copies").join(inner, ["pos", "h1", "h2"], "left_anti")
-    return kept.select("conv_id", F.col("pos").alias("turns"), "copies")
+    lone = _lone(turns).groupBy(F.struct("pos", "h1", "h2").alias("last")).agg(F.count("*").alias("copies"))
+    classes = whole.groupBy("last").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
+    classes = classes.unionByName(lone.select("last", F.lit(None).cast(turns.schema["conv_id"].dataType).alias("conv_id"), "copies"))
+    classes = classes.groupBy("last").agg(F.min("conv_id").alias("conv_id"), F.sum("copies").alias("copies"))
+    inner = rows.join(whole.select("conv_id", F.col("last.pos").alias("turns")), "conv_id").where("pos < turns").select("pos", "h1", "h2").distinct()
+    kept = classes.select("conv_id", "last.*", "copies").join(inner, ["pos", "h1", "h2"], "left_anti")
+    return kept.select("conv_id", F.col("pos").alias("turns"), "copies", "h1", "h2")
+
+
+def _lone(turns: DataFrame) -> DataFrame:
+    """role, text, pos, h1, h2 of the rows without conv_id."""
+    rows = _leaves(turns.where("conv_id is null"), "role", "text").withColumn("pos", F.lit(1).cast("long"))
+    return rows.select("role", "text", "pos", F.xxhash64(F.lit(3), "pos", "l1").alias("h1"), F.xxhash64(F.lit(4), "pos", "l2").alias("h2"))
 
 
 def rendered(turns: DataFrame, bucket_turns: int = BUCKET_TURNS) -> DataFrame:
@@ -70,11 +80,13 @@ def rendered(turns: DataFrame, bucket_turns: int = BUCKET_TURNS) -> DataFrame:
     Each turn is ``<|im_start|>role``, its text and ``<|im_end|>``; such marks within a text are broken up so that
     no text can end a turn. A part holds ``bucket_turns`` turns at most, so no row grows without bound.
     """
-    kept = written(maximal(turns, bucket_turns), "maximal").select(F.col("conv_id").alias("k"), "copies")
+    kept = written(maximal(turns, bucket_turns), "maximal")
     plain = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("<|"), F.lit("< |"))
-    rows = _leaves(turns, "role", "text").join(kept.select("k"), F.col("conv_id").eqNullSafe(F.col("k")), "left_semi")
-    rows = _placed(rows, bucket_turns).withColumn("part", F.floor((F.col("pos") - 1) / bucket_turns))
     said = F.concat(F.lit("<|im_start|>"), plain("role"), F.lit("\n"), plain("text"), F.lit("<|im_end|>\n"))
+    rows = _leaves(turns, "role", "text").join(kept.select("conv_id"), "conv_id", "left_semi")
+    rows = _placed(rows, bucket_turns).withColumn("part", F.floor((F.col("pos") - 1) / bucket_turns))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", said.alias("said")))), lambda x: x["said"]), "")
     parts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("turns"), text.alias("text"))
-    return parts.join(kept, F.col("conv_id").eqNullSafe(F.col("k"))).select("conv_id", "part", "turns", "copies", "text")
+    parts = parts.join(kept.select("conv_id", "copies"), "conv_id").select("conv_id", "part", "turns", "copies", "text")
+    alone = _lone(turns).groupBy("pos", "h1", "h2").agg(F.first(said).alias("text")).join(kept.where("conv_id is null").drop("turns"), ["h1", "h2"])
+    return parts.unionByName(alone.select("conv_id", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("turns"), "copies", "text"))
