@@ -35,6 +35,8 @@ ANCHOR = 24
 LONGEST = LENGTH - ANCHOR + 1
 CHUNK = 1 << 20
 RUN_TUPLES = 50_000
+#: Rounds over the anchors, each with its share of the tuples: what they take of the disks at once.
+ROUNDS = 2
 PLACE_BITS = np.uint64(21)
 TUPLE = "right binary, left binary, doc_id long, uid long, start long"
 HIT = "uid long, start long, mask long"
@@ -234,13 +236,18 @@ def _windows(batches_):
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """k1, k2, spans of the texts that hold a string of LENGTH bytes of an earlier document. Written."""
     met = anchors.repeated_anchors(rows, cut, earlier=True)
-    bodies = anchors.compressed(rows)
-    found = bodies.join(met.drop("hot"), ["k1", "k2"]).mapInArrow(_tuples("anchors"), TUPLE)
-    hits = found.repartition(F.xxhash64(F.substring("right", 1, ANCHOR))).sortWithinPartitions("right").mapInArrow(_judged, HIT)
+    bodies, hits = anchors.compressed(rows), None
+    for r in range(ROUNDS):
+        own = met.select("uid", "k1", "k2", F.filter("anchors", lambda a: F.pmod(a, F.lit(ROUNDS)) == r).alias("anchors"))
+        found = bodies.join(own.where(F.size("anchors") > 0), ["k1", "k2"]).mapInArrow(_tuples("anchors"), TUPLE)
+        part = found.repartition(F.xxhash64(F.substring("right", 1, ANCHOR))).sortWithinPartitions("right").mapInArrow(_judged, HIT)
+        part = written(part, "hits")
+        hits = part if hits is None else hits.unionByName(part)
     hot = met.where(F.size("hot") > 0)
     if not hot.isEmpty():
         each = bodies.join(hot.drop("anchors"), ["k1", "k2"]).mapInArrow(_tuples("hot"), TUPLE).mapInArrow(_windows, "window binary, doc_id long, uid long, start long, bit long")
         least = each.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+        least = written(least, "least")  # written, so that the join can split a very common window
         hits = hits.unionByName(each.join(least, "window").where("least < doc_id").groupBy("uid", "start").agg(F.bit_or("bit").alias("mask")))
     spans = hits.groupBy("uid").agg(F.collect_set(F.struct("start", "mask")).alias("spans")).join(met.select("uid", "k1", "k2"), "uid").select("k1", "k2", "spans")
     spans = written(spans, "spans")
