@@ -208,6 +208,7 @@ def repeated_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = F.min(F.struct("k1", "k2", "start")).alias("own")
     paths = written(found.groupBy(*PATH).agg(own, F.count("*").alias("times"), F.max("twice").alias("twice")), "paths")
     branching = paths.groupBy("anchor").agg(F.count("*").alias("paths"), F.max("twice").alias("again")).where("paths > 1 or again").select("anchor", "paths")
+    branching = written(branching, "branching")  # written, so that the join can split a very common anchor
     open_ = written(paths.join(branching, "anchor"), "open")
 
     def opened(part: DataFrame) -> DataFrame:
