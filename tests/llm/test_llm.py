@@ -54,14 +54,13 @@ def brute_nearest(rows, queries_, k):
     return out
 
 
-def test_ann_recall(spark):
-    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
-    asked = [r for r in rows if r[0] % 10 == 0]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+@pytest.mark.parametrize("where", [SF, "/root/testdata/sf0.1"])
+def test_ann_recall(spark, where):
+    rows = [(r.vec_id, list(r.embedding)) for r in ann.usable(spark.read.parquet(f"{where}/embeddings.parquet")).collect()]
+    want = brute_nearest(rows, [r for r in rows if r[0] % 50 == 0], 5)
     got = collections.defaultdict(list)
-    for r in ann.nearest(df, df.where("vec_id % 10 = 0")).orderBy("query_id", "rank").collect():
+    for r in queries.op1_ann(spark, where).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
-    want = brute_nearest(rows, asked, 5)
     assert all(len(got[q]) == 5 for q in want)
     assert sum(len(set(got[q]) & set(want[q])) for q in want) / (5 * len(want)) >= 0.9
 
@@ -118,6 +117,71 @@ def test_near_dedup_matches_brute_force(docs):
     assert {k: got[k] for k in want} == want
 
 
+def weighted_classes(rows, idf):
+    """Classes by exact weighted Jaccard similarity, over all pairs: rows are (doc_id, text)."""
+    known = {}
+    for i, t in rows:
+        if i is not None and (t or "").split():
+            known.setdefault(tuple((t or "").split()), []).append((i, t))
+    texts = [v[0][1] for v in known.values()]
+    weights = [near_dedup._weights(t, idf) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            (k, v, x), (m, w, y) = weights[a], weights[b]
+            if min(x, y) < 0.8 * max(x, y):
+                continue
+            _, i, j = np.intersect1d(k, m, return_indices=True)
+            least = np.minimum(v[i], w[j]).sum()
+            if least >= near_dedup.SIMILARITY * (x + y - least):
+                parent[find(a)] = find(b)
+    groups = collections.defaultdict(list)
+    for n, v in enumerate(known.values()):
+        groups[find(n)] += [i for i, _ in v]
+    return sorted((i, min(g)) for g in groups.values() for i in g)
+
+
+def test_near_dedup_matches_weighted_brute_force_with_shared_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select((F.col("doc_id") - F.col("doc_id") % 2).alias("doc_id"), "text")
+    rows = [tuple(r) for r in docs.collect()]
+    idf = near_dedup.idf_table(*near_dedup.document_frequencies(docs))
+    got = sorted((r.doc_id, r.class_id) for r in near_dedup.near_groups(docs).where("doc_id is not null and class_id is not null").collect())
+    want = weighted_classes(rows, idf)
+    empty = sorted((i, i) for i, t in rows if i is not None and not (t or "").split())
+    assert got == sorted(want + empty)
+
+
+def test_rows_that_share_a_doc_id_keep_their_own_links(spark):
+    long = [f"x{i}" for i in range(200)]
+    rows = [(9, "a short text"), (9, " ".join(long)), (20, " ".join([*long[:100], "other", *long[101:]])), (30, "a short text")]
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(9, 9, 2), (9, 9, 2), (20, 9, 2), (30, 9, 2)]
+
+
+def test_screens_lose_few_pairs_at_the_limit():
+    """Of pairs of weighted similarity 0.8, the share without a common band, or under one of the two screens."""
+    rng = np.random.default_rng(5)
+    n, lost, fewer = 250, 0, 0
+    for _ in range(120):
+        key = rng.integers(1, 2**63, n).astype(np.uint64)
+        both, a, b = key[:200], key[:225], np.concatenate([key[:200], key[225:]])
+        own = np.repeat([0, 1], 225)
+        weight = np.zeros(450, np.float32)
+        assert len(both) / n == near_dedup.SIMILARITY
+        s = near_dedup.samples(own, np.concatenate([a, b]), weight, 2)
+        f = near_dedup.samples(own, np.concatenate([a, b]), weight, 2, near_dedup.FINE, near_dedup.SEED + 1)
+        shared = (s[0] == s[1]).reshape(-1, near_dedup.BAND).all(1).any()
+        lost += not shared or (s[0] == s[1]).sum() < near_dedup.MIN_AGREE
+        fewer += (f[0] == f[1]).sum() < near_dedup.FINE_AGREE
+    assert lost == 0 and fewer == 0
+
+
 def test_near_dedup_finds_planted_copies(spark):
     rng = np.random.default_rng(3)
     rows, plain = [], [f"v{i}" for i in range(3000)]
@@ -331,6 +395,46 @@ def test_language_scores_do_not_depend_on_the_place_in_a_batch():
     assert np.allclose(language_id.scores(["ab"], logp)[0], language_id.scores(["ab", "next"], logp)[0])
 
 
+def test_language_matches_brute_force(docs):
+    """Naive Bayes with dictionaries over the same n-grams and buckets, one text at a time."""
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    import zlib
+
+    known = [(t, lang) for i, t, lang in rows if lang is not None and t is not None and i is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    langs = sorted({lang for _, lang in known})
+
+    def grams(t):
+        t = t.lower()
+        for k in language_id.ORDERS:
+            for at in range(len(t)):
+                yield int(language_id._buckets(np.frombuffer((t + "  ")[at : at + k].encode("utf-32-le"), np.uint32), k)[0])
+
+    counts = {lang: collections.Counter() for lang in langs}
+    for t, lang in known:
+        counts[lang].update(grams(t))
+    total = {lang: sum(c.values()) + language_id.SMOOTHING * (1 << language_id.BITS) for lang, c in counts.items()}
+    prior = collections.Counter(lang for _, lang in known)
+    got = {r.doc_id: r for r in language_id.predict(docs, language_id.trained(docs)).collect()}
+    for i, t, _ in rows[:60]:
+        if not language_id.has_letter(t):
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        g = collections.Counter(grams(t))
+        score = {lang: np.log(prior[lang] / len(known)) + sum(n * np.log((counts[lang][b] + language_id.SMOOTHING) / total[lang]) for b, n in g.items()) for lang in langs}
+        best = max(score, key=score.get)
+        assert got[i].lang_pred == best
+        assert abs(got[i].score - 1 / sum(np.exp(v - score[best]) for v in score.values())) < 1e-2
+
+
+def test_any_number_of_languages(monkeypatch, spark):
+    monkeypatch.setattr(language_id, "BLOCK_LANGS", 3)
+    df = spark.createDataFrame([(i, " ".join(chr(0x4E00 + i * 7 + k) for k in range(7)) * 4, f"l{i:02d}", "s", 1) for i in range(10)], DOCS)
+    model = language_id.fit(df)
+    assert len(model.logp) == 4 and {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()} == {i: f"l{i:02d}" for i in range(10)}
+    marks = spark.createDataFrame([(1, "\u00b2 \u00bd \u00b3 _ 7", "l01", "s", 1)], DOCS)
+    assert [r.lang_pred for r in language_id.predict(marks, model).collect()] == ["und"]
+
+
 def test_language_edges(odd, none):
     out = language_id.predict(odd.withColumn("score", F.lit("clash")), language_id.trained(odd)).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
@@ -386,6 +490,37 @@ def test_packing(odd, none, docs):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_matches_brute_force_best_fit():
+    """Each document, longest first, goes to the tightest compatible bin of all; of equal rooms to the one that was first left so."""
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    for per_source in (1, 2, 5):
+        rows = pd.DataFrame({"doc_id": np.arange(300), "source": rng.choice(list("abc"), 300), "n_tokens": rng.integers(0, 150, 300), "cluster": rng.integers(0, 90, 300), "key": rng.permutation(300), "copy": 1, "shard": 0})
+        got = packing.pack_shard(rows, 100, per_source)
+        bins, clock, want = [], 0, []
+        pieces = []
+        for r in rows.sort_values(["n_tokens", "key"], ascending=[False, True]).itertuples():
+            n, piece = r.n_tokens, 0
+            while n > 100:
+                want.append((r.doc_id, piece, 100, len(bins)))
+                bins.append({"room": 0, "clusters": set(), "sources": collections.Counter(), "since": 0})
+                n, piece = n - 100, piece + 1
+            pieces.append((n, r, piece))
+        for n, r, piece in sorted(pieces, key=lambda x: -x[0]):
+            fit = [i for i, b in enumerate(bins) if b["room"] >= n and b["room"] > 0 and r.cluster not in b["clusters"] and b["sources"][r.source] < per_source]
+            at = min(fit, key=lambda i: (bins[i]["room"], bins[i]["since"]), default=None)
+            if at is None:
+                at = len(bins)
+                bins.append({"room": 100, "clusters": set(), "sources": collections.Counter(), "since": 0})
+            b, clock = bins[at], clock + 1
+            b["room"], b["since"] = b["room"] - n, clock
+            b["clusters"].add(r.cluster)
+            b["sources"][r.source] += 1
+            want.append((r.doc_id, piece, n, at))
+        assert [tuple(x) for x in got[["doc_id", "piece", "n_tokens", "bin"]].itertuples(index=False)] == want
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     b = packing.Bins(10, 1)
     b.put(b.find(6, 1, 1), 6, 1, 1)  # room 4
@@ -408,9 +543,9 @@ def test_warc_roundtrip(spark, tmp_path):
     assert offsets == {(r.segment, r.offset) for r in warc.addressed(pages).collect()}
 
 
-def test_fixity_audit(spark):
+def test_fixity_audit(spark, tmp_path):
     pages = spark.range(900).selectExpr("id * 17 AS page_id", "concat('u', id) AS url", "repeat('x', cast(id % 400 as int)) AS html")
-    ours = warc.addressed(pages)
+    ours = warc.addressed(spark, stored(spark, tmp_path, "pages", pages)).cache()
     bad = (F.col("page_id") % 101 == 3, F.col("page_id") % 89 == 0)
     theirs = ours.where(~bad[1]).withColumn("digest", F.when(bad[0], F.lit("?")).otherwise(F.col("digest")))
     extra = spark.createDataFrame([(7, 123, "d")], "segment long, offset long, digest string")
@@ -423,23 +558,67 @@ def test_fixity_audit(spark):
     assert warc.audit(none, none).count() == 0 and warc.audit(ours, none).count() == 900
 
 
-def test_audit_of_a_replica_whose_records_moved(spark):
+def stored(spark, tmp_path, name, pages, **options):
+    path = f"file://{tmp_path}/{name}"
+    warc.write_warc(pages, path, **options)
+    return path
+
+
+def test_audit_of_a_replica_whose_records_moved(spark, tmp_path):
     pages = spark.range(900).selectExpr("id * 17 AS page_id", "concat('u', id) AS url", "repeat('x', cast(id % 400 as int)) AS html")
     lost, changed = F.col("page_id") % 101 == 3, F.col("page_id") % 89 == 0
     html = F.when(changed, F.concat("html", F.lit("more"))).otherwise(F.col("html"))
     new = spark.createDataFrame([(5, "new", "y" * 70)], "page_id long, url string, html string")
-    ours, theirs = warc.addressed(pages), warc.addressed(pages.where(~lost).withColumn("html", html).unionByName(new))
+    ours = warc.addressed(spark, stored(spark, tmp_path, "ours", pages)).cache()
+    theirs = warc.addressed(spark, stored(spark, tmp_path, "theirs", pages.where(~lost).withColumn("html", html).unionByName(new))).cache()
     want = {(r.segment, r.offset, r.page_id, "missing" if r.page_id % 101 == 3 else "changed") for r in ours.where(lost | changed).collect()}
     want |= {(r.segment, r.offset, 5, "extra") for r in theirs.where("page_id = 5").collect()}
     got = [tuple(r) for r in warc.audit(ours, theirs, 1000, 4, key="page_id", carry=["page_id"]).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
-def test_records_of_odd_pages(spark):
+def test_a_flipped_byte_in_a_stored_file_is_located(spark, tmp_path):
+    pages = spark.range(700).selectExpr("id AS page_id", "concat('u', id) AS url", "concat('<p>', repeat('x', 50 + cast(id % 90 as int)), '</p>') AS html")
+    a, b = (stored(spark, tmp_path, n, pages, segment_pages=256, compression="none") for n in ("a", "b"))
+    ours = warc.addressed(spark, a).cache()
+    hurt = ours.where("page_id = 300").first()
+    file = sorted((tmp_path / "b" / f"segment={hurt.segment}").glob("part-*"))[0]
+    data = bytearray(file.read_bytes())
+    data[hurt.offset + hurt.length - 10] ^= 1
+    file.write_bytes(bytes(data))
+    for crc in file.parent.glob(".*.crc"):
+        crc.unlink()
+    got = [tuple(r) for r in warc.audit(ours, warc.addressed(spark, b), 2000, 4, key="page_id", carry=["page_id"]).collect()]
+    assert got == [(hurt.segment, hurt.offset, 300, "changed")]
+
+
+def test_reader_reports_what_is_broken(spark, tmp_path):
+    good = lambda i: (f"WARC/1.0\r\nX-Page-ID: {i}\r\nWARC-Target-URI: u\r\nContent-Length: 3\r\n\r\nab{i}").encode()
+    end = b"\r\n\r\n"
+    parts = [good(1), b"HTTP/1.1 200", good(2), b"WARC/1.0\r\nContent-Length: x\r\n\r\nq", good(3), b"WARC/1.0\r\nContent-Length: 99\r\n\r\nz", b"WARC/1.0\r\nX-Page-ID: \xff\r\nContent-Length: 2\r\n\r\n\xff\xfe", b"WARC/1.0\r\nContent-Length: 50\r\n\r\ncut"]
+    found = list(warc.parsed(end.join(parts)))
+    assert [(h.get(b"x-page-id"), body, error) for _, _, h, body, error in found] == [
+        (b"1", b"ab1", None), (None, parts[1], "no record"), (b"2", b"ab2", None), (None, parts[3], "no length"), (b"3", b"ab3", None), (None, parts[5], "wrong length" if len(end.join(parts[5:])) > 140 else "cut off"),
+        (b"\xff", b"\xff\xfe", None), (None, parts[7], "cut off"),
+    ]
+    assert list(warc.parsed(b"")) == [] and [e for *_, e in warc.parsed(b"no end")] == ["no record"]
+    (tmp_path / "x" / "segment=0").mkdir(parents=True)
+    import gzip
+
+    whole = gzip.compress(end.join([good(1), good(2)]) + end)
+    (tmp_path / "x" / "segment=0" / "part-0-c000.txt.gz").write_bytes(whole)
+    (tmp_path / "x" / "segment=0" / "part-0-c001.txt.gz").write_bytes(whole[:-12])
+    rows = warc.read_warc(spark, f"file://{tmp_path}/x").collect()
+    assert sum(r.error is None for r in rows) >= 2 and [r.error for r in rows if r.file.endswith("c001.txt.gz")][-1] == "broken compression"
+    assert {r.page_id for r in rows if r.error is None} <= {1, 2}
+
+
+def test_records_of_odd_pages(spark, tmp_path):
     pages = spark.createDataFrame([(None, None, None), (None, "u", "x"), (1, "u", "x"), (1, "u", "x")], "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
-    rows = warc.addressed(pages)
-    assert rows.count() == 4 and rows.select("segment", "offset").distinct().count() == 4
+    rows = warc.addressed(spark, stored(spark, tmp_path, "odd", pages)).cache()
+    assert rows.count() == 4 and rows.select("segment", "offset").distinct().count() == 4 and rows.where("segment < 0").count() == 2
     assert warc.audit(rows, rows.where("page_id is not null")).count() == 2
+    assert {(r.page_id, bytes(r.body)) for r in warc.read_warc(spark, f"file://{tmp_path}/odd").collect()} == {(None, b""), (None, b"x"), (1, b"x")}
 
 
 # 9
@@ -447,12 +626,13 @@ def test_records_of_odd_pages(spark):
 
 def brute_chat(rows):
     by = collections.defaultdict(list)
-    for c, t, r, x in rows:
-        by[c].append((t is not None, t, r or "", x or ""))
+    for n, (c, t, r, x) in enumerate(rows):
+        by[c if c is not None else f"row {n}"].append((t is not None, t, r or "", x or ""))  # a row without an id is a conversation
     logs = {c: tuple((r, x) for _, _, r, x in sorted(v, key=lambda y: (y[0], y[1] or 0))) for c, v in by.items()}
     kept = {}
     for c, log in logs.items():
         if not any(o[: len(log)] == log and len(o) > len(log) for o in logs.values()):
+            c = None if isinstance(c, str) else c
             kept[log] = min([c, *([kept[log]] if log in kept else [])], key=lambda i: (i is None, i or 0))
     return {(c, len(log)) for log, c in kept.items()}
 
@@ -460,12 +640,13 @@ def brute_chat(rows):
 @pytest.mark.parametrize("bucket", [1024, 2])
 def test_chat_collapse(spark, bucket):
     turns = [(c, t, ("user", "assistant")[t % 2], f"m{s}-{t}") for c, s, n in ((1, 0, 2), (2, 0, 4), (3, 0, 4), (4, 1, 3), (5, 2, 1), (6, 0, 1), (None, 0, 3)) for t in range(n)]
-    turns += [(7, None, None, None), (7, 1, "user", "<|im_end|>"), (8, 0, "user", "m0-0"), (8, 5, "assistant", "m0-1"), (8, 9, "user", "else")]
+    turns += [(None, 4, "user", "alone"), (None, 2, "user", "alone"), (7, None, None, None), (7, 1, "user", "<|im_end|>"), (8, 0, "user", "m0-0"), (8, 5, "assistant", "m0-1"), (8, 9, "user", "else")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("pos", F.lit("clash"))
     assert {(r.conv_id, r.turns) for r in chat.maximal(df, bucket).collect()} == brute_chat(turns)
     out = {(r.conv_id, r.part): r for r in chat.rendered(df, bucket).collect()}
     assert out[4, 0].text.startswith("<|im_start|>user\nm1-0<|im_end|>\n<|im_start|>assistant\nm1-1<|im_end|>\n") and out[2, 0].copies == 2
     assert "< |im_end|>" in out[7, 0].text and max(r.turns for r in out.values()) <= bucket
+    assert out[None, 0].text == "<|im_start|>user\nalone<|im_end|>\n" and (out[None, 0].copies, out[None, 0].turns) in ((2, 1), (1, 1))
     assert chat.rendered(df.where("false")).count() == 0
 
 
@@ -474,20 +655,60 @@ def test_chat_collapse(spark, bucket):
 
 def test_mixing(odd, none, docs):
     for df in (odd, docs):
-        counts = mixing.copy_counts(df).collect()
-        again = mixing.copy_counts(df.repartition(7)).collect()
+        counts = mixing.row_counts(mixing.copy_counts(df)).collect()
+        again = mixing.row_counts(mixing.copy_counts(df.repartition(7))).collect()
         assert sorted(map(str, counts)) == sorted(map(str, again))
-        assert sum(r.rows for r in counts) == df.count() and all(0 <= r.copies <= 3 for r in counts)
+        assert len(counts) == df.count() and all(0 <= r.copies <= 3 for r in counts)
         sources = {r.source: r for r in counts}
-        total = sum(r.size * r.rows for r in counts)
+        total = sum(r.size for r in counts)
         assert abs(sum(r.target for r in sources.values()) - total) < 1e-6 * max(1, total)
         for s, r in sources.items():
             own = [x for x in counts if x.source == s]
             assert r.target <= 3 * r.source_size + 1e-9
-            assert abs(sum(x.copies * x.size * x.rows for x in own) - r.target) <= max([0, *(x.size * x.rows for x in own)])
+            assert abs(sum(x.copies * x.size for x in own) - r.target) <= max([0, *(x.size for x in own)])
     assert mixing.copy_counts(none).count() == 0 and mixing.mix(none).count() == 0
-    taken = mixing.mix(docs.withColumn("copies", F.lit("clash")))
-    assert taken.columns == [*docs.columns, "copies"] and taken.count() == sum(r.copies * r.rows for r in mixing.copy_counts(docs).collect())
+    for df in (docs.withColumn("copies", F.lit("clash")), odd):
+        taken = mixing.mix(df)
+        assert taken.columns == df.columns
+        want = collections.Counter()
+        for r in mixing.row_counts(mixing.copy_counts(df)).collect():
+            want[r.doc_id, r.source, r.size] += r.copies
+        words_ = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        assert collections.Counter((r.doc_id, r.source, words_(r.text)) for r in taken.collect()) == +want
+
+
+def brute_targets(sizes):
+    """Targets by sharing the words by weight, the excess over three times a source's size again, until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    left, free, out = sum(sizes.values()), set(order), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        above = [s for s in free if level * weight[s] >= 3 * sizes[s]]
+        if not above:
+            break
+        for s in above:
+            out[s] = 3 * sizes[s]
+            left -= out[s]
+            free.discard(s)
+    return out | {s: level * weight[s] for s in free}
+
+
+def test_mixing_of_repeated_rows_and_of_several_levels_of_the_tree(monkeypatch, spark):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 64)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    same = [(1, "a b c d e f g h", "en", "hot", 1)] * 1000
+    rng = np.random.default_rng(3)
+    rows = same + [(None if i % 7 == 0 else i, " ".join(["w"] * int(rng.integers(1, 60))), "en", ("x", "y", None)[i % 3], 1) for i in range(5000)]
+    counts = mixing.row_counts(mixing.copy_counts(spark.createDataFrame(rows, DOCS))).collect()
+    sizes = collections.Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    for s, target in want.items():
+        own = [r for r in counts if r.source == s]
+        assert own[0].target == pytest.approx(target) and abs(sum(r.copies * r.size for r in own) - target) <= 60
+    assert len({r.copies for r in counts if r.doc_id == 1 and r.source == "hot"}) <= 2
 
 
 def test_targets_share_what_capped_sources_cannot_take(spark):
@@ -521,6 +742,7 @@ def test_pipeline(spark, docs):
     out = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, out = out, stage(spark, out, SF).cache()
+        out.count()
         assert out.columns == docs.columns, name
         if name == "near_dedup":
             want = near_classes([(r.doc_id, r.text) for r in before.collect()])
