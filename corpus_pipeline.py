@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medloom.llm.common import table, written
+from medloom.llm.common import discard, stage, table, written
 from medloom.llm.exact_dedup import exact_dedup
 from medloom.llm.language_id import language_filter
 from medloom.llm.mixing import mix
@@ -43,7 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, step in STAGES[:-1]:
+        with stage() as keep:  # a stage's own steps go when what came of them is written
+            docs = written(step(spark, docs, sf_dir), name)
+            keep(docs)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
