@@ -21,6 +21,8 @@ class PathError(ValueError):
 #: Functions of FHIRPath that are refused, as they need other resources or run-time types.
 REFUSED = ("resolve", "memberOf", "is")
 MAX_PATH = 4096
+#: Items that a collection may have where it is read with ``limited``.
+MAX_ITEMS = 1024
 
 
 class Path:
@@ -127,6 +129,32 @@ class Path:
             return Path(F.filter(self.array(), test), self.dtype, self.name)
         return Path(F.when(self.col.isNotNull() & test(self.col), self.col), self.dtype, self.name)
 
+    def select(self, f: Callable[[Path], Path]) -> Path:
+        """What a path within each item gives, in order, without nulls."""
+        inner = f(Path(F.lit(None).cast(self.item), self.item, "$this"))
+        got = F.transform(self.array(), lambda x: f(Path(x, self.item, "$this")).array())
+        return Path(F.filter(F.flatten(got), lambda x: x.isNotNull()), T.ArrayType(inner.item), "select")
+
+    def all(self, condition: Callable[[Path], Column | Path]) -> Path:
+        """Whether the condition holds for every item; true of none, false where it is null."""
+        test = lambda x: F.coalesce(column(condition(Path(x, self.item, "$this"))), F.lit(False))
+        return Path(F.forall(self.array(), test), T.BooleanType(), "all")
+
+    def matches(self, pattern: str) -> Path:
+        """Whether a part of the one string fits a regular expression; empty of nothing."""
+        return Path(F.regexp_like(self.single(), F.lit(pattern)), T.BooleanType(), "matches")
+
+    def substring(self, start: int, length: int | None = None) -> Path:
+        """Characters of the one string from ``start`` (from 0) on; empty if it does not reach so far."""
+        s = self.single()
+        part = F.substring(s, start + 1, length if length is not None else 1 << 30)
+        return Path(F.when((F.length(s) > start) & F.lit(start >= 0), part), T.StringType(), "substring")
+
+    def limited(self, most: int = MAX_ITEMS) -> Path:
+        """The same, with an error where there are more items than ``most``."""
+        a = self.array()
+        return Path(F.when(F.size(a) > most, F.raise_error(F.lit(f"{self.name}: more than {most} items")).cast(a_type(self))).otherwise(a), a_type(self), self.name)
+
     def union(self, other: Path) -> Path:
         return Path(F.array_union(self.array(), other.array()), T.ArrayType(self.item), self.name)
 
@@ -157,6 +185,15 @@ class Path:
     __hash__ = None
 
 
+def a_type(p: Path) -> T.DataType:
+    return p.dtype if p.many else T.ArrayType(p.dtype)
+
+
+def today() -> Path:
+    """The date at the start of the query."""
+    return Path(F.current_date().cast("string"), T.StringType(), "today")
+
+
 def column(x: Path | Column) -> Column:
     return x.single() if isinstance(x, Path) else x
 

@@ -61,3 +61,13 @@ def blob_references(docs: DataFrame, key: str = "id", json: str = "json") -> Dat
     """key, blob: the binaries that resources refer to."""
     found = F.regexp_extract_all(F.to_json(F.try_parse_json(json)), F.lit(r'"(?:url|reference)":"Binary/([^"]+)"'), F.lit(1))
     return docs.select(key, F.explode(F.array_distinct(found)).alias("blob"))
+
+
+def embedded(docs: DataFrame, blobs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
+    """docs with the content of the binary that ``content[0].attachment.url`` names put inline, as base64, in place of the url; others as they are."""
+    url = F.get_json_object(json, "$.content[0].attachment.url")
+    rows = docs.withColumn("_blob", F.when(url.startswith("Binary/"), F.substring_index(url, "/", -1)))
+    rows = rows.join(blobs.select(F.col("blob_id").cast("string").alias("_blob"), F.base64("data").alias("_data")), "_blob", "left")
+    part = F.concat(F.lit('"url":"Binary/'), F.col("_blob"), F.lit('"'))
+    text = F.to_json(F.try_parse_json(json))
+    return rows.withColumn(json, F.when(F.col("_data").isNotNull(), F.replace(text, part, F.concat(F.lit('"data":"'), F.col("_data"), F.lit('"')))).otherwise(text)).drop("_blob", "_data")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fields import with_fields
+
 TYPES = {"decimal": "double", "integer": "bigint", "boolean": "boolean", "date": "date"}
 
 
@@ -53,10 +55,10 @@ def enabled(items: DataFrame, answers: DataFrame, rules: DataFrame) -> DataFrame
     return grid.join(met, ["response_id", "link_id"], "left").select("response_id", "link_id", F.coalesce("met", F.lit(True)).alias("enabled"))
 
 
-def checked(answers: DataFrame, items: DataFrame, options: DataFrame | None = None) -> DataFrame:
-    """response_id, link_id, issue: unknown items, answers of another type, repeats, options, required items left out.
+def checked(answers: DataFrame, items: DataFrame, options: DataFrame | None = None, value_sets: DataFrame | None = None) -> DataFrame:
+    """response_id, link_id, issue: unknown items, answers of another type, repeats, options, value sets, answers to read-only items, required items left out.
 
-    items: link_id, type, required, repeats.
+    items: link_id, type, required, repeats, and read_only and value_set (a url) where there are such; value_sets: url, code.
     """
     rows = answers.join(items, "link_id", "left")
     kind = F.col("type")
@@ -69,6 +71,11 @@ def checked(answers: DataFrame, items: DataFrame, options: DataFrame | None = No
     out = out.unionByName(issue(several, "repeats"))
     all_ = with_each(answers.select("response_id").distinct(), items.where("required"), ["link_id"])
     out = out.unionByName(issue(all_.join(answers.where("answer is not null"), ["response_id", "link_id"], "left_anti"), "required"))
+    if "read_only" in items.columns:
+        out = out.unionByName(issue(rows.where(F.col("read_only") & F.col("answer").isNotNull()), "read-only"))
+    if value_sets is not None:
+        bound = rows.where(F.col("value_set").isNotNull() & F.col("answer").isNotNull())
+        out = out.unionByName(issue(bound.join(value_sets.select(F.col("url").alias("value_set"), F.col("code").alias("answer")), ["value_set", "answer"], "left_anti"), "value-set"))
     if options is not None:
         closed = answers.join(options.select("link_id").distinct(), "link_id", "left_semi")
         out = out.unionByName(issue(closed.join(options.select("link_id", F.col("option").alias("answer")), ["link_id", "answer"], "left_anti"), "option"))
@@ -87,3 +94,47 @@ def populated(items: DataFrame, subject: DataFrame, values: dict[str, Column]) -
     pairs = F.array(*[F.struct(F.lit(k).alias("link_id"), v.cast("string").alias("answer")) for k, v in values.items()])
     rows = subject.select("id", F.explode(pairs).alias("p")).select("id", "p.*").where("answer is not null")
     return rows.join(items.select("link_id"), "link_id", "left_semi")
+
+
+def assembled(answers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """response_id, bundle: a transaction Bundle of the resources that the answers make, by the dotted paths that link ids map to.
+
+    mapping: link_id, resource_type, path (of at most MAX_ITEMS rows). Each resource is posted; resources come by type, fields by path, so the
+    bundle is the same each time. Of several answers to an item the least by text counts.
+    """
+    fields = mapping.select("link_id", "resource_type", "path").limit(MAX_ITEMS + 1).collect()
+    if len(fields) > MAX_ITEMS:
+        raise ValueError(f"a mapping of more than {MAX_ITEMS} paths")
+    given = answers.where("answer is not null").join(mapping, "link_id").groupBy("response_id", "resource_type", "path").agg(F.min("answer").alias("answer"))
+    own = given.groupBy("response_id", "resource_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "answer")))).alias("given"))
+    out = None
+    for kind in sorted({f["resource_type"] for f in fields}):
+        text = F.lit(f'{{"resourceType":"{kind}"}}')
+        paths = sorted({f["path"] for f in fields if f["resource_type"] == kind})
+        made = with_fields(text, {p: _quoted(F.col("given")[p]) for p in paths})
+        part = own.where(F.col("resource_type") == kind).select("response_id", "resource_type", made.alias("resource"))
+        out = part if out is None else out.unionByName(part)
+    entry = F.concat(F.lit('{"request":{"method":"POST","url":"'), F.col("resource_type"), F.lit('"},"resource":'), F.col("resource"), F.lit("}"))
+    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("resource_type", entry.alias("entry")))), lambda x: x["entry"]), ",")
+    return out.groupBy("response_id").agg(F.concat(F.lit('{"entry":['), entries, F.lit('],"resourceType":"Bundle","type":"transaction"}')).alias("bundle"))
+
+
+def _quoted(text: Column) -> Column:
+    """Text as a JSON string; null stays null."""
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1))
+
+
+def calculated(values: DataFrame, rules: dict[str, Column], rounds: int = 8) -> DataFrame:
+    """``values`` (one column an item) with calculated items: each round all rules see the values of the round before, until nothing changes.
+
+    A rule is a Column over the items. Items whose rules refer to each other in a ring may go on changing: ``settled`` is
+    false where the last round still changed something.
+    """
+    names = list(rules)
+    rows = values
+    for _ in range(rounds):
+        rows = rows.withColumns({f"_old_{n}": F.col(n) for n in names}).withColumns(rules)
+    same_ = F.lit(True)
+    for n in names:
+        same_ = same_ & F.col(n).eqNullSafe(F.col(f"_old_{n}"))
+    return rows.withColumn("settled", same_).drop(*[f"_old_{n}" for n in names])

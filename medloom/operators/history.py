@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.resources import canonical
+from ..sources.sinks import numbered
+from . import validate
+from .fields import with_fields
+
 KEY = ["resource_type", "id"]
 METHODS = {"create": "POST", "update": "PUT", "delete": "DELETE"}
 
@@ -79,6 +84,52 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def missing(rows: DataFrame, reference: str | Column, targets: DataFrame) -> DataFrame:
-    """Rows whose reference has no target."""
-    return rows.where(reference.isNotNull()).join(targets.select(F.concat_ws("/", "resourceType", "id").alias("_ref")), reference == F.col("_ref"), "left_anti")
+def read(rows: DataFrame, keys: DataFrame, found: str = "found") -> DataFrame:
+    """Each key with its row, and whether there is one."""
+    return keys.join(rows.withColumn(found, F.lit(True)), KEY, "left").withColumn(found, F.coalesce(found, F.lit(False)))
+
+
+def prepared(log: DataFrame, changes: DataFrame, required: dict[str, list[str]]) -> DataFrame:
+    """A batch of writes as events of the log: change_id, resource_type, id, action, status, version_id, json, and prev_version.
+
+    changes: change_id (in order), resource_type, id or null, action, json. JSON is made canonical and validated; an error aborts that
+    write (status 422), as do creating what exists (409) and changing what does not (404). A create without an id gets one from
+    change_id. Versions count on from the log, deletes get one of their own, as tombstones; meta carries version and time (``at`` of changes).
+    """
+    rows = changes.withColumn("id", F.coalesce("id", F.concat(F.lit("new-"), F.col("change_id").cast("string")))).withColumn("json", canonical("json"))
+    bad = validate.issues(rows.where("action <> 'delete'").select(F.col("change_id").alias("key"), "json"), required)
+    bad = bad.where("severity = 'error'").groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("errors")).withColumnRenamed("key", "change_id")
+    broken = rows.where("action <> 'delete' and json is null").select("change_id", F.lit("invalid-json").alias("errors"))
+    bad = bad.join(broken, "change_id", "left_anti").unionByName(broken)
+    before = log.groupBy(*KEY).agg(F.count("*").alias("events"), (F.max_by("action", "sequence") != "delete").alias("live"), F.max_by("version_id", "sequence").alias("last_version"))
+    rows = rows.join(bad, "change_id", "left").join(before, KEY, "left")
+    live = F.coalesce("live", F.lit(False))
+    status = (
+        F.when(F.col("errors").isNotNull(), 422).when((F.col("action") == "create") & live, 409).when((F.col("action") != "create") & ~live, 404)
+        .when(F.col("action") == "create", 201).when(F.col("action") == "update", 200).otherwise(204)
+    )
+    rows = rows.withColumn("status", status)
+    version = F.when(F.col("status") < 300, (F.coalesce("events", F.lit(0)) + 1).cast("string"))
+    meta = F.concat(F.lit('{"lastUpdated":"'), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('","versionId":"'), version, F.lit('"}'))
+    id_ = F.concat(F.lit('"'), F.col("id"), F.lit('"'))
+    json = F.when((F.col("status") < 300) & (F.col("action") != "delete"), with_fields("json", {"id": id_, "meta": meta}))
+    return rows.select("change_id", *KEY, "action", "status", version.alias("version_id"), F.when(F.col("status") < 300, F.col("last_version")).alias("prev_version"), json.alias("json"), "errors", "at")
+
+
+def written(events: DataFrame, params: dict[str, list], first: int) -> dict[str, DataFrame]:
+    """What one batch of prepared writes (one a key) adds: resources, tombstones, history, events and index rows; refused writes add nothing.
+
+    Sequences of events count on from ``first`` in order of change_id, numbered in sorted ranges.
+    """
+    fine = events.where("status < 300")
+    numbered_ = numbered(fine, ["change_id"]).withColumn("sequence", F.col("row_num") + first)
+    text = fine.where("action <> 'delete'").select(F.col("resource_type").alias("resourceType"), "id", "json")
+    rows = None
+    for kind, fields in params.items():
+        pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.get_json_object("json", p).alias("value")) for n, p in fields])
+        own = text.where(F.col("resourceType") == kind).select(F.col("resourceType").alias("resource_type"), "id", F.explode(pairs).alias("v")).select("resource_type", "id", "v.*").where("value is not null")
+        rows = own if rows is None else rows.unionByName(own)
+    return {
+        "resources": fine.where("action <> 'delete'").select(*KEY, "version_id", "json"), "tombstones": fine.where("action = 'delete'").select(*KEY, "version_id"),
+        "history": fine.select(*KEY, "version_id", "action", "json"), "events": numbered_.select("sequence", *KEY, "action", "version_id", "prev_version"), "index": rows,
+    }

@@ -59,6 +59,8 @@ def collapsed(scopes: DataFrame) -> DataFrame:
     wider = (F.col("b.resource") == "*") | (F.col("b.resource") == F.col("a.resource"))
     covers = F.size(F.array_except("a.actions", "b.actions")) == 0
     differs = (F.col("a.resource") != F.col("b.resource")) | (F.size("a.actions") < F.size("b.actions"))
+    scopes = scopes.withColumn("actions", F.array_sort(F.array_distinct("actions"))).distinct()  # equal scopes are one
+    a, b = scopes.alias("a"), scopes.alias("b")
     return a.join(b, same & wider & covers & differs, "left_anti")
 
 
@@ -76,7 +78,41 @@ def masked(df: DataFrame, hashed: list[str] = (), removed: list[str] = (), hidde
     return df.withColumns(of) if of else df
 
 
+def parsed_scopes(rows: DataFrame, scope: str = "scope") -> DataFrame:
+    """``rows`` with context, resource and actions of a scope: ``patient/Observation.rs``, ``user/*.read``; all null if it is none.
+
+    read is r and s, write is c, u and d, ``*`` is all five, in the order c, r, u, d, s.
+    """
+    part = lambda i: F.nullif(F.regexp_extract(scope, r"^(patient|user|system)/(\*|[A-Z][A-Za-z]+)\.(read|write|\*|c?r?u?d?s?)$", i), F.lit(""))
+    verb = F.when(part(3) == "read", "rs").when(part(3) == "write", "cud").when(part(3) == "*", "cruds").otherwise(part(3))
+    return rows.select("*", *[F.when(verb.isNotNull(), part(i)).alias(n) for i, n in ((1, "context"), (2, "resource"))], F.filter(F.split(verb, ""), lambda x: x != "").alias("actions"))
+
+
+def snapshot(principals: DataFrame, bindings: DataFrame, roles: DataFrame, devices: DataFrame) -> DataFrame:
+    """principal, roles, permissions, devices: what access checks need of each principal, in one row."""
+    held = bindings.join(roles, "role", "left").groupBy("principal").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("permissions")))).alias("permissions"))
+    own = devices.groupBy("principal").agg(F.array_sort(F.collect_set("device")).alias("devices"))
+    none = F.array().cast("array<string>")
+    return principals.join(held, "principal", "left").join(own, "principal", "left").select("principal", *[F.coalesce(c, none).alias(c) for c in ("roles", "permissions", "devices")])
+
+
 def semver(v: str | Column) -> Column:
     """A version as numbers, for comparison; null if it is none."""
     c = F.regexp_extract(v, r"^v?(\d+)\.(\d+)\.(\d+)", 0)
     return F.when(c != "", F.transform(F.split(F.ltrim(c, F.lit("v")), r"\."), lambda x: x.cast("int")))
+
+
+def ordered_semver(v: str | Column) -> Column:
+    """A version as a value that sorts by precedence: numbers, then a pre-release before the release, its parts numbers before words; null if it is none."""
+    c = F.col(v) if isinstance(v, str) else v
+    pre = F.regexp_extract(c, r"^v?\d+\.\d+\.\d+-([0-9A-Za-z.-]+)(\+.*)?$", 1)
+    fine = c.rlike(r"^v?\d+\.\d+\.\d+(-[0-9A-Za-z.-]+)?(\+.*)?$")
+    parts = F.transform(F.split(pre, r"\."), lambda x: F.struct(x.try_cast("bigint").isNull().alias("word"), F.coalesce(x.try_cast("bigint"), F.lit(0)).alias("number"), x.alias("text")))
+    return F.when(fine, F.struct(semver(c).alias("numbers"), (pre == "").alias("release"), F.when(pre != "", parts).alias("parts")))
+
+
+def compatible(version: Column, least: Column) -> Column:
+    """Whether a version is at least another of the same major version (below 1.0.0: of the same minor one)."""
+    a, b = semver(version), semver(least)
+    major = (a[0] == b[0]) & ((a[0] > 0) | (a[1] == b[1]))
+    return major & (ordered_semver(version) >= ordered_semver(least))

@@ -413,3 +413,46 @@ def run(query: str | list[tuple[str, str]], kind: str, params: dict[str, list[Pa
     included_ = included_.distinct().join(limited.select("resourceType", "id"), ["resourceType", "id"], "left_anti")
     resources_ = projected(numbered.drop(*rank, "position") if rank else numbered.drop("position"), s)
     return Found(s, kind, page_, total, resources_, included_)
+
+
+class Builder:
+    """A search built step by step: ``Builder().where("name", "Doe").any("status", "a", "b").sort("-date").count(10).query``."""
+
+    def __init__(self, parts: tuple[tuple[str, str], ...] = ()):
+        self.parts = parts
+
+    def _with(self, name: str, value: str) -> Builder:
+        return Builder((*self.parts, (name, value)))
+
+    def where(self, name: str, value: str, modifier: str = "") -> Builder:
+        return self.any(name, value, modifier=modifier)
+
+    def any(self, name: str, *values: str, modifier: str = "") -> Builder:
+        """One of the values; marks within them are escaped."""
+        escaped = [v.replace("\\", "\\\\").replace(",", "\\,") for v in values]
+        return self._with(name + (f":{modifier}" if modifier else ""), ",".join(escaped))
+
+    def sort(self, *keys: str) -> Builder:
+        return self._with("_sort", ",".join(keys))
+
+    def count(self, n: int) -> Builder:
+        return self._with("_count", str(n))
+
+    def offset(self, n: int) -> Builder:
+        return self._with("_offset", str(n))
+
+    def include(self, path: str) -> Builder:
+        return self._with("_include", path)
+
+    @property
+    def query(self) -> list[tuple[str, str]]:
+        return list(self.parts)
+
+
+def all_pages(query: list[tuple[str, str]], kind: str, params: dict[str, list[Param]], load: Callable[[str], DataFrame]) -> DataFrame:
+    """All matches of a search, as following its next links gives them: the pages are one plan here, without the limit."""
+    plain_ = [(k, v) for k, v in query if k not in ("_count", "_offset", "_sort", "_summary", "_elements")]
+    s = search(plain_)
+    if any(t.chain for t in s.terms) or s.text:
+        raise SearchError("all pages of plain terms only")
+    return direct(load(kind), params[kind], s.terms)

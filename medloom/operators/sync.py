@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import KEY
+from ..sources.steps import stepped
+from .history import KEY, enriched
 
 TERMINAL = ("accepted", "rejected", "already_processed", "conflicted")
 RETRY_AFTER_S = 30
@@ -54,7 +55,8 @@ def batches(events: DataFrame, size: int = 100, by: str = "node") -> DataFrame:
 
     A node's events are numbered in sorted ranges, whose counts are added up: no task holds all events of a node.
     """
-    cut = events.repartitionByRange(by, "sequence").withColumn("_part", F.spark_partition_id()).localCheckpoint()
+    cut = events.repartitionByRange(by, "sequence").withColumn("_part", F.spark_partition_id())
+    cut = stepped(cut, "batches")
     per = cut.groupBy(by, "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), before.alias("_before"))
@@ -69,3 +71,19 @@ def pulled(log: DataFrame, current: DataFrame, after: int) -> DataFrame:
     """Canonical events for a node: each event after its cursor with the resource as it is now."""
     now = current.select(*KEY, F.col("version_id").alias("current_version"), F.col("json").alias("current_json"))
     return log.where(F.col("sequence") > after).join(now, KEY, "left")
+
+
+def replayed(log: DataFrame, first: int, last: int, size: int = 100, by: str = "node") -> DataFrame:
+    """The pushes of a range of sequences once more: enriched events of the range with the batch and the place that they had from there on.
+
+    Base versions come from the whole log, so a replay sends what the first push sent.
+    """
+    rows = enriched(log).join(log.select("sequence", by), "sequence").where(F.col("sequence").between(first, last))
+    return batches(rows, size, by)
+
+
+def nodes(registry: DataFrame, seen: DataFrame, now: Column, stale_after: str = "1 day") -> DataFrame:
+    """node, kind, last_seen, state of the registered nodes: active, stale (not seen for a time) or new (never seen)."""
+    last = seen.groupBy("node").agg(F.max("at").alias("last_seen"))
+    state = F.when(F.col("last_seen").isNull(), "new").when(F.col("last_seen") < now - F.expr(f"INTERVAL {stale_after}"), "stale").otherwise("active")
+    return registry.join(last, "node", "left").withColumn("state", state)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.resources import canonical, fingerprint
+from ..sources.steps import stepped
+
 MAX_EXPANSION = 10_000
 MEMBER = ["system", "version", "code"]
 
@@ -13,20 +16,19 @@ class TooCostly(ValueError):
     """An expansion above the limit."""
 
 
-def flattened(systems: DataFrame, depth: int = 8) -> DataFrame:
+def flattened(systems: DataFrame) -> DataFrame:
     """(system, version, concept array of (code, display, concept...)) -> system, version, code, display, parent_code.
 
-    One explode a level; the schema says how deep the tree goes, ``depth`` at most.
+    One explode a level; the schema says how deep the tree goes.
     """
     level = systems.select("system", "version", F.lit(None).cast("string").alias("parent_code"), F.explode("concept").alias("c"))
     out = None
-    for _ in range(depth):
+    while True:
         rows = level.select("system", "version", F.col("c.code").alias("code"), F.col("c.display").alias("display"), "parent_code")
         out = rows if out is None else out.unionByName(rows)
         if "concept" not in level.schema["c"].dataType.names:
-            break
+            return out
         level = level.select("system", "version", F.col("c.code").alias("parent_code"), F.explode("c.concept").alias("c"))
-    return out
 
 
 def newest(rows: DataFrame, *keys: str) -> DataFrame:
@@ -42,10 +44,16 @@ def lookup(codes: DataFrame, concepts: DataFrame, retired: DataFrame | None = No
 
 
 def expanded(concepts: DataFrame, include: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
-    """Distinct members of the included systems or codes (null code: the whole system) without the excluded codes."""
+    """Members of the included systems or codes (null code: the whole system) without the excluded codes.
+
+    A member is a code of a system, and of a version where there is one; of several rows the last by their columns stays.
+    """
     whole = concepts.join(include.where("code is null").select("system").distinct(), "system", "left_semi")
     single = concepts.join(include.where("code is not null").select("system", "code").distinct(), ["system", "code"], "left_semi")
-    out = whole.unionByName(single).dropDuplicates(["system", "code"])
+    both = whole.unionByName(single)
+    keys = [c for c in MEMBER if c in both.columns]
+    rest = sorted((c for c in both.columns if c not in keys), key=lambda c: c != "display")
+    out = both.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("last")).select(*keys, "last.*") if rest else both.distinct()
     return out if exclude is None else out.join(exclude.select("system", "code"), ["system", "code"], "left_anti")
 
 
@@ -59,8 +67,8 @@ def members(value_sets: DataFrame, start: str) -> DataFrame:
     fresh = seen
     while not fresh.isEmpty():
         step = value_sets.join(fresh, "url", "left_semi").where("includes is not null").select(F.col("includes").alias("url")).distinct()
-        fresh = step.join(seen, "url", "left_anti").localCheckpoint()
-        seen = seen.unionByName(fresh).localCheckpoint()
+        fresh = stepped(step.join(seen, "url", "left_anti"), "fresh")
+        seen = seen.unionByName(fresh)
     return value_sets.where("system is not null").join(seen, "url", "left_semi").select("system", "code").distinct()
 
 
@@ -80,15 +88,34 @@ def validated(codings: DataFrame, allowed: DataFrame) -> DataFrame:
     return rows.select(*codings.columns, found.alias("result"), message.alias("message"))
 
 
-def closure(concepts: DataFrame, spark: SparkSession) -> DataFrame:
-    """ancestor, code, distance of every concept under each of its ancestors, by a recursive query."""
-    concepts.select("code", "parent_code").createOrReplaceTempView("closure_edges")
-    return spark.sql("""
-        WITH RECURSIVE up(code, ancestor, distance) AS (
-            SELECT code, parent_code, 1 FROM closure_edges WHERE parent_code IS NOT NULL
-            UNION ALL
-            SELECT up.code, e.parent_code, up.distance + 1 FROM up JOIN closure_edges e ON up.ancestor = e.code WHERE e.parent_code IS NOT NULL
-        ) SELECT ancestor, code, distance FROM up""")
+def closure(concepts: DataFrame) -> DataFrame:
+    """ancestor, code, distance (the least) of every concept under each of its ancestors: a join a level, however many rows; a cycle ends where it closes."""
+    edges = concepts.where("parent_code is not null").select("code", F.col("parent_code").alias("ancestor")).distinct()
+    fresh = stepped(edges.withColumn("distance", F.lit(1)), "closure")
+    out = fresh
+    while True:
+        up = edges.select(F.col("code").alias("ancestor"), F.col("ancestor").alias("above"))
+        step = fresh.join(up, "ancestor").select("code", F.col("above").alias("ancestor"), (F.col("distance") + 1).alias("distance")).distinct()
+        fresh = stepped(step.join(out.select("code", "ancestor"), ["code", "ancestor"], "left_anti"), "closure")
+        if fresh.isEmpty():
+            return out.select("ancestor", "code", "distance")
+        out = out.unionByName(fresh)
+
+
+def compiled(value_sets: DataFrame, compose: str = "compose") -> DataFrame:
+    """value_sets with compose in canonical form and its fingerprint; what is no JSON has neither."""
+    return value_sets.withColumn(compose, canonical(compose)).withColumn("fingerprint", fingerprint(compose))
+
+
+def outdated(value_sets: DataFrame, built: DataFrame) -> DataFrame:
+    """url, version, fingerprint of compiled value sets that are not built yet, or were built of another compose."""
+    done = built.select("url", "version", "fingerprint")
+    return value_sets.where("fingerprint is not null").select("url", "version", "fingerprint").join(done, ["url", "version", "fingerprint"], "left_anti")
+
+
+def replaced(current: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """All rows of the keys that ``new`` has come from it, the others stay as they are."""
+    return current.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
 def first_found(codes: DataFrame, *providers: DataFrame) -> DataFrame:
@@ -97,8 +124,3 @@ def first_found(codes: DataFrame, *providers: DataFrame) -> DataFrame:
     for i, p in enumerate(providers):
         out = out.join(p.select("system", "code", F.col("display").alias(f"_d{i}")), ["system", "code"], "left")
     return out.select(*codes.columns, F.coalesce(*[F.col(f"_d{i}") for i in range(len(providers))]).alias("found_display"))
-
-
-def numbered_versions(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("url").orderBy(F.desc("version"))
-    return rows.withColumn("newest", F.row_number().over(w) == 1)

@@ -48,7 +48,7 @@ def terminology_validate(spark, sf_dir):
 
 @query(f"WITH {CONCEPTS} SELECT parent AS ancestor, code, 1 AS distance FROM c WHERE parent IS NOT NULL UNION ALL SELECT b.parent, c.code, 2 FROM c JOIN c b ON c.parent = b.code WHERE b.parent IS NOT NULL")
 def terminology_closure(spark, sf_dir):
-    return T.closure(concepts(spark, sf_dir), spark)
+    return T.closure(concepts(spark, sf_dir))
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS code FROM nation WHERE n_regionkey <= 3")

@@ -1,19 +1,12 @@
-"""The folder that queries write intermediate files to: shared by driver and executors."""
+"""Small tables that queries make themselves, and the folder that they write to."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.steps import work_dir
 
-def work_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (local runs), a temporary folder that then becomes it."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="medloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+__all__ = ["rows", "work_dir"]
 
 
 def rows(spark: SparkSession, data: list[tuple], schema: str) -> DataFrame:

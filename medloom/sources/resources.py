@@ -24,11 +24,6 @@ def envelope(df: DataFrame, json: str = "json") -> DataFrame:
     )
 
 
-def fhir_time(c: str | Column) -> Column:
-    """Timestamps as resources write them: with or without time, fraction and zone."""
-    return F.try_to_timestamp(c)
-
-
 def references(df: DataFrame, json: str = "json", key: str = "id") -> DataFrame:
     """key, reference, resource_type, target of every nested ``reference`` string of a JSON resource."""
     found = F.regexp_extract_all(canonical(json), F.lit(r'"reference":"((?:[^"\\]|\\.)*)"'), F.lit(1))

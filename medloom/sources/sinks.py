@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,17 +19,30 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def refresh(rows: DataFrame, path: str, view: str, version: str, order: list[str]) -> dict:
-    """Replaces the reporting table of a view and version under ``path``; the metadata row is returned and written."""
-    numbered(rows, order).write.mode("overwrite").parquet(f"{path}/rows/view={view}/version={version}")
-    spark = rows.sparkSession
-    n = spark.read.parquet(f"{path}/rows/view={view}/version={version}").count()
-    meta = {"view": view, "version": version, "columns": ",".join(rows.columns), "row_count": n}
-    spark.createDataFrame([meta]).withColumn("refreshed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/meta/view={view}/version={version}")
+    """Replaces the reporting table of a view and version under ``path``; the metadata row is returned and written.
+
+    New rows go to a folder of their own, and the metadata names it once they are all there: a reader finds the old table or the
+    new one, never a part of either.
+    """
+    spark, folder = rows.sparkSession, f"rows/view={view}/version={version}/{uuid.uuid4().hex}"
+    numbered(rows, order).write.parquet(f"{path}/{folder}")
+    n = spark.read.parquet(f"{path}/{folder}").count()
+    meta = {"view": view, "version": version, "columns": ",".join(rows.columns), "row_count": n, "folder": folder}
+    spark.createDataFrame([meta]).withColumn("refreshed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/meta")
     return meta
 
 
+def read_meta(spark: SparkSession, path: str) -> DataFrame:
+    """The last refresh of each view and version."""
+    rows = spark.read.parquet(f"{path}/meta")
+    return rows.groupBy("view", "version").agg(F.max_by(F.struct("columns", "row_count", "folder", "refreshed_at"), F.struct("refreshed_at", "folder")).alias("last")).select("view", "version", "last.*")
+
+
 def read_report(spark: SparkSession, path: str, view: str, version: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows/view={view}/version={version}").orderBy("row_num")
+    last = read_meta(spark, path).where((F.col("view") == view) & (F.col("version") == version)).first()
+    if last is None:
+        raise ValueError(f"{view} {version} was never refreshed")
+    return spark.read.parquet(f"{path}/{last['folder']}").orderBy("row_num")
 
 
 def csv_cells(df: DataFrame) -> DataFrame:
