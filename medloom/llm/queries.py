@@ -84,6 +84,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_suffix_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+             w AS (SELECT r, doc_id, p, array_slice(b, p + 1, p + 50) AS s FROM (SELECT r, doc_id, b, unnest(range(octet_length(b) - 49)) AS p FROM d WHERE octet_length(b) >= 50)),
+             m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+             h AS (SELECT r, p FROM w JOIN m ON w.s = m.s WHERE low < doc_id),
+             g AS (SELECT r, p, sum(CASE WHEN p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM h)),
+             n AS (SELECT r, min(p) AS start, max(p) + 50 AS stop FROM g GROUP BY r, k),
+             k AS (SELECT r, start, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start), 0) AS a, start AS z FROM n UNION ALL SELECT d.r, octet_length(b), coalesce(max(stop), 0), octet_length(b) FROM d LEFT JOIN n ON d.r = n.r GROUP BY d.r, b),
+             x AS (SELECT k.r, string_agg(CASE WHEN z > a THEN hex(array_slice(b, a + 1, z)) ELSE '' END, '' ORDER BY start) AS kept FROM k JOIN d ON k.r = d.r GROUP BY k.r)
+        SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(q.removed, 0)::BIGINT AS n_removed, coalesce(q.spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+        FROM d JOIN x ON d.r = x.r LEFT JOIN (SELECT r, sum(stop - start) AS removed, count(*) AS spans FROM n GROUP BY r) q ON d.r = q.r""",
+    "op4_debruijn_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+             w AS (SELECT r, p, array_to_string(list_slice(t, p + 1, p + 35), ' ') AS s FROM (SELECT r, t, unnest(range(len(t) - 34)) AS p FROM d WHERE len(t) >= 35)),
+             m AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+             h AS (SELECT r, p FROM w JOIN m ON w.s = m.s),
+             g AS (SELECT r, p, sum(CASE WHEN p > before + 35 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM h)),
+             n AS (SELECT r, min(p) AS start, max(p) + 35 AS stop FROM g GROUP BY r, k),
+             k AS (SELECT r, start, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start), 0) AS a, start AS z FROM n UNION ALL SELECT d.r, len(t), coalesce(max(stop), 0), len(t) FROM d LEFT JOIN n ON d.r = n.r GROUP BY d.r, t),
+             x AS (SELECT k.r, coalesce(string_agg(array_to_string(list_slice(t, a + 1, z), ' '), ' ' ORDER BY start) FILTER (z > a), '') AS kept FROM k JOIN d ON k.r = d.r GROUP BY k.r)
+        SELECT d.doc_id, len(t)::BIGINT AS n_words, coalesce(q.removed, 0)::BIGINT AS n_removed, sha256(kept) AS kept_sha256
+        FROM d JOIN x ON d.r = x.r LEFT JOIN (SELECT r, sum(stop - start) AS removed FROM n GROUP BY r) q ON d.r = q.r""",
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
              g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
