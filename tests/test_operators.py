@@ -85,3 +85,54 @@ def test_value_sets_nested_deeper_than_any_limit(spark):
     rows = [(f"v{i}", None, None, f"v{i + 1}") for i in range(35)] + [("v35", "s", "deep", None)]
     sets = spark.createDataFrame(rows, "url string, system string, code string, includes string")
     assert [r.code for r in terminology.members(sets, "v0").collect()] == ["deep"]
+
+
+def test_closure_and_members_are_whole_however_deep(spark):
+    from medloom.operators import terminology as T
+
+    chain = spark.range(1, 12).selectExpr("cast(id as string) as code", "cast(id - 1 as string) as parent_code")
+    got = T.closure(chain)
+    assert got.count() == 11 * 12 // 2 and got.agg({"distance": "max"}).first()[0] == 11
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "code string, parent_code string")
+    assert T.closure(ring).count() == 9
+    nested = spark.range(8).selectExpr("cast(id as string) as url", "'s' as system", "cast(id as string) as code", "cast(id + 1 as string) as includes")
+    assert T.members(nested, "0").count() == 8
+
+
+def test_fields_of_what_is_no_object(spark):
+    from pyspark.sql import functions as F
+
+    from medloom.operators import fields
+
+    df = spark.createDataFrame([("[1]",), ("{bad",), (None,), ("{}",), ('{"a":[1]}',)], "json string")
+    out = [tuple(r) for r in df.select(fields.with_fields("json", {"a.b": F.lit("1")}), fields.allowed("json", ["a"]), fields.merged_update("json", F.lit("no json"))).collect()]
+    assert out == [(None,) * 3] * 3 + [('{"a":{"b":1}}', "{}", "{}"), ('{"a":{"b":1}}', '{"a":[1]}', '{"a":[1]}')]
+
+
+def test_rings_of_calculated_items_do_not_settle(spark):
+    from pyspark.sql import functions as F
+
+    from medloom.operators import forms
+
+    df = spark.createDataFrame([(1, 0, 0)], "id int, a int, b int")
+    out = forms.calculated(df, {"a": F.col("b") + 1, "b": F.col("a") + 1}).first()
+    assert not out.settled and forms.calculated(df, {"a": F.lit(5), "b": F.col("a") * 2}).first().settled
+
+
+def test_no_local_folder_on_a_cluster():
+    from medloom.sources import steps
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    import pytest
+
+    with pytest.raises(ValueError):
+        steps.work_dir(Session())
