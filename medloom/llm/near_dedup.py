@@ -7,8 +7,8 @@ large family of near copies and split that family. IDF_BASE is the smoothing con
 
 Candidates. SAMPLES consistent samples a document are cut into bands; documents that agree in all samples of a
 band share a bucket. In each bucket all are compared with the one of smallest doc_id; after the links found so are
-joined to components, every document outside that one's component is compared with all of other components in its
-bucket. So every pair that shares a bucket is compared, or is already in one component.
+joined to components, every document outside that one's component is compared with the likeliest of other components in
+its bucket; and after those links, what is still outside with all of them. So every pair that shares a bucket is compared, or is already in one component.
 
 Verification. Pairs whose samples agree in MIN_AGREE places or more are verified by the exact weighted Jaccard
 similarity of their whole texts. Where a bucket still has several components, its documents get FINE further
@@ -220,28 +220,37 @@ def _weights(text: str, idf: np.ndarray):
     return key, weight, weight.sum()
 
 
-def _strangers(rows: pa.Table, strays: pa.Table) -> pa.Table:
+def _strangers(best: bool):
     """Pairs of a stray and a row of its block in another component whose samples agree as those of similar texts do.
 
-    A pair comes from the first band that it shares only. Its components differ, so one of the two is a stray there.
+    ``best``: of each stray in a block only the pair whose samples agree most. Otherwise all, each from the first band that
+    the two share; their components differ, so one of them is a stray there.
     """
-    found: list[np.ndarray] = []
-    if rows.num_rows and strays.num_rows:
-        rows, strays = rows.sort_by("block"), strays.sort_by("block")
-        rb, sb = rows["block"].to_numpy(), strays["block"].to_numpy()
-        fine = lambda t: np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint16).reshape(-1, FINE)
-        columns = lambda t: (t["rep"].to_numpy(), t["comp"].to_numpy(), t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES), fine(t))
-        (rid, rc, rs, rf), (sid, sc, ss, sf), band = columns(rows), columns(strays), rows["band"].to_numpy()
-        blocks, start = np.unique(rb, return_index=True)
-        for block, a, b in zip(blocks, start, np.append(start[1:], len(rb))):
-            for i in range(np.searchsorted(sb, block, "left"), np.searchsorted(sb, block, "right")):
-                near = np.flatnonzero(((rs[a:b] == ss[i]).sum(1) >= MIN_AGREE) & (rc[a:b] != sc[i])) + a
-                near = near[(rf[near] == sf[i]).sum(1) >= FINE_AGREE]
-                shared = (rs[near] == ss[i]).reshape(-1, SAMPLES // BAND, BAND).all(2)
-                near = near[shared.argmax(1) == band[a]]
-                found.append(np.stack([np.minimum(rid[near], sid[i]), np.maximum(rid[near], sid[i])]))
-    pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
+
+    def run(rows: pa.Table, strays: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = []
+        if rows.num_rows and strays.num_rows:
+            rows, strays = rows.sort_by("block"), strays.sort_by("block")
+            rb, sb = rows["block"].to_numpy(), strays["block"].to_numpy()
+            fine = lambda t: np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint16).reshape(-1, FINE)
+            columns = lambda t: (t["rep"].to_numpy(), t["comp"].to_numpy(), t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES), fine(t))
+            (rid, rc, rs, rf), (sid, sc, ss, sf), band = columns(rows), columns(strays), rows["band"].to_numpy()
+            blocks, start = np.unique(rb, return_index=True)
+            for block, a, b in zip(blocks, start, np.append(start[1:], len(rb))):
+                for i in range(np.searchsorted(sb, block, "left"), np.searchsorted(sb, block, "right")):
+                    near = np.flatnonzero(((rs[a:b] == ss[i]).sum(1) >= MIN_AGREE) & (rc[a:b] != sc[i])) + a
+                    agree = (rf[near] == sf[i]).sum(1)
+                    near, agree = near[agree >= FINE_AGREE], agree[agree >= FINE_AGREE]
+                    if best:
+                        near = near[np.argsort(-agree, kind="stable")[:1]]
+                    else:
+                        shared = (rs[near] == ss[i]).reshape(-1, SAMPLES // BAND, BAND).all(2)
+                        near = near[shared.argmax(1) == band[a]]
+                    found.append(np.stack([np.minimum(rid[near], sid[i]), np.maximum(rid[near], sid[i])]))
+        pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
+
+    return run
 
 
 def _groups(docs: DataFrame, similarity: float) -> DataFrame:
@@ -251,7 +260,9 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
     signed = written(signatures(keyed, idf), "signatures")
     real = signed.where("doc_id is not null and n_words > 0")
     reps = real.groupBy("x", "y").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("own"), F.min_by("sig", "doc_id").alias("sig"))
-    reps = written(reps.select("x", "y", "own.k1", "own.k2", "sig", F.monotonically_increasing_id().alias("rep")), "reps")
+    # numbers in the order of doc_id: the first document of a family leads it, as a rule the one that the others were made of
+    reps = reps.select("x", "y", "own.*", "sig").repartitionByRange("doc_id", "k1").sortWithinPartitions("doc_id", "k1", "k2")
+    reps = written(reps.select("x", "y", "k1", "k2", "sig", F.monotonically_increasing_id().alias("rep")), "reps")
     bands = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES // BAND - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * BAND + 1, BAND)))
     rows = written(reps.select("rep", F.posexplode(bands).alias("band", "bucket")), "bands")
     leaders = written(rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
@@ -269,23 +280,25 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
     stars = stars.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
     links = linked(written(stars.where(agree >= MIN_AGREE).select("a", "b"), "stars"))
-    root = written(components(links), "roots")
-
-    placed = rows.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
-    heads = root.select(F.col("node").alias("leader"), F.col("root").alias("head"))
-    placed = placed.join(heads, "leader", "left").select("band", "bucket", "rep", "n", "comp", F.coalesce("head", "leader").alias("main"))
-    mixed = placed.groupBy("bucket").agg(F.count_if(F.col("comp") != F.col("main")).alias("strays")).where("strays > 0").select("bucket")
-    placed = written(placed.join(mixed, "bucket", "left_semi"), "mixed")
-    cells = max(1, -(-placed.count() // CELL_ROWS))
-    fine = written(finer(texts.join(placed.select("rep").distinct(), "rep", "left_semi"), idf), "finer")
-    placed = written(placed.join(sigs, "rep").join(fine, "rep"), "compared")
-    splits = F.ceil(F.col("n") / BLOCK_ROWS)
-    cell = F.pmod(F.xxhash64("block"), F.lit(cells)).alias("cell")
-    members = placed.select(F.xxhash64("bucket", F.pmod(F.xxhash64("rep"), splits)).alias("block"), "band", "rep", "comp", "sig", "fine").select(cell, "*")
-    strays = placed.where("comp <> main").select("bucket", "rep", "comp", "sig", "fine", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)).alias("split"))
-    strays = strays.select(F.xxhash64("bucket", "split").alias("block"), "rep", "comp", "sig", "fine").select(cell, "*")
-    more = members.groupBy("cell").cogroup(strays.groupBy("cell")).applyInArrow(_strangers, "a long, b long").distinct()
-    links = links.unionByName(linked(written(more, "strangers")))
+    fine = None
+    for best in (True, False):
+        root = written(components(links), "roots")
+        placed = rows.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
+        heads = root.select(F.col("node").alias("leader"), F.col("root").alias("head"))
+        placed = placed.join(heads, "leader", "left").select("band", "bucket", "rep", "n", "comp", F.coalesce("head", "leader").alias("main"))
+        mixed = written(placed.groupBy("bucket").agg(F.count_if(F.col("comp") != F.col("main")).alias("strays")).where("strays > 0").select("bucket"), "several")
+        placed = written(placed.join(mixed, "bucket", "left_semi"), "mixed")
+        cells = max(1, -(-placed.count() // CELL_ROWS))
+        if fine is None:  # buckets of several components only get fewer
+            fine = written(finer(texts.join(placed.select("rep").distinct(), "rep", "left_semi"), idf), "finer")
+        placed = written(placed.join(sigs, "rep").join(fine, "rep"), "compared")
+        splits = F.ceil(F.col("n") / BLOCK_ROWS)
+        cell = F.pmod(F.xxhash64("block"), F.lit(cells)).alias("cell")
+        members = placed.select(F.xxhash64("bucket", F.pmod(F.xxhash64("rep"), splits)).alias("block"), "band", "rep", "comp", "sig", "fine").select(cell, "*")
+        strays = placed.where("comp <> main").select("bucket", "rep", "comp", "sig", "fine", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)).alias("split"))
+        strays = strays.select(F.xxhash64("bucket", "split").alias("block"), "rep", "comp", "sig", "fine").select(cell, "*")
+        more = members.groupBy("cell").cogroup(strays.groupBy("cell")).applyInArrow(_strangers(best), "a long, b long").distinct()
+        links = links.unionByName(linked(written(more, "strangers")))
     root = written(components(links), "roots")
 
     found = real.select("doc_id", "k1", "k2", "x", "y").join(reps.select("x", "y", "rep"), ["x", "y"])
