@@ -87,3 +87,8 @@ def nodes(registry: DataFrame, seen: DataFrame, now: Column, stale_after: str =
     last = seen.groupBy("node").agg(F.max("at").alias("last_seen"))
     state = F.when(F.col("last_seen").isNull(), "new").when(F.col("last_seen") < now - F.expr(f"INTERVAL {stale_after}"), "stale").otherwise("active")
     return registry.join(last, "node", "left").withColumn("state", state)
+
+
+def advanced(stored: DataFrame, new: DataFrame, by: str = "node") -> DataFrame:
+    """Stored cursors after an exchange: a cursor never goes back, nodes without a stored one get theirs."""
+    return stored.select(by, "cursor").unionByName(new.select(by, "cursor")).groupBy(by).agg(F.max("cursor").alias("cursor"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import Path, boolean
+from . import audit
 
 Expr = str | Callable[[Path], "Path | Column"]
 #: Declared column types and Spark's (fixed values).
@@ -76,7 +77,14 @@ def union(views: list[tuple[View, DataFrame]]) -> DataFrame:
 
 
 def paged(rows: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
-    return rows.orderBy(*order).offset(offset).limit(limit)
+    """A page of rows by columns (``-`` before a name: descending); a top-k, not a sort of all rows."""
+    return rows.orderBy(*[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order]).offset(offset).limit(limit)
+
+
+def logged(view: View, df: DataFrame, actor: str, at: Column) -> DataFrame:
+    """The audit record of a run of a view: one row with its name, version and counters."""
+    details = {"view": F.lit(view.name), "version": F.lit(view.version), "scanned": F.col("scanned"), "filtered": F.col("filtered")}
+    return audit.records(counters(view, df), "view", F.lit(actor), details, at)
 
 
 def counters(view: View, df: DataFrame) -> DataFrame:

@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.paths import Path, today
-from ..operators import blobs, fields, forms, history, policy, sync
+from ..operators import blobs, fields, forms, history, policy, subscriptions, sync
 from ..operators import search as S
 from ..operators import terminology as T
+from ..operators import views as V
+from ..sources import resources as R
 from ..sources import sinks
-from ..sources.tables import concepts, event_log, table
+from ..sources.resources import with_meta
+from ..sources.tables import event_log, table
 from ..streaming import events as stream_events
 from .catalog import PARAMS, resources
 from .registry import query
@@ -286,3 +289,88 @@ def stream_resumed(spark, sf_dir):
         e.where(F.col("event_type") == kind).write.mode("append").parquet(path)
         out = stream_events.drained(stream_events.read(spark, path, e.schema), work_dir(spark), spark, name=name)
     return out.agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+# cells, exports, audit, jobs, cursors, envelopes
+
+
+@query("""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, '{"value":' || l_quantity || ',"unit":"unit","system":"urn:units","code":"u"}' AS quantity FROM lineitem WHERE l_orderkey % 5 = 0""")
+def view_quantity_cell(spark, sf_dir):
+    """A Quantity as one cell of a flat table."""
+    view = V.View("quantities", "Observation", {"id": "id", "quantity": lambda p: p["value"].ofType("Quantity")})
+    return sinks.csv_cells(V.compiled(view, resources(spark, sf_dir, "Observation").where("cast(split_part(id, '-', 1) as bigint) % 5 = 0")))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
+def ndjson_since(spark, sf_dir):
+    """An export since a time."""
+    path = f"{work_dir(spark)}/export-{uuid.uuid4().hex}"
+    e = resources(spark, sf_dir, "Encounter")
+    sinks.write_ndjson(with_meta(e, F.lit("1"), F.col("period.start")), path)
+    return sinks.read_ndjson(spark, path, "resourceType string, id string, meta struct<versionId: string, lastUpdated: string>", "1997-01-01T00:00:00Z", ["Encounter"]).select("id")
+
+
+@query("SELECT 'Patient' AS view, count(*) AS scanned, count(*) FILTER (c_custkey % 2 = 0) AS filtered, 2 AS runs FROM customer")
+def audit_appended(spark, sf_dir):
+    """Two runs of a view, each with a record in an append-only table."""
+    path = f"{work_dir(spark)}/audit-{uuid.uuid4().hex}"
+    view = V.View("Patient", "Patient", {"id": "id"}, where=[lambda p: p["gender"] == "female"])
+    for actor in ("a", "b"):
+        sinks.appended(V.logged(view, resources(spark, sf_dir, "Patient"), actor, F.lit("2024-01-01").cast("timestamp")), path)
+    of = lambda k: F.max(F.col("details")[k].cast("long")).alias(k)
+    return spark.read.parquet(path).groupBy(F.col("details")["view"].alias("view")).agg(of("scanned"), of("filtered"), F.countDistinct("actor").cast("int").alias("runs"))
+
+
+@query("SELECT 'j' || k AS job_id, CASE WHEN k % 2 = 0 THEN 'completed' ELSE 'pending' END AS status FROM (SELECT DISTINCT s_suppkey AS k FROM supplier)")
+def job_enqueue_once(spark, sf_dir):
+    """Jobs that come twice, half of which are done already."""
+    s = table(spark, sf_dir, "supplier")
+    job = lambda df, status: df.select(F.concat(F.lit("j"), F.col("s_suppkey").cast("string")).alias("job_id"), F.lit(status).alias("status"))
+    return subscriptions.enqueued(job(s.where("s_suppkey % 2 = 0"), "completed"), job(s.unionByName(s), "pending"))
+
+
+@query("SELECT n_nationkey AS node, CASE WHEN n_nationkey % 2 = 0 THEN 50 ELSE n_nationkey END AS cursor FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, 7 FROM nation WHERE n_nationkey >= 20")
+def cursor_stored(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+    stored = n.where("node < 20").select("node", F.when(F.col("node") % 2 == 0, 50).otherwise(0).cast("long").alias("cursor"))
+    new = n.select("node", F.when(F.col("node") < 20, F.col("node")).otherwise(7).alias("cursor"))
+    return sync.advanced(stored, new)
+
+
+@query("SELECT 'Patient' AS resource_type, CAST(c_custkey AS VARCHAR) AS id, '3' AS version_id, TIMESTAMP '2024-01-02 03:04:05' AS last_updated FROM customer")
+def resource_envelope(spark, sf_dir):
+    """Type, id, version and time of JSON resources."""
+    p = with_meta(resources(spark, sf_dir, "Patient").select("resourceType", "id", "name"), F.lit("3"), F.lit("2024-01-02T03:04:05Z"))
+    return R.envelope(p.select(F.to_json(F.struct("*")).alias("json"))).select("resource_type", "id", "version_id", F.col("last_updated").cast("timestamp_ntz").alias("last_updated"))
+
+
+@query("SELECT s_suppkey AS blob_id, sha256(repeat(s_name, 40)) AS sha256, CAST(strlen(s_name) * 40 AS BIGINT) AS n_bytes FROM supplier")
+def blob_read(spark, sf_dir):
+    """Blobs that are stored as encrypted chunks, decrypted and put together."""
+    key = F.lit("0123456789abcdef").cast("binary")
+    stored = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("blob_id"), F.encode(F.repeat("s_name", 40), "UTF-8").alias("data"))
+    chunks = blobs.chunked(stored, 100).withColumn("data", blobs.encrypted("data", key))
+    return blobs.assembled(chunks.withColumn("data", blobs.decrypted("data", key))).select("blob_id", "sha256", "n_bytes")
+
+
+@query("SELECT CAST(sum(strlen(s_name) + 1) AS BIGINT) AS n_bytes FROM supplier")
+def blob_files(spark, sf_dir):
+    """Files as binary content."""
+    path = f"{work_dir(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "supplier").select("s_name").write.text(path)
+    return blobs.read_blobs(spark, path).agg(F.sum(F.octet_length("content")).cast("long").alias("n_bytes"))
+
+
+@query("WITH s AS (SELECT event_id AS sequence, value FROM events WHERE event_type = 'signup') SELECT 's1:' || sequence AS job_id FROM s WHERE value > 50")
+def subscription_condition(spark, sf_dir):
+    """Subscriptions with a condition over the event."""
+    log = event_log(spark, sf_dir).withColumn("changed", F.array().cast("array<string>"))
+    subs = rows(spark, [("s1", "active", "Patient", "create", None)], "subscription_id string, status string, resource_type string, event string, changed_fields array<string>")
+    return subscriptions.matched(log, subs, F.col("value") > 50).select("job_id")
+
+
+@query("SELECT * FROM (VALUES ('Location', '_id', 'token', ''), ('Location', 'name', 'string', ''), ('Location', 'partof', 'reference', 'Location'), ('Organization', '_id', 'token', ''), ('Organization', 'name', 'string', ''), ('Organization', 'location', 'reference', 'Location')) t(resource_type, param, kind, targets)")
+def capability_params(spark, sf_dir):
+    """Search parameters with their types and the types that references point to."""
+    known = [(t, p.name, p.kind, ",".join(p.targets)) for t in ("Location", "Organization") for p in PARAMS[t]]
+    return rows(spark, known, "resource_type string, param string, kind string, targets string")

@@ -64,7 +64,7 @@ def view_union_all(spark, sf_dir):
 def view_paged(spark, sf_dir):
     view = V.View("balances", "Patient", {"id": "id", "balance": "balance"})
     rows = V.compiled(view, resources(spark, sf_dir, "Patient"))
-    return rows.orderBy(F.desc("balance"), "id").offset(10).limit(25)
+    return V.paged(rows, ["-balance", "id"], 25, 10)
 
 
 @query("SELECT count(*) AS scanned, count(*) FILTER (c_custkey % 2 = 0 AND c_acctbal >= 0) AS filtered FROM customer")

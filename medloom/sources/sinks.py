@@ -76,3 +76,8 @@ def read_ndjson(spark: SparkSession, path: str, schema: str | T.StructType, sinc
 def merged(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Upsert by key: the changes, and the current rows that they don't replace."""
     return changes.unionByName(current.join(changes.select(*keys), keys, "left_anti"))
+
+
+def appended(rows: DataFrame, path: str) -> None:
+    """Adds rows to an append-only table (audit, analytics, conflicts, deliveries)."""
+    rows.write.mode("append").parquet(path)

@@ -15,7 +15,10 @@ from ..operators.sync import RETRY_AFTER_S
 
 
 def read(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files of a folder (or one file) as a stream."""
+    """Parquet files of a folder (or one file) as a stream, by their time of arrival.
+
+    What is later than a watermark allows is dropped, and state judges events as they come: files must come in the order of their events.
+    """
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
