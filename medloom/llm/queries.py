@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, debruijn_dedup, exact_dedup, language_id, mixing, near_dedup, packing, suffix_dedup, warc
+from . import ann, chat, concat_cut, debruijn_dedup, exact_dedup, language_id, lexical, mixing, near_dedup, packing, spelling, suffix_dedup, warc
 from .common import folder, removed, table, written
 
 
@@ -70,6 +70,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each run whose crc32 with the doc_id is divisible by 199 one letter is left out: the misspelt words to be found."""
+    seen = spelling.runs(table(spark, sf_dir, "documents"))
+    h, length = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run")), F.length("run")
+    seen = seen.select(F.when(h % 199 == 0, spelling.without(F.col("run"), (h % length).cast("int"))).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(spelling.vocabulary(seen))
+
+
+def op12_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return concat_cut.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ids=False)
+
+
+def op13_tput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_near_dedup": op2_near_dedup,
@@ -81,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_audit": op8_warc_audit,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op11_spelling": op11_spelling,
+    "op12_concat_cut": op12_concat_cut,
+    "op13_tput": op13_tput,
 }
 
 SQL: dict[str, str] = {
@@ -128,4 +149,29 @@ SQL: dict[str, str] = {
         SELECT m.conv_id, CAST((pos - 1) // 1024 AS BIGINT) AS part, count(*) AS turns, any_value(m.copies) AS copies,
                string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
         FROM m JOIN r ON r.conv_id = m.conv_id GROUP BY 1, 2""",
+    "op11_spelling": r"""
+        WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS t),
+             r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+                   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY 1, 2),
+             b AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+                                                         lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS bytes FROM r),
+             h AS (SELECT run, n, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM b, c),
+             w AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1),
+             v AS (SELECT word, n FROM w WHERE length(word) >= 6 AND n >= 5),
+             d AS (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+             p AS (SELECT DISTINCT a.word, b.word AS near, b.n AS m FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+                   UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+             s AS (SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, near) AS best, max(m) AS m FROM p GROUP BY word),
+             f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN best END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM v LEFT JOIN s ON v.word = s.word),
+             q AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT q.word, f.word, f.form FROM q JOIN f ON q.next = f.word)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN q ON f.word = q.word WHERE next IS NULL""",
+    "op13_tput": r"""
+        WITH p AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS re, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+             d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), re) AS t FROM documents, p),
+             c AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+             x AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+             w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM x, c GROUP BY term, docs),
+             q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, u, l), re)) AS term FROM benchmark, p),
+             s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score FROM q JOIN x USING (term) JOIN w USING (term), c GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50""",
 }
