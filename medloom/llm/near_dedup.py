@@ -257,7 +257,7 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
     """As near_groups, with k1 and k2 of each row. A text (that is, its words) is known by a number, ``rep``, whatever its doc_ids."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_names())
     idf = idf_table(*document_frequencies(docs))
-    signed = written(signatures(keyed, idf), "signatures")
+    signed = written(signatures(keyed, idf).withColumn("row", F.monotonically_increasing_id()), "signatures")
     real = signed.where("doc_id is not null and n_words > 0")
     reps = real.groupBy("x", "y").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("own"), F.min_by("sig", "doc_id").alias("sig"))
     # numbers in the order of doc_id: the first document of a family leads it, as a rule the one that the others were made of
@@ -286,25 +286,29 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
         placed = rows.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
         heads = root.select(F.col("node").alias("leader"), F.col("root").alias("head"))
         placed = placed.join(heads, "leader", "left").select("band", "bucket", "rep", "n", "comp", F.coalesce("head", "leader").alias("main"))
-        mixed = written(placed.groupBy("bucket").agg(F.count_if(F.col("comp") != F.col("main")).alias("strays")).where("strays > 0").select("bucket"), "several")
-        placed = written(placed.join(mixed, "bucket", "left_semi"), "mixed")
+        mixed = written(placed.groupBy("bucket").agg(F.count_if(F.col("comp") != F.col("main")).alias("strays")).where("strays > 0"), "several")
+        placed = written(placed.join(mixed, "bucket"), "mixed")
         cells = max(1, -(-placed.count() // CELL_ROWS))
         if fine is None:  # buckets of several components only get fewer
             fine = written(finer(texts.join(placed.select("rep").distinct(), "rep", "left_semi"), idf), "finer")
         placed = written(placed.join(sigs, "rep").join(fine, "rep"), "compared")
-        splits = F.ceil(F.col("n") / BLOCK_ROWS)
+        # a block is a part of a bucket's rows against a part of its strays, each of BLOCK_ROWS or so
+        splits, own = F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("strays") / BLOCK_ROWS)
+        part = lambda n: F.pmod(F.xxhash64("rep"), n)
+        all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         cell = F.pmod(F.xxhash64("block"), F.lit(cells)).alias("cell")
-        members = placed.select(F.xxhash64("bucket", F.pmod(F.xxhash64("rep"), splits)).alias("block"), "band", "rep", "comp", "sig", "fine").select(cell, "*")
-        strays = placed.where("comp <> main").select("bucket", "rep", "comp", "sig", "fine", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)).alias("split"))
-        strays = strays.select(F.xxhash64("bucket", "split").alias("block"), "rep", "comp", "sig", "fine").select(cell, "*")
+        members = placed.select("bucket", "band", "rep", "comp", "sig", "fine", part(splits).alias("i"), all_(own).alias("j"))
+        members = members.select(F.xxhash64("bucket", "i", "j").alias("block"), "band", "rep", "comp", "sig", "fine").select(cell, "*")
+        strays = placed.where("comp <> main").select("bucket", "rep", "comp", "sig", "fine", all_(splits).alias("i"), part(own).alias("j"))
+        strays = strays.select(F.xxhash64("bucket", "i", "j").alias("block"), "rep", "comp", "sig", "fine").select(cell, "*")
         more = members.groupBy("cell").cogroup(strays.groupBy("cell")).applyInArrow(_strangers(best), "a long, b long").distinct()
         links = links.unionByName(linked(written(more, "strangers")))
     root = written(components(links), "roots")
 
-    found = real.select("doc_id", "k1", "k2", "x", "y").join(reps.select("x", "y", "rep"), ["x", "y"])
-    found = found.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "k1", "k2", F.coalesce("root", "rep").alias("class"))
-    sizes = written(found.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
-    found = found.join(sizes, "class").select("doc_id", "k1", "k2", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    found = real.select("doc_id", "k1", "k2", "row", "x", "y").join(reps.select("x", "y", "rep"), ["x", "y"])
+    found = found.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "k1", "k2", "row", F.coalesce("root", "rep").alias("class"))
+    sizes = written(found.groupBy("class").agg(F.min(F.struct("doc_id", "k1", "k2", "row")).alias("first"), F.count("*").alias("class_size")), "classes")
+    found = found.join(sizes, "class").select("doc_id", "k1", "k2", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
     alone = signed.where("doc_id is null or n_words = 0").select("doc_id", "k1", "k2", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return found.unionByName(alone)
 
@@ -315,12 +319,20 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     A class holds documents joined by links of the given similarity or more; texts of the same words are one.
     Rows without doc_id and texts without words (null, empty) are classes of their own, and stay; a null doc_id has
     a null class_id. Rows that share a doc_id and differ in text are compared as other rows are: each is in the class of its
-    own text. An empty table gives an empty result.
+    own text. One row of each class stays: of smallest doc_id; of several rows of that doc_id the one whose names (hashes of doc_id and
+    text) are smallest, and of rows alike in both any one. An empty table gives an empty result.
     """
     return _groups(docs, similarity).select("doc_id", "class_id", "class_size", "kept")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The input's columns of the rows that stay."""
-    gone = _groups(docs, SIMILARITY).where("not kept").select("k1", "k2").distinct()
-    return docs.select(F.struct("*").alias("_row"), *_names()).join(gone, ["k1", "k2"], "left_anti").select("_row.*")
+    """The input's columns of the rows that stay, one of each class (see ``near_groups``); rows alike in doc_id and text count as one, whatever their other columns."""
+    real = _groups(docs, SIMILARITY).where("doc_id is not null and class_size > 1")
+    names = real.groupBy("k1", "k2").agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
+    names = written(names.where("not kept or copies > 1"), "names")
+    rows = docs.select(F.struct("*").alias("_row"), *_names())
+    stay = rows.join(names.select("k1", "k2"), ["k1", "k2"], "left_anti").select("_row")
+    again = names.where("kept").select("k1", "k2")  # rows that occur more than once, and stay once
+    if not again.isEmpty():
+        stay = stay.unionByName(rows.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("_row").alias("_row")).select("_row"))
+    return stay.select("_row.*")

@@ -23,6 +23,9 @@ RANGE_BYTES = 64 * 1024
 FAN_OUT = 16
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 NULL_SEGMENTS = 1024
+#: Fixed value: the first bytes of a gzip member.
+GZIP = b"\x1f\x8b\x08"
+STEP = 1 << 16
 READ = "segment long, file string, offset long, length long, digest string, page_id long, uri string, body binary, error string"
 
 
@@ -51,23 +54,39 @@ def write_warc(pages: DataFrame, path: str, segment_pages: int = SEGMENT_PAGES,
 
 
 def _inflated(content: bytes) -> tuple[bytes, str | None]:
-    """A file's bytes; of a broken compressed file what comes before the break, and what is wrong."""
-    if content[:2] != b"\x1f\x8b":
+    """A file's bytes; of a file whose compression is broken what can be read, and what is wrong.
+
+    Of a broken member (WARC files have one a record) what comes before the break is given; reading goes on at the next member.
+    """
+    if content[:2] != GZIP[:2]:
         return content, None
     try:
         return gzip.decompress(content), None
     except (EOFError, OSError, zlib.error):
-        out, stream = b"", zlib.decompressobj(31)
-        try:
-            out = stream.decompress(content)
-        except zlib.error:
-            stream = zlib.decompressobj(31)
-            for i in range(len(content)):
-                try:
-                    out += stream.decompress(content[i : i + 1])
-                except zlib.error:
-                    break
-        return out, "broken compression"
+        pass
+    out, at = bytearray(), 0
+    while 0 <= at < len(content):
+        stream, fed, good = zlib.decompressobj(31), at, True
+        while good and not stream.eof and fed < len(content):
+            before = stream.copy()
+            try:
+                out += stream.decompress(content[fed : fed + STEP])
+                fed += STEP
+            except zlib.error:
+                good, stream = False, before
+        for i in range(fed, 0 if good else min(fed + STEP, len(content))):  # up to the break
+            try:
+                out += stream.decompress(content[i : i + 1])
+            except zlib.error:
+                break
+        if good and stream.eof:
+            at = min(fed, len(content)) - len(stream.unused_data)
+            at = at if content[at : at + 3] == GZIP else content.find(GZIP, at)
+        else:
+            if out and not out.endswith(b"\r\n\r\n"):
+                out += b"\r\n\r\n"  # what was cut off ends here
+            at = content.find(GZIP, at + 1)
+    return bytes(out), "broken compression"
 
 
 def parsed(data: bytes):
@@ -100,10 +119,13 @@ def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
 
     What can't be read as a record is a row with ``error`` (no record, no length, cut off, wrong length, broken compression),
     and reading goes on at the next record; nothing raises. A missing or foreign page id is null. A path without files
-    gives no rows. Each file is read as a whole.
+    gives no rows. Each file is read as a whole. Files of ``write_warc`` and any ``*.warc`` and ``*.warc.gz`` are read; those not under
+    a segment's folder come to segments below -NULL_SEGMENTS by their names.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    files = files.select(F.regexp_extract("path", r"segment=(-?\d+)", 1).cast("long").alias("segment"), "path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{part-*,*.warc,*.warc.gz}").load(path)
+    named = F.regexp_extract("path", r"segment=(-?\d+)", 1).try_cast("long")
+    other = -1 - NULL_SEGMENTS - F.pmod(F.xxhash64(F.substring_index("path", "/", -1)), F.lit(NULL_SEGMENTS))
+    files = files.select(F.coalesce(named, other).alias("segment"), "path", "content")
 
     def run(batches):
         for batch in batches:
