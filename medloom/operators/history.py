@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.resources import canonical
@@ -89,6 +89,12 @@ def read(rows: DataFrame, keys: DataFrame, found: str = "found") -> DataFrame:
     return keys.join(rows.withColumn(found, F.lit(True)), KEY, "left").withColumn(found, F.coalesce(found, F.lit(False)))
 
 
+def missing(rows: DataFrame, reference: Column, live: DataFrame) -> DataFrame:
+    """The rows whose reference (Type/id) names no live resource (resourceType, id); rows without a reference are left out."""
+    typed = live.select(F.concat_ws("/", "resourceType", "id").alias("_reference")).distinct()
+    return rows.withColumn("_reference", reference).where("_reference is not null").join(typed, "_reference", "left_anti").drop("_reference")
+
+
 def prepared(log: DataFrame, changes: DataFrame, required: dict[str, list[str]]) -> DataFrame:
     """A batch of writes as events of the log: change_id, resource_type, id, action, status, version_id, json, and prev_version.
 

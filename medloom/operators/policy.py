@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import predicates
+
 
 def _holds(field: str, wanted) -> Column:
     """A match entry: one value or several, with ``*`` for any; array columns need one in common."""
@@ -32,6 +34,20 @@ def decided(requests: DataFrame, rules: list[dict], default: str = "deny") -> Da
     return requests.select("*", effect.alias("effect"), name.alias("rule"))
 
 
+def decided_by(requests: DataFrame, rules: DataFrame, facts: Column, key: list[str], default: str = "deny", default_rule: str | None = None) -> DataFrame:
+    """``requests`` with effect, rule and reason of the first rule (by priority, then name) that each meets, else the default.
+
+    rules: name, priority, effect, reason, match (map of fields to values; ``all_`` before a field asks for all of them). Any number of rules: they are
+    rows, found by an index of their predicates (see ``predicates``). Of a name that occurs twice, or an effect other than allow and deny, the document is refused.
+    """
+    bad = rules.groupBy("name").agg(F.count("*").alias("n"), F.min(F.col("effect").isin("allow", "deny")).alias("fine")).where("n > 1 or name is null or not coalesce(fine, false)").select("name").head(1)
+    if bad:
+        raise ValueError(f"rule {bad[0]['name']}: its name is not unique, or its effect neither allow nor deny")
+    asked = requests.withColumn("_asked", facts)
+    out = predicates.first_met(asked, rules, key, "_asked", ["priority", "name"], ["effect", "name", "reason"])
+    return out.select(*requests.columns, F.coalesce("effect", F.lit(default)).alias("effect"), F.coalesce("name", F.lit(default_rule)).alias("rule"), "reason")
+
+
 def permissions(bindings: DataFrame, roles: DataFrame) -> DataFrame:
     """principal, permission: the union over a principal's roles, each once."""
     return bindings.join(roles, "role").select("principal", F.explode("permissions").alias("permission")).distinct()
@@ -99,7 +115,7 @@ def snapshot(principals: DataFrame, bindings: DataFrame, roles: DataFrame, devic
 def semver(v: str | Column) -> Column:
     """A version as numbers, for comparison; null if it is none."""
     c = F.regexp_extract(v, r"^v?(\d+)\.(\d+)\.(\d+)", 0)
-    return F.when(c != "", F.transform(F.split(F.ltrim(c, F.lit("v")), r"\."), lambda x: x.cast("int")))
+    return F.when(c != "", F.transform(F.split(F.ltrim(c, F.lit("v")), r"\."), lambda x: x.try_cast("bigint")))
 
 
 def ordered_semver(v: str | Column) -> Column:
