@@ -5,20 +5,21 @@ prefix sums of the partitions' totals, one number a task of that pass, are the p
 Pass two adds the two: each document knows its place, so the windows it meets, and gives one record for each. No row
 moves between partitions, and a document of any length is cut where the windows' boundaries fall.
 
-A tokenizer whose pre-tokenizer splits by a known pattern (``split``) is asked once for each different piece, and the
+A byte-level tokenizer whose pre-tokenizer splits by a known pattern (``split``) is asked once for each different piece, and the
 ids of a text are those of its pieces joined. That is done for texts of characters whose Unicode class is settled
-(``PLAIN``); others are given to the tokenizer whole.
+(``PLAIN``), with the pattern's classes spelled out for them; others are given to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .common import written
 CAPACITY = 2048
 END_ID = 1
 #: Pieces that a task remembers, and the longest of them in characters.
-PIECES, PIECE_CHARS = 1 << 19, 64
+PIECES, PIECE_CHARS = 1 << 20, 64
 #: Characters of output ids that make a batch.
 BATCH_BYTES = 4 << 20
 #: Fixed value: characters of which every Unicode version says the same as to letters, digits and white space.
@@ -38,23 +39,44 @@ TOKENS = "part int, doc_id long, before long, n_tokens long, ids binary"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def plain_pattern(split: str) -> re.Pattern:
+    """The pattern for texts of PLAIN characters: its classes of letters and digits spelled out."""
+    known = [c for c in map(chr, range(0x250)) if PLAIN.fullmatch(c)]
+    of = {f"\\p{{{kind}}}": "".join(c for c in known if unicodedata.category(c)[0] == kind) for kind in "LN"}
+    in_class = lambda text: re.sub(r"\\p\{[LN]\}", lambda m: of[m[0]], text)
+    spelled = re.sub(r"\[[^\]]*\]", lambda m: in_class(m[0]), split)
+    return re.compile(re.sub(r"\\p\{[LN]\}", lambda m: f"[{of[m[0]]}]", spelled))
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: its own if that can be seen, else the next one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(0x100 + i) for i, b in enumerate(hidden)} | {b: chr(b) for b in seen}
+
+
 class _Encoder(dict):
     """Ids of texts as little-endian bytes; a dict of pieces met before."""
 
     def __init__(self, path: str, split: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks beside each other
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = id_bytes(self.tokenizer.get_vocab_size())
-        self.split = regex.compile(split).findall if split else None
+        self.type = next(t for t in "HIL" if array(t).itemsize == self.width)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        if split and not (isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None):
+            raise ValueError("a pattern of pieces is for byte-level tokenizers without a normalizer")
+        self.split = plain_pattern(split).findall if split else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
+        ids = array(self.type, [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
         if len(piece) <= PIECE_CHARS:
             if len(self) >= PIECES:
                 self.clear()
