@@ -139,8 +139,14 @@ def prefix(kind: str, value: str) -> tuple[str, str]:
     return (value[:2], value[2:]) if kind in ("date", "number") and value[:2] in PREFIXES else ("eq", value)
 
 
-def matches(param: Param, term: Term, value: Column) -> Column:
-    """Whether an index value meets one of the term's values."""
+def typed(rows: DataFrame) -> DataFrame:
+    """Index rows with the bounds of their dates as instants (at, until; null for other kinds), for ``StoredIndex``."""
+    date = F.when(F.col("kind") == "date", F.col("value"))
+    return rows.select("*", N.low(date).alias("at"), N.high(date).alias("until"))
+
+
+def matches(param: Param, term: Term, value: Column, at: Column | None = None) -> Column:
+    """Whether an index value meets one of the term's values; ``at`` is a date's instant where the index has it."""
     if term.modifier and term.modifier not in MODIFIERS.get(param.kind, ()):
         raise SearchError(f"{param.name}:{term.modifier} is not supported")
     if param.components:
@@ -156,7 +162,7 @@ def matches(param: Param, term: Term, value: Column) -> Column:
     if term.modifier == "identifier":
         return _any([(value == v) | value.endswith("/" + v) | value.endswith("|" + v) for v in values])
     if param.kind in ("date", "number"):
-        return _any([_ordered(param.kind, *prefix(param.kind, v), value) for v in values])
+        return _any([_ordered(param.kind, *prefix(param.kind, v), value, at) for v in values])
     return value.isin(*values)
 
 
@@ -167,7 +173,7 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def _ordered(kind: str, op: str, v: str, value: Column) -> Column:
+def _ordered(kind: str, op: str, v: str, value: Column, at: Column | None = None) -> Column:
     if kind == "number":
         try:
             n = float(v)
@@ -175,7 +181,7 @@ def _ordered(kind: str, op: str, v: str, value: Column) -> Column:
             raise SearchError(f"{v} is no number") from e
         x = F.try_cast(value, "double") if hasattr(F, "try_cast") else value.try_cast("double")
         return {"eq": x == n, "ne": x != n, "gt": x > n, "ge": x >= n, "lt": x < n, "le": x <= n, "sa": x > n, "eb": x < n, "ap": F.abs(x - n) <= abs(n) * 0.1}[op]
-    x, a, b = N.low(value), N.low(F.lit(v)), N.high(F.lit(v))
+    x, a, b = N.low(value) if at is None else at, N.low(F.lit(v)), N.high(F.lit(v))
     same = (x >= a) & (x < b)
     return {"eq": same, "ne": ~same, "gt": x >= b, "ge": x >= a, "lt": x < a, "le": x < b, "sa": x >= b, "eb": x < a, "ap": same}[op]
 
@@ -194,7 +200,8 @@ def _lookup(params: list[Param], name: str) -> Param:
 def ids(rows: DataFrame, params: list[Param], terms: list[Term]) -> DataFrame:
     """Index mode: distinct ids of the resources that meet all terms (without chains), in one pass of the index.
 
-    Only index rows that meet some term go to the aggregation; of a term with ``:not`` all rows of its field do.
+    Only index rows that meet some term go to the aggregation; of a term with ``:not`` all rows of its field do. Over a ``StoredIndex``, whose
+    rows of an id lie together, there is no exchange.
     """
     if any(t.chain for t in terms):
         raise SearchError("an index of one type can't follow chains; use run")
@@ -203,7 +210,7 @@ def ids(rows: DataFrame, params: list[Param], terms: list[Term]) -> DataFrame:
         return rows.select("id").distinct()
     verdicts, some = [], F.lit(False)
     for i, (t, p) in enumerate(tests):
-        here = (F.col("field") == t.param) & F.coalesce(matches(p, t, F.col("value")), F.lit(False))
+        here = (F.col("field") == t.param) & F.coalesce(matches(p, t, F.col("value"), F.col("at") if "at" in rows.columns else None), F.lit(False))
         verdicts.append(F.max(here).alias(f"t{i}"))
         some = some | (F.col("field") == t.param if t.modifier == "not" else here)
         if t.modifier == "not":
@@ -285,6 +292,41 @@ def text_documents(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'string'").groupBy("resource_type", "id").agg(F.array_join(F.sort_array(F.collect_set("value")), " ").alias("text"))
 
 
+def _ranked(df: DataFrame, params: list[Param], query: str) -> DataFrame:
+    """The resources that hold every word of the query, with rank: on the row's own strings, so without an exchange."""
+    root = Path.of(df)
+    values = F.filter(F.flatten(F.array(*[p.values(root) for p in params])), lambda v: v.isNotNull() & (v != ""))
+    wanted = [w for w in query.lower().split() if w not in STOP_WORDS]
+    out = df.withColumn("_w", words(F.array_join(F.sort_array(F.array_distinct(values)), " ")))
+    out = out.where((F.size("_w") > 0) & (F.size(F.array_intersect("_w", F.array(*map(F.lit, dict.fromkeys(wanted))).cast("array<string>"))) == len(set(wanted))))
+    hits = F.size(F.filter("_w", lambda w: w.isin(*wanted))) if wanted else F.lit(0)
+    return out.withColumn("rank", F.round(hits / F.size("_w"), 6)).drop("_w")
+
+
+def postings(docs: DataFrame, text: str = "text") -> DataFrame:
+    """resource_type, term, id, tf, words of texts (resource_type, id and ``text``); the term "" stands for each document with words, once."""
+    tokens = docs.select("resource_type", "id", words(F.col(text)).alias("w")).where(F.size("w") > 0).withColumn("words", F.size("w").cast("long"))
+    each = tokens.select("resource_type", "id", "words", F.explode("w").alias("term")).groupBy("resource_type", "id", "term", "words").agg(F.count("*").alias("tf"))
+    whole = tokens.select("resource_type", F.lit("").alias("term"), "id", F.lit(0).cast("long").alias("tf"), "words")
+    return each.select("resource_type", "term", "id", "tf", "words").unionByName(whole)
+
+
+def stored_text(stored, kind: str, query: str) -> DataFrame:
+    """id, rank of the documents of a type that hold every word of the query, by ``StoredPostings``: only the parts of those words are read.
+
+    A word counts the more, the fewer documents have it and the larger its share of the document's words is.
+    """
+    wanted = list(dict.fromkeys(w for w in query.lower().split() if w not in STOP_WORDS))
+    if not wanted:
+        raise SearchError(f"{query!r} has no word to look for")
+    rows = stored.of(kind, [*wanted, ""])
+    n = rows.where("term = ''").agg(F.count("*").alias("n"))
+    hits = rows.where("term <> ''")
+    weights = hits.groupBy("term").agg(F.count("*").alias("df")).join(n).select("term", F.log(1 + F.col("n") / F.col("df")).alias("weight"))  # a row for each word of the query
+    found = hits.join(F.broadcast(weights), "term").groupBy("id").agg(F.count("*").alias("met"), F.sum(F.col("weight") * F.col("tf") / F.col("words")).alias("rank"))
+    return found.where(F.col("met") == len(wanted)).select("id", F.round("rank", 6).alias("rank"))
+
+
 SUMMARY = {"text": ["resourceType", "id", "meta", "text"], "true": ["resourceType", "id", "meta", "identifier", "name", "active", "gender", "status", "subject"]}
 
 
@@ -385,7 +427,7 @@ def run(query: str | list[tuple[str, str]], kind: str, params: dict[str, list[Pa
         strings_ = [p for p in own if p.kind == "string"]
         if not strings_:
             raise SearchError(f"{kind} has no text")
-        df = df.join(full_text(text_documents(index(df, strings_)), "text", s.text), "id")
+        df = _ranked(df, strings_, s.text)
         rank = ["rank"]
     total = df.agg(F.count("*").alias("total"))
     order = _sorted_by(df, own, s.sort) if s.sort else [F.desc("rank")] if rank else []

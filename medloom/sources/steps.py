@@ -19,11 +19,17 @@ def work_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def temporary(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, whose files go when the driver's JVM ends."""
+    path = f"{work_dir(spark)}/steps/{tag}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def stepped(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again; the files go when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/steps/{tag}-{uuid.uuid4().hex}"
+    path = temporary(spark, tag)
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
