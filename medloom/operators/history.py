@@ -101,6 +101,8 @@ def prepared(log: DataFrame, changes: DataFrame, required: dict[str, list[str]])
     changes: change_id (in order), resource_type, id or null, action, json. JSON is made canonical and validated; an error aborts that
     write (status 422), as do creating what exists (409) and changing what does not (404). A create without an id gets one from
     change_id. Versions count on from the log, deletes get one of their own, as tombstones; meta carries version and time (``at`` of changes).
+    Several writes of one key are judged in order, each by what those before it left: a valid create leaves the resource there and a valid delete
+    leaves it gone, whether they are accepted or were so already. So no write needs another one's answer, and running windows are enough.
     """
     rows = changes.withColumn("id", F.coalesce("id", F.concat(F.lit("new-"), F.col("change_id").cast("string")))).withColumn("json", canonical("json"))
     bad = validate.issues(rows.where("action <> 'delete'").select(F.col("change_id").alias("key"), "json"), required)
@@ -109,33 +111,42 @@ def prepared(log: DataFrame, changes: DataFrame, required: dict[str, list[str]])
     bad = bad.join(broken, "change_id", "left_anti").unionByName(broken)
     before = log.groupBy(*KEY).agg(F.count("*").alias("events"), (F.max_by("action", "sequence") != "delete").alias("live"), F.max_by("version_id", "sequence").alias("last_version"))
     rows = rows.join(bad, "change_id", "left").join(before, KEY, "left")
-    live = F.coalesce("live", F.lit(False))
+    order = Window.partitionBy(*KEY).orderBy("change_id")
+    earlier, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    left = F.when(F.col("errors").isNull() & F.col("action").isin("create", "delete"), F.col("action") == "create")
+    rows = rows.withColumn("_live", F.coalesce(F.last(left, ignorenulls=True).over(earlier), "live", F.lit(False)))
+    live = F.col("_live")
     status = (
         F.when(F.col("errors").isNotNull(), 422).when((F.col("action") == "create") & live, 409).when((F.col("action") != "create") & ~live, 404)
         .when(F.col("action") == "create", 201).when(F.col("action") == "update", 200).otherwise(204)
     )
     rows = rows.withColumn("status", status)
-    version = F.when(F.col("status") < 300, (F.coalesce("events", F.lit(0)) + 1).cast("string"))
+    number = F.coalesce("events", F.lit(0)) + F.count_if(F.col("status") < 300).over(so_far)
+    rows = rows.withColumn("_version", F.when(F.col("status") < 300, number.cast("string")))
+    rows = rows.withColumn("_prev", F.coalesce(F.last("_version", ignorenulls=True).over(earlier), "last_version"))
+    version = F.col("_version")
     meta = F.concat(F.lit('{"lastUpdated":"'), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('","versionId":"'), version, F.lit('"}'))
     id_ = F.concat(F.lit('"'), F.col("id"), F.lit('"'))
     json = F.when((F.col("status") < 300) & (F.col("action") != "delete"), with_fields("json", {"id": id_, "meta": meta}))
-    return rows.select("change_id", *KEY, "action", "status", version.alias("version_id"), F.when(F.col("status") < 300, F.col("last_version")).alias("prev_version"), json.alias("json"), "errors", "at")
+    return rows.select("change_id", *KEY, "action", "status", version.alias("version_id"), F.when(F.col("status") < 300, F.col("_prev")).alias("prev_version"), json.alias("json"), "errors", "at")
 
 
 def written(events: DataFrame, params: dict[str, list], first: int) -> dict[str, DataFrame]:
-    """What one batch of prepared writes (one a key) adds: resources, tombstones, history, events and index rows; refused writes add nothing.
+    """What one batch of prepared writes adds: resources, tombstones, history, events and index rows; refused writes add nothing.
 
-    Sequences of events count on from ``first`` in order of change_id, numbered in sorted ranges.
+    History and events have each write; resources, tombstones and index what the last accepted one of each key leaves. Sequences of
+    events count on from ``first`` in order of change_id, numbered in sorted ranges.
     """
     fine = events.where("status < 300")
+    kept = fine.groupBy(*KEY).agg(F.max_by(F.struct("action", "version_id", "json"), "change_id").alias("last")).select(*KEY, "last.*")
     numbered_ = numbered(fine, ["change_id"]).withColumn("sequence", F.col("row_num") + first)
-    text = fine.where("action <> 'delete'").select(F.col("resource_type").alias("resourceType"), "id", "json")
+    text = kept.where("action <> 'delete'").select(F.col("resource_type").alias("resourceType"), "id", "json")
     rows = None
     for kind, fields in params.items():
         pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.get_json_object("json", p).alias("value")) for n, p in fields])
         own = text.where(F.col("resourceType") == kind).select(F.col("resourceType").alias("resource_type"), "id", F.explode(pairs).alias("v")).select("resource_type", "id", "v.*").where("value is not null")
         rows = own if rows is None else rows.unionByName(own)
     return {
-        "resources": fine.where("action <> 'delete'").select(*KEY, "version_id", "json"), "tombstones": fine.where("action = 'delete'").select(*KEY, "version_id"),
+        "resources": kept.where("action <> 'delete'").select(*KEY, "version_id", "json"), "tombstones": kept.where("action = 'delete'").select(*KEY, "version_id"),
         "history": fine.select(*KEY, "version_id", "action", "json"), "events": numbered_.select("sequence", *KEY, "action", "version_id", "prev_version"), "index": rows,
     }

@@ -16,7 +16,7 @@ def issues(docs: DataFrame, required: dict[str, list[str]], json: str = "json",
     get = lambda p: F.get_json_object(json, "$." + p)
     issue = lambda bad, severity, code, detail: F.when(bad, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), detail.alias("detail")))
     kind, id_ = get("resourceType"), get("id")
-    refs = F.regexp_extract_all(F.to_json(v), F.lit(r'"reference":"([^"]*)"'), F.lit(1))
+    refs = F.regexp_extract_all(F.to_json(v), F.lit(r'"reference":"((?:[^"\\]|\\.)*)"'), F.lit(1))
     bad_refs = F.filter(refs, lambda r: ~r.rlike(REFERENCE_PATTERN))
     found = [
         issue(v.isNull(), "error", "invalid-json", F.lit("")),

@@ -14,8 +14,10 @@ from ..operators import views as V
 from ..sources import resources as R
 from ..sources import sinks
 from ..sources.resources import with_meta
+from ..sources.steps import temporary
 from ..sources.tables import event_log, table
 from ..streaming import events as stream_events
+from ..streaming import state as stream_state
 from .catalog import PARAMS, resources
 from .registry import query
 from .work import rows, work_dir
@@ -44,6 +46,21 @@ def write_prepared(spark, sf_dir):
     return _prepared(spark, sf_dir).select("change_id", "id", "action", "status", "version_id", "prev_version", "json", "errors")
 
 
+@query("""SELECT c_custkey * 10 + i AS change_id, CAST(c_custkey AS VARCHAR) AS id, i,
+        CASE i WHEN 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 409 ELSE 201 END WHEN 1 THEN CASE WHEN c_custkey % 5 = 0 THEN 422 ELSE 200 END WHEN 2 THEN 204 WHEN 3 THEN 404 ELSE 201 END AS status,
+        CASE WHEN i = 3 OR (i = 0 AND c_custkey % 2 = 0) OR (i = 1 AND c_custkey % 5 = 0) THEN NULL ELSE CAST(CASE i WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END - CASE WHEN i > 1 AND c_custkey % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR) END AS version_id,
+        CASE WHEN i = 0 OR i = 3 OR (i = 1 AND c_custkey % 5 = 0) THEN NULL ELSE CAST(CASE i WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END - CASE WHEN i > 1 AND c_custkey % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR) END AS prev_version
+    FROM customer, (SELECT unnest(range(5)) AS i)""")
+def write_many_of_one_key(spark, sf_dir):
+    """Create, update, delete, update, create of each patient in one batch; even ones are there already, every fifth update is not valid."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    log = c.where(k % 2 == 0).select(k.alias("sequence"), F.lit("Patient").alias("resource_type"), k.cast("string").alias("id"), F.lit("create").alias("action"), F.lit("1").alias("version_id"))
+    each = c.select(k, F.posexplode(F.array(*map(F.lit, ("create", "update", "delete", "update", "create")))).alias("i", "action"))
+    json = F.when((F.col("i") == 1) & (k % 5 == 0), "{broken").otherwise('{"resourceType":"Patient","name":"n"}')
+    changes = each.select((k * 10 + F.col("i")).alias("change_id"), F.lit("Patient").alias("resource_type"), k.cast("string").alias("id"), "action", json.alias("json"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("at"))
+    return history.prepared(log, changes, {"Patient": ["name"]}).select("change_id", "id", (F.col("change_id") % 10).alias("i"), "status", "version_id", "prev_version")
+
+
 @query(f"""WITH {_WRITES}, f AS (SELECT * FROM s WHERE status < 300)
     SELECT 'events' AS part, id, CAST(1000 + row_number() OVER (ORDER BY k) - 1 AS VARCHAR) AS value FROM f UNION ALL SELECT 'index', id, c_name FROM f WHERE status < 204
     UNION ALL SELECT 'tombstones', id, '2' FROM f WHERE status = 204 UNION ALL SELECT 'history', id, action FROM f UNION ALL SELECT 'resources', id, CASE status WHEN 201 THEN '1' ELSE '2' END FROM f WHERE status < 204""")
@@ -273,10 +290,10 @@ def stream_push_acks(spark, sf_dir):
     each = F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("sequence"), F.lit(e).alias("e"), F.lit(a).alias("action"), F.lit(b).cast("string").alias("base_version"), F.lit(v).alias("version_id")) for n, e, a, b, v in step]))
     pushed = s.select("id", each.alias("p")).select(F.concat(F.lit("e"), "id", F.lit("-"), "p.e").alias("event_id"), "p.sequence", "id", "p.action", "p.base_version", "p.version_id")
     lost = s.select(F.concat(F.lit("n"), "id").alias("event_id"), F.lit(1).cast("long").alias("sequence"), F.lit(None).cast("string").alias("id"), F.lit("update").alias("action"), F.lit(None).cast("string").alias("base_version"), F.lit("q").alias("version_id"))
-    path = f"{work_dir(spark)}/pushed-{uuid.uuid4().hex}"
+    path = temporary(spark, "pushed")
     all_ = pushed.unionByName(lost)
     all_.write.parquet(path)
-    acks = stream_events.pushes(stream_events.read(spark, path, all_.schema))
+    acks = stream_state.pushes(stream_events.read(stream_state.with_store(spark), path, all_.schema))
     return stream_events.drained(acks, work_dir(spark), spark).select("event_id", "sequence", "ack", "retry_after_s")
 
 

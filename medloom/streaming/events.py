@@ -1,4 +1,4 @@
-"""Structured Streaming over the change log: subscriptions, windows, idempotent apply, the hub's state."""
+"""Structured Streaming over the change log: subscriptions, windows, idempotent apply, the hub's state. See ``state`` for what needs a state store."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import subscriptions
-from ..operators.sync import RETRY_AFTER_S
 
 
 def read(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -71,46 +70,3 @@ def _acked(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 def hub(stream: DataFrame) -> DataFrame:
     """The hub's answer to each change, by what each resource's state is after the changes before it."""
     return stream.select("sequence", "id", "action").groupBy("id").applyInPandasWithState(_acked, ACKS, "exists boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-PUSHED = "event_id string, sequence long, id string, action string, base_version string, version_id string, ack string, retry_after_s int"
-
-
-def _judged(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    version, last, seen = state.get if state.exists else (None, -1, [])
-    known, acks = set(seen), []
-    rows = pd.concat(list(batches)).sort_values(["sequence", "event_id"])  # of one resource and one micro-batch
-    for event, sequence, action, base, new in rows[["event_id", "sequence", "action", "base_version", "version_id"]].itertuples(index=False):
-        if key[0] is None:
-            acks.append("needs_retry")
-            continue
-        if event in known or sequence < last - REMEMBERED:
-            acks.append("already_processed")
-            continue
-        known.add(event)
-        last = max(last, sequence)
-        if (action == "create") == (version is not None):
-            acks.append("rejected")
-        elif action != "create" and base != version:
-            acks.append("conflicted")
-        else:
-            version = None if action == "delete" else new
-            acks.append("accepted")
-    recent = rows.loc[rows["event_id"].isin(known) & (rows["sequence"] >= last - REMEMBERED), "event_id"]
-    state.update((version, int(last), list(dict.fromkeys([*seen, *recent]))[-REMEMBERED:]))
-    wait = [RETRY_AFTER_S if a == "needs_retry" else None for a in acks]
-    yield rows.assign(ack=acks, retry_after_s=pd.array(wait, "Int32"))[["event_id", "sequence", "id", "action", "base_version", "version_id", "ack", "retry_after_s"]]
-
-
-#: A resource remembers so many of its last events; older sequences than that count as processed.
-REMEMBERED = 10_000
-
-
-def pushes(stream: DataFrame) -> DataFrame:
-    """The hub's acknowledgement of each pushed event, with the current version and the events seen of each resource as state.
-
-    accepted; rejected: creating what exists, or changing what does not; conflicted: a change of another version than
-    the current one; already_processed: an event that came before; needs_retry, after RETRY_AFTER_S: an event without id.
-    """
-    cols = ["event_id", "sequence", "id", "action", "base_version", "version_id"]
-    return stream.select(*cols).groupBy("id").applyInPandasWithState(_judged, PUSHED, "version string, last long, seen array<string>", "append", GroupStateTimeout.NoTimeout)
