@@ -75,6 +75,44 @@ def numbers(p: Path) -> Column:
     return F.transform(p.array(), lambda x: x.cast("double").cast("string"))
 
 
+#: Units of the Unified Code for Units of Measure with their base unit and factor (fixed values).
+UNITS = {
+    "kg": ("g", 1e3), "g": ("g", 1.0), "mg": ("g", 1e-3), "ug": ("g", 1e-6), "[lb_av]": ("g", 453.59237), "[oz_av]": ("g", 28.349523125),
+    "m": ("m", 1.0), "cm": ("m", 1e-2), "mm": ("m", 1e-3), "[in_i]": ("m", 0.0254), "[ft_i]": ("m", 0.3048),
+    "L": ("L", 1.0), "dL": ("L", 1e-1), "mL": ("L", 1e-3), "s": ("s", 1.0), "min": ("s", 60.0), "h": ("s", 3600.0), "d": ("s", 86400.0),
+    "mm[Hg]": ("Pa", 133.322387415), "kPa": ("Pa", 1e3), "Pa": ("Pa", 1.0),
+}
+
+
+def _base(unit: Column, at: int) -> Column:
+    """A unit's base unit (0) or factor (1); other units are their own base."""
+    table = F.create_map(*[F.lit(x) for u, v in UNITS.items() for x in (u, v[at])])
+    return F.coalesce(F.element_at(table, unit), unit if at == 0 else F.lit(1.0))
+
+
+def half_step(number: Column) -> Column:
+    """Half of a written number's last place: 72 is 71.5 to 72.5, 72.0 is 71.95 to 72.05, 7e1 is 65 to 75."""
+    text = F.lower(number)
+    mantissa, exponent = F.substring_index(text, "e", 1), F.coalesce(F.nullif(F.regexp_extract(text, r"e([+-]?\d+)$", 1), F.lit("")).try_cast("int"), F.lit(0))
+    places = F.length(F.regexp_extract(mantissa, r"\.(\d*)$", 1))
+    return F.lit(0.5) * F.pow(F.lit(10.0), exponent - places)
+
+
+def quantity(number: Column, unit: Column) -> Column:
+    """number (as text), unit -> base unit, low, high: the range that the written number stands for, in the base unit; null if it is no number."""
+    n, f, h = number.try_cast("double"), _base(unit, 1), half_step(number)
+    return F.when(n.isNotNull(), F.struct(_base(unit, 0).alias("unit"), ((n - h) * f).alias("low"), ((n + h) * f).alias("high"), (n * f).alias("value")))
+
+
+def quantities(p: Path) -> Column:
+    """Quantities as number|system|code, and as number||unit where the unit is written otherwise."""
+    def number(q: Column) -> Column:
+        text = q["value"].cast("string")
+        return F.when(text.endswith(".0"), F.substring_index(text, ".", 1)).otherwise(text)  # a double has no written precision
+
+    return _each(p, lambda q: F.when(q["value"].isNotNull(), _clean(F.concat_ws("|", number(q), F.coalesce(q["system"], F.lit("")), F.coalesce(q["code"], q["unit"], F.lit(""))), F.when(q["unit"] != q["code"], F.concat(number(q), F.lit("||"), q["unit"])))).otherwise(F.array().cast("array<string>")))
+
+
 ZONE = r"(Z|[+-]\d\d:\d\d)$"
 
 

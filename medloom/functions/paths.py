@@ -150,6 +150,20 @@ class Path:
         part = F.substring(s, start + 1, length if length is not None else 1 << 30)
         return Path(F.when((F.length(s) > start) & F.lit(start >= 0), part), T.StringType(), "substring")
 
+    def repeat(self, field: str) -> Path:
+        """The items reached by ``field``, and by it again from those, level by level as deep as the type goes; the items themselves are not among them.
+
+        A typed column has a type of finite depth; content of unknown depth is a JSON column (see ``trees``).
+        """
+        out, at = None, self
+        while isinstance(at.item, T.StructType) and field in at.item.names:
+            at = at[field]
+            level = Path(F.transform(at.array(), lambda x: _shared(x, at.item, field)), T.ArrayType(_trimmed(at.item, field)), field)
+            out = level if out is None else Path(F.concat(out.col, level.col), level.dtype, field)
+        if out is None:
+            raise PathError(f"no {field} in {self.name}")
+        return out
+
     def limited(self, most: int = MAX_ITEMS) -> Path:
         """The same, with an error where there are more items than ``most``."""
         a = self.array()
@@ -185,6 +199,15 @@ class Path:
     __hash__ = None
 
 
+def _trimmed(of: T.DataType, field: str) -> T.DataType:
+    """A type without the field that recurs in it: what all levels have in common."""
+    return T.StructType([f for f in of.fields if f.name != field]) if isinstance(of, T.StructType) else of
+
+
+def _shared(x: Column, of: T.DataType, field: str) -> Column:
+    return F.struct(*[x[f.name].alias(f.name) for f in of.fields if f.name != field]) if isinstance(of, T.StructType) else x
+
+
 def a_type(p: Path) -> T.DataType:
     return p.dtype if p.many else T.ArrayType(p.dtype)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.steps import stepped
 from .fields import with_fields
 
 TYPES = {"decimal": "double", "integer": "bigint", "boolean": "boolean", "date": "date"}
@@ -96,6 +97,37 @@ def populated(items: DataFrame, subject: DataFrame, values: dict[str, Column]) -
     return rows.join(items.select("link_id"), "link_id", "left_semi")
 
 
+def expanded(items: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, issues) of forms with their sub-forms in place, however nested.
+
+    items: form, position, link_id, sub_form (null for an item of its own), and what else an item has; roots: form. An item that names a sub-form is
+    replaced by that form's items, whose link ids get its own before them (``a/b``). Of the result ``place`` is the order: positions from the root down.
+    Issues (form, link_id, issue): not-found (the item stays), cycle (a sub-form within itself: the item goes), duplicate (of a link id).
+    One join a level, over what is still open.
+    """
+    rest = [c for c in items.columns if c not in ("form", "position", "link_id", "sub_form")]
+    known = stepped(items.select("form", "position", "link_id", "sub_form", *rest), "items")
+    forms = known.select(F.col("form").alias("_sub")).distinct()
+    top = known.join(roots.select("form").distinct(), "form", "left_semi")
+    level = top.select("form", F.array("position").alias("place"), "link_id", "sub_form", F.array("form").alias("_via"), *rest)
+    done, issues = None, None
+    plus = lambda a, b: b if a is None else a.unionByName(b)
+    while True:
+        level = stepped(level.join(forms, F.col("sub_form") == F.col("_sub"), "left"), "level")
+        lost = F.col("sub_form").isNotNull() & F.col("_sub").isNull()
+        ring = F.coalesce(F.array_contains("_via", F.col("sub_form")), F.lit(False)) & F.col("_sub").isNotNull()
+        done = plus(done, level.where(F.col("sub_form").isNull() | lost).select("form", "place", "link_id", *rest))
+        for test, name in ((lost, "not-found"), (ring, "cycle")):
+            issues = plus(issues, level.where(test).select("form", "link_id", F.lit(name).alias("issue")))
+        open_ = level.where(F.col("_sub").isNotNull() & ~ring).select("form", "place", F.col("link_id").alias("_above"), "_sub", "_via")
+        if open_.isEmpty():
+            break
+        inner = known.select(F.col("form").alias("_sub"), "position", "link_id", "sub_form", *rest)
+        level = open_.join(inner, "_sub").select("form", F.array_append("place", F.col("position")).alias("place"), F.concat_ws("/", "_above", "link_id").alias("link_id"), "sub_form", F.array_append("_via", F.col("_sub")).alias("_via"), *rest)
+    several = done.groupBy("form", "link_id").agg(F.count("*").alias("n")).where("n > 1").select("form", "link_id", F.lit("duplicate").alias("issue"))
+    return done, issues.unionByName(several)
+
+
 def assembled(answers: DataFrame, mapping: DataFrame) -> DataFrame:
     """response_id, bundle: a transaction Bundle of the resources that the answers make, by the dotted paths that link ids map to.
 

@@ -74,9 +74,9 @@ def transaction(bundles: DataFrame) -> DataFrame:
     return rows.join(whole, "bundle_id").select("bundle_id", "position", "resource_type", "id", action.alias("action"), status.alias("status"), F.when(F.col("method") != "DELETE", F.col("json")).alias("json"))
 
 
-def enriched(log: DataFrame) -> DataFrame:
-    """Local events as they are pushed: base version, base content, content."""
-    return versions(log).select("sequence", *KEY, "action", "version_id", F.col("prev_version").alias("base_version"), F.col("prev_json").alias("base_json"), "json")
+def enriched(log: DataFrame, *more: str) -> DataFrame:
+    """Local events as they are pushed: base version, base content, content, and ``more`` columns of the log."""
+    return versions(log).select("sequence", *more, *KEY, "action", "version_id", F.col("prev_version").alias("base_version"), F.col("prev_json").alias("base_json"), "json")
 
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:

@@ -32,7 +32,7 @@ class SearchError(ValueError):
 @dataclass
 class Param:
     name: str
-    kind: str  # string, token, reference, date, number, composite
+    kind: str  # string, token, reference, date, number, quantity, composite
     values: Callable[[Path], Column]  # array<string>
     targets: tuple[str, ...] = ()
     components: int = 0  # of a composite
@@ -135,8 +135,8 @@ def index(df: DataFrame, params: list[Param]) -> DataFrame:
 
 
 def prefix(kind: str, value: str) -> tuple[str, str]:
-    """Comparison and value: only dates and numbers have prefixes."""
-    return (value[:2], value[2:]) if kind in ("date", "number") and value[:2] in PREFIXES else ("eq", value)
+    """Comparison and value: only dates, numbers and quantities have prefixes."""
+    return (value[:2], value[2:]) if kind in ("date", "number", "quantity") and value[:2] in PREFIXES else ("eq", value)
 
 
 def typed(rows: DataFrame) -> DataFrame:
@@ -161,6 +161,8 @@ def matches(param: Param, term: Term, value: Column, at: Column | None = None) -
         return _any([value.startswith(v + "/") | value.startswith(v + "|") for v in values])
     if term.modifier == "identifier":
         return _any([(value == v) | value.endswith("/" + v) | value.endswith("|" + v) for v in values])
+    if param.kind == "quantity":
+        return _any([_measured(*prefix(param.kind, v), value) for v in term.values])
     if param.kind in ("date", "number"):
         return _any([_ordered(param.kind, *prefix(param.kind, v), value, at) for v in values])
     return value.isin(*values)
@@ -173,6 +175,31 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
+def _measured(op: str, v: str, value: Column) -> Column:
+    """Whether a quantity (number|system|code) meets a searched one: number, number|system|code or number||unit.
+
+    A written number stands for a range (half of its last place to both sides), and a unit for a factor of its base unit. Equal: the value lies in the
+    searched range; gt and lt compare with the number itself, ge and le also take what is equal, sa and eb are beyond the range, ap within a tenth. Without a unit any unit is
+    compared, by number.
+    """
+    number, *rest = [plain(x) for x in split_at(v, "|")]
+    try:
+        float(number)
+    except ValueError as e:
+        raise SearchError(f"{v} is no quantity") from e
+    if len(rest) not in (0, 2):
+        raise SearchError(f"{v}: a quantity is number, number|system|code or number||unit")
+    system, code = rest or ("", "")
+    part = lambda i: F.get(F.split(value, r"\|"), F.lit(i))
+    wanted = N.quantity(F.lit(number), F.lit(code) if code else F.lit(""))
+    have = N.quantity(part(0), part(2) if code else F.lit(""))
+    x, n, low, high = have["value"], wanted["value"], wanted["low"], wanted["high"]
+    same, more = (x >= low) & (x < high), F.abs(n) * 1e-12  # what factors of units leave is no difference
+    test = {"eq": same, "ne": ~same, "gt": x > n + more, "lt": x < n - more, "ge": (x > n) | same, "le": (x < n) | same, "sa": x >= high, "eb": x < low, "ap": F.abs(x - n) <= F.abs(n) * (0.1 + 1e-12)}[op]
+    fits = (have["unit"] == wanted["unit"]) if code else F.lit(True)
+    return test & fits & ((part(1) == system) if system else F.lit(True))
+
+
 def _ordered(kind: str, op: str, v: str, value: Column, at: Column | None = None) -> Column:
     if kind == "number":
         try:
@@ -394,23 +421,16 @@ def _sorted_by(df: DataFrame, params: list[Param], keys: list[str]) -> list[Colu
         p = _lookup(params, key.lstrip("-"))
         if p.kind == "composite":
             raise SearchError(f"_sort={key} is not supported")
-        typed = {"date": N.low, "number": lambda v: v.try_cast("double")}.get(p.kind, lambda v: v)
+        typed = {"date": N.low, "number": lambda v: v.try_cast("double"), "quantity": lambda v: N.quantity(F.get(F.split(v, r"\|"), F.lit(0)), F.get(F.split(v, r"\|"), F.lit(2)))["value"]}.get(p.kind, lambda v: v)
         value = F.array_min(F.transform(p.values(root), typed))
         order.append(value.desc_nulls_last() if key[0] == "-" else value.asc_nulls_first())
     return order
 
 
-def run(query: str | list[tuple[str, str]], kind: str, params: dict[str, list[Param]], load: Callable[[str], DataFrame]) -> Found:
-    """The whole answer to a search of one resource type; ``load`` gives the resources of a type, ``params`` its parameters.
-
-    Without ``_sort`` a full-text search comes by rank, any other by id; ties always go by id. Includes belong to the page. What a
-    search does not support raises SearchError.
-    """
-    s, own, df = search(query), params[kind], load(kind)
-    for name, values in (("_sort", s.sort), ("_include", s.include), ("_revinclude", s.revinclude)):
-        if any(not v.strip("-") for v in values):
-            raise SearchError(f"{name} is empty")
-    df = direct(df, own, [t for t in s.terms if not t.chain])
+def _matching(s: Search, kind: str, params: dict[str, list[Param]], load: Callable[[str], DataFrame]) -> DataFrame:
+    """The resources that meet the terms, chains and full text of a search; with rank where there is text."""
+    own = params[kind]
+    df = direct(load(kind), own, [t for t in s.terms if not t.chain])
     for t in s.terms:
         if t.chain:
             ref = _lookup(own, t.param)
@@ -422,13 +442,26 @@ def run(query: str | list[tuple[str, str]], kind: str, params: dict[str, list[Pa
                 ids_ = direct(load(k), params[k], [Term(t.chain, t.modifier, t.values)]).select(F.lit(k).alias("target_type"), F.col("id").alias("target"))
                 met = ids_ if met is None else met.unionByName(ids_)
             df = df.join(_links(df, ref).join(met, ["target_type", "target"], "left_semi").select("id").distinct(), "id", "left_semi")
-    rank = []
     if s.text:
         strings_ = [p for p in own if p.kind == "string"]
         if not strings_:
             raise SearchError(f"{kind} has no text")
         df = _ranked(df, strings_, s.text)
-        rank = ["rank"]
+    return df
+
+
+def run(query: str | list[tuple[str, str]], kind: str, params: dict[str, list[Param]], load: Callable[[str], DataFrame]) -> Found:
+    """The whole answer to a search of one resource type; ``load`` gives the resources of a type, ``params`` its parameters.
+
+    Without ``_sort`` a full-text search comes by rank, any other by id; ties always go by id. Includes belong to the page. What a
+    search does not support raises SearchError.
+    """
+    s, own = search(query), params[kind]
+    for name, values in (("_sort", s.sort), ("_include", s.include), ("_revinclude", s.revinclude)):
+        if any(not v.strip("-") for v in values):
+            raise SearchError(f"{name} is empty")
+    df = _matching(s, kind, params, load)
+    rank = ["rank"] if s.text else []
     total = df.agg(F.count("*").alias("total"))
     order = _sorted_by(df, own, s.sort) if s.sort else [F.desc("rank")] if rank else []
     limited = df.orderBy(*order, "id").offset(s.offset).limit(0 if s.summary == "count" else s.count)
@@ -492,9 +525,6 @@ class Builder:
 
 
 def all_pages(query: list[tuple[str, str]], kind: str, params: dict[str, list[Param]], load: Callable[[str], DataFrame]) -> DataFrame:
-    """All matches of a search, as following its next links gives them: the pages are one plan here, without the limit."""
-    plain_ = [(k, v) for k, v in query if k not in ("_count", "_offset", "_sort", "_summary", "_elements")]
-    s = search(plain_)
-    if any(t.chain for t in s.terms) or s.text:
-        raise SearchError("all pages of plain terms only")
-    return direct(load(kind), params[kind], s.terms)
+    """All matches of a search, as following its next links gives them: the pages are one plan here, without the limit. Chains and full text as in ``run`` (then with rank)."""
+    plain_ = [(k, v) for k, v in query if k not in ("_count", "_offset", "_sort", "_summary", "_elements", "_include", "_revinclude")]
+    return _matching(search(plain_), kind, params, load)

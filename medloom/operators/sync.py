@@ -76,10 +76,11 @@ def pulled(log: DataFrame, current: DataFrame, after: int) -> DataFrame:
 def replayed(log: DataFrame, first: int, last: int, size: int = 100, by: str = "node") -> DataFrame:
     """The pushes of a range of sequences once more: enriched events of the range with the batch and the place that they had from there on.
 
-    Base versions come from the whole log, so a replay sends what the first push sent.
+    Base versions come from the log before the range, of those resources only that the range has; so a replay sends what the first push sent.
     """
-    rows = enriched(log).join(log.select("sequence", by), "sequence").where(F.col("sequence").between(first, last))
-    return batches(rows, size, by)
+    within = log.where(F.col("sequence").between(first, last))
+    own = log.where(F.col("sequence") <= last).join(within.select(*KEY).distinct(), KEY, "left_semi")
+    return batches(enriched(own, by).where(F.col("sequence") >= first), size, by)
 
 
 def nodes(registry: DataFrame, seen: DataFrame, now: Column, stale_after: str = "1 day") -> DataFrame:

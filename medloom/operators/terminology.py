@@ -90,7 +90,7 @@ def validated(codings: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def closure(concepts: DataFrame) -> DataFrame:
     """ancestor, code, distance (the least) of every concept under each of its ancestors: a join a level, however many rows; a cycle ends where it closes."""
-    edges = concepts.where("parent_code is not null").select("code", F.col("parent_code").alias("ancestor")).distinct()
+    edges = stepped(concepts.where("parent_code is not null").select("code", F.col("parent_code").alias("ancestor")).distinct(), "edges")
     fresh = stepped(edges.withColumn("distance", F.lit(1)), "closure")
     out = fresh
     while True:

@@ -222,10 +222,15 @@ def tenant_filter(spark, sf_dir):
     return policy.tenant(data, asks).select("id", "request")
 
 
-@query("SELECT principal, resource FROM (VALUES (1, '*'), (1, 'Encounter'), (2, 'Patient')) v(principal, resource)")
+@query("SELECT c_custkey AS principal, CASE WHEN c_custkey % 3 = 0 THEN '*' ELSE 'Patient' END AS resource FROM customer UNION ALL SELECT c_custkey, 'Encounter' FROM customer")
 def scope_collapse(spark, sf_dir):
-    data = [(1, "user", "*", ["read"]), (1, "user", "Patient", ["read"]), (1, "user", "Encounter", ["read", "write"]), (2, "user", "Patient", ["read", "write"]), (2, "user", "Patient", ["read"])]
-    return policy.collapsed(rows(spark, data, "principal int, context string, resource string, actions array<string>")).select("principal", "resource")
+    """Three scopes of each customer: every third may read all, which covers reading patients but not writing encounters; equal scopes are one."""
+    verbs = lambda *v: F.array(*map(F.lit, v))
+    scope = lambda resource, actions: F.struct(F.lit("user").alias("context"), resource.alias("resource"), actions.alias("actions"))
+    all_ = F.when(F.col("c_custkey") % 3 == 0, "*").otherwise("Patient")
+    each = F.array(scope(all_, verbs("read")), scope(F.lit("Patient"), verbs("read")), scope(F.lit("Encounter"), verbs("write", "read")))
+    scopes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("principal"), F.explode(each).alias("s")).select("principal", "s.*")
+    return policy.collapsed(scopes).select("principal", "resource")
 
 
 @query("SELECT event_id AS request_id FROM events WHERE (user_id % 2 = 0 AND event_type IN ('view', 'click')) OR (user_id % 2 = 1 AND event_type = 'purchase')")
@@ -236,9 +241,12 @@ def scope_check(spark, sf_dir):
     return policy.scoped(asks, scopes).select("request_id")
 
 
-@query("SELECT p, 'patient.read' AS canonical FROM (VALUES ('read.patient'), ('Patient-Read'), ('patient.read')) v(p)")
+@query("SELECT c_custkey AS k, CASE WHEN lower(c_mktsegment) < 'read' THEN lower(c_mktsegment) || '.read' ELSE 'read.' || lower(c_mktsegment) END AS canonical FROM customer")
 def permission_canonical(spark, sf_dir):
-    return rows(spark, [("read.patient",), ("Patient-Read",), ("patient.read",)], "p string").select("p", policy.canonical_permission("p").alias("canonical"))
+    """A permission for each customer's segment, spelled in three ways."""
+    k, s = F.col("c_custkey"), F.col("c_mktsegment")
+    spelled = F.when(k % 3 == 0, F.concat(F.lit("read."), F.lower(s))).when(k % 3 == 1, F.concat(s, F.lit("-Read"))).otherwise(F.concat(F.lower(s), F.lit(".read")))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), policy.canonical_permission(spelled).alias("canonical"))
 
 
 @query("SELECT sha256(CAST(c_custkey AS VARCHAR)) AS id, CAST(NULL AS DOUBLE) AS balance, regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') AS name FROM customer")
@@ -247,10 +255,13 @@ def deidentified(spark, sf_dir):
     return policy.masked(c, hashed=["id"], removed=["balance"], hidden=["name"])
 
 
-@query("SELECT a, b, a_newer FROM (VALUES ('1.10.0', '1.9.3', true), ('v2.0.0', '2.0.0', false), ('0.1.2', '0.2.0', false), ('x', '1.0.0', NULL)) v(a, b, a_newer)")
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 10 <> 0 THEN [p_size % 4, p_partkey % 13, p_partkey % 3] > [p_size % 3, p_partkey % 11, p_partkey % 5] END AS a_newer FROM part")
 def semver_compare(spark, sf_dir):
-    pairs = rows(spark, [("1.10.0", "1.9.3"), ("v2.0.0", "2.0.0"), ("0.1.2", "0.2.0"), ("x", "1.0.0")], "a string, b string")
-    return pairs.select("a", "b", (policy.semver("a") > policy.semver("b")).alias("a_newer"))
+    """Two versions of each part compared by their numbers; every tenth is none."""
+    k, size, text = F.col("p_partkey"), F.col("p_size"), lambda c: c.cast("string")
+    a = F.when(k % 10 == 0, "x").otherwise(F.concat(F.lit("v"), F.concat_ws(".", text(size % 4), text(k % 13), text(k % 3))))
+    b = F.concat_ws(".", text(size % 3), text(k % 11), text(k % 5))
+    return table(spark, sf_dir, "part").select(k.alias("k"), (policy.semver(a) > policy.semver(b)).alias("a_newer"))
 
 
 # forms: each order answers a questionnaire

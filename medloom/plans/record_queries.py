@@ -128,10 +128,14 @@ def search_built(spark, sf_dir):
     return S.run(built.query, "Patient", PARAMS, lambda k: resources(spark, sf_dir, k)).page.select("id")
 
 
-@query("SELECT * FROM (VALUES (1, true, ''), (2, false, 'birthDate'), (3, false, 'name'), (4, true, '')) t(request_id, ok, refused)")
+@query("""SELECT event_id AS request_id, event_type IN ('click', 'view') AND (user_id % 3 <> 1 OR event_type = 'click') AS ok,
+    CASE WHEN event_type NOT IN ('click', 'view') THEN CASE user_id % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'birthDate,name' ELSE '' END WHEN user_id % 3 = 1 AND event_type = 'view' THEN 'birthDate' ELSE '' END AS refused FROM events""")
 def tool_allow_lists(spark, sf_dir):
-    lists = rows(spark, [("reader", "read", ["name", "gender"]), ("reader", "search", ["name"])], "tool string, operation string, fields array<string>")
-    asks = rows(spark, [(1, "reader", "read", ["name"]), (2, "reader", "read", ["name", "birthDate"]), (3, "writer", "write", ["name"]), (4, "reader", "search", [])], "request_id int, tool string, operation string, fields array<string>")
+    """Each event asks for fields as a tool named by its type; two tools have lists."""
+    names = lambda *n: F.array(*map(F.lit, n)).cast("array<string>")
+    e, u = table(spark, sf_dir, "events"), F.col("user_id")
+    lists = e.where("event_type in ('click', 'view')").select(F.col("event_type").alias("tool")).distinct().select("tool", F.lit("read").alias("operation"), F.when(F.col("tool") == "click", names("name", "birthDate")).otherwise(names("name")).alias("fields"))
+    asks = e.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("tool"), F.lit("read").alias("operation"), F.when(u % 3 == 0, names("name")).when(u % 3 == 1, names("name", "birthDate")).otherwise(names()).alias("fields"))
     return fields.checked(asks, lists).select("request_id", "ok", "refused")
 
 
@@ -177,14 +181,17 @@ def valueset_outdated(spark, sf_dir):
     return T.outdated(T.compiled(made), T.compiled(first.unionByName(rows(spark, [("other", "1", "{}")], "url string, version string, compose string"))))
 
 
-@query("SELECT * FROM (VALUES ('urn:part', 'x1', 'first'), ('urn:part', 'x2', 'second'), ('urn:old', 'y', NULL), ('urn:new', 'z', 'new z'), ('urn:part', 'none', NULL)) t(system, code, found_display)")
+@query("""SELECT CASE WHEN p_partkey % 4 = 0 THEN 'urn:old' ELSE 'urn:part' END AS system, CAST(p_partkey AS VARCHAR) AS code, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN p_name WHEN p_partkey % 4 = 2 THEN 'second ' || p_name END AS found_display FROM part""")
 def terminology_chain(spark, sf_dir):
-    """Displays from the first of two providers that knows a code; concepts of a retired system are not found."""
-    codes = rows(spark, [("urn:part", "x1"), ("urn:part", "x2"), ("urn:old", "y"), ("urn:new", "z"), ("urn:part", "none")], "system string, code string")
-    kind = "system string, code string, display string"
-    first, second = rows(spark, [("urn:part", "x1", "first")], kind), rows(spark, [("urn:part", "x1", "no"), ("urn:part", "x2", "second"), ("urn:new", "z", "new z")], kind)
+    """Displays of all parts from the first of two providers that knows a code: the first knows every fourth, the second two of four; concepts of a retired system are not found."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    system = F.when(k % 4 == 0, "urn:old").otherwise("urn:part").alias("system")
+    all_ = p.select(system, k.cast("string").alias("code"), F.col("p_name").alias("display"), k.alias("k"))
+    first = all_.where("k % 4 = 1").select("system", "code", "display")
+    second = all_.where("k % 4 in (1, 2)").select("system", "code", F.concat(F.lit("second "), "display").alias("display"))
+    codes = all_.select("system", "code")
     known = T.first_found(codes.where("system <> 'urn:old'"), first, second)
-    retired = T.lookup(codes.where("system = 'urn:old'"), rows(spark, [("urn:old", "y", "was y")], kind), rows(spark, [("urn:old",)], "system string"))
+    retired = T.lookup(codes.where("system = 'urn:old'"), all_.select("system", "code", "display"), all_.where("system = 'urn:old'").select("system").distinct())
     return known.unionByName(retired.select("system", "code", "found_display"))
 
 
@@ -218,16 +225,27 @@ def node_states(spark, sf_dir):
     return sync.nodes(registry, seen.select(F.col("user_id").cast("long").alias("node"), F.col("ts").alias("at")), F.lit(now), "2 hours").select("node", "state")
 
 
-@query("SELECT * FROM (VALUES ('patient/Observation.rs', 'patient', 'Observation', 'r,s'), ('user/*.read', 'user', '*', 'r,s'), ('system/Patient.*', 'system', 'Patient', 'c,r,u,d,s'), ('openid', NULL, NULL, NULL), ('user/Patient.sr', NULL, NULL, NULL), ('user/Patient.write', 'user', 'Patient', 'c,u,d')) t(scope, context, resource, actions)")
+@query("""WITH s AS (SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'patient' WHEN 1 THEN 'user' WHEN 2 THEN 'system' ELSE 'openid' END AS context, CASE WHEN event_id % 2 = 0 THEN '*' ELSE 'Observation' END AS resource,
+        CASE event_type WHEN 'click' THEN 'rs' WHEN 'view' THEN 'read' WHEN 'purchase' THEN '*' WHEN 'signup' THEN 'write' ELSE 'sr' END AS verb FROM events)
+    SELECT event_id, CASE WHEN context <> 'openid' AND verb <> 'sr' THEN context END AS context, CASE WHEN context <> 'openid' AND verb <> 'sr' THEN resource END AS resource,
+        CASE WHEN context <> 'openid' THEN CASE verb WHEN 'rs' THEN 'r,s' WHEN 'read' THEN 'r,s' WHEN '*' THEN 'c,r,u,d,s' WHEN 'write' THEN 'c,u,d' END END AS actions FROM s""")
 def scopes_parsed(spark, sf_dir):
-    given = rows(spark, [(x,) for x in ("patient/Observation.rs", "user/*.read", "system/Patient.*", "openid", "user/Patient.sr", "user/Patient.write")], "scope string")
-    return policy.parsed_scopes(given).select("scope", "context", "resource", F.array_join("actions", ",").alias("actions"))
+    """A scope for each event; some name no context or mix up the verbs."""
+    u, kind = F.col("user_id"), F.col("event_type")
+    context = F.when(u % 4 == 0, "patient").when(u % 4 == 1, "user").when(u % 4 == 2, "system").otherwise("openid")
+    verb = F.when(kind == "click", "rs").when(kind == "view", "read").when(kind == "purchase", "*").when(kind == "signup", "write").otherwise("sr")
+    given = table(spark, sf_dir, "events").select("event_id", F.concat(context, F.lit("/"), F.when(F.col("event_id") % 2 == 0, "*").otherwise("Observation"), F.lit("."), verb).alias("scope"))
+    return policy.parsed_scopes(given).select("event_id", "context", "resource", F.array_join("actions", ",").alias("actions"))
 
 
-@query("SELECT * FROM (VALUES ('1.0.0-alpha', '1.0.0', true, false), ('1.0.0-alpha.2', '1.0.0-alpha.10', true, false), ('1.0.0-alpha.1', '1.0.0-alpha.beta', true, false), ('1.2.0', '1.1.9', false, true), ('2.0.0', '1.9.0', false, false), ('0.2.1', '0.1.0', false, false), ('1.0.0', '1.0.0', false, true)) t(a, b, less, fits)")
+@query("""WITH v AS (SELECT p_partkey AS k, p_size % 2 AS a1, p_partkey % 3 AS a2, p_partkey % 5 AS a3, p_partkey % 7 AS pre, p_size % 3 AS b1, p_partkey % 2 AS b2, p_partkey % 4 AS b3 FROM part)
+    SELECT k, [a1, a2, a3] < [b1, b2, b3] OR [a1, a2, a3] = [b1, b2, b3] AND pre > 0 AS less, a1 = b1 AND (a1 > 0 OR a2 = b2) AND NOT ([a1, a2, a3] < [b1, b2, b3] OR [a1, a2, a3] = [b1, b2, b3] AND pre > 0) AS fits FROM v""")
 def semver_precedence(spark, sf_dir):
-    pairs = rows(spark, [("1.0.0-alpha", "1.0.0"), ("1.0.0-alpha.2", "1.0.0-alpha.10"), ("1.0.0-alpha.1", "1.0.0-alpha.beta"), ("1.2.0", "1.1.9"), ("2.0.0", "1.9.0"), ("0.2.1", "0.1.0"), ("1.0.0", "1.0.0")], "a string, b string")
-    return pairs.select("a", "b", (policy.ordered_semver("a") < policy.ordered_semver("b")).alias("less"), policy.compatible(F.col("a"), F.col("b")).alias("fits"))
+    """Two versions of each part, the first of them as a rule a pre-release."""
+    k, size, text = F.col("p_partkey"), F.col("p_size"), lambda c: c.cast("string")
+    pre = F.when(k % 7 > 0, F.concat(F.lit("-rc."), text(k % 7))).otherwise("")
+    pairs = table(spark, sf_dir, "part").select(k.alias("k"), F.concat(F.concat_ws(".", text(size % 2), text(k % 3), text(k % 5)), pre).alias("a"), F.concat_ws(".", text(size % 3), text(k % 2), text(k % 4)).alias("b"))
+    return pairs.select("k", (policy.ordered_semver("a") < policy.ordered_semver("b")).alias("less"), policy.compatible(F.col("a"), F.col("b")).alias("fits"))
 
 
 @query("""WITH b AS (SELECT DISTINCT user_id, event_type AS role FROM events WHERE event_type IN ('click', 'view'))
@@ -391,3 +409,46 @@ def capability_params(spark, sf_dir):
     """Search parameters with their types and the types that references point to."""
     known = [(t, p.name, p.kind, ",".join(p.targets)) for t in ("Location", "Organization") for p in PARAMS[t]]
     return rows(spark, known, "resource_type string, param string, kind string, targets string")
+
+
+# forms within forms, trees of JSON, quantities
+
+
+_FORMS = """f AS (SELECT 'region-' || n_regionkey AS form, n_nationkey AS k, 'n' || n_nationkey AS link, n_nationkey % 3 AS common FROM nation)"""
+
+
+def _forms(spark, sf_dir):
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    item = lambda form, position, link, sub: F.struct(form.alias("form"), position.cast("int").alias("position"), link.alias("link_id"), sub.cast("string").alias("sub_form"))
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    none, own = F.lit(None), name("nation-", k)
+    each = n.select(F.explode(F.array(
+        item(name("region-", F.col("n_regionkey")), k, name("n", k), own), item(own, F.lit(0), F.lit("name"), none),
+        item(own, F.lit(1), F.lit("more"), name("common-", k % 3)), item(own, F.lit(2), F.lit("lost"), F.when(k % 5 == 0, "no such form")),
+    )).alias("i")).select("i.*")
+    common = n.select((k % 3).alias("c")).distinct().select(F.explode(F.array(item(name("common-", F.col("c")), F.lit(0), F.lit("a"), none), item(name("common-", F.col("c")), F.lit(1), F.lit("back"), F.when(F.col("c") == 2, "common-2")))).alias("i")).select("i.*")
+    return each.unionByName(common), table(spark, sf_dir, "region").select(name("region-", F.col("r_regionkey")).alias("form"))
+
+
+@query(f"""WITH {_FORMS} SELECT form, link || '/name' AS link_id, [k, 0] AS place FROM f UNION ALL SELECT form, link || '/lost', [k, 2] FROM f UNION ALL SELECT form, link || '/more/a', [k, 1, 0] FROM f
+    UNION ALL SELECT form, link || '/more/back', [k, 1, 1] FROM f WHERE common <> 2""")
+def sdc_assembled(spark, sf_dir):
+    """A form for each region of its nations' forms, which have a common one within them; one of those names itself."""
+    return forms.expanded(*_forms(spark, sf_dir))[0].select("form", "link_id", "place")
+
+
+@query(f"WITH {_FORMS} SELECT form, link || '/lost' AS link_id, 'not-found' AS issue FROM f WHERE k % 5 = 0 UNION ALL SELECT form, link || '/more/back', 'cycle' FROM f WHERE common = 2")
+def sdc_assembly_issues(spark, sf_dir):
+    return forms.expanded(*_forms(spark, sf_dir))[1].select("form", "link_id", "issue")
+
+
+@query("""SELECT o_custkey AS k, count(*) AS items, max(n) AS depth, sum(o_orderkey) AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1""")
+def json_repeat(spark, sf_dir):
+    """Each patient's orders as items within items, as deep as there are orders; repeat() finds them all."""
+    from ..functions import trees
+
+    keys = F.array_sort(F.collect_list("o_orderkey"))
+    nested = F.aggregate(F.reverse(keys), F.lit(""), lambda t, x: F.concat(F.lit('{"key":'), x.cast("string"), F.when(t == "", "").otherwise(F.concat(F.lit(',"item":['), t, F.lit("]"))), F.lit("}")))
+    docs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.concat(F.lit('{"item":['), nested, F.lit('],"other":{"item":[]}}')).alias("json"))
+    each = docs.select("k", F.explode(trees.repeat("json", "item")).alias("x"))
+    return each.groupBy("k").agg(F.count("*").alias("items"), F.max("x.level").alias("depth"), F.sum(F.get_json_object("x.value", "$.key").cast("bigint")).alias("total")).withColumn("depth", F.col("depth").cast("long"))

@@ -204,6 +204,34 @@ def capability_statement(spark, sf_dir):
     return known.groupBy("resource_type").agg(F.array_join(F.sort_array(F.collect_list("param")), ",").alias("params"))
 
 
+# quantities: every second line item is written in milligrams, the others in grams
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, even = table(spark, sf_dir, "lineitem"), F.col("l_linenumber") % 2 == 0
+    unit = F.when(even, "mg").otherwise("g")
+    value = F.struct((F.col("l_quantity") * F.when(even, 1000).otherwise(1)).alias("value"), unit.alias("unit"), F.lit("http://unitsofmeasure.org").alias("system"), unit.alias("code"))
+    return li.select(F.lit("Observation").alias("resourceType"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), value.alias("valueQuantity"))
+
+
+def _quantity(name: str, value: str, test: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..functions import normalize as N
+
+        params = [S.Param("value-quantity", "quantity", lambda p: N.quantities(p["value"].ofType("Quantity")))]
+        return S.direct(_measured(spark, sf_dir), params, S.search(f"value-quantity={value}").terms).select("id")
+
+    query(f"SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id FROM lineitem WHERE {test}", name)(run)
+
+
+_UCUM = "|http://unitsofmeasure.org|"
+for _op, _test in {"eq": "l_quantity = 17", "ne": "l_quantity <> 17", "gt": "l_quantity > 17", "ge": "l_quantity >= 17", "lt": "l_quantity < 17", "le": "l_quantity <= 17", "sa": "l_quantity > 17", "eb": "l_quantity < 17", "ap": "l_quantity BETWEEN 15.3 AND 18.7"}.items():
+    _quantity(f"search_quantity_{_op}", f"{_op}17{_UCUM}g", _test)
+_quantity("search_quantity_in_mg", f"ge16000{_UCUM}mg,4.2e4{_UCUM}mg", "l_quantity >= 16 OR l_quantity BETWEEN 41.5 AND 42.5")
+_quantity("search_quantity_no_unit", "17", "l_quantity * CASE WHEN l_linenumber % 2 = 0 THEN 1000 ELSE 1 END = 17")
+_quantity("search_quantity_unit_only", "17000||mg", "l_quantity = 17")
+
+
 # whole searches: page, included resources and total in one table
 
 
@@ -235,6 +263,13 @@ def search_full_text_by_rank(spark, sf_dir):
     return out.page.withColumn("position", F.col("position").cast("long")).crossJoin(F.broadcast(out.total))
 
 
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE {STATUS} = 'finished' AND o_custkey IN (SELECT c_custkey FROM customer WHERE contains(c_name, '7'))""")
+def search_all_pages_of_a_chain(spark, sf_dir):
+    """All pages of a search with a chain, as one plan."""
+    built = S.Builder().where("status", "finished").where("subject:Patient.name", "7", "contains").sort("-date").count(5)
+    return S.all_pages(built.query, "Encounter", PARAMS, lambda k: resources(spark, sf_dir, k)).select("id")
+
+
 @query("""WITH p AS (SELECT c_custkey FROM customer WHERE contains(c_name, '00') AND c_acctbal > 100 ORDER BY CAST(c_custkey AS VARCHAR) DESC LIMIT 25)
     SELECT 'Patient' AS resource_type, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'female' ELSE 'male' END AS gender FROM p
     UNION ALL SELECT 'Encounter', CAST(o_orderkey AS VARCHAR), NULL FROM orders WHERE o_custkey IN (SELECT c_custkey FROM p)""")
