@@ -29,6 +29,23 @@ def issues(docs: DataFrame, required: dict[str, list[str]], json: str = "json",
     return docs.select(key, F.explode(F.array_compact(F.array(*found))).alias("i")).select(key, "i.*")
 
 
+def bound(codes: DataFrame, value_sets: DataFrame, key: str = "key") -> DataFrame:
+    """key, severity, code, detail of codes that are not in the value set that binds them; to be united with ``issues``.
+
+    codes: key, path, strength (required, extensible, preferred or example), value_set, system, code; value_sets: value_set, system, code. A required binding is an
+    error, an extensible one a warning, others say nothing. A value set that is not known is one warning of its own; a code without a system is looked for in any.
+    """
+    asked = codes.where("code is not null and strength in ('required', 'extensible')")
+    known = value_sets.select("value_set", F.col("system").alias("_system"), F.col("code")).distinct()
+    sets = known.select("value_set").distinct()
+    lost = asked.join(sets, "value_set", "left_anti").select(key, F.lit("warning").alias("severity"), F.lit("unknown-value-set").alias("code"), F.concat_ws(" ", "path", "value_set").alias("detail"))
+    with_system = asked.where("system is not null").join(known.withColumnRenamed("_system", "system"), ["value_set", "system", "code"], "left_anti")
+    without = asked.where("system is null").join(known.select("value_set", "code"), ["value_set", "code"], "left_anti")
+    wrong = with_system.select(*asked.columns).unionByName(without.select(*asked.columns)).join(sets, "value_set", "left_semi")
+    severity = F.when(F.col("strength") == "required", "error").otherwise("warning")
+    return wrong.select(key, severity.alias("severity"), F.lit("code-not-in-value-set").alias("code"), F.concat_ws(" ", "path", F.concat_ws("|", "system", F.col("code"))).alias("detail")).unionByName(lost)
+
+
 def rolled_up(docs: DataFrame, found: DataFrame, key: str = "key") -> DataFrame:
     """key, valid, errors, warnings: only errors make a resource invalid."""
     counts = found.groupBy(key).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))

@@ -272,7 +272,7 @@ def blob_embedded(spark, sf_dir):
 
 @query("SELECT c_custkey % 3 AS part, count(*) AS n, sum(c_custkey) AS keys FROM customer GROUP BY 1")
 def parquet_partitioned(spark, sf_dir):
-    path = f"{work_dir(spark)}/parquet-{uuid.uuid4().hex}"
+    path = temporary(spark, "parquet")
     sinks.write_parquet(table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 3).alias("part")), path, ["part"])
     return spark.read.parquet(path).groupBy(F.col("part").cast("long").alias("part")).agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
 
@@ -280,7 +280,7 @@ def parquet_partitioned(spark, sf_dir):
 @query("SELECT 'suppliers' AS view, '2.0.0' AS version, count(*) AS row_count, 'id,name' AS columns FROM supplier WHERE s_suppkey % 2 = 0")
 def reporting_meta(spark, sf_dir):
     """Two refreshes of a table: the metadata names the rows of the last one."""
-    path = f"{work_dir(spark)}/report-{uuid.uuid4().hex}"
+    path = temporary(spark, "report")
     out = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     for part in (out, out.where("id % 2 = 0")):
         sinks.refresh(part, path, "suppliers", "2.0.0", ["id"])
@@ -318,7 +318,7 @@ def stream_push_acks(spark, sf_dir):
 @query("SELECT count(*) AS n, sum(event_id) AS total FROM events WHERE event_type IN ('click', 'view')")
 def stream_resumed(spark, sf_dir):
     """A stream that is run twice under one name reads each file once: what came after the first run is all that the second one adds."""
-    name, path = uuid.uuid4().hex, f"{work_dir(spark)}/arrived-{uuid.uuid4().hex}"
+    name, path = uuid.uuid4().hex, temporary(spark, "arrived")
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
     for kind in ("click", "view"):
         e.where(F.col("event_type") == kind).write.mode("append").parquet(path)
@@ -339,7 +339,7 @@ def view_quantity_cell(spark, sf_dir):
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
 def ndjson_since(spark, sf_dir):
     """An export since a time."""
-    path = f"{work_dir(spark)}/export-{uuid.uuid4().hex}"
+    path = temporary(spark, "export")
     e = resources(spark, sf_dir, "Encounter")
     sinks.write_ndjson(with_meta(e, F.lit("1"), F.col("period.start")), path)
     return sinks.read_ndjson(spark, path, "resourceType string, id string, meta struct<versionId: string, lastUpdated: string>", "1997-01-01T00:00:00Z", ["Encounter"]).select("id")
@@ -348,7 +348,7 @@ def ndjson_since(spark, sf_dir):
 @query("SELECT 'Patient' AS view, count(*) AS scanned, count(*) FILTER (c_custkey % 2 = 0) AS filtered, 2 AS runs FROM customer")
 def audit_appended(spark, sf_dir):
     """Two runs of a view, each with a record in an append-only table."""
-    path = f"{work_dir(spark)}/audit-{uuid.uuid4().hex}"
+    path = temporary(spark, "audit")
     view = V.View("Patient", "Patient", {"id": "id"}, where=[lambda p: p["gender"] == "female"])
     for actor in ("a", "b"):
         sinks.appended(V.logged(view, resources(spark, sf_dir, "Patient"), actor, F.lit("2024-01-01").cast("timestamp")), path)
@@ -391,7 +391,7 @@ def blob_read(spark, sf_dir):
 @query("SELECT CAST(sum(strlen(s_name) + 1) AS BIGINT) AS n_bytes FROM supplier")
 def blob_files(spark, sf_dir):
     """Files as binary content."""
-    path = f"{work_dir(spark)}/files-{uuid.uuid4().hex}"
+    path = temporary(spark, "files")
     table(spark, sf_dir, "supplier").select("s_name").write.text(path)
     return blobs.read_blobs(spark, path).agg(F.sum(F.octet_length("content")).cast("long").alias("n_bytes"))
 

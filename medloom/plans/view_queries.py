@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import views as V
 from ..sources import sinks
 from ..functions.paths import Path
+from ..sources.steps import temporary
 from .catalog import resources
 from .registry import query
 from .search_queries import STATUS
-from .work import work_dir
 
 PHONE = "CASE WHEN c_custkey % 3 <> 0 THEN '555-1-' || c_custkey END"
 
@@ -96,7 +94,7 @@ def fhirpath_choice(spark, sf_dir):
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CAST(row_number() OVER (ORDER BY CAST(s_suppkey AS VARCHAR)) - 1 AS BIGINT) AS row_num FROM supplier")
 def reporting_refresh(spark, sf_dir):
     view = V.View("suppliers", "Organization", {"id": "id", "name": "name"})
-    path = f"{work_dir(spark)}/report-{uuid.uuid4().hex}"
+    path = temporary(spark, "report")
     sinks.refresh(V.compiled(view, resources(spark, sf_dir, "Organization")), path, "suppliers", "1.0.0", ["id"])
     return sinks.read_report(spark, path, "suppliers", "1.0.0").select("id", "name", "row_num")
 
@@ -104,14 +102,14 @@ def reporting_refresh(spark, sf_dir):
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(c_acctbal AS VARCHAR) AS balance, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN '[\"555-1-' || c_custkey || '\",\"555-2-' || c_custkey || '\"]' ELSE '[\"555-1-' || c_custkey || '\"]' END AS phones FROM customer")
 def csv_roundtrip(spark, sf_dir):
     view = V.View("phones", "Patient", {"id": "id", "balance": "balance", "phones": "telecom.value"})
-    path = f"{work_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = temporary(spark, "csv")
     sinks.write_csv(V.compiled(view, resources(spark, sf_dir, "Patient")), path)
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, 'Location/r' || n_regionkey AS part_of FROM nation")
 def ndjson_roundtrip(spark, sf_dir):
-    path = f"{work_dir(spark)}/ndjson-{uuid.uuid4().hex}"
+    path = temporary(spark, "ndjson")
     places = resources(spark, sf_dir, "Location")
     sinks.write_ndjson(places, path)
     return sinks.read_ndjson(spark, path, places.schema, types=["Location"]).where("partOf is not null").select("id", "name", F.col("partOf.reference").alias("part_of"))

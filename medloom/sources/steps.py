@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,26 +10,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, on a local master only, a temporary folder that then becomes it."""
+    """``spark.checkpoint.dir``; where it is unset, on a local master only, a temporary folder of this program."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="medloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="medloom-"))
+        where = _own[0]
     return where.rstrip("/")
 
 
+#: The folder of this program where the setting is unset; paths that go when it ends.
+_own: list[str] = []
+_going: list[tuple] = []
+
+
+def goes(spark: SparkSession, path: str) -> None:
+    """The files of a path go when the program ends."""
+    if not _going:
+        atexit.register(_gone)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _going.append((hadoop, spark.sparkContext._jsc.hadoopConfiguration()))
+
+
+def _gone() -> None:
+    for hadoop, settings in _going:
+        try:
+            hadoop.getFileSystem(settings).delete(hadoop, True)
+        except Exception:  # noqa: BLE001  the JVM is gone already: the files stay
+            return
+
+
 def temporary(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, whose files go when the driver's JVM ends."""
+    """A new path in the shared folder, whose files go when the program ends."""
     path = f"{work_dir(spark)}/steps/{tag}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    goes(spark, path)
     return path
 
 
 def stepped(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; the files go when the driver's JVM ends."""
+    """``df`` written as Parquet to the shared folder and read again; the files go when the program ends."""
     spark = df.sparkSession
     path = temporary(spark, tag)
     df.write.parquet(path)

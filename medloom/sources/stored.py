@@ -122,3 +122,31 @@ class StoredPostings(StoredTable):
     def apply(self, before: DataFrame, after: DataFrame) -> None:
         """Brings the postings up to date: ``before`` and ``after`` are the postings of the changed resources as they were and as they are."""
         self.replace(before.select("resource_type", "term", "id"), after, ["resource_type", "term", "id"])
+
+
+class BlobStore(StoredTable):
+    """Contents by their hash (sha256, data, n_bytes), each once whatever the number of blobs that have it."""
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
+        super().__init__(spark, path, "sha256 string, data binary, n_bytes bigint", "sha256", [], parts, False)
+
+    def put(self, blobs: DataFrame) -> DataFrame:
+        """Adds the contents (column ``data``) that are not there yet, and returns ``blobs`` with sha256 in place of data. Null contents are not stored.
+
+        New files are added, no file is rewritten. Which contents are new is written first, so the same contents put again add nothing.
+        """
+        named = blobs.withColumn("sha256", F.sha2("data", 256))
+        have = self.spark.table(self.name).select("sha256").where("sha256 is not null")
+        new = named.where("sha256 is not null").select("sha256", "data").join(have, "sha256", "left_anti").dropDuplicates(["sha256"])
+        new = stepped(new.select("sha256", "data", F.octet_length("data").cast("long").alias("n_bytes")), "contents")
+        self._laid(new).write.mode("append").insertInto(self.name)
+        return named.drop("data")
+
+    def get(self, names: DataFrame) -> DataFrame:
+        """names (sha256) with data and n_bytes; null where there is no such content."""
+        return names.join(self.read(), "sha256", "left")
+
+    def keep(self, used: DataFrame) -> None:
+        """Takes out the contents that are not in ``used`` (sha256)."""
+        gone = stepped(self.read().select("sha256").join(used.select("sha256"), "sha256", "left_anti"), "gone")
+        self.replace(gone, self.read().limit(0), ["sha256"])

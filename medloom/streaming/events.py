@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import subscriptions
+from ..sources.steps import goes
 
 
 def read(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -25,9 +26,11 @@ def drained(stream: DataFrame, folder: str, spark: SparkSession, write: Callable
     """Runs a stream over all that is there and returns what it wrote.
 
     A call of the same ``name`` goes on where the last one ended and returns all that was written under it; without a name each
-    call begins anew.
+    call begins anew, and its files go when the program ends.
     """
-    name = name or uuid.uuid4().hex
+    if name is None:
+        name = uuid.uuid4().hex
+        goes(spark, f"{folder}/stream-{name}")
     out = stream.writeStream.option("checkpointLocation", f"{folder}/stream-{name}/checkpoint").trigger(availableNow=True)
     out = out.foreachBatch(write) if write else out.format("parquet").outputMode("append").option("path", f"{folder}/stream-{name}/rows")
     query = out.start()
