@@ -4,7 +4,7 @@ Index. One pass over the documents counts terms; a posting (term, document) hold
 are dealt by ranges of (term, share), so that a term's list is in order of its shares, and a list of any length lies
 in as many parts as it needs.
 
-Search, for all items at once. First, the ``k`` heads of each list give partial sums; their k-th is a lower bound of
+Search, for all items at once. First, the head of each list (HEADS * k entries) gives partial sums; their k-th is a lower bound of
 the k-th score. A document that reaches that bound has a share of at least bound / lists in some list. Second, each list
 gives all entries from that threshold on; the new sums give a better bound, and with the threshold in place of each share
 not seen, an upper bound for every document. Third, the exact scores of those that can still be among the first are looked up.
@@ -26,6 +26,10 @@ from . import words
 from .common import discard, written
 
 K = 50
+#: Entries of a list's head for each result asked for: with more of them the first bound comes nearer to the final one.
+HEADS = 8
+#: Part of bound / lists that is the threshold: with a lower one more is fetched and less is left open.
+ALPHA = 4
 #: Fixed value: bytes that belong to terms. A text's other bytes end a term.
 TERM_BYTES = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _FOLD = bytes(b if b in TERM_BYTES else 32 for b in range(256)).lower()
@@ -139,21 +143,25 @@ def search(postings: DataFrame, lists: DataFrame, queries: DataFrame, k: int = K
 
     # 1: heads of the lists
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("share"), "row"))
-    heads = written(postings.join(asked.select("term").distinct(), "term", "left_semi").select("term", "share", "row", place.alias("place")).where(F.col("place") <= k), "heads")
+    heads = written(postings.join(asked.select("term").distinct(), "term", "left_semi").select("term", "share", "row", place.alias("place")).where(F.col("place") <= HEADS * k), "heads")
     partial = heads.join(asked, "term").groupBy("item_id", "row").agg(F.sum("share").alias("sum"))
     bound = _kth(partial, k, "bound")
-    least = F.greatest(F.lit(1).cast("long"), F.expr("(coalesce(bound, 0) + lists - 1) div lists"))
-    asked = written(asked.join(bound, "item_id", "left").select("item_id", "term", "lists", least.alias("least")), "thresholds")
-
-    # 2: all entries from the threshold on; first from the lowest of a list's thresholds, so that each is read once
+    least = F.greatest(F.lit(1).cast("long"), F.expr(f"(coalesce(bound, 0) + {ALPHA} * lists - 1) div ({ALPHA} * lists)"))
+    asked = asked.join(bound, "item_id", "left").join(heads.groupBy("term").agg(F.max("share").alias("top")), "term")
+    # what a list may still give where it is not seen: less than the threshold, and no more than its first entry
+    asked = asked.select("item_id", "term", F.coalesce("bound", F.lit(0)).alias("bound"), least.alias("least"), F.least(least - 1, "top").alias("most"))
+    asked = written(asked.join(asked.groupBy("item_id").agg(F.sum("most").alias("all_most")), "item_id"), "thresholds")
+
+    # 2: all entries from the threshold on. An entry moves once, to its row's partition, whatever the items that ask for it: from
+    # the lowest of the list's thresholds on. Partitioned by row, sums by item and row need no further exchange
     lowest = asked.groupBy("term").agg(F.min("least").alias("lowest"))
-    entries = postings.join(lowest, "term").where("share >= lowest").select("term", "share", "row", "doc_id")
+    entries = postings.join(lowest, "term").where("share >= lowest").select("term", "share", "row", "doc_id").repartition("row")
     fetched = entries.join(asked, "term").where("share >= least")
-    fetched = fetched.groupBy("item_id", "row").agg(F.sum("share").alias("sum"), F.count("*").alias("seen"), F.first("doc_id").alias("doc_id"), F.first("lists").alias("lists"), F.first("least").alias("least"))
-    fetched = written(fetched, "fetched")
+    fetched = fetched.groupBy("item_id", "row").agg(F.sum("share").alias("sum"), F.first("doc_id").alias("doc_id"), (F.first("all_most") - F.sum("most")).alias("open"), F.first("bound").alias("bound"))
+    fetched = written(fetched.where("sum + open >= bound").drop("bound"), "fetched")
     bound = _kth(fetched, k, "bound")
-    able = fetched.join(bound, "item_id", "left").where("sum + (lists - seen) * (least - 1) >= coalesce(bound, 0)")
-    able = written(able.select("item_id", "row", "doc_id", "sum", (F.expr("seen = lists or least = 1")).alias("exact")), "candidates")
+    able = fetched.join(bound, "item_id", "left").where("sum + open >= coalesce(bound, 0)")
+    able = written(able.select("item_id", "row", "doc_id", "sum", (F.col("open") == 0).alias("exact")), "candidates")
     discard(fetched, heads)
 
     # 3: exact scores

@@ -262,17 +262,25 @@ def test_search_matches_brute_force(spark, k):
     assert got_search(lexical.search(*lexical.index(df), terms, k)) == got, "an index of all terms gives the same"
 
 
-def test_thresholds_leave_entries_unread_and_miss_nothing(spark, monkeypatch):
-    """One list is very long and of low shares: its entries are looked up, not fetched."""
-    docs = [(i, "common" + (" rare" if i % 400 == 0 else "") + f" u{i}") for i in range(4000)]
-    df, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "common rare")], "item_id long, text string")
-    steps = {}
-    real = lexical.written
-    monkeypatch.setattr(lexical, "written", lambda d, tag: steps.setdefault(tag, real(d, tag)))
-    counts = {}
-    monkeypatch.setattr(lexical, "discard", lambda *dfs: counts.update({c: d.count() for d in dfs for c in [",".join(d.columns)]}))
-    assert got_search(lexical.ranked(df, asked, 5)) == brute_search(docs, [(1, "common rare")], 5)
-    assert counts["item_id,row,sum,seen,doc_id,lists,least"] == 10
+def test_thresholds_leave_most_documents_out(spark, monkeypatch):
+    """A list in all documents: of what its entries leave open, only few documents are looked up, and none is missed."""
+    rng = random.Random(1)
+    docs = [(i, "common " * rng.randint(1, 3) + " ".join(f"r{rng.randrange(300)}" for _ in range(rng.randint(1, 9)))) for i in range(4000)]
+    items = [(1, "common r1 r2"), (2, "r3 r4 r5 common r6")]
+    df, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    counts, real = {}, lexical.written
+
+    def written(d, tag):
+        out = real(d, tag)
+        counts[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(lexical, "written", written)
+    for heads, alpha in ((8, 4), (1, 1), (1, 50)):
+        monkeypatch.setattr(lexical, "HEADS", heads)
+        monkeypatch.setattr(lexical, "ALPHA", alpha)
+        assert got_search(lexical.ranked(df, asked, 5)) == brute_search(docs, items, 5)
+        assert counts["candidates"] < 400 and counts["heads"] <= 7 * 5 * heads
 
 
 def test_search_edges(spark, odd, none):
