@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -17,28 +18,49 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own, on a local master only."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one of this program's, on a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="medloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="medloom-"))
+        where = _own[0]
     return where.rstrip("/")
 
 
+#: The folder of this program where the setting is unset; paths of ``folder`` that are still there.
+_own: list[str] = []
+_going: dict[str, tuple] = {}
+
+
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, whose files go at the latest when the driver's JVM ends."""
+    """A new path in the shared folder, whose files go at the latest when the program ends."""
     path = f"{shared_dir(spark)}/medloom/{tag}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if not _going:
+        atexit.register(_gone)
+    _going[path] = _place(spark, path)
     return path
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """A path as Hadoop knows it, and the settings to reach it."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def _gone() -> None:
+    for hadoop, settings in _going.values():
+        try:
+            hadoop.getFileSystem(settings).delete(hadoop, True)
+        except Exception:  # noqa: BLE001  the JVM is gone already: the files stay
+            return
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a path of ``folder``."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _going.pop(path, None)
+    hadoop, settings = _place(spark, path)
+    hadoop.getFileSystem(settings).delete(hadoop, True)
 
 
 #: Files of written steps, by the step.
@@ -48,7 +70,7 @@ _paths: dict[int, tuple] = {}
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
 
-    The files go when they are discarded, or when the driver's JVM ends.
+    The files go when they are discarded, or when the program ends.
     """
     spark = df.sparkSession
     path = folder(spark, tag)
