@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .steps import stepped
+
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """row_num from 0 in the given order, without one task for all rows: ranges are sorted, their counts added up."""
+    """row_num from 0 in the given order, without one task for all rows: ranges are sorted, their counts added up.
+
+    The sorted ranges are written once: computed again for their counts, they would be cut and coalesced in another way.
+    """
     cut = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row"))
+    cut = stepped(cut, "numbered")
     per = cut.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select("_part", "_first", before.alias("_before"))
