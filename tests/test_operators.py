@@ -136,3 +136,14 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         steps.work_dir(Session())
+
+
+def test_the_whole_log_is_applied(spark):
+    """The batch on top is the whole log, so that an event of the first halves counts where it is a resource's last."""
+    from medloom import catalog
+    from medloom.plans import log_queries as L
+
+    sf = "/root/testdata/sf0.01"
+    state = history.current(L.event_log(spark, sf)).select("id", "sequence", "json")
+    got = catalog.QUERIES["write_apply_changes"](spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, state.collect()))
