@@ -61,31 +61,34 @@ def checked(answers: DataFrame, items: DataFrame, options: DataFrame | None = No
 
     items: link_id, type, required, repeats, and read_only and value_set (a url) where there are such; value_sets: url, code.
     """
-    rows = answers.join(items, "link_id", "left")
+    rows = answers.join(F.broadcast(items), "link_id", "left")  # a form is of bounded size, and its few link ids would be as many tasks
     kind = F.col("type")
     wrong = F.lit(False)
     for t, spark_type in TYPES.items():
         wrong = wrong | ((kind == t) & F.col("answer").isNotNull() & F.col("answer").try_cast(spark_type).isNull())
     issue = lambda df, name: df.select("response_id", "link_id", F.lit(name).alias("issue"))
     out = issue(rows.where(kind.isNull()), "unknown-item").unionByName(issue(rows.where(wrong), "type"))
-    several = rows.groupBy("response_id", "link_id").agg(F.count("answer").alias("n"), F.max("repeats").alias("repeats")).where("n > 1 and not repeats")
+    # of each response the link ids answered, and those of them that may be answered once: as many as a response has
+    said = lambda test: F.collect_list(F.when(F.col("answer").isNotNull() & test, F.col("link_id")))
+    given = rows.groupBy("response_id").agg(said(F.lit(True)).alias("_given"), said(~F.col("repeats")).alias("_once"))
+    several = given.select("response_id", F.explode(F.filter(F.array_distinct("_once"), lambda x: F.size(F.filter("_once", lambda y: y == x)) > 1)).alias("link_id"))
     out = out.unionByName(issue(several, "repeats"))
-    all_ = with_each(answers.select("response_id").distinct(), items.where("required"), ["link_id"])
-    out = out.unionByName(issue(all_.join(answers.where("answer is not null"), ["response_id", "link_id"], "left_anti"), "required"))
+    all_ = with_each(given, items.where("required"), ["link_id"])
+    out = out.unionByName(issue(all_.where(~F.array_contains("_given", F.col("link_id"))), "required"))
     if "read_only" in items.columns:
         out = out.unionByName(issue(rows.where(F.col("read_only") & F.col("answer").isNotNull()), "read-only"))
     if value_sets is not None:
         bound = rows.where(F.col("value_set").isNotNull() & F.col("answer").isNotNull())
         out = out.unionByName(issue(bound.join(value_sets.select(F.col("url").alias("value_set"), F.col("code").alias("answer")), ["value_set", "answer"], "left_anti"), "value-set"))
     if options is not None:
-        closed = answers.join(options.select("link_id").distinct(), "link_id", "left_semi")
+        closed = answers.join(F.broadcast(options.select("link_id").distinct()), "link_id", "left_semi")
         out = out.unionByName(issue(closed.join(options.select("link_id", F.col("option").alias("answer")), ["link_id", "answer"], "left_anti"), "option"))
     return out
 
 
 def extracted(answers: DataFrame, mapping: DataFrame) -> DataFrame:
     """response_id, resource_type, json: the answers as resources, by the fields that link ids map to."""
-    rows = answers.where("answer is not null").join(mapping, "link_id")
+    rows = answers.where("answer is not null").join(F.broadcast(mapping), "link_id")
     fields = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "answer"))))
     return rows.groupBy("response_id", "resource_type").agg(F.to_json(F.map_concat(F.create_map(F.lit("resourceType"), F.first("resource_type")), fields)).alias("json"))
 
@@ -137,7 +140,7 @@ def assembled(answers: DataFrame, mapping: DataFrame) -> DataFrame:
     fields = mapping.select("link_id", "resource_type", "path").limit(MAX_ITEMS + 1).collect()
     if len(fields) > MAX_ITEMS:
         raise ValueError(f"a mapping of more than {MAX_ITEMS} paths")
-    given = answers.where("answer is not null").join(mapping, "link_id").groupBy("response_id", "resource_type", "path").agg(F.min("answer").alias("answer"))
+    given = answers.where("answer is not null").join(F.broadcast(mapping), "link_id").groupBy("response_id", "resource_type", "path").agg(F.min("answer").alias("answer"))
     own = given.groupBy("response_id", "resource_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "answer")))).alias("given"))
     out = None
     for kind in sorted({f["resource_type"] for f in fields}):

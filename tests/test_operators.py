@@ -147,3 +147,17 @@ def test_the_whole_log_is_applied(spark):
     state = history.current(L.event_log(spark, sf)).select("id", "sequence", "json")
     got = catalog.QUERIES["write_apply_changes"](spark, sf)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, state.collect()))
+
+
+def test_answers_are_not_dealt_by_link_id(spark):
+    """A form's few link ids would be as many tasks: neither checks nor extraction exchange answers by them."""
+    from medloom.operators import forms
+    from medloom.plans.work import rows
+
+    answers = rows(spark, [(1, "a", "1"), (1, "a", "2"), (2, "b", None), (2, "z", "1")], "response_id bigint, link_id string, answer string")
+    items = rows(spark, [("a", "string", True, False), ("b", "string", False, True)], "link_id string, type string, required boolean, repeats boolean")
+    found = forms.checked(answers, items, rows(spark, [("a", "1")], "link_id string, option string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "a", "option"), (1, "a", "repeats"), (2, "a", "required"), (2, "z", "unknown-item")]
+    made = forms.extracted(answers, spark.createDataFrame([("a", "T", "f")], "link_id string, resource_type string, field string"))
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (found, made)]
+    assert not any("hashpartitioning(link_id" in p for p in plans)
