@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.steps import work_dir
 
@@ -10,4 +13,6 @@ __all__ = ["rows", "work_dir"]
 
 
 def rows(spark: SparkSession, data: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(data, schema)
+    """A local relation: Spark knows its size, and so broadcasts it."""
+    kinds = T._parse_datatype_string(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, r)) for r in data], schema=to_arrow_schema(kinds)), kinds)
