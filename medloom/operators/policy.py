@@ -68,16 +68,24 @@ def tenant(rows: DataFrame, requests: DataFrame) -> DataFrame:
 def collapsed(scopes: DataFrame) -> DataFrame:
     """context, resource, actions without those that another scope of the context covers (``*`` covers every resource).
 
-    An anti-join on the context of a principal, whose scopes are few.
+    The scopes of a context of a principal, which are few, are compared with each other in one row.
     """
-    a, b = scopes.alias("a"), scopes.alias("b")
-    same = (F.col("a.principal") == F.col("b.principal")) & (F.col("a.context") == F.col("b.context"))
-    wider = (F.col("b.resource") == "*") | (F.col("b.resource") == F.col("a.resource"))
-    covers = F.size(F.array_except("a.actions", "b.actions")) == 0
-    differs = (F.col("a.resource") != F.col("b.resource")) | (F.size("a.actions") < F.size("b.actions"))
-    scopes = scopes.withColumn("actions", F.array_sort(F.array_distinct("actions"))).distinct()  # equal scopes are one
-    a, b = scopes.alias("a"), scopes.alias("b")
-    return a.join(b, same & wider & covers & differs, "left_anti")
+    rest = [c for c in scopes.columns if c not in ("principal", "context")]
+    each = scopes.withColumn("actions", F.array_sort(F.array_distinct("actions")))
+    own = each.groupBy("principal", "context").agg(F.collect_set(F.struct(*rest)).alias("_all"))  # equal scopes are one
+
+    def covered(a: Column) -> Column:
+        def covers(b: Column) -> Column:
+            wider = (b["resource"] == "*") | (b["resource"] == a["resource"])
+            differs = (a["resource"] != b["resource"]) | (F.size(a["actions"]) < F.size(b["actions"]))
+            return F.coalesce(wider & (F.size(F.array_except(a["actions"], b["actions"])) == 0) & differs, F.lit(False))
+
+        return F.exists("_all", covers)
+
+    left = own.where("principal is not null and context is not null").select("principal", "context", F.explode(F.filter("_all", lambda a: ~covered(a))).alias("_s"))
+    # what has no principal or context is covered by none
+    alone = own.where("principal is null or context is null").select("principal", "context", F.explode("_all").alias("_s"))
+    return left.unionByName(alone).select(*[F.col(c) if c in ("principal", "context") else F.col("_s")[c].alias(c) for c in scopes.columns])
 
 
 def scoped(requests: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -161,3 +161,11 @@ def test_answers_are_not_dealt_by_link_id(spark):
     made = forms.extracted(answers, spark.createDataFrame([("a", "T", "f")], "link_id string, resource_type string, field string"))
     plans = [x._jdf.queryExecution().executedPlan().toString() for x in (found, made)]
     assert not any("hashpartitioning(link_id" in p for p in plans)
+
+
+def test_scopes_of_a_context_are_compared_in_a_row(spark):
+    """No join of all scopes with each other; what has no principal stays, and of equal scopes one."""
+    rows = [("p", "user", "*", ["read"]), ("p", "user", "A", ["read"]), ("p", "user", "A", ["read", "read"]), ("p", "user", "B", ["write", "read"]), ("q", "user", "A", ["read"]), (None, "user", "*", ["read"]), (None, "user", "A", ["read"])]
+    out = policy.collapsed(spark.createDataFrame(rows, "principal string, context string, resource string, actions array<string>"))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((str(r.principal), r.resource, *r.actions) for r in out.collect()) == [("None", "*", "read"), ("None", "A", "read"), ("p", "*", "read"), ("p", "B", "read", "write"), ("q", "A", "read")]
