@@ -169,3 +169,10 @@ def test_scopes_of_a_context_are_compared_in_a_row(spark):
     out = policy.collapsed(spark.createDataFrame(rows, "principal string, context string, resource string, actions array<string>"))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((str(r.principal), r.resource, *r.actions) for r in out.collect()) == [("None", "*", "read"), ("None", "A", "read"), ("p", "*", "read"), ("p", "B", "read", "write"), ("q", "A", "read")]
+
+
+def test_distinct_ids_are_dealt_before_they_are_counted(spark):
+    from medloom import catalog
+
+    plan = catalog.QUERIES["index_distinct_ids"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and not any("hashpartitioning(kind" in x and " id" in x for x in plan.splitlines())
