@@ -331,11 +331,19 @@ def _ranked(df: DataFrame, params: list[Param], query: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """resource_type, term, id, tf, words of texts (resource_type, id and ``text``); the term "" stands for each document with words, once."""
-    tokens = docs.select("resource_type", "id", words(F.col(text)).alias("w")).where(F.size("w") > 0).withColumn("words", F.size("w").cast("long"))
-    each = tokens.select("resource_type", "id", "words", F.explode("w").alias("term")).groupBy("resource_type", "id", "term", "words").agg(F.count("*").alias("tf"))
-    whole = tokens.select("resource_type", F.lit("").alias("term"), "id", F.lit(0).cast("long").alias("tf"), "words")
-    return each.select("resource_type", "term", "id", "tf", "words").unionByName(whole)
+    """resource_type, term, id, tf, words of texts (resource_type, id and ``text``); the term "" stands for each document with words, once.
+
+    A text is one row, so its terms are counted there, as runs of its sorted words: nothing is moved to count them.
+    """
+    tokens = docs.select("resource_type", "id", F.array_sort(words(F.col(text))).alias("w")).where(F.size("w") > 0)
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return F.get(F.transform(F.array(starts), lambda at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("long").alias("tf")))), F.lit(0))
+
+    whole = F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")))
+    each = tokens.select("resource_type", "id", F.size("w").cast("long").alias("words"), F.explode(F.concat(whole, runs(F.col("w")))).alias("p"))
+    return each.select("resource_type", "p.term", "id", "p.tf", "words")
 
 
 def stored_text(stored, kind: str, query: str) -> DataFrame:
