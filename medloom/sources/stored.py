@@ -2,7 +2,7 @@
 
 Both lie in parts by a hash (of the id, or of the term), which are folders of a partitioned table. A batch of changes reads and writes the parts
 that it touches, by dynamic partition overwrite: Spark stages a part's new files and puts them in place when all are there. The others
-keep their files.
+keep their files. Postings take a batch as rows of its own, beside those of the batches before, so that a batch costs what it holds and not what is stored.
 
 The index is bucketed by id within its parts, in as many buckets as parts and by the same hash, so that a part is one bucket: searches that group or
 join by id read it without an exchange. A part never goes empty: it holds a row without field, or without term, so that overwriting replaces it.
@@ -61,21 +61,19 @@ class StoredTable:
 
     def rebuild(self, rows: DataFrame) -> None:
         """Replaces all: the parts of ``rows``, and those that were there before."""
-        new = self._laid(rows)
-        old = self.spark.table(self.name).select(*self.by, "part")
-        self._put(new, new.select(*self.by, "part").unionByName(old).distinct())
+        self._put(self._laid(rows), self.spark.table(self.name).select(*self.by, "part").distinct())  # new parts need no row of theirs: they have some
 
     def replace(self, gone: DataFrame, rows: DataFrame, on: list[str], touched: DataFrame | None = None) -> None:
         """Takes out the rows whose columns ``on`` are in ``gone`` and puts ``rows`` in; only parts of the two (and of ``touched``) are read and written."""
-        rows = stepped(self._laid(rows), "laid")
+        rows, gone = stepped(self._laid(rows), "laid"), stepped(gone.distinct(), "gone")
         parts = rows.select(*self.by, "part")
         for more in (gone,) if touched is None else (gone, touched):
             if self.key in more.columns:
                 parts = parts.unionByName(more.withColumn("part", part_of(self.key, self.parts)).select(*self.by, "part"))
         parts = stepped(parts.distinct(), "parts")
-        stay = self.spark.table(self.name).where(F.col(self.key).isNotNull()).join(parts, [*self.by, "part"], "left_semi").join(gone.select(*on).distinct(), on, "left_anti")
-        # written before the table is: what is read and what is replaced are the same files
-        self._put(stepped(stay.select(*rows.columns).unionByName(rows), "merged"), parts)
+        stay = self.spark.table(self.name).where(F.col(self.key).isNotNull()).join(parts, [*self.by, "part"], "left_semi").join(gone.select(*on), on, "left_anti")
+        # what is read and what is replaced are the same files: the new ones are staged, and put in place when all tasks have ended
+        self._put(stay.select(*rows.columns).unionByName(rows), parts)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name).where(F.col(self.key).isNotNull()).select(*self.columns)
@@ -108,20 +106,52 @@ class StoredIndex(StoredTable):
 
 
 class StoredPostings(StoredTable):
-    """Postings of full text (resource_type, term, id, tf, words: how often the term is in the resource, and its words)."""
+    """Postings of full text (resource_type, term, id, tf, words: how often the term is in the resource, and its words).
+
+    Each batch is a folder above its parts. A row without term says that its id is gone from its part as far as batches before its own go, so
+    a search meets what is gone where it reads. After MOST batches they are made one.
+    """
+
+    MOST = 16
 
     def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
-        super().__init__(spark, path, "term string, id string, tf bigint, words bigint, resource_type string", "term", ["resource_type"], parts, False)
+        super().__init__(spark, path, "term string, id string, tf bigint, words bigint, resource_type string, batch int", "term", ["resource_type", "batch"], parts, False)
+        self.fields = [c for c in self.columns if c != "batch"]
+
+    def _batches(self) -> list[int]:
+        """The batches that have rows, from the folders' names."""
+        names = self.spark.sql(f"SHOW PARTITIONS {self.name}").select(F.regexp_extract("partition", "(?:^|/)batch=([0-9]+)", 1).cast("int").alias("n"))
+        return sorted(r.n for r in names.distinct().collect())
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Of some parts, whole or by their terms, the rows that no later batch took out."""
+        held = rows.where("term is not null")
+        if self._batches()[1:]:
+            gone = rows.where("term is null and id is not null").groupBy("resource_type", "part", "id").agg(F.max("batch").alias("_until"))
+            held = held.join(gone, ["resource_type", "part", "id"], "left").where("_until is null or batch >= _until")
+        return held.select(*self.fields)
+
+    def rebuild(self, rows: DataFrame) -> None:
+        super().rebuild(rows.withColumn("batch", F.lit(0)))
+
+    def read(self) -> DataFrame:
+        return self._live(self.spark.table(self.name))
 
     def of(self, resource_type: str, terms: list[str]) -> DataFrame:
         """The postings of some terms: a scan of their parts only, since the parts are constants of the plan."""
         wanted = [part_of(F.lit(t), self.parts) for t in terms]
-        rows = self.spark.table(self.name).where((F.col("resource_type") == resource_type) & F.col("part").isin(*wanted) & F.col("term").isin(*terms))
-        return rows.select(*self.columns)
+        rows = self.spark.table(self.name).where((F.col("resource_type") == resource_type) & F.col("part").isin(*wanted))
+        return self._live(rows.where(F.col("term").isNull() | F.col("term").isin(*terms)))
 
     def apply(self, before: DataFrame, after: DataFrame) -> None:
         """Brings the postings up to date: ``before`` and ``after`` are the postings of the changed resources as they were and as they are."""
-        self.replace(before.select("resource_type", "term", "id"), after, ["resource_type", "term", "id"])
+        batches = self._batches()
+        if len(batches) >= self.MOST:
+            self.rebuild(stepped(self.read(), "merged"))
+        number = F.lit(max(batches, default=0) + 1)
+        gone = before.select("resource_type", "id", part_of(F.col("term"), self.parts).alias("part")).distinct()
+        rows = self._laid(after.withColumn("batch", number)).unionByName(gone.withColumn("batch", number), allowMissingColumns=True)
+        self._put(rows, rows.select(*self.by, "part").limit(0))
 
 
 class BlobStore(StoredTable):

@@ -94,3 +94,40 @@ def test_postings_after_batches_and_what_a_search_reads(spark, tmp_path):
     assert "part" in scan and rows.inputFiles() and {f.rsplit("/", 2)[1] for f in rows.inputFiles()} == {f"part={rows.sparkSession.range(1).select(F.pmod(F.hash(F.lit('zebra')), F.lit(16))).first()[0]}"}
     with pytest.raises(S.SearchError):
         S.stored_text(stored, "D", "the of")
+
+
+def test_a_batch_of_postings_leaves_what_is_stored(spark, tmp_path):
+    docs = spark.createDataFrame([("D", str(i), f"one two{i % 3} two{i % 3}") for i in range(30)], "resource_type string, id string, text string")
+    stored, now = StoredPostings(spark, f"file://{tmp_path}/postings", 4), docs
+    stored.MOST = 3
+    stored.rebuild(S.postings(docs))
+    for n in range(5):
+        held = {str(p) for p in tmp_path.rglob("*.parquet")}
+        changed = F.col("id").isin(str(n), str(n + 1))
+        new = now.where(changed & (F.col("id") != "3")).withColumn("text", F.lit(f"two{n} new{n}"))
+        stored.apply(S.postings(now.where(changed)), S.postings(new))
+        now = spark.createDataFrame(now.where(~changed).unionByName(new).collect(), docs.schema)
+        assert same(stored.read(), S.postings(now))
+        assert {r.id for r in stored.of("D", ["two1"]).collect()} == {r.id for r in now.where("text like '%two1%'").collect()}
+        if n < 2:
+            assert held <= {str(p) for p in tmp_path.rglob("*.parquet")}, "files of earlier batches stay"
+
+
+def test_terms_are_counted_without_an_exchange(spark):
+    docs = spark.createDataFrame([("D", "1", "b c B, the b"), ("D", "2", "x"), ("D", "3", "the"), ("D", "4", None)], "resource_type string, id string, text string")
+    out = S.postings(docs)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.term, r.tf, r.words) for r in out.collect()} == {("1", "", 0, 4), ("1", "b", 3, 4), ("1", "c", 1, 4), ("2", "", 0, 1), ("2", "x", 1, 1)}
+
+
+def test_a_batch_is_not_written_twice(spark, tmp_path):
+    import medloom.sources.stored as module
+
+    stored, p, steps = StoredIndex(spark, f"file://{tmp_path}/index", 4), patients(spark, SF), []
+    stored.rebuild(rows_of(p))
+    real, module.stepped = module.stepped, lambda df, tag: steps.append(tag) or real(df, tag)
+    try:
+        stored.apply(rows_of(p.where("id = '7'")), p.where("id in ('7', '9')").select(F.lit("Patient").alias("resource_type"), "id"))
+    finally:
+        module.stepped = real
+    assert "merged" not in steps and same(stored.read(), rows_of(p.where("id <> '9'")))
