@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ids as FHIR allows them (a fixed pattern).
@@ -10,23 +10,28 @@ ID_PATTERN = r"^[A-Za-z0-9\-.]{1,64}$"
 REFERENCE_PATTERN = r"^([A-Z][A-Za-z]+/[A-Za-z0-9\-.]{1,64}|#.+|urn:.+|https?://.+)$"
 
 
-def issues(docs: DataFrame, required: dict[str, list[str]], json: str = "json", key: str = "key") -> DataFrame:
-    """key, severity, code, detail: one row for each issue. ``required`` has the known types and their required fields."""
+def found(json: str | Column, required: dict[str, list[str]]) -> Column:
+    """The issues of a resource (array of severity, code, detail), found in its row. ``required`` has the known types and their required fields."""
     v = F.try_parse_json(json)
     get = lambda p: F.get_json_object(json, "$." + p)
     issue = lambda bad, severity, code, detail: F.when(bad, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), detail.alias("detail")))
     kind, id_ = get("resourceType"), get("id")
     refs = F.regexp_extract_all(F.to_json(v), F.lit(r'"reference":"((?:[^"\\]|\\.)*)"'), F.lit(1))
     bad_refs = F.filter(refs, lambda r: ~r.rlike(REFERENCE_PATTERN))
-    found = [
+    all_ = [
         issue(v.isNull(), "error", "invalid-json", F.lit("")),
         issue(v.isNotNull() & kind.isNull(), "error", "missing-type", F.lit("")),
         issue(kind.isNotNull() & ~F.coalesce(kind.isin(*required), F.lit(False)), "error", "unknown-type", kind),
         issue(id_.isNotNull() & ~id_.rlike(ID_PATTERN), "error", "invalid-id", id_),
         issue(F.size(bad_refs) > 0, "warning", "invalid-reference", F.array_join(bad_refs, ",")),
     ]
-    found += [issue((kind == t) & get(f).isNull(), "error", "required", F.lit(f)) for t, fields in required.items() for f in fields]
-    return docs.select(key, F.explode(F.array_compact(F.array(*found))).alias("i")).select(key, "i.*")
+    all_ += [issue((kind == t) & get(f).isNull(), "error", "required", F.lit(f)) for t, fields in required.items() for f in fields]
+    return F.array_compact(F.array(*all_))
+
+
+def issues(docs: DataFrame, required: dict[str, list[str]], json: str = "json", key: str = "key") -> DataFrame:
+    """key, severity, code, detail: one row for each issue. ``required`` has the known types and their required fields."""
+    return docs.select(key, F.explode(found(json, required)).alias("i")).select(key, "i.*")
 
 
 def bound(codes: DataFrame, value_sets: DataFrame, key: str = "key") -> DataFrame:

@@ -145,6 +145,20 @@ def test_writes_of_one_key_are_judged_in_order(spark):
     assert added["history"].count() == added["events"].count() == 7 and added["index"].count() == 3
 
 
+def test_errors_of_a_write_are_found_in_its_row(spark):
+    log = spark.createDataFrame([(1, "P", "old", "create", "1")], "sequence long, resource_type string, id string, action string, version_id string")
+    texts = ['{"resourceType":"P","name":"n"}', '{"resourceType":"P"}', '{"resourceType":"Q","id":"_"}', "{broken", None]
+    changes = spark.createDataFrame([(n, "P", None, a, j) for n, (a, j) in enumerate([*(("create", t) for t in texts), ("delete", "{broken")])], "change_id long, resource_type string, id string, action string, json string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    out = history.prepared(log, changes, {"P": ["name"]})
+    assert {r.change_id: r.errors for r in out.collect()} == {0: None, 1: "required", 2: "invalid-id,unknown-type", 3: "invalid-json", 4: "invalid-json", 5: None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line for line in plan.split("\n")) == 1, "the only join is that with the log"
+    lines = plan.split("\n")
+    dealt = next(i for i, line in enumerate(lines) if "RepartitionByExpression" in line)
+    reads = [i for i, line in enumerate(lines) if "get_json_object" in line or "parseJson" in line or "parse_json" in line]
+    assert reads and max(reads) < dealt, "JSON is read where the rows are dealt"
+
+
 def test_references_with_escaped_quotes(spark):
     df = spark.createDataFrame([(1, json.dumps({"resourceType": "P", "a": {"reference": 'x"y'}}))], "key int, json string")
     assert [r.detail for r in validate.issues(df, {"P": []}).where("code = 'invalid-reference'").collect()] == ['x\\"y']
