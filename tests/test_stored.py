@@ -131,3 +131,11 @@ def test_a_batch_is_not_written_twice(spark, tmp_path):
     finally:
         module.stepped = real
     assert "merged" not in steps and same(stored.read(), rows_of(p.where("id <> '9'")))
+
+
+def test_resources_are_dealt_before_their_values_are_found(spark):
+    from medloom.plans.stored_queries import _dealt
+
+    lines = rows_of(_dealt(spark, SF, "Patient"))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    place = lambda name: next(i for i, line in enumerate(lines) if name in line)
+    assert place("Generate") < place("RepartitionByExpression")
