@@ -34,6 +34,8 @@ ALPHA = 4
 TERM_BYTES = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _FOLD = bytes(b if b in TERM_BYTES else 32 for b in range(256)).lower()
 FILTER_BITS = 20
+#: Pairs of an item and a term up to which they are sent to every task, however many files they lie in; with more of them Spark chooses.
+SENT_PAIRS = 1 << 18
 COUNTED = "row long, doc_id long, term string, tf long, n long"
 
 
@@ -140,11 +142,12 @@ def search(postings: DataFrame, lists: DataFrame, queries: DataFrame, k: int = K
     """item_id, rank, doc_id, score: the ``k`` documents of highest score above 0 of each item (``item_terms``), ties by doc_id, then by row."""
     asked = queries.join(lists.select("term"), "term")
     asked = written(asked.join(asked.groupBy("item_id").agg(F.count("*").alias("lists")), "item_id"), "asked")
+    sent = F.broadcast if asked.limit(SENT_PAIRS + 1).count() <= SENT_PAIRS else lambda df: df
 
     # 1: heads of the lists
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("share"), "row"))
-    heads = written(postings.join(asked.select("term").distinct(), "term", "left_semi").select("term", "share", "row", place.alias("place")).where(F.col("place") <= HEADS * k), "heads")
-    partial = heads.join(asked, "term").groupBy("item_id", "row").agg(F.sum("share").alias("sum"))
+    heads = written(postings.join(sent(asked.select("term").distinct()), "term", "left_semi").select("term", "share", "row", place.alias("place")).where(F.col("place") <= HEADS * k), "heads")
+    partial = heads.join(sent(asked), "term").groupBy("item_id", "row").agg(F.sum("share").alias("sum"))
     bound = _kth(partial, k, "bound")
     least = F.greatest(F.lit(1).cast("long"), F.expr(f"(coalesce(bound, 0) + {ALPHA} * lists - 1) div ({ALPHA} * lists)"))
     asked = asked.join(bound, "item_id", "left").join(heads.groupBy("term").agg(F.max("share").alias("top")), "term")
@@ -153,10 +156,11 @@ def search(postings: DataFrame, lists: DataFrame, queries: DataFrame, k: int = K
     asked = written(asked.join(asked.groupBy("item_id").agg(F.sum("most").alias("all_most")), "item_id"), "thresholds")
 
     # 2: all entries from the threshold on. An entry moves once, to its row's partition, whatever the items that ask for it: from
-    # the lowest of the list's thresholds on. Partitioned by row, sums by item and row need no further exchange
+    # the lowest of the list's thresholds on. Partitioned by row, sums by item and row need no further exchange: joined by a sort instead, every
+    # entry of every item that asks for it would move again
     lowest = asked.groupBy("term").agg(F.min("least").alias("lowest"))
-    entries = postings.join(lowest, "term").where("share >= lowest").select("term", "share", "row", "doc_id").repartition("row")
-    fetched = entries.join(asked, "term").where("share >= least")
+    entries = postings.join(sent(lowest), "term").where("share >= lowest").select("term", "share", "row", "doc_id").repartition("row")
+    fetched = entries.join(sent(asked), "term").where("share >= least")
     fetched = fetched.groupBy("item_id", "row").agg(F.sum("share").alias("sum"), F.first("doc_id").alias("doc_id"), (F.first("all_most") - F.sum("most")).alias("open"), F.first("bound").alias("bound"))
     fetched = written(fetched.where("sum + open >= bound").drop("bound"), "fetched")
     bound = _kth(fetched, k, "bound")

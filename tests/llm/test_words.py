@@ -290,3 +290,26 @@ def test_search_edges(spark, odd, none):
     assert got == brute_search(docs, [(1, "A, b!"), (2, "w5 end w5"), (3, "日本語"), (4, "one")], 50)
     assert [d for d, _ in got[1]] == [None, 1] and [d for d, _ in got[4]] == [9, 9]
     assert lexical.ranked(none, items).count() == 0 and lexical.ranked(odd, items.where("false")).count() == 0
+
+
+def test_fetched_entries_move_once(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{(i * k) % 13}" for k in range(1, 9))) for i in range(120)]
+    items, plans, real = [(1, "w1 w2 w3"), (2, "w3 w4 w5")], {}, lexical.written
+    df, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def written(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, tag)
+
+    monkeypatch.setattr(lexical, "written", written)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as where a small table lies in very many files
+    try:
+        got = got_search(lexical.ranked(df, asked, 5))
+        assert got == brute_search(docs, items, 5)
+        moved = plans["fetched"]
+        assert "SortMergeJoin" not in moved and sum("Exchange hashpartitioning(row" in line for line in moved.split("\n")) == 1 and "hashpartitioning(item_id" not in moved
+        monkeypatch.setattr(lexical, "SENT_PAIRS", 1)
+        assert got_search(lexical.ranked(df, asked, 5)) == got and "SortMergeJoin" in plans["fetched"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
