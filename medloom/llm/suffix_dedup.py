@@ -33,21 +33,26 @@ LENGTH = 50
 ANCHOR = 24
 #: Windows that one sampled suffix can stand for.
 LONGEST = LENGTH - ANCHOR + 1
-CHUNK = 1 << 20
+CHUNK = 1 << 15
 RUN_TUPLES = 50_000
+HELD_BYTES = 1 << 20
 #: Rounds over the anchors, each with its share of the tuples: what they take of the disks at once.
 ROUNDS = 2
 PLACE_BITS = np.uint64(21)
 TUPLE = "right binary, left binary, doc_id long, uid long, start long"
+CUTS = "uid long, k1 long, k2 long, doc_id long, body binary, cuts array<binary>"
 HIT = "uid long, start long, mask long"
 
 
-def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two hashes, in order."""
-    h = a * words.BASE
-    h += b * words.MIX_A
+def anchor_hashes(data: bytes) -> np.ndarray:
+    """A hash of the ANCHOR bytes from each place on. It chooses samples and tasks only, so a weak one costs work, not results."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    eight = eight ^ (eight >> np.uint64(29))
+    h = eight[:-16] * words.BASE
+    h += eight[8:-8] * words.MIX_A
+    h += eight[16:] * words.MIX_B
     h ^= h >> np.uint64(32)
-    h *= words.MIX_B
+    h *= words.BASE
     return h
 
 
@@ -62,16 +67,18 @@ def sampled(blocks: list[bytes]):
     if n < 1:
         e = np.zeros(0, np.int64)
         return a, e, e, e, e, e.astype(np.uint64)
-    eight = words.mix(np.ndarray((len(a) - 7,), "<u8", data, 0, (1,)) + np.uint64(1))
-    anchor = pairs(pairs(eight[:-16], eight[8:-8]), eight[16:])
+    anchor = anchor_hashes(data)
     low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
     place = (anchors.window_min((anchor & ~low) | np.arange(len(anchor), dtype=np.uint64), LONGEST)[:n] & low).astype(np.int64)
     ends = np.cumsum([len(b) for b in blocks])
-    text = np.searchsorted(ends, np.arange(n), "right")
-    inside = np.arange(n) + LENGTH <= ends[text]
-    new = np.flatnonzero(inside & np.append(True, (place[1:] != place[:-1]) | ~inside[:-1]))
-    stop = np.flatnonzero(inside & np.append((place[1:] != place[:-1]) | ~inside[1:], True))
-    return a, text[new], new, stop - new + 1, place[new], anchor[place[new]]
+    inside = np.ones(n, bool)
+    for e in ends.tolist():
+        inside[max(0, e - LENGTH + 1) : e] = False
+    moved = place[1:] != place[:-1]
+    new = np.flatnonzero(inside & np.append(True, moved | ~inside[:-1]))
+    stop = np.flatnonzero(inside & np.append(moved | ~inside[1:], True))
+    text = np.searchsorted(ends, new, "right")
+    return a, text, new, stop - new + 1, place[new], anchor[place[new]]
 
 
 def batches(texts: list[str | bytes | None]):
@@ -106,22 +113,64 @@ def _slices(a: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
 
 
-def _tuples(which: str):
-    """The tuples of sampled suffixes whose anchors are in the list ``which`` of their text."""
+def _cuts(batches_):
+    """Of each text with its lists of anchors: place, first window and number of windows of the sampled suffixes that are in them, for each round, then for hot anchors."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches_:
+        lists = [anchors.wanted(batch, which) for which in ("anchors", "hot")]
+        found = [[[] for _ in range(ROUNDS + 1)] for _ in range(batch.num_rows)]
+        for first, n, blocks, base in batches([unpack(b) for b in batch.column("body").to_pylist()]):
+            _, text, start, size, place, anchor = sampled(blocks)
+            begin = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
+            for hot, (edges, known) in enumerate(lists):
+                if not len(known):
+                    continue
+                at = anchors.chosen(edges, known, first, n, text, anchor)
+                turn = np.full(len(at), ROUNDS) if hot else (anchor[at] % np.uint64(ROUNDS)).astype(np.int64)
+                order = np.lexsort((turn, text[at]))
+                at, key = at[order], (text[at] * (ROUNDS + 1) + turn)[order]
+                three = np.array([place[at], start[at], size[at]]) + np.array([base - begin[text[at]], base - begin[text[at]], np.zeros(len(at), np.int64)])
+                edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
+                for a, b in zip(edge, [*edge[1:], len(key)]):
+                    found[first + int(key[a]) // (ROUNDS + 1)][int(key[a]) % (ROUNDS + 1)].append(three[:, a:b])
+        cuts = [[np.concatenate(x, 1).astype(np.int32).tobytes() if x else b"" for x in row] for row in found]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "k1", "k2", "doc_id", "body")), pa.array(cuts, pa.list_(pa.binary()))], [f.split()[0] for f in CUTS.split(", ")])
+
+
+def _tuples(turn: int):
+    """The tuples of the sampled suffixes of a round."""
 
     def run(batches_):
         unpack = zstandard.ZstdDecompressor().decompress
+        names = [f.split()[0] for f in TUPLE.split(", ")]
+
+        def out(blocks, cuts, uid, did):
+            sizes = [c.shape[1] for c in cuts]
+            place, start, size = np.concatenate(cuts, 1).astype(np.int64)
+            of = np.repeat(np.arange(len(blocks)), sizes)
+            begin = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])[of]
+            a = np.frombuffer(b"".join(blocks), np.uint8)
+            right = _slices(a, begin + place, start + size - 1 + LENGTH - place)
+            columns = [right, _slices(a, begin + start, place - start), pa.array(np.array(did)[of]), pa.array(np.array(uid)[of]), pa.array(start)]
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in batches_:
             uid, did = anchors.longs(batch, "uid", "doc_id")
-            edges, known = anchors.wanted(batch, which)
-            for first, n, blocks, base in batches([unpack(b) for b in batch.column("body").to_pylist()]):
-                a, text, start, size, place, anchor = sampled(blocks)
-                at = anchors.chosen(edges, known, first, n, text, anchor)
-                text, start, size, place, anchor = text[at], start[at], size[at], place[at], anchor[at]
-                begin = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])[text]
-                of = first + text
-                columns = [_slices(a, place, start + size - 1 + LENGTH - place), _slices(a, start, place - start), did[of], uid[of], base + start - begin]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [f.split()[0] for f in TUPLE.split(", ")])
+            held, size = ([], [], [], []), 0
+            for i, (body, cuts) in enumerate(zip(batch.column("body"), batch.column("cuts").to_pylist())):
+                if not cuts[turn]:
+                    continue
+                three = np.frombuffer(cuts[turn], np.int32).reshape(3, -1)
+                text = unpack(body.as_py())
+                for s in range(0, three.shape[1], RUN_TUPLES):  # a text of very many tuples comes in parts
+                    for column, value in zip(held, (text, three[:, s : s + RUN_TUPLES], uid[i], did[i])):
+                        column.append(value)
+                    size += len(text)
+                    if size >= HELD_BYTES:
+                        yield out(*held)
+                        held, size = ([], [], [], []), 0
+            if held[0]:
+                yield out(*held)
 
     return run
 
@@ -236,22 +285,23 @@ def _windows(batches_):
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """k1, k2, spans of the texts that hold a string of LENGTH bytes of an earlier document. Written."""
     met = anchors.repeated_anchors(rows, cut, earlier=True)
-    bodies, hits = anchors.compressed(rows), None
+    # texts meet their lists once, and are sampled for all rounds at once
+    texts = written(anchors.compressed(rows).join(met, ["k1", "k2"]).mapInArrow(_cuts, CUTS), "cuts")
+    some_hot, hits = not met.where(F.size("hot") > 0).isEmpty(), None
+    discard(met)
     for r in range(ROUNDS):
-        own = met.select("uid", "k1", "k2", F.filter("anchors", lambda a: F.pmod(a, F.lit(ROUNDS)) == r).alias("anchors"))
-        found = bodies.join(own.where(F.size("anchors") > 0), ["k1", "k2"]).mapInArrow(_tuples("anchors"), TUPLE)
+        found = texts.select("doc_id", "uid", "body", "cuts").mapInArrow(_tuples(r), TUPLE)
         part = found.repartition(F.xxhash64(F.substring("right", 1, ANCHOR))).sortWithinPartitions("right").mapInArrow(_judged, HIT)
         part = written(part, "hits")
         hits = part if hits is None else hits.unionByName(part)
-    hot = met.where(F.size("hot") > 0)
-    if not hot.isEmpty():
-        each = bodies.join(hot.drop("anchors"), ["k1", "k2"]).mapInArrow(_tuples("hot"), TUPLE).mapInArrow(_windows, "window binary, doc_id long, uid long, start long, bit long")
+    if some_hot:
+        each = texts.select("doc_id", "uid", "body", "cuts").mapInArrow(_tuples(ROUNDS), TUPLE).mapInArrow(_windows, "window binary, doc_id long, uid long, start long, bit long")
         least = each.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
         least = written(least, "least")  # written, so that the join can split a very common window
         hits = hits.unionByName(each.join(least, "window").where("least < doc_id").groupBy("uid", "start").agg(F.bit_or("bit").alias("mask")))
-    spans = hits.groupBy("uid").agg(F.collect_set(F.struct("start", "mask")).alias("spans")).join(met.select("uid", "k1", "k2"), "uid").select("k1", "k2", "spans")
+    spans = hits.groupBy("uid").agg(F.collect_set(F.struct("start", "mask")).alias("spans")).join(texts.select("uid", "k1", "k2"), "uid").select("k1", "k2", "spans")
     spans = written(spans, "spans")
-    discard(met)
+    discard(texts)
     return spans
 
 

@@ -841,3 +841,18 @@ def test_pipeline(spark, docs):
             want = near_classes([(r.doc_id, r.text) for r in before.collect()])
             assert sorted(r.doc_id for r in out.collect()) == sorted(set(want.values()))
     assert corpus_pipeline.run(spark, SF).agg(F.sum("n_tokens")).first()[0] == sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in out.collect())
+
+
+def test_texts_meet_their_anchors_once(spark, monkeypatch):
+    common = "a passage that is longer than fifty bytes and stands in each of these texts, again and again. "
+    plans, real = [], suffix_dedup.written
+
+    def written(df, tag):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, tag)
+
+    monkeypatch.setattr(suffix_dedup, "written", written)
+    out = suffix_dedup.dedup(spark.createDataFrame([(i, f"{i} " * 40 + common) for i in range(5)], "doc_id long, text string"), texts=False).collect()
+    assert sorted((r.doc_id, r.n_removed >= len(common)) for r in out) == [(0, False), *((i, True) for i in range(1, 5))]
+    rounds = [plan for tag, plan in plans if tag == "hits"]
+    assert len(rounds) == suffix_dedup.ROUNDS and not any("Join" in plan for plan in rounds) and sum("Join" in plan for tag, plan in plans if tag == "cuts") == 1
