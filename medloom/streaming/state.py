@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -137,7 +137,8 @@ def seen_once(stream: DataFrame, node: str = "node") -> DataFrame:
 # resources with their content
 
 
-CHANGED = "sequence long, resource_type string, id string, action string, timestamp timestamp, json string, changed array<string>"
+CHANGED = "sequence long, resource_type string, id string, action string, at long, json string, changed array<string>"
+_changed = Row(*[c.split()[0] for c in CHANGED.split(", ")])
 
 
 def changed_between(old: str | None, new: str | None) -> list[str]:
@@ -155,21 +156,20 @@ def changed_between(old: str | None, new: str | None) -> list[str]:
 
 
 class _Content(StatefulProcessor):
-    """Of each resource its last content."""
+    """Of each resource its last content. Rows, not frames: with few events of a key a frame for each key would cost more than the work."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "json string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["sequence"])
-        old, changed = (self.last.get()[0] if self.last.exists() else None), []
-        for text in batch["json"]:
-            text = None if pd.isna(text) else text
-            changed.append(changed_between(old, text))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state = self.last.get()
+        before = old = state[0] if state else None
+        for r in sorted(rows, key=lambda r: (r["sequence"] is None, r["sequence"] or 0)):  # of one key and one micro-batch
+            text = r["json"]
+            yield _changed(*r, changed_between(old, text))
             old = text if text is not None else old
-        if old is not None:
+        if old != before:
             self.last.update((old,))
-        yield batch.assign(changed=changed)[[c.split()[0] for c in CHANGED.split(", ")]]
 
     def close(self) -> None:
         pass
@@ -180,18 +180,20 @@ def with_changes(stream: DataFrame) -> DataFrame:
 
     Events of a resource must come in the order of their sequence; a delete keeps the last content.
     """
-    rows = stream.select("sequence", "resource_type", "id", "action", "timestamp", "json")
-    return rows.groupBy("resource_type", "id").transformWithStateInPandas(_Content(), CHANGED, "append", "none")
+    rows = stream.select("sequence", "resource_type", "id", "action", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"), "json")
+    out = rows.groupBy("resource_type", "id").transformWithState(_Content(), CHANGED, "append", "none")
+    return out.select("sequence", "resource_type", "id", "action", F.timestamp_micros("at").alias("timestamp"), "json", "changed")
 
 
 # deliveries that are tried again
 
 
-TRIED = "job_id string, attempt int, at timestamp, outcome string"
+TRIED = "job_id string, attempt int, at long, outcome string"
+_tried = Row(*[c.split()[0] for c in TRIED.split(", ")])
 
 
 class _Deliveries(StatefulProcessor):
-    """Of each job how often it was tried; a timer says when the next time is."""
+    """Of each job how often it was tried; a timer says when the next time is. Rows, not frames: a job has one row at a time."""
 
     def __init__(self, fails):
         self.fails = fails
@@ -200,20 +202,20 @@ class _Deliveries(StatefulProcessor):
         self.handle = handle
         self.tried = handle.getValueState("tried", "attempt int, at long")
 
-    def _try(self, job: str, attempt: int, at: int) -> pd.DataFrame:
+    def _try(self, job: str, attempt: int, at: int) -> Row:
         failed = self.fails(job, attempt)
         outcome = "delivered" if not failed else "failed" if attempt >= MAX_ATTEMPTS else "retry"
         self.tried.update((attempt, at))
         if outcome == "retry":
             self.handle.registerTimer(at + 1000 * min(BASE_S * FACTOR ** (attempt - 1), CAP_S))
-        return pd.DataFrame({"job_id": [job], "attempt": pd.array([attempt], "Int32"), "at": [pd.Timestamp(at, unit="ms")], "outcome": [outcome]})
+        return _tried(job, attempt, at, outcome)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["timestamp"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = min(r["at"] for r in rows)
         if not self.tried.exists():  # a job that comes again is known already
-            yield self._try(key[0], 1, int(batch["timestamp"].iloc[0].timestamp() * 1000))
+            yield self._try(key[0], 1, first)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield self._try(key[0], self.tried.get()[0] + 1, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
@@ -227,4 +229,5 @@ def deliveries(stream: DataFrame, fails, delay: str = "0 seconds") -> DataFrame:
     the watermark passes it. After MAX_ATTEMPTS a job has failed for good.
     """
     rows = stream.select("job_id", "timestamp").withWatermark("timestamp", delay)
-    return rows.groupBy("job_id").transformWithStateInPandas(_Deliveries(fails), TRIED, "append", "eventTime")
+    tried = rows.withColumn("at", F.unix_millis("timestamp")).groupBy("job_id").transformWithState(_Deliveries(fails), TRIED, "append", "eventTime")
+    return tried.withColumn("at", F.timestamp_millis("at"))

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from medloom.operators import conflict, fields, history, validate
@@ -168,3 +169,39 @@ def test_missing_references(spark):
     rows = spark.createDataFrame([(1, "P/1"), (2, "P/2"), (3, None), (4, "Q/1")], "id int, ref string")
     live = spark.createDataFrame([("P", "1"), ("P", "1")], "resourceType string, id string")
     assert sorted(r.id for r in history.missing(rows, F.col("ref"), live).collect()) == [2, 4]
+
+
+class Held:
+    """A value in a store, with the calls that it gets."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls.append(at)
+
+
+def test_state_of_a_key_costs_few_calls():
+    row = Row("sequence", "resource_type", "id", "action", "at", "json")
+    p = state._Content()
+    p.last = Held()
+    out = list(p.handleInputRows(("P", "x"), iter([row(2, "P", "x", "update", 5, '{"a":2}'), row(3, "P", "x", "delete", 6, None), row(1, "P", "x", "create", 4, '{"a":1}')]), None))
+    assert [(r.sequence, r.at, r.changed) for r in out] == [(1, 4, ["a"]), (2, 5, ["a"]), (3, 6, ["a"])] and p.last.value == ('{"a":2}',)
+    list(p.handleInputRows(("P", "x"), iter([row(4, "P", "x", "update", 7, '{"a":2}')]), None))
+    assert p.last.calls == ["get", "update", "get"], "what does not change is not written"
+    d = state._Deliveries(lambda job, attempt: attempt < 2)
+    d.tried = d.handle = Held()
+    assert [tuple(r) for r in d.handleInputRows(("j",), iter([Row("at")(9), Row("at")(7)]), None)] == [("j", 1, 7, "retry")] and d.tried.value == (1, 7)
+    assert not list(d.handleInputRows(("j",), iter([Row("at")(1)]), None)), "a job that comes again is known"
