@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.steps import stepped
 from .fields import with_fields
@@ -136,22 +139,33 @@ def assembled(answers: DataFrame, mapping: DataFrame) -> DataFrame:
 
     mapping: link_id, resource_type, path (of at most MAX_ITEMS rows). Each resource is posted; resources come by type, fields by path, so the
     bundle is the same each time. Of several answers to an item the least by text counts.
+
+    A path goes by its number, those of a type in a row. Answers are dealt by response once, before anything is held, and texts are made last.
+    The number of parts is fixed: adaptive execution would make them as few as there are cores, and a part is what a task holds.
     """
     fields = mapping.select("link_id", "resource_type", "path").limit(MAX_ITEMS + 1).collect()
     if len(fields) > MAX_ITEMS:
         raise ValueError(f"a mapping of more than {MAX_ITEMS} paths")
-    given = answers.where("answer is not null").join(F.broadcast(mapping), "link_id").groupBy("response_id", "resource_type", "path").agg(F.min("answer").alias("answer"))
-    own = given.groupBy("response_id", "resource_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "answer")))).alias("given"))
-    out = None
-    for kind in sorted({f["resource_type"] for f in fields}):
-        text = F.lit(f'{{"resourceType":"{kind}"}}')
-        paths = sorted({f["path"] for f in fields if f["resource_type"] == kind})
-        made = with_fields(text, {p: _quoted(F.col("given")[p]) for p in paths})
-        part = own.where(F.col("resource_type") == kind).select("response_id", "resource_type", made.alias("resource"))
-        out = part if out is None else out.unionByName(part)
-    entry = F.concat(F.lit('{"request":{"method":"POST","url":"'), F.col("resource_type"), F.lit('"},"resource":'), F.col("resource"), F.lit("}"))
-    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("resource_type", entry.alias("entry")))), lambda x: x["entry"]), ",")
-    return out.groupBy("response_id").agg(F.concat(F.lit('{"entry":['), entries, F.lit('],"resourceType":"Bundle","type":"transaction"}')).alias("bundle"))
+    spark = answers.sparkSession
+    number = {place: i for i, place in enumerate(sorted({(f["resource_type"], f["path"]) for f in fields}))}
+    kinds: dict[str, dict[str, int]] = {}
+    for (kind, path), i in number.items():
+        kinds.setdefault(kind, {})[path] = i
+    link = StructType([mapping.schema["link_id"], StructField("field", IntegerType())])
+    links = [dict(zip(link.names, x)) for x in dict.fromkeys((f["link_id"], number[f["resource_type"], f["path"]]) for f in fields)]
+    numbered = spark.createDataFrame(pa.Table.from_pylist(links, schema=to_arrow_schema(link)), link)
+    said = answers.where("answer is not null").select("response_id", "link_id", "answer").join(F.broadcast(numbered), "link_id").drop("link_id")
+    dealt = said.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "response_id")
+    least = dealt.groupBy("response_id", "field").agg(F.min("answer").alias("answer"))
+    own = least.groupBy("response_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "answer"))).alias("given"))
+    of = lambda paths: F.map_filter("given", lambda k, _: k.between(min(paths.values()), max(paths.values())))
+    own = own.select("response_id", *[of(paths).alias(f"_of{i}") for i, paths in enumerate(kinds.values())])
+    entries = []
+    for i, (kind, paths) in enumerate(kinds.items()):
+        made = with_fields(F.lit(f'{{"resourceType":"{kind}"}}'), {path: _quoted(F.col(f"_of{i}")[n]) for path, n in paths.items()})
+        entry = F.concat(F.lit(f'{{"request":{{"method":"POST","url":"{kind}"}},"resource":'), made, F.lit("}"))
+        entries.append(F.when(F.size(f"_of{i}") > 0, entry))
+    return own.select("response_id", F.concat(F.lit('{"entry":['), F.concat_ws(",", *entries), F.lit('],"resourceType":"Bundle","type":"transaction"}')).alias("bundle"))
 
 
 def _quoted(text: Column) -> Column:

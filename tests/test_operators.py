@@ -163,6 +163,45 @@ def test_answers_are_not_dealt_by_link_id(spark):
     assert not any("hashpartitioning(link_id" in p for p in plans)
 
 
+def test_bundles_are_made_where_answers_were_dealt_by_response(spark):
+    """Answers move once, nothing is sorted or collected before, and parts stay as many as they were made; results are those of a plain assembly."""
+    import json
+    import random
+
+    from medloom.operators import forms
+    from medloom.plans.work import rows
+
+    links = [("a", "B", "x.y"), ("b", "B", "x"), ("c", "A", "n"), ("d", "A", "n"), ("d", "C", "deep.er.q"), ("d", "C", "deep.er.q"), ("e", "C", "deep.z"), ("never", "D", "w")]
+    rng = random.Random(7)
+    said = [(i, rng.choice("abcdez"), rng.choice(["10", "9", 'q"\\', "\u00e9", "", None])) for i in (*range(200), None) for _ in range(rng.randint(1, 6))]
+    answers = rows(spark, said, "response_id bigint, link_id string, answer string").withColumn("field", F.lit("its own")).repartition(3)
+    made = forms.assembled(answers, rows(spark, links, "link_id string, resource_type string, path string"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, link, answer in said:
+        for _, kind, path in (x for x in links if x[0] == link and answer is not None):
+            given = want.setdefault(i, {}).setdefault(kind, {})
+            given[path] = min(given.get(path, answer), answer, key=lambda t: t.encode())
+    for i, kinds in want.items():
+        entries = []
+        for kind in sorted(kinds):
+            resource = {"resourceType": kind}
+            for path in sorted(kinds[kind]):
+                *way, last = path.split(".")
+                at = resource
+                for name in way:
+                    at[name] = at = at[name] if isinstance(at.get(name), dict) else {}
+                at[last] = kinds[kind][path]
+            entries.append({"request": {"method": "POST", "url": kind}, "resource": resource})
+        want[i] = json.dumps({"entry": entries, "resourceType": "Bundle", "type": "transaction"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    got = made.collect()
+    assert len(got) == len(want) and {r.response_id: r.bundle for r in got} == want
+    assert plan.count("Exchange hashpartitioning") == 1
+    before = plan.split("Exchange hashpartitioning")[1]
+    assert "Aggregate" not in before and "Sort [" not in before
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_scopes_of_a_context_are_compared_in_a_row(spark):
     """No join of all scopes with each other; what has no principal stays, and of equal scopes one."""
     rows = [("p", "user", "*", ["read"]), ("p", "user", "A", ["read"]), ("p", "user", "A", ["read", "read"]), ("p", "user", "B", ["write", "read"]), ("q", "user", "A", ["read"]), (None, "user", "*", ["read"]), (None, "user", "A", ["read"])]
