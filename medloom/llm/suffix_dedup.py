@@ -299,7 +299,8 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         least = each.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
         least = written(least, "least")  # written, so that the join can split a very common window
         hits = hits.unionByName(each.join(least, "window").where("least < doc_id").groupBy("uid", "start").agg(F.bit_or("bit").alias("mask")))
-    spans = hits.groupBy("uid").agg(F.collect_set(F.struct("start", "mask")).alias("spans")).join(texts.select("uid", "k1", "k2"), "uid").select("k1", "k2", "spans")
+    named = texts.groupBy("uid").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"))  # rows alike are several texts of one uid
+    spans = hits.groupBy("uid").agg(F.collect_set(F.struct("start", "mask")).alias("spans")).join(named, "uid").select("k1", "k2", "spans")
     spans = written(spans, "spans")
     discard(texts)
     return spans

@@ -326,6 +326,15 @@ def test_rows_of_one_doc_id_beside_an_earlier_document_of_another_partition(spar
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == brute_bytes(rows)
 
 
+def test_rows_alike_that_hold_a_repeat_stay_as_many(spark):
+    run = " ".join(f"{i}shared{i * i}" for i in range(20))
+    rows = [(1, "zero " + run), *[(5, "first " + run)] * 3, (7, "other")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    out = suffix_dedup.dedup(df, texts=False).collect()
+    assert len(out) == 5
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == brute_bytes(rows)
+
+
 def test_hot_anchors_are_judged_alike(monkeypatch, docs, odd):
     monkeypatch.setattr(debruijn_dedup, "OPEN_PATHS", 1)
     monkeypatch.setattr(anchors, "HOT_ROWS", 3)
